@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, urls
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -45,18 +46,33 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer(PIECE_BPE), limit=4096)
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    judged = urls.judge_captures(urls.page_captures(pages), urls.dated_lists(pages))
+    seconds = F.unix_timestamp("fetched_at").alias("fetched_s")
+    return judged.select("page_id", "url", seconds, "host", "matched_pattern", "matched_action", "kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_verdicts
 
     return quality_verdicts(documents(spark, sf_dir))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compare_with_next
+
+    return compare_with_next(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
     "op4_bpe_encoding": op4_bpe_encoding,
     "op5_token_counts": op5_token_counts,
+    "op6_url_filters": op6_url_filters,
     "op7_quality_rules": op7_quality_rules,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": urls.SQL, "op7_quality_rules": quality.SQL}

@@ -72,20 +72,24 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 
 def dated_lists(pages: DataFrame) -> DataFrame:
-    """pattern, action, at: dated entries for the hosts of pages and the domains above them, made up from crc32 of their names.
+    """pattern, action, at: dated entries for the hosts of pages and the domains above them, made up from a hash of their names.
 
     A third of the hosts are blocked at some time; half of these are removed 60 days later and a quarter blocked again 120
     days after that; a tenth of the domains directly above are blocked, and their allowed hosts make exceptions.
     """
     hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
-    crc = F.crc32(F.col("host").cast("binary"))
+
+    def number(name: Column) -> Column:
+        return F.conv(F.substring(F.md5(name.cast("binary")), 1, 7), 16, 10).cast("long")
+
+    crc = number(F.col("host"))
     start = F.lit(1704067200) + F.pmod(crc, F.lit(300)) * 86400
     parent = F.substring_index("host", ".", -3)
 
     def entry(when: Column, pattern: Column, action: str, at: Column) -> Column:
         return F.when(when, F.struct(pattern.alias("pattern"), F.lit(action).alias("action"), F.timestamp_seconds(at).alias("at")))
 
-    hash_parent = F.crc32(parent.cast("binary"))
+    hash_parent = number(parent)
     made = F.array(
         entry(crc % 3 == 0, F.col("host"), "block", start),
         entry(crc % 6 == 0, F.col("host"), "remove", start + 60 * 86400),
@@ -102,15 +106,15 @@ WITH p AS (SELECT page_id, url, epoch_ms((1704067200 + ((page_id * 37) % 8760) *
 h AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),
 lab AS (SELECT host, string_split(host, '.') AS l FROM h),
 up AS (SELECT host, array_to_string(CASE WHEN len(l) > 3 THEN l[len(l) - 2:] ELSE l END, '.') AS parent, l FROM lab),
-crc AS (SELECT host, parent, l, (SELECT 1) AS one, {crc_host} AS c, {crc_parent} AS cp FROM up),
+crc AS (SELECT host, parent, ('0x' || substr(md5(host), 1, 7))::BIGINT AS c, ('0x' || substr(md5(parent), 1, 7))::BIGINT AS cp FROM up),
 e AS (
-  SELECT host AS pattern, 'block' AS action, 1704067200 + (c % 300) * 86400 AS at FROM crc WHERE c % 3 = 0
+  SELECT host AS pattern, 'block' AS action, 1704067200 + (c % 300) * 86400 AS moment FROM crc WHERE c % 3 = 0
   UNION SELECT host, 'remove', 1704067200 + (c % 300 + 60) * 86400 FROM crc WHERE c % 6 = 0
   UNION SELECT host, 'block', 1704067200 + (c % 300 + 180) * 86400 FROM crc WHERE c % 12 = 0
   UNION SELECT parent, 'block', 1704067200 + (cp % 200) * 86400 FROM crc WHERE cp % 10 = 0
   UNION SELECT host, 'allow', 1704067200 + (c % 300) * 86400 FROM crc WHERE cp % 10 = 0 AND c % 3 = 1),
-o AS (SELECT pattern, at, min_by(action, CASE action WHEN 'block' THEN 0 WHEN 'allow' THEN 1 ELSE 2 END) AS action FROM e GROUP BY pattern, at),
-iv AS (SELECT pattern, action, epoch_ms(at * 1000) AS since, epoch_ms(lead(at) OVER (PARTITION BY pattern ORDER BY at) * 1000) AS until FROM o),
+o AS (SELECT pattern, moment, min_by(action, CASE action WHEN 'block' THEN 0 WHEN 'allow' THEN 1 ELSE 2 END) AS action FROM e GROUP BY pattern, moment),
+iv AS (SELECT pattern, action, epoch_ms(moment * 1000) AS since, epoch_ms(lead(moment) OVER (PARTITION BY pattern ORDER BY moment) * 1000) AS until FROM o),
 cand AS (SELECT host, i AS depth, array_to_string(l[i:], '.') AS pattern FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS i FROM lab)),
 hit AS (SELECT p.page_id, p.url, p.fetched_at, min_by(iv.pattern, c.depth) AS pattern, min_by(iv.action, c.depth) AS action
   FROM p JOIN cand c ON c.host = p.host JOIN iv ON iv.pattern = c.pattern AND iv.action <> 'remove' AND p.fetched_at >= iv.since AND (iv.until IS NULL OR p.fetched_at < iv.until)
