@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, urls
+from . import quality, urls, warc
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -59,6 +59,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import compare_with_next
 
@@ -72,7 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
     "op7_quality_rules": op7_quality_rules,
+    "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": urls.SQL, "op7_quality_rules": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": urls.SQL, "op7_quality_rules": quality.SQL, "op9_warc": warc.SQL}
