@@ -26,8 +26,11 @@ BROADCAST_ROWS = 20_000
 def with_features(docs: DataFrame, repeats: bool = True) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_lines and, if asked for, n_repeat_words and base_failed.
 
-    A null text has no words. Columns of these names that docs has are replaced.
+    A null text has no words. Columns of these names that docs has are replaced. The features come out of a generator of one
+    row, so that no filter on them is pushed down with all that they are made of written out again and again.
     """
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", *(["n_repeat_words", "base_failed"] if repeats else [])]
+    own = [c for c in docs.columns if c not in made]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
@@ -44,7 +47,8 @@ def with_features(docs: DataFrame, repeats: bool = True) -> DataFrame:
         df = with_repeats(df)
         failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
         df = df.withColumn("base_failed", failed)
-    return df.drop("_words", "_lines")
+    one = F.explode(F.array(F.struct(*made)))
+    return df.select(*[F.col(f"`{c}`") for c in own], one.alias("_f")).select(*[F.col(f"`{c}`") for c in own], "_f.*")
 
 
 def with_repeats(df: DataFrame) -> DataFrame:
