@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .prefix_bpe import CACHE_WORDS, byte_level
+from .prefix_bpe import byte_level
 from .runtime import ship, text_of
 
 #: Cost of a cut in padding tokens: after a document, after a sentence, elsewhere.
@@ -18,50 +17,47 @@ AFTER_DOCUMENT, AFTER_SENTENCE, ELSEWHERE = 0, 2, 10
 #: Cost of a window, lest short windows of a power of two are made where long ones do as well.
 WINDOW = 6
 #: Elsewhere, cuts are looked for at every so many tokens; at each of the last tokens of a stream.
-GRID = 16
+GRID = 32
 #: Tokens that are packed at a time; the last window of a block is packed again with the next block.
 BLOCK = 1 << 17
 
 
-def choose_cuts(ends: np.ndarray, costs: np.ndarray, size: int) -> list[int]:
+def choose_cuts(ends: np.ndarray, costs: np.ndarray, size: int, powers: tuple[int, ...]) -> list[int]:
     """Positions after which windows end, the last of ends included: minimal padding plus cut costs.
 
     ends: ascending candidate positions (> 0), neighbours at most size apart; costs: of cutting there. A window of n
     tokens pads size - n, and nothing if n is a power of two. best[j] = costs[j] + size - ends[j] + min(best[i] + ends[i])
-    over i with ends[j] - ends[i] <= size: the minimum of a sliding window, kept in a monotone queue. Windows of a
-    power of two are looked up beside it. Ties: the earlier start, that is, the longer window.
+    over i with ends[j] - ends[i] <= size: the minimum of a sliding window, kept in a monotone queue. Windows of
+    the powers of two in powers are looked up beside it. Ties: the earlier start, that is, the longer window.
     """
     n = len(ends)
     at = np.concatenate([[0], ends])
-    powers = []
-    p = 1
-    while p < size:
-        i = np.searchsorted(at, at[1:] - p)
-        powers.append(np.where((at[np.minimum(i, n)] == at[1:] - p) & (at[1:] >= p), i, -1))
-        p *= 2
-    exact: dict[int, list[int]] = {}
-    if powers:
-        table = np.stack(powers)
-        for j in np.flatnonzero((table >= 0).any(axis=0)):
-            exact[int(j) + 1] = [int(i) for i in table[:, j] if i >= 0]
+    looked = []
+    for p in powers:
+        i = np.searchsorted(at, at - p)
+        looked.append(np.where((at >= p) & (at[np.minimum(i, n)] == at - p), i, -1).tolist())
     pos, cost = at.tolist(), [0, *costs.tolist()]
     best, prev = [0.0] * (n + 1), [0] * (n + 1)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    # the queue: values ascend from first to last, and so do the positions of their candidates
+    values, where, which = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    first = last = 0
     for j in range(1, n + 1):
         here = pos[j]
-        while pos[queue[0][1]] < here - size:
-            queue.popleft()
-        value, i = queue[0]
-        value += size - here
-        for k in exact.get(j, ()):
-            if best[k] < value:
+        least = here - size
+        while where[first] < least:
+            first += 1
+        value, i = values[first] - least, which[first]
+        for steps in looked:
+            k = steps[j]
+            if k >= 0 and best[k] < value:
                 value, i = best[k], k
         value += cost[j]
         best[j], prev[j] = value, i
         value += here
-        while queue and queue[-1][0] > value:
-            queue.pop()
-        queue.append((value, j))
+        while last >= first and values[last] > value:
+            last -= 1
+        last += 1
+        values[last], where[last], which[last] = value, here, j
     out, j = [], n
     while j:
         out.append(pos[j])
@@ -102,7 +98,8 @@ class Packer:
     def pack(self, last: bool) -> list[tuple]:
         ids = np.concatenate([d[1] for d in self.docs])
         doc_ends = np.cumsum([len(d[1]) for d in self.docs])
-        cuts = choose_cuts(*candidates(ids, doc_ends, self.sentence_end, self.size, last), self.size)
+        powers = tuple(1 << k for k in range(self.size.bit_length() - 1)) if last else (self.size >> 1,)
+        cuts = choose_cuts(*candidates(ids, doc_ends, self.sentence_end, self.size, last), self.size, powers)
         if not last:
             cuts = cuts[:-4] if len(cuts) > 8 else cuts[: len(cuts) // 2]  # the end of the block is no reason to cut
         out, k, begin, used = [], 0, 0, 0
@@ -143,24 +140,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, separator:
             ends[i] = b"\n" in raw or raw.rstrip().endswith((b".", b"!", b"?", "。".encode()))
         ends[separator] = True
         packer = Packer(size, ends, TaskContext.get().partitionId() << 40)
-        known: dict[str, bytes] = {}
-        tail = np.array([separator], "<u4").tobytes()
 
         def encode(text: str) -> np.ndarray:
-            parts = []
-            for part, special in bpe.sections(text):
-                if special is not None:
-                    parts.append(np.array([special], "<u4").tobytes())
-                    continue
-                for s in bpe.stretched(part):
-                    got = known.get(s)
-                    if got is None:
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        got = known[s] = np.array(bpe.stretch_ids(s), "<u4").tobytes()
-                    parts.append(got)
-            parts.append(tail)
-            return np.frombuffer(b"".join(parts), "<u4")
+            return np.array([*bpe.merged_ids(text), separator], "<u4")
 
         def rows(out):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], schema=arrow)

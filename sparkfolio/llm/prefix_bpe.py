@@ -10,13 +10,14 @@ gives the exact token count of every prefix. The work is linear in the text, als
 from __future__ import annotations
 
 import json
+import math
 from functools import lru_cache
 
 import ahocorasick
 import regex
 
 #: Bounds of a worker's memory: entries of the caches, which are emptied when full. They never change a result.
-CACHE_WORDS, CACHE_PAIRS = 400_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
 
 
 class PrefixBpe:
@@ -29,6 +30,7 @@ class PrefixBpe:
             self.automaton.add_word(token, (token, id_))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.borders: dict[str, tuple | None] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merging as it is defined, for the few symbols of a pair of tokens."""
@@ -45,11 +47,55 @@ class PrefixBpe:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def spines(self, token: str):
+        """(left, right): what ends at each border of the token while it is merged, from the token down to a symbol, each
+        as (part, rank at which it is made, rank at which it is taken up). None if the token's symbols don't merge to it."""
+        got = self.borders.get(token, self)
+        if got is self:
+            parts = [(c, -1, None) for c in token]  # part, rank, the two that it is made of
+            while len(parts) > 1:
+                best = None
+                for i in range(len(parts) - 1):
+                    r = self.rank(parts[i][0], parts[i + 1][0])
+                    if r is not None and (best is None or r < best[0]):
+                        best = (r, i)
+                if best is None:
+                    break
+                r, i = best
+                parts[i : i + 2] = [(parts[i][0] + parts[i + 1][0], r, (parts[i], parts[i + 1]))]
+            got = None
+            if len(parts) == 1:
+                got = ([], [])
+                for side in (0, 1):
+                    node, taken = parts[0], math.inf
+                    while node:
+                        got[side].append((node[0], node[1], taken))
+                        node, taken = node[2] and node[2][side], node[1]
+            self.borders[token] = got
+        return got
+
+    def tested(self, left: str, right: str) -> bool:
+        """compatible() from the spines: false if two parts at the border live at a time and merge before either is taken up.
+
+        Of merges of one rank the left one comes first, hence the unequal comparisons.
+        """
+        mine = self.spines(right)
+        if mine is None or not left:
+            return mine is not None
+        rank = self.rank
+        for a, made_a, taken_a in self.spines(left)[1]:
+            for b, made_b, taken_b in mine[0]:
+                if made_b < taken_a and made_a <= taken_b:
+                    r = rank(a, b)
+                    if r is not None and r < taken_a and r <= taken_b:
+                        return False
+        return True
+
     def compatible(self, left: str, right: str) -> bool:
-        """Whether right can follow left; left is "" at the start."""
+        """Whether right can follow left, that is, whether merged() leaves the two as they are; left is "" at the start."""
         got = self.pairs.get((left, right))
         if got is None:
-            got = self.merged(list(left + right)) == ([left, right] if left else [right])
+            got = self.tested(left, right)
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             self.pairs[left, right] = got
@@ -123,6 +169,34 @@ class ByteLevelBpe:
         self.cut = regex.compile(r"(?= \S)")
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words: dict[str, list[int]] = {}
+        made_in_order = [vocab[a + b] for a, b in merges]
+        self.ordered = made_in_order == sorted(made_in_order)
+        self._merger = None
+        self.stores: dict[str, dict] = {}  # what operators keep for stretches, from task to task of a worker
+
+    def lettered(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", self.to_letters[32])
+        return piece.encode().decode("latin-1").translate(self.to_letters)
+
+    def merger(self):
+        """The same encoding by tiktoken's merging, for operators that need ids but none of the prefixes; None if ids aren't in the order of merging."""
+        if self._merger is None:
+            import tiktoken
+
+            ranks = {raw: i for i, raw in self.bytes.items() if i not in self.special.values()}
+            self._merger = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}) if self.ordered else False
+        return self._merger or None
+
+    def merged_ids(self, text: str) -> list[int]:
+        """As encode()."""
+        merger = self.merger()
+        if merger is None:
+            return self.encode(text)
+        out: list[int] = []
+        for part, special in self.sections(text):
+            out += [special] if special is not None else merger.encode_ordinary(part)
+        return out
 
     def stretch_ids(self, stretch: str) -> list[int]:
         """Of text without special strings."""
@@ -130,7 +204,7 @@ class ByteLevelBpe:
         for piece in self.pieces.findall(stretch):
             got = self.words.get(piece)
             if got is None:
-                got = self.core.ids(piece.encode().decode("latin-1").translate(self.to_letters))
+                got = self.core.ids(self.lettered(piece))
                 if len(self.words) >= CACHE_WORDS:
                     self.words.clear()
                 self.words[piece] = got
