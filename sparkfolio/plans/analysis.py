@@ -1 +1,128 @@
-"""Queries."""
+"""Queries: landscapes and research gaps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import gaps, landscape
+from ..sources.corpus import Corpus, sql
+from .registry import query
+
+_TERM = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\w\\s-]', ' ', 'g'), '(ing|tion|ions|s|es|ed|ment|ments|al)$', ''))"
+
+
+def _records(c: Corpus) -> DataFrame:
+    return c.table("part").select("p_partkey", F.split("p_name", " ").alias("keywords"), F.array("p_type").alias("methodologies"), F.array("p_brand").alias("datasets"))
+
+
+@query(f"""WITH x AS (SELECT unnest(string_split(p_name, ' ')) AS term, 'keywords' AS field FROM part UNION ALL SELECT p_type, 'methodologies' FROM part UNION ALL SELECT p_brand, 'datasets' FROM part),
+  n AS (SELECT field, {_TERM.format('term')} AS name, count(*) AS count FROM x WHERE term <> '' GROUP BY 1, 2)
+  SELECT field, name, count, round(100 * count / sum(count) OVER (PARTITION BY field), 1) AS percentage, row_number() OVER (PARTITION BY field ORDER BY count DESC, name) AS rank FROM n QUALIFY rank <= 20""")
+def landscape_clusters(c: Corpus) -> DataFrame:
+    terms = landscape.flattened(_records(c), "p_partkey", {"keywords": F.col("keywords"), "methodologies": F.col("methodologies"), "datasets": F.col("datasets")})
+    return landscape.clustered(terms)
+
+
+@query(f"WITH n AS (SELECT {_TERM.format('p_type')} AS name, count(*) AS c FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY c DESC, name) AS k FROM n) SELECT 'methodologies' AS field, 'Most used method: ' || name || ' (' || c || ')' AS observation FROM r WHERE k = 1")
+def landscape_observations(c: Corpus) -> DataFrame:
+    terms = landscape.flattened(_records(c), "p_partkey", {"methodologies": F.col("methodologies")})
+    return landscape.observations(landscape.clustered(terms), {"methodologies": "Most used method: %s (%d)"})
+
+
+@query("SELECT trim(lower(o_orderpriority)) AS value, count(*) AS count FROM orders GROUP BY 1")
+def venue_distribution(c: Corpus) -> DataFrame:
+    return landscape.distribution(c.table("orders"), "o_orderpriority", lower=True)
+
+
+@query(sql("papers", "SELECT sum(citations)::BIGINT AS total, round(avg(citations), 2) AS average, median(citations)::DOUBLE AS median, max(citations) AS max, min(citations) AS min, count(citations) AS with_data FROM papers"))
+def citation_statistics(c: Corpus) -> DataFrame:
+    return landscape.statistics(c.papers(), "citations")
+
+
+@query(sql("papers", "WITH y AS (SELECT year, count(*) AS papers FROM papers GROUP BY 1) SELECT year, papers, round(papers / greatest(max(papers) OVER (), 1), 4) AS scaled FROM y"))
+def papers_per_year(c: Corpus) -> DataFrame:
+    return landscape.scaled(c.papers().where("year is not null").groupBy("year").agg(F.count("*").alias("papers")), "papers")
+
+
+def _with_investigation(c: Corpus, bridge: DataFrame) -> DataFrame:
+    return bridge.join(c.papers().select("paper_id", "investigation_id"), "paper_id")
+
+
+_IN = "m AS (SELECT investigation_id, paper_id, name FROM methodologies JOIN papers USING (paper_id)), t AS (SELECT investigation_id, paper_id, name FROM datasets JOIN papers USING (paper_id))"
+_OUT = "SELECT investigation_id, '{rule}' AS rule, subject, n::BIGINT AS frequency, round(least(n / {scale}, {cap}), 2)::DOUBLE AS confidence, CASE WHEN n >= 5 THEN 'high' ELSE 'medium' END AS severity FROM g QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY n DESC, subject) <= {limit}"
+_SQL = {
+    "dataset_gap": f"WITH {_IN}, f AS (SELECT investigation_id, name, count(DISTINCT paper_id) AS n FROM m GROUP BY ALL), d AS (SELECT m.investigation_id, m.name, count(DISTINCT t.name) AS d FROM m JOIN t USING (paper_id) GROUP BY ALL), "
+    f"g AS (SELECT f.investigation_id, f.name AS subject, n FROM f LEFT JOIN d ON d.investigation_id = f.investigation_id AND d.name = f.name WHERE n >= 3 AND coalesce(d, 0) / n < 3.0) {_OUT.format(rule='dataset_gap', scale=10, cap=0.95, limit=5)}",
+    "method_combination": f"""WITH {_IN}, a AS (SELECT investigation_id, name AS a, count(DISTINCT paper_id) AS na FROM m GROUP BY 1, 2 HAVING na >= 3 QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY na DESC, name) <= 15),
+      b AS (SELECT investigation_id, name AS b, count(DISTINCT paper_id) AS nb FROM t GROUP BY 1, 2 HAVING nb >= 3 QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY nb DESC, name) <= 15),
+      s AS (SELECT m.investigation_id, m.name AS a, t.name AS b, count(DISTINCT m.paper_id) AS c FROM m JOIN t USING (paper_id) GROUP BY ALL),
+      g AS (SELECT a.investigation_id, a.a || ' + ' || b.b AS subject, na + nb AS n FROM a JOIN b USING (investigation_id) LEFT JOIN s ON s.investigation_id = a.investigation_id AND s.a = a.a AND s.b = b.b WHERE coalesce(c, 0) < 2) {_OUT.format(rule='method_combination', scale=20, cap=0.9, limit=5)}""",
+    "temporal_gap": f"""WITH d AS (SELECT DISTINCT investigation_id, name AS term, year FROM technologies JOIN papers USING (paper_id)), y AS (SELECT DISTINCT investigation_id, year FROM d),
+      k AS (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY year DESC) AS k, count(*) OVER (PARTITION BY investigation_id) AS c FROM y QUALIFY c >= 3),
+      g AS (SELECT d.investigation_id, term AS subject, count_if(k > 2) AS n FROM d JOIN k ON k.investigation_id = d.investigation_id AND k.year = d.year GROUP BY ALL HAVING count_if(k > 2) >= 2 AND count_if(k <= 2) = 0) {_OUT.format(rule='temporal_gap', scale=10, cap=0.95, limit=5)}""",
+}
+
+
+def _rules(c: Corpus) -> dict:
+    m, t = _with_investigation(c, c.methodologies()), _with_investigation(c, c.datasets())
+    dated = c.technologies().join(c.papers().select("paper_id", "investigation_id", "year"), "paper_id").select("investigation_id", F.col("name").alias("term"), "year")
+    return {"dataset_gap": lambda: gaps.dataset_gap(m, t, ratio=3.0), "method_combination": lambda: gaps.method_combination(m, t), "temporal_gap": lambda: gaps.temporal_gap(dated)}
+
+
+_V = "papers methodologies datasets technologies"
+
+
+@query(sql(_V, _SQL["dataset_gap"]))
+def gap_datasets(c: Corpus) -> DataFrame:
+    return _rules(c)["dataset_gap"]()
+
+
+@query(sql(_V, _SQL["method_combination"]))
+def gap_method_combinations(c: Corpus) -> DataFrame:
+    return _rules(c)["method_combination"]()
+
+
+@query(sql(_V, _SQL["temporal_gap"]))
+def gap_temporal(c: Corpus) -> DataFrame:
+    return _rules(c)["temporal_gap"]()
+
+
+_LINES = "WITH l AS (SELECT source AS investigation_id, doc_id, trim(lower(unnest(string_split(text, chr(10))))) AS term FROM documents)"
+
+
+def _lines(c: Corpus) -> DataFrame:
+    return c.table("documents").select(F.col("source").alias("investigation_id"), "doc_id", F.explode(F.split("text", "\n")).alias("term"))
+
+
+def _unanswered(c: Corpus, rule: str, scale: int) -> DataFrame:
+    lines = _lines(c)
+    return gaps.unanswered(lines.where(F.length("term") >= 15).where("doc_id % 2 = 0"), lines.where("doc_id % 2 = 1").withColumnRenamed("term", "text"), rule, scale=scale)
+
+
+_UNANSWERED = """{lines}, o AS (SELECT investigation_id, term AS subject, count(*) AS n FROM (SELECT * FROM l WHERE doc_id % 2 = 0 AND length(term) >= 15) GROUP BY ALL HAVING n >= 3),
+  g AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id % 2 = 1 AND l.investigation_id = o.investigation_id AND contains(l.term, o.subject))) {out}"""
+
+
+@query(_UNANSWERED.format(lines=_LINES, out=_OUT.format(rule="future_work_gap", scale=8, cap=0.95, limit=5)))
+def gap_future_work(c: Corpus) -> DataFrame:
+    return _unanswered(c, "future_work_gap", 8)
+
+
+@query(_UNANSWERED.format(lines=_LINES, out=_OUT.format(rule="limitation_gap", scale=10, cap=0.95, limit=5)))
+def gap_limitations(c: Corpus) -> DataFrame:
+    return _unanswered(c, "limitation_gap", 10)
+
+
+@query(f"""WITH t AS (SELECT lang AS investigation_id, source AS method, CASE WHEN doc_id % 10 < 9 THEN 'accuracy and ' || left(text, 5) ELSE left(text, 5) END AS text FROM documents),
+  h AS (SELECT *, regexp_matches(text, '{gaps.METRIC_TERMS}') AS hit, list_transform(regexp_extract_all(text, '{gaps.METRIC_TERMS}', 1), lambda x: lower(x)) AS m FROM t),
+  g AS (SELECT investigation_id, method AS subject, count(*) AS n FROM h GROUP BY ALL HAVING count(*) >= 6 AND avg(hit::INT) >= 0.8 AND len(list_distinct(flatten(list(m)))) <= 2) {_OUT.format(rule='evaluation_gap', scale=10, cap=0.95, limit=3)}""")
+def gap_evaluation(c: Corpus) -> DataFrame:
+    d = c.table("documents")
+    text = F.when(F.col("doc_id") % 10 < 9, F.concat(F.lit("accuracy and "), F.substring("text", 1, 5))).otherwise(F.substring("text", 1, 5))
+    return gaps.evaluation_gap(d.select(F.col("lang").alias("investigation_id"), F.col("source").alias("method"), text.alias("text")))
+
+
+@query(sql(_V, "WITH " + ", ".join(f"g_{k} AS ({v})" for k, v in ((k, f"SELECT * FROM ({v})") for k, v in _SQL.items())) + ", a AS (" + " UNION ALL ".join(f"SELECT * FROM g_{k}" for k in _SQL) + ") SELECT rule, count(*) AS gaps, count_if(severity = 'high')::BIGINT AS high, count_if(confidence >= 0.7)::BIGINT AS confident FROM a GROUP BY 1"))
+def gap_summary(c: Corpus) -> DataFrame:
+    return gaps.summary(gaps.detect(_rules(c))[0])
