@@ -1 +1,133 @@
-"""Queries."""
+"""Queries: chunks, search, evidence, conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.words import HEDGES
+from ..operators import retrieval as R
+from ..sources.corpus import Corpus
+from .registry import query
+
+
+@query("""WITH RECURSIVE c AS (
+    SELECT doc_id, 0 AS chunk_index, text, 0 AS s FROM documents WHERE trim(text) <> ''
+    UNION ALL SELECT doc_id, chunk_index + 1, text, e - 80 FROM (SELECT *, CASE WHEN s + 800 >= length(text) THEN length(text) WHEN position(chr(10) IN reverse(substr(text, s + 401, 400))) > 0 THEN s + 800 - position(chr(10) IN reverse(substr(text, s + 401, 400))) ELSE s + 800 END AS e FROM c) WHERE e < length(text))
+  SELECT doc_id, chunk_index::INT AS chunk_index, md5(substr(text, s + 1, CASE WHEN s + 800 >= length(text) THEN length(text) WHEN position(chr(10) IN reverse(substr(text, s + 401, 400))) > 0 THEN s + 800 - position(chr(10) IN reverse(substr(text, s + 401, 400))) ELSE s + 800 END - s)) AS digest FROM c""")
+def chunk_documents(c: Corpus) -> DataFrame:
+    return R.chunked(c.table("documents"), "doc_id", "text").select("doc_id", "chunk_index", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query("""WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+  s AS (SELECT vec_id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), q) AS s FROM embeddings, q ORDER BY s DESC, vec_id LIMIT 20) SELECT vec_id, round(s, 4) AS score FROM s WHERE s >= 0.1""")
+def vector_search(c: Corpus) -> DataFrame:
+    e = c.table("embeddings").select("vec_id", "embedding")
+    q = e.orderBy("vec_id").first()["embedding"]  # the question's vector
+    return R.nearest(e, q, 20, 0.1).select("vec_id", F.round("score", 4).alias("score"))
+
+
+QUESTION = {"keywords": ["the", "que"], "bigrams": ["of the"], "phrases": ["thonan"], "signals_methodology": ["er"], "signals_gap": ["x"]}
+
+
+@query("""SELECT doc_id, (10.0 * len(regexp_extract_all(lower(text), '\\bthe\\b')) + 10.0 * len(regexp_extract_all(lower(text), '\\bque\\b')) + 15.0 * ((length(text) - length(replace(lower(text), 'of the', ''))) // 6)
+    + 100.0 * contains(lower(text), 'thonan')::INT + 30.0 * (lang = 'the')::INT + 12.0 * contains(lower(text), 'er')::INT + 20.0)::DOUBLE AS score FROM documents WHERE lang = 'en' AND length(lower(text)) = length(text)""")
+def keyword_scores(c: Corpus) -> DataFrame:
+    d = c.table("documents").where("lang = 'en' and length(lower(text)) = length(text)")
+    return d.select("doc_id", R.keyword_score(QUESTION, F.col("text"), F.col("lang")).alias("score"))
+
+
+@query("""WITH s AS (SELECT doc_id, (doc_id % 97) / 97.0 AS sem, (doc_id % 150) * 1.0 AS kw, CASE WHEN doc_id % 3 = 0 THEN 'Methodologies' ELSE 'Datasets' END AS label FROM documents), h AS (SELECT *, 0.7 * sem + 0.3 * least(kw / 100, 1.0) AS h FROM s)
+  SELECT doc_id, round(CASE WHEN label = 'Methodologies' THEN least(h + 0.25, 1.0) ELSE h END, 4)::DOUBLE AS score FROM h""")
+def hybrid_scores(c: Corpus) -> DataFrame:
+    k = F.col("doc_id")
+    s = c.table("documents").select("doc_id", R.hybrid((k % 97) / 97.0, (k % 150) * 1.0).alias("score"), F.when(k % 3 == 0, "Methodologies").otherwise("Datasets").alias("label"), F.lit("any").alias("source"))
+    return R.boosted(s, "methodology_comparison").select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+  w AS (SELECT source, k, doc_id, n_chars <= 8000 AS kept, 8000 - CASE WHEN n_chars <= 8000 THEN n_chars ELSE 0 END AS free FROM s WHERE k = 1
+    UNION ALL SELECT s.source, s.k, s.doc_id, s.n_chars <= w.free, w.free - CASE WHEN s.n_chars <= w.free THEN s.n_chars ELSE 0 END FROM w JOIN s ON s.source = w.source AND s.k = w.k + 1)
+  SELECT source, doc_id FROM w WHERE kept""")
+def context_budget(c: Corpus) -> DataFrame:
+    s = c.table("documents").select("source", "doc_id", F.col("n_chars").alias("char_count"))
+    return R.within_budget(s, ["source"], 8000, [F.col("doc_id")]).select("source", "doc_id")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents), s AS (SELECT *, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS x FROM l),
+  k AS (SELECT doc_id, line::INT AS line, regexp_replace(regexp_replace(x, '^\\[.*?\\]\\s*', ''), '^[-•*]\\s*', '') AS claim FROM s WHERE length(x) >= 15)
+  SELECT doc_id, line, md5(claim) AS claim, {' OR '.join(f"contains(lower(claim), '{h}')" for h in HEDGES)} AS is_inference FROM k WHERE length(claim) >= 15""")
+def evidence_claims(c: Corpus) -> DataFrame:
+    d = c.table("documents").select("doc_id", F.col("text").alias("content"))
+    return R.claims(d).select("doc_id", "line", F.md5(F.col("claim").cast("binary")).alias("claim"), "is_inference")
+
+
+def _sections(c: Corpus) -> DataFrame:
+    d = c.table("benchmark")
+    k = F.col("item_id")
+    return d.select((k % 4).alias("query_id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), (k % 2).cast("string").alias("label"), k.alias("pos"), F.col("text").alias("content"), (k % 13 * 7.0).alias("score"))
+
+
+_SECTIONS = "s AS (SELECT item_id % 4 AS query_id, 's' || (item_id % 3) AS source, (item_id % 2)::VARCHAR AS label, item_id AS pos, text AS content, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM benchmark)"
+
+
+@query(f"WITH {_SECTIONS} SELECT a.query_id, a.pos AS a, b.pos AS b, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 4) AS overlap FROM s a JOIN s b ON a.query_id = b.query_id AND a.label = b.label AND a.pos < b.pos WHERE len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) > 0.25")
+def section_overlaps(c: Corpus) -> DataFrame:
+    return R.near_pairs(_sections(c), ["query_id"], 0.25).withColumn("overlap", F.round("overlap", 4))
+
+
+@query()
+def compress_context(c: Corpus) -> DataFrame:
+    return R.compressed(_sections(c), ["query_id"], 0.3)
+
+
+@query()
+def aggregate_evidence(c: Corpus) -> DataFrame:
+    return R.aggregated_evidence(_sections(c), ["query_id"])
+
+
+@query()
+def analyze_questions(c: Corpus) -> DataFrame:
+    q = R.analyzed(c.table("conversations").where("role = 'user'").select("conv_id", "turn", "text"))
+    return q.select("conv_id", "turn", *[F.array_join(x, "|").alias(x) for x in ("keywords", "bigrams", "phrases", "signals_methodology", "signals_gap")], "is_comparison", "is_how_why")
+
+
+@query()
+def classify_questions(c: Corpus) -> DataFrame:
+    return R.classified(c.table("conversations").where("role = 'user'").select("conv_id", "turn", "text")).select("conv_id", "turn", "intent")
+
+
+@query("""WITH t AS (SELECT d.doc_id, b.item_id, lower(regexp_replace(left(b.text, 60), '^\\s+|\\s+$', '', 'g')) AS t, lower(d.text) AS c FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+  l AS (SELECT *, regexp_extract_all(t, '([a-zA-Z0-9]{4,})', 1) AS w FROM t), h AS (SELECT *, len(list_filter(w, lambda x: contains(c, x))) AS h FROM l)
+  SELECT doc_id, item_id, contains(c, t) OR (len(w) > 0 AND h >= greatest(3, len(w) // 2)) AS found FROM h""")
+def validate_citations(c: Corpus) -> DataFrame:
+    d = c.table("documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    b = c.table("benchmark").select("item_id", F.substring("text", 1, 60).alias("title"))
+    return d.join(b, "item_id").select("doc_id", "item_id", R.citation_found(F.col("title"), F.col("text")).alias("found"))
+
+
+@query("""WITH a AS (SELECT source, count(*) AS total, count_if(doc_id % 3 > 0) AS positive, sum(n_chars) AS chars, count_if(doc_id % 2 = 0) AS examined, count_if(doc_id % 4 = 0) AS kept, avg(doc_id % 100) AS m FROM documents GROUP BY 1)
+  SELECT source, round(0.25 * positive / total + 0.1 * least(chars / 28000, 1) + 0.15 * CASE WHEN examined > 0 THEN kept / examined ELSE 1 END + 0.05 * kept / (kept + 3) + 0.15 * least(m / 100, 1) + 0.3 * 0.8, 2)::DOUBLE AS confidence FROM a""")
+def calibrate_confidence(c: Corpus) -> DataFrame:
+    k = F.col("doc_id")
+    a = c.table("documents").groupBy("source").agg(
+        F.count("*").alias("total"), F.count_if(k % 3 > 0).alias("positive"), F.sum("n_chars").alias("chars"), F.count_if(k % 2 == 0).alias("examined"), F.count_if(k % 4 == 0).alias("kept"), F.avg(k % 100).alias("m")
+    )
+    col = F.col
+    return a.select("source", R.confidence(None, col("positive"), col("total"), col("chars"), 28000, col("examined"), col("kept"), col("m"), F.lit(0.8)).alias("confidence"))
+
+
+@query("SELECT conv_id, md5(string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || left(text, 2000), chr(10) ORDER BY turn)) AS history FROM conversations GROUP BY 1")
+def conversation_history(c: Corpus) -> DataFrame:
+    return R.history(c.table("conversations"), "conv_id", "turn").select("conv_id", F.md5(F.col("history").cast("binary")).alias("history"))
+
+
+@query("SELECT doc_id % 50 AS claim_id, string_agg(DISTINCT source, '|' ORDER BY source) AS papers FROM documents GROUP BY 1")
+def group_citations(c: Corpus) -> DataFrame:
+    m = c.table("documents").select((F.col("doc_id") % 50).alias("claim"), F.col("source").alias("paper_title"))
+    return R.grouped_citations(m).withColumnRenamed("claim", "claim_id")
+
+
+@query()
+def embed_documents(c: Corpus) -> DataFrame:
+    return R.embed(c.table("benchmark"), "text").select("item_id", "embedding")

@@ -1 +1,70 @@
-"""Part of sparkfolio, a Spark-native analytics engine for research corpora."""
+"""Structured Streaming forms of the log operators."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+SLIDING = "id long, key string, ts timestamp, allowed boolean"
+
+
+def windowed_stream(events: DataFrame, length: str, late: str) -> DataFrame:
+    """Counts of event types in tumbling windows; rows later than the watermark are dropped, windows close after it."""
+    w = F.window("ts", length)
+    return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "events", "total")
+
+
+def session_stream(events: DataFrame, gap: str, late: str) -> DataFrame:
+    w = F.session_window("ts", gap)
+    return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), "user_id", "events")
+
+
+def sliding_log(pdf: pd.DataFrame, accepted: list[float], limit: int, seconds: float) -> tuple[pd.Series, list[float]]:
+    """Which requests (sorted by ts) are allowed: fewer than limit accepted ones within the last seconds. Rejected ones don't count."""
+    out = []
+    for at in pdf["ts"].map(lambda t: t.timestamp()):
+        accepted = [a for a in accepted if a >= at - seconds]
+        ok = len(accepted) < limit
+        if ok:
+            accepted.append(at)
+        out.append(ok)
+    return pd.Series(out, index=pdf.index, dtype=bool), accepted
+
+
+def sliding_limit(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
+    """The batch form of sliding_limit_stream(): id, key, ts, allowed."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "id"])
+        return pdf.assign(allowed=sliding_log(pdf, [], limit, seconds)[0])[["id", "key", "ts", "allowed"]]
+
+    return requests.select("id", "key", F.col("ts").cast("timestamp").alias("ts")).groupBy("key").applyInPandas(run, SLIDING)
+
+
+def sliding_limit_stream(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
+    """id, key, ts, allowed of a stream of requests. A key's state is the times of accepted requests of the last seconds, at most limit of them."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(frames)).sort_values(["ts", "id"])
+        allowed, accepted = sliding_log(pdf, list(state.get[0]) if state.exists else [], limit, seconds)
+        state.update((accepted,))
+        state.setTimeoutDuration(int(seconds * 1000))
+        yield pdf.assign(allowed=allowed)[["id", "key", "ts", "allowed"]]
+
+    return requests.select("id", "key", "ts").groupBy("key").applyInPandasWithState(run, SLIDING, "accepted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def append_batches(stream: DataFrame, path: str, checkpoint: str, key: str):
+    """Writes a stream so that a repeated batch changes nothing: each batch has its own folder, which is overwritten."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
