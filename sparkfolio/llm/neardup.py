@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, map_rows, ship
+from .runtime import cut, map_rows, ship, unused
 
 #: Components of a signature, of 16 bits each.
 SIZE = 48
@@ -282,6 +282,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, of which near_duplicates() keeps the document."""
-    out = cut(near_duplicates(docs, words, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
+    name = unused(docs, "_gone")
+    out = cut(near_duplicates(docs, words, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
     gone = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -53,6 +54,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def table(df: DataFrame) -> DataFrame:
+    """As cut(), but as Parquet: smaller on disk for wide rows, and read again with its columns pruned and its size known."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_of(df: DataFrame, name: str = "text") -> DataFrame:
     """doc_id and text alone, so that extra columns are pruned at the scan and clashing names can't matter."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("string").alias("text"))

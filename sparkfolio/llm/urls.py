@@ -46,7 +46,8 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     adaptive execution can split, since nothing after it needs a host's captures together.
     """
     added = ["host", "matched_pattern", "matched_action", "kept"]
-    rows = captures.drop(*added).withColumn("host", host_of(F.col("url").cast("string")))
+    own = [F.col(f"`{c}`") for c in captures.columns if c not in added]
+    rows = captures.select(F.struct(*own).alias("_row"), F.col("fetched_at"), host_of(F.col("url").cast("string")).alias("host"))
     hosts = rows.select(F.col("host").alias("_host")).where("_host is not null").distinct()
     candidates = hosts.select("_host", F.posexplode(suffixes(F.col("_host"))).alias("_depth", "_pattern"))
     spans = intervals(entries)
@@ -62,7 +63,7 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     joined = rows.join(by_host, F.col("host") == F.col("_host"), "left").withColumn("_hit", first)
     return joined.withColumns(
         {"matched_pattern": F.col("_hit.pattern"), "matched_action": F.col("_hit.action"), "kept": ~F.coalesce(F.col("_hit.action") == "block", F.lit(False))}
-    ).drop("_host", "_lists", "_hit")
+    ).select("_row.*", *added)
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
