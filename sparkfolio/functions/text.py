@@ -45,7 +45,7 @@ def abstract_from_index(index: Column) -> Column:
     """Text of an inverted index map<word, array<position>>: words at their positions, the last word of an entry order wins, gaps stay empty."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     at = F.sequence(F.lit(0), F.array_max(F.transform(pairs, lambda x: x["p"])))
-    words = F.transform(at, lambda i: F.coalesce(F.element_at(F.filter(pairs, lambda x: x["p"] == i), -1)["w"], F.lit("")))
+    words = F.transform(at, lambda i: F.coalesce(F.try_element_at(F.filter(pairs, lambda x: x["p"] == i), F.lit(-1))["w"], F.lit("")))
     return F.when(F.size(pairs) > 0, strip(F.array_join(words, " ")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,6 @@ def name_score(name: Column, query: str) -> Column:
 
 def fuzzy_score(name: Column, query: str) -> Column:
     """The last resort of a search: 0.3 times a sequence ratio above 0.6, which SQL has no function for (a pandas UDF, over distinct names)."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(names: pd.Series) -> pd.Series:
