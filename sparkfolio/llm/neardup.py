@@ -8,7 +8,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -20,10 +20,8 @@ SIZE = 48
 MISS = 1e-4
 #: Wrong components that a chunk of the signature may have.
 ERRORS = 1
-#: Nearest partners (of the up to SIZE that its buckets name) that a document is compared with before the search for the rest.
-FIRST = 2
-#: Members of a bucket that are compared as a block.
-BLOCK = 1024
+#: A cluster of candidates is compared in tiles of blocks of about so many classes and bytes of shingle sets.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Ids up to which a set of them is broadcast (checked by counting); with more, the join shuffles.
 BROADCAST_IDS = 250_000
 _rng = np.random.default_rng(20240229)
@@ -111,130 +109,99 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return map_rows(docs, make, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def distances(cols: list) -> np.ndarray:
-    a, b = (np.frombuffer(b"".join(c), "<u2").reshape(-1, SIZE) for c in cols)
-    return (a != b).sum(axis=1)
+def links_within(ids: list[int], groups: list[int], sizes: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], limit: int, percent: int) -> list[tuple[int, int]]:
+    """A forest of the links among classes: those of group 0 with those of group 1, or with one another if all are of one group.
 
-
-def within(pairs: DataFrame, reps: DataFrame, limit: int, percent: int) -> DataFrame:
-    """pairs (a, b) with their signature distance, of those within the limit whose set sizes allow the similarity."""
-    of = lambda side: reps.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n_shingles").alias(f"n_{side}"))
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
-
-    def step(cols):
-        return [cols[0], cols[1], distances(cols[2:]).tolist()]
-
-    return map_rows(sized.select("a", "b", "sig_a", "sig_b"), lambda: step, "a long, b long, distance int").where(F.col("distance") <= limit)
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v for the pairs (a, b) whose full sets have the similarity."""
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("shingles").alias(f"s_{side}"))
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            u, v = [], []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    u.append(batch.column(0)[i].as_py())
-                    v.append(batch.column(1)[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
-
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "u long, v long")
-
-
-def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id, shingles (sorted 64-bit hashes) of the representatives whose ids are in wanted (id, distinct)."""
-    asked = wanted.join(reps.select("id", "digest"), "id").select(F.col("id").alias("doc_id"), "digest")
-    small = wanted.count() <= BROADCAST_IDS
+    Pairs within the signature distance, whose sizes allow the similarity and that aren't connected yet, are compared on full
+    sets, a class with all its candidates at a time.
+    """
+    n = len(ids)
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    group, out = np.array(groups), []
+    two = group.any() and not group.all()
+    for i in range(n):
+        if two and group[i]:
+            continue
+        others = np.flatnonzero(group) if two else np.arange(i + 1, n)
+        if not len(others):
+            continue
+        fits = 100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])
+        others = others[fits]
+        near = others[(sigs[others] != sigs[i]).sum(axis=1) <= limit] if len(others) else others
+        mine = top(i)
+        near = [j for j in near.tolist() if top(j) != mine and ids[j] != ids[i]]
+        if not near:
+            continue
+        whole = np.concatenate([sets[j] for j in near])
+        own = sets[i]
+        hit = own[np.minimum(np.searchsorted(own, whole), len(own) - 1)] == whole
+        both = np.add.reduceat(hit, np.cumsum([0, *(len(sets[j]) for j in near[:-1])]), dtype=np.int64)
+        for j, b in zip(near, both.tolist(), strict=True):
+            if 100 * b >= percent * (len(own) + len(sets[j]) - b) and top(j) != top(i):
+                root[top(j)] = top(i)
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def confirmed_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, words: int, limit: int, percent: int) -> DataFrame:
+    """u, v: links between classes of a cluster (clusters: id, cluster) that connect what is linked, confirmed on full sets.
+
+    A cluster's classes are dealt to blocks of bounded size and each two blocks meet in a tile, so neither a task holds a cluster
+    nor is a pair ever a row: tiles give the links of a forest. Sets are made of the texts where these are read and shuffled once
+    for each block of their cluster.
+    """
+    sized = clusters.join(reps.select("id", "digest", "sig", "n_shingles"), "id")
+    sums = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
+    blocks = sums.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    asked = cut(sized.join(blocks, "cluster").select(F.col("id").alias("doc_id"), "digest", "sig", "cluster", "blocks"))
+    small = asked.count() <= BROADCAST_IDS
 
     def make():
         shingle = Shingler(words)
 
         def step(cols):
-            made = [(i, s) for i, s, d in ((i, shingle(x or ""), d) for i, x, d in zip(*cols, strict=True)) if digest(s) == d]
-            return [[i for i, _ in made], [s.tobytes() for _, s in made]]
+            made = [(i, g, s, c, b) for i, x, d, g, c, b in zip(*cols, strict=True) if digest(s := shingle(x or "")) == d]
+            return [[m[0] for m in made], [m[1] for m in made], [m[2].tobytes() for m in made], [m[3] for m in made], [m[4] for m in made]]
 
         return step
 
-    rows = docs.join(F.broadcast(asked) if small else asked, "doc_id").select("doc_id", "text", "digest")
-    return cut(map_rows(rows, make, "id long, shingles binary"))
-
-
-def cross_pairs(members: DataFrame, reps: DataFrame, limit: int, percent: int) -> DataFrame:
-    """a, b, distance: every pair within the limit of different groups (members: key, slot, id, group), once.
+    rows = docs.join(F.broadcast(asked) if small else asked, "doc_id").select("doc_id", "text", "digest", "sig", "cluster", "blocks")
+    sets = map_rows(rows, make, "id long, sig binary, shingles binary, cluster long, blocks int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("row"), F.greatest(own, j).alias("col"), (own > j).cast("int").alias("group")))
+    tiled = sets.select("cluster", F.explode(tiles).alias("t"), "id", "sig", "shingles").select("cluster", "t.row", "t.col", "t.group", "id", "sig", "shingles")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiled.repartition(n, "cluster", "row", "col").sortWithinPartitions("cluster", "row", "col")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    A pair is taken from the first of its common keys. In a bucket, the members outside its largest group are compared with
-    all others, in tiles of BLOCK by BLOCK, so that no task holds a bucket. Buckets of one group give nothing.
-    """
-    sizes = members.groupBy("key", "group").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    mixed = members.join(buckets.select("key", "all", "most"), "key").withColumns(
-        {"outside": F.col("group") != F.col("most.group"), "rows": blocks(F.col("all") - F.col("most.n")), "cols": blocks(F.col("all"))}
-    )
-    mark = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n)).cast("int")
-    tile = lambda probe, row, col: F.struct(F.lit(probe).alias("probe"), row.alias("row"), col.alias("col"))
-    asks = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: tile(True, mark("rows"), c))).otherwise(F.array().cast("array<struct<probe:boolean,row:int,col:int>>"))
-    answers = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: tile(False, r, mark("cols")))
-    tiled = mixed.select("key", "slot", "id", "group", "outside", F.explode(F.concat(asks, answers)).alias("t")).select("key", "slot", "id", "group", "outside", "t.*")
-    ready = tiled.join(reps.select("id", "sig", "n_shingles"), "id").select("key", "row", "col", "slot", "id", "group", "outside", "probe", "n_shingles", "sig")
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = ready.repartition(n, "key", "row", "col").sortWithinPartitions("key", "row", "col")
-    ways = slots(limit)
-    place = {(k, out): s for s, (k, out, _) in enumerate(ways)}
-    parts = chunks(limit)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
-
-    def compare(rows: list[tuple]) -> list[tuple]:
-        """rows: slot, id, group, outside, probe, n_shingles, sig of one tile."""
-        asked, given = [r for r in rows if r[4]], [r for r in rows if not r[4]]
-        if not asked or not given:
-            return []
-        slot, out = rows[0][0], []
-        sig = np.frombuffer(b"".join(r[6] for r in given), "<u2").reshape(-1, SIZE)
-        ids, groups, sizes = (np.array([r[k] for r in given], np.int64) for k in (1, 2, 5))
-        outside = np.array([r[3] for r in given])
-        for r in asked:
-            fits = (groups != r[2]) & (~outside | (ids > r[1])) & (100 * np.minimum(sizes, r[5]) >= percent * np.maximum(sizes, r[5]))
-            near = np.flatnonzero(fits)
-            if not len(near):
-                continue
-            wrong = sig[near] != np.frombuffer(r[6], "<u2")
-            far = wrong.sum(axis=1)
-            for i in np.flatnonzero(far <= limit):
-                for k, part in enumerate(parts):
-                    bad = [c for c in part if wrong[i, c]]
-                    if len(bad) <= ERRORS:
-                        if place[k, bad[0] if bad else part[0]] == slot:
-                            a, b = sorted((r[1], int(ids[near[i]])))
-                            out.append((a, b, int(far[i])))
-                        break
-        return out
+    def compare(held: list[tuple]) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(h[2], np.uint64) for h in held]
+        sigs = np.frombuffer(b"".join(h[1] for h in held), "<u2").reshape(-1, SIZE)
+        return links_within([h[0] for h in held], [h[3] for h in held], np.array([len(x) for x in sets]), sigs, sets, limit, percent)
 
     def run(batches):
-        held, tile_of, out = [], None, []
+        held, tile, out = [], None, []
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for row in zip(*cols, strict=True):
-                if row[:3] != tile_of:
-                    out += compare(held)
-                    held, tile_of = [], row[:3]
-                held.append(row[3:])
+            for k in range(batch.num_rows):
+                at = tuple(batch.column(c)[k].as_py() for c in range(3))
+                if at != tile:
+                    out += compare(held) if len(held) > 1 else []
+                    held, tile = [], at
+                held.append((batch.column(4)[k].as_py(), batch.column(5)[k].as_py(), batch.column(6)[k].as_py(), batch.column(3)[k].as_py()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], schema=schema)
                 out = []
-        if out := compare(held):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        if len(held) > 1 and (out := compare(held)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], schema=schema)
 
-    return dealt.mapInArrow(run, "a long, b long, distance int")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -242,8 +209,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Rows of equal sets are one class, which its smallest doc_id stands for; only classes are compared. Signatures within a
     distance that all but MISS of the pairs at the similarity have are guaranteed to meet in a bucket: a chunk of the
-    signature with one component left out. First every class is compared with the nearest of those that its buckets name;
-    then all pairs that are still in different groups, so a crowd of near copies isn't compared pair by pair. Every link is
+    signature with one component left out. Classes that buckets connect are a cluster; within it all pairs within the
+    distance that aren't connected yet are compared, and links are
     confirmed on full sets. A text without words (or null) is alone, also beside others. A null doc_id is a member of its class,
     with a null component and kept only if the class has no other id. Rows of the same doc_id are one document.
     """
@@ -255,24 +222,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = cut(slim.where("digest is not null").groupBy("digest", "sig", "n_shingles").agg(F.min("doc_id").alias("id")).where("id is not null"))
 
     keys = [F.xxhash64(F.lit(s), F.concat(*[F.substring("sig", 2 * c + 1, 2) for c in same])) for s, (_, _, same) in enumerate(slots(limit))]
-    entries = reps.select("id", F.posexplode(F.array(*keys)).alias("slot", "key"))
-    hubs = entries.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("hub")).where("n > 1").select("key", "hub")
-    members = cut(entries.join(hubs, "key").select("key", "slot", "id", "hub"))
-
-    stars = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))  # over SIZE rows at most: a row for each bucket
-    nearest = within(stars, reps, limit, percent).withColumn("rank", rank).where(F.col("rank") <= FIRST)
-    first = cut(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = sets_of(docs, reps, ids(first), words)
-    linked = components(confirmed(first, sets, percent))
-
-    grouped = members.select("key", "slot", "id").join(linked.select(F.col("u").alias("id"), F.col("v").alias("_root")), "id", "left")
-    rest = cut(cross_pairs(grouped.select("key", "slot", "id", F.coalesce("_root", "id").alias("group")), reps, limit, percent))
-    more = ids(rest).join(sets.select("id"), "id", "left_anti")
-    all_sets = sets.unionByName(sets_of(docs, reps, more, words))
-    final = components(linked.unionByName(confirmed(rest, all_sets, percent)))
+    entries = reps.select("id", F.explode(F.array(*keys)).alias("key"))
+    hubs = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("key", "hub")
+    stars = entries.join(hubs, "key").where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    candidates = components(stars)
+    clusters = candidates.select(F.col("u").alias("id"), F.col("v").alias("cluster")).unionByName(candidates.select(F.col("v").alias("id"), F.col("v").alias("cluster")).distinct())
+    final = components(confirmed_links(docs, reps, clusters, words, limit, percent))
 
     named = reps.join(final.select(F.col("u").alias("id"), "v"), "id", "left").select("digest", F.coalesce("v", "id").alias("component_id"))
     full = slim.where("digest is not null").join(named, "digest", "left").select("doc_id", "n_shingles", "component_id")
