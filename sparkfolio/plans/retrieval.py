@@ -131,3 +131,60 @@ def group_citations(c: Corpus) -> DataFrame:
 @query()
 def embed_documents(c: Corpus) -> DataFrame:
     return R.embed(c.table("benchmark"), "text").select("item_id", "embedding")
+
+
+def _artifacts(c: Corpus) -> DataFrame:
+    """A gap report and a landscape for each source, as JSON payloads."""
+    d = c.table("documents").select("source", "doc_id", F.substring("text", 1, 30).alias("t")).where("doc_id % 5 = 0")
+    gap = d.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.col("t").alias("title"), F.lit("d").alias("description")))).alias("gaps"))
+    land = c.table("documents").groupBy("source", F.col("lang").alias("name")).agg(F.count("*").alias("count")).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("name", "count"))).alias("datasets"))
+    one = gap.select(F.col("source").alias("id"), F.lit("research_gap_report").alias("artifact_type"), F.to_json(F.struct("gaps")).alias("payload"))
+    return one.unionByName(land.select(F.col("source").alias("id"), F.lit("research_landscape").alias("artifact_type"), F.to_json(F.struct("datasets")).alias("payload")))
+
+
+@query("""WITH g AS (SELECT source AS id, 'Gap Report' AS source, 'Research Gaps' AS label, string_agg(left(text, 30) || ': d', chr(10) ORDER BY doc_id) AS content FROM (SELECT * FROM documents WHERE doc_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 15) GROUP BY 1),
+  l AS (SELECT id, 'Landscape' AS source, 'Datasets' AS label, string_agg(lang, chr(10) ORDER BY lang) AS content FROM (SELECT DISTINCT source AS id, lang FROM documents) GROUP BY 1)
+  SELECT id, source, label, md5(content) AS content FROM g UNION ALL SELECT id, source, label, md5(content) FROM l""")
+def artifact_sections(c: Corpus) -> DataFrame:
+    from ..operators.sections import sections
+
+    return sections(_artifacts(c)).withColumn("content", F.md5(F.col("content").cast("binary")))
+
+
+@query()
+def retrieve_by_keywords(c: Corpus) -> DataFrame:
+    from ..operators.sections import keyword_retrieval
+
+    return keyword_retrieval(_sections(c).drop("query_id", "score"), {"keywords": ["the", "of"], "bigrams": [], "phrases": []})
+
+
+@query()
+def retrieve_semantically(c: Corpus) -> DataFrame:
+    from ..operators.sections import semantic_retrieval
+
+    chunks = R.embed(_sections(c).drop("query_id", "score"), "content", 64)
+    return semantic_retrieval(chunks, [1.0] + [0.5] * 63, {"keywords": ["the"]}, "dataset_comparison")
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE event_type IN ('view', 'click') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def active_executions(c: Corpus) -> DataFrame:
+    from ..operators.sections import with_active
+
+    e = c.table("events").select("user_id", "event_type")
+    items = e.where("event_type in ('view', 'click')").select("user_id").distinct()
+    return with_active(items, e.select("user_id", F.when(F.col("event_type") == "error", "running").otherwise("done").alias("status")), "user_id")
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN 'failed' END AS reason, count(*) AS n FROM events GROUP BY 1")
+def extraction_statistics(c: Corpus) -> DataFrame:
+    from ..operators.sections import batch_statistics
+
+    return batch_statistics(c.table("events").select(F.when(F.col("event_type") == "error", "failed").alias("reason")))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND contains(lower(o_orderpriority), 'urgent')")
+def filter_investigations(c: Corpus) -> DataFrame:
+    from ..operators.sections import filtered_list
+
+    o = c.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    return filtered_list(o, "F", "URGENT", ["o_orderpriority"]).select("id")
