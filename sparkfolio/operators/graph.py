@@ -134,3 +134,20 @@ def similarity(bridge: DataFrame, least: float = 0.1) -> DataFrame:
     both = pair_counts(bridge)
     j = both.join(sizes.withColumnsRenamed({"name": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"name": "b", "n": "nb"}), "b")
     return j.select("a", "b", (F.col("weight") / (F.col("na") + F.col("nb") - F.col("weight"))).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def built(records: DataFrame, more_aliases: list[tuple[str, str, str]] = ()) -> DataFrame:
+    """paper_id, type, name, distinct, from raw mentions (paper_id, type, name): what the graph's nodes are made of.
+
+    Entities are resolved to canonical names, then stemmed; domains and techniques ("technique", which become methodologies) are
+    stemmed, then resolved, so that one method may make two nodes. Authors are resolved only. Empty names are left out.
+    """
+    from ..functions.aliases import GRAPH, resolved
+    from ..functions.text import normalized_term
+
+    late = F.col("type").isin("technique", "domain")
+    kind = F.when(F.col("type") == "technique", "methodology").otherwise(F.col("type"))
+    rows = records.select("paper_id", kind.alias("kind"), late.alias("_late"), F.when(late, normalized_term(F.col("name"))).otherwise(F.col("name")).alias("_name"))
+    named = resolved(rows, "kind", "_name", GRAPH, more_aliases)
+    name = F.when(F.col("_late") | (F.col("kind") == "author"), F.col("resolved")).otherwise(normalized_term(F.col("resolved")))
+    return named.select("paper_id", F.col("kind").alias("type"), name.alias("name")).where(F.coalesce("name", F.lit("")) != "").distinct()

@@ -329,7 +329,7 @@ def citation_found(title: Column, context: Column) -> Column:
     return F.coalesce((t != "") & (F.contains(c, t) | ((bare != "") & (F.contains(c, bare) | F.contains(cleared, bare))) | enough), F.lit(False))
 
 
-def confidence(sections: Column | None, positive: Column, total: Column, chars: Column, max_chars: int, examined: Column, kept: Column, mean_score: Column, model: Column) -> Column:
+def confidence(positive: Column, total: Column, chars: Column, max_chars: int, examined: Column, kept: Column, mean_score: Column, model: Column) -> Column:
     """0 to 1 from the share of useful sections, context size, checked citations, scores and the model's own confidence; 0.1 without sections."""
     ratio = F.when(examined > 0, kept / examined).otherwise(1.0)
     score = 0.25 * positive / total + 0.10 * F.least(chars / max_chars, F.lit(1.0)) + 0.15 * ratio + 0.05 * kept / (kept + 3) + 0.15 * F.least(mean_score / 100, F.lit(1.0)) + 0.30 * F.greatest(F.least(model, F.lit(1.0)), F.lit(0.0))

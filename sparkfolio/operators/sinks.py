@@ -59,3 +59,9 @@ def stored_chunks(chunks: DataFrame, embeddings: DataFrame, version: int) -> Dat
     both = chunks.join(embeddings, "chunk_index", "full")
     gap = both.where(F.col("content").isNull() | F.col("embedding").isNull()).limit(1).select(F.lit(1).alias("_gap"))
     return both.join(F.broadcast(gap), F.lit(True), "left_anti").withColumn("artifact_version", F.lit(version))
+
+
+def latest_of_format(artifacts: DataFrame, artifact_type: str, form: str) -> DataFrame:
+    """One row at most: payload of the newest artifact of a type whose payload's format is the one asked for."""
+    fits = artifacts.where((F.col("artifact_type") == artifact_type) & (F.get_json_object("payload", "$.format") == form))
+    return fits.orderBy(F.desc("created_at"), F.desc("id")).limit(1)

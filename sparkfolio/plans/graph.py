@@ -211,3 +211,20 @@ def graph_layout(c: Corpus) -> DataFrame:
   SELECT a, b, round(w / (s1.n + s2.n - w), 4) AS jaccard FROM p JOIN s s1 ON s1.name = a JOIN s s2 ON s2.name = b WHERE w / (s1.n + s2.n - w) >= 0.1"""))
 def entity_similarity(c: Corpus) -> DataFrame:
     return graph.similarity(c.methodologies()).withColumn("jaccard", F.round("jaccard", 4))
+
+
+@query("""WITH m AS (SELECT p_partkey AS paper_id, 'methodology' AS type, p_type AS name FROM part UNION ALL SELECT p_partkey, 'domain', p_name FROM part UNION ALL SELECT p_partkey, 'methodology', 'transformers' FROM part)
+  SELECT DISTINCT paper_id, type, CASE WHEN name = 'transformers' THEN 'transformer' ELSE trim(regexp_replace(regexp_replace(lower(name), '[^\\w\\s-]', ' ', 'g'), '(ing|tion|ions|s|es|ed|ment|ments|al)$', '')) END AS name FROM m""")
+def graph_build(c: Corpus) -> DataFrame:
+    p = c.table("part").select(F.col("p_partkey").alias("paper_id"), "p_type", "p_name")
+    raw = p.select("paper_id", F.lit("methodology").alias("type"), F.col("p_type").alias("name")).unionByName(p.select("paper_id", F.lit("domain").alias("type"), F.col("p_name").alias("name")))
+    return graph.built(raw.unionByName(p.select("paper_id", F.lit("methodology").alias("type"), F.lit(" Transformers ").alias("name"))))
+
+
+@query(sql("papers institutions", """WITH y AS (SELECT name, year, count(*) AS papers FROM institutions JOIN papers USING (paper_id) GROUP BY 1, 2), s AS (SELECT *, lag(papers) OVER (PARTITION BY name ORDER BY year) AS b, row_number() OVER (PARTITION BY name ORDER BY year DESC) AS k FROM y)
+  SELECT name, year AS last_year, papers, round(coalesce((papers - b) / greatest(b, 1), 0), 4) AS growth FROM s WHERE k = 1"""))
+def institution_trends(c: Corpus) -> DataFrame:
+    counts = graph.yearly(c.institutions(), c.papers())
+    last = counts.groupBy("name").agg(F.max_by("papers", "year").alias("papers"))
+    g = graph.growth(counts, ["name"], floor_previous=True)
+    return g.join(last, "name").select("name", "last_year", "papers", F.round("growth", 4).alias("growth"))

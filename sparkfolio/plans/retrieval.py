@@ -114,7 +114,7 @@ def calibrate_confidence(c: Corpus) -> DataFrame:
         F.count("*").alias("total"), F.count_if(k % 3 > 0).alias("positive"), F.sum("n_chars").alias("chars"), F.count_if(k % 2 == 0).alias("examined"), F.count_if(k % 4 == 0).alias("kept"), F.avg(k % 100).alias("m")
     )
     col = F.col
-    return a.select("source", R.confidence(None, col("positive"), col("total"), col("chars"), 28000, col("examined"), col("kept"), col("m"), F.lit(0.8)).alias("confidence"))
+    return a.select("source", R.confidence(col("positive"), col("total"), col("chars"), 28000, col("examined"), col("kept"), col("m"), F.lit(0.8)).alias("confidence"))
 
 
 @query("SELECT conv_id, md5(string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || left(text, 2000), chr(10) ORDER BY turn)) AS history FROM conversations GROUP BY 1")

@@ -171,6 +171,18 @@ def test_logs(spark):
     assert one(spark, F.map_entries(logs.merged_metadata(F.expr("map('a', 1, 'b', 2)"), F.expr("map('b', 3)"))))[1].value == 3
 
 
+def test_unicode_and_builder(spark):
+    from sparkfolio.functions.unicode import nfkc, strip_accents
+
+    df = spark.createDataFrame([("École",), ("plain",), (None,)], "t string")
+    assert [r.x for r in df.select(strip_accents(F.col("t")).alias("x")).collect()] == ["Ecole", "plain", None]
+    assert one(spark, nfkc(F.lit("ﬁne"))) == "fine"
+    raw = spark.createDataFrame([(1, "methodology", "RL"), (1, "technique", "Transformers"), (1, "domain", "Computer Vision"), (1, "author", " Jane "), (1, "dataset", None)], "paper_id int, type string, name string")
+    assert rows(graph.built(raw)) == [(1, "author", "Jane"), (1, "domain", "computer vision"), (1, "methodology", "Transformer"), (1, "methodology", "reinforcement learn")]
+    a = spark.createDataFrame([(1, "landscape", "2024-01-01", '{"format": "json"}'), (2, "landscape", "2024-01-02", '{"format": "json"}'), (3, "landscape", "2024-01-03", '{"format": "markdown"}')], "id int, artifact_type string, created_at string, payload string")
+    assert sinks.latest_of_format(a, "landscape", "json").first().id == 2
+
+
 def test_json_repair(spark):
     cases = {'```json\n{"a": 1}\n```': '{"a":1}', 'Sure: {"a": {"b": "}"}} ok': '{"a":{"b":"}"}}', "[1, 2]": "[1,2]", "no json": None, "": None, '{"a": "\\"}"}': '{"a":"\\"}"}'}
     assert {k: json_repair.repaired(k) for k in cases} == cases
