@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -105,7 +106,7 @@ def page_of(record_id: str | None):
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
-    """Writes a record for every row of pages (page_id, url, html) into .warc text files under folder.
+    """Writes a record for every row of pages (page_id, url, html) into archive files under folder, compressed by gzip.
 
     A null html is an empty payload. Of rows with equal payloads of at least REVISIT_BYTES bytes, those with the smallest
     page_id are responses, the others revisits; null ids sort last. The smallest ids are found by a grouped minimum (combined
@@ -129,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(records(page_id, url, raw, sha, first), pa.binary())], schema=schema)
 
     made = joined.select("page_id", "url", "payload", "digest", refers.alias("first")).mapInArrow(merged(run), "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS).option("lineSep", "\n").text(folder)
+    made.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS).option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
 def merged(run, rows: int = 256, size: int = 8 << 20):
@@ -170,7 +171,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 out = []
-                for fields, block in parsed(batch.column(0)[i].as_py()):
+                for fields, block in parsed(gzip.decompress(batch.column(0)[i].as_py())):
                     kind, own = fields.get("warc-type"), fields.get("warc-record-id")
                     if kind == "continuation" or "warc-segment-number" in fields:
                         origin = fields.get("warc-segment-origin-id", own)
