@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, map_rows, ship
+from .runtime import map_rows, ship, table
 
 #: Buckets of a digest; each holds a quartile code of two bits.
 BUCKETS = 1024
@@ -129,7 +129,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             out.append((before[0], *[None] * 6, part, first, before[1]))
             yield flush()
 
-    done = cut(ranged.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, range long, first string, last string"))
+    done = table(ranged.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, range long, first string, last string"))
     names = [c for c, _ in FIELDS]
     ends = done.where("range is not null").select("doc_id", "range", "first", "last")
     order = [r["range"] for r in ends.select("range").orderBy("range").collect()]  # a number for each range
