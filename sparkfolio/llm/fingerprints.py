@@ -9,10 +9,10 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import map_rows, ship, table
+from .runtime import map_rows, ship
 
 #: Buckets of a digest; each holds a quartile code of two bits.
 BUCKETS = 1024
@@ -94,7 +94,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     The next document is the next row by (doc_id, text), after the last the first; null ids come first, null texts count as
     empty, repeated rows follow one another. Rows are dealt by ranges of (doc_id, hash of the text) and sorted, once; a task
-    streams through its range and gives its first and last document apart. These, two for each range at most, are then
+    streams through its range. The ranges' first and last documents, a row for each range, come from the same shuffle and are
     matched up among themselves: the only rows that meet beyond a range.
     """
     spark = docs.sparkSession
@@ -103,11 +103,11 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     ordered = rows.withColumn("_h", F.crc32(F.col("text").cast("binary")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = ordered.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
-    arrow = pa.schema([*FIELDS, ("range", pa.int64()), ("first", pa.string()), ("last", pa.string())])
+    arrow, ends_arrow = pa.schema(FIELDS), pa.schema([("doc_id", pa.int64()), ("range", pa.int64()), ("first", pa.string()), ("last", pa.string())])
 
-    def run(batches):
-        part = TaskContext.get().partitionId()
-        before, first, out = None, None, []
+    def inside(batches):
+        """Every row of a range that has a next one there."""
+        before, out = None, []
 
         def flush():
             made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
@@ -118,24 +118,30 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 doc_id, text = doc_id.as_py(), text.as_py()
                 own = codes_of(text.encode("utf-8", "replace"))
-                if before is None:
-                    first = text
-                else:
-                    out.append((*compared(*before, text, own), None, None, None))
+                if before is not None:
+                    out.append(compared(*before, text, own))
                     if len(out) >= 1000:
                         yield flush()
                 before = (doc_id, text, own)
-        if before is not None:
-            out.append((before[0], *[None] * 6, part, first, before[1]))
+        if out:
             yield flush()
 
-    done = table(ranged.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, range long, first string, last string"))
-    names = [c for c, _ in FIELDS]
-    ends = done.where("range is not null").select("doc_id", "range", "first", "last")
-    order = [r["range"] for r in ends.select("range").orderBy("range").collect()]  # a number for each range
-    after = spark.createDataFrame([(a, order[(k + 1) % len(order)]) for k, a in enumerate(order)], "range long, following long")
-    nexts = ends.select(F.col("range").alias("following"), F.col("first").alias("_next"))
-    pairs = ends.join(after, "range").join(nexts, "following").select("doc_id", "last", "_next")
+    def at_ends(batches):
+        """A row for each range: its last doc_id, its number, its first and last text."""
+        first = last = None
+        for batch in batches:
+            if batch.num_rows:
+                first = batch.column(1)[0].as_py() if last is None else first
+                last = (batch.column(0)[batch.num_rows - 1].as_py(), batch.column(1)[batch.num_rows - 1].as_py())
+        if last is not None:
+            row = (last[0], TaskContext.get().partitionId(), first, last[1])
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, ends_arrow.types, strict=True)], schema=ends_arrow)
+
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    ends = ranged.mapInArrow(at_ends, "doc_id long, range long, first string, last string")
+    by_range = Window.orderBy("range")  # a row for each shuffle partition
+    whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = ends.select("doc_id", "last", F.coalesce(F.lead("first").over(by_range), F.first("first").over(whole)).alias("_next"))
 
     def step(cols):
         made = []
@@ -143,5 +149,4 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             made.append(compared(doc_id, text, codes_of(text.encode("utf-8", "replace")), following, codes_of(following.encode("utf-8", "replace"))))
         return list(zip(*made, strict=True))
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return done.where("range is null").select(*names).unionByName(map_rows(pairs, lambda: step, schema))
+    return ranged.mapInArrow(inside, schema).unionByName(map_rows(pairs, lambda: step, schema))
