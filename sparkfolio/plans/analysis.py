@@ -96,8 +96,10 @@ def _lines(c: Corpus) -> DataFrame:
 
 
 def _unanswered(c: Corpus, rule: str, scale: int) -> DataFrame:
+    """Phrases are all lines of documents; answers are all items of the benchmark, which name no source and so answer in each."""
     lines = _lines(c)
-    return gaps.unanswered(lines.where(F.length("term") >= 15).where("doc_id % 2 = 0"), lines.where("doc_id % 2 = 1").withColumnRenamed("term", "text"), rule, scale=scale)
+    answers = lines.select("investigation_id").distinct().crossJoin(c.table("benchmark").select("text"))
+    return gaps.unanswered(lines, answers, rule, scale=scale)
 
 
 _UNANSWERED = """{lines}, o AS (SELECT investigation_id, term AS subject, count(*) AS n FROM (SELECT * FROM l WHERE doc_id % 2 = 0 AND length(term) >= 15) GROUP BY ALL HAVING n >= 3),
@@ -119,8 +121,7 @@ def gap_limitations(c: Corpus) -> DataFrame:
   g AS (SELECT investigation_id, method AS subject, count(*) AS n FROM h GROUP BY ALL HAVING count(*) >= 6 AND avg(hit::INT) >= 0.8 AND len(list_distinct(flatten(list(m)))) <= 2) {_OUT.format(rule='evaluation_gap', scale=10, cap=0.95, limit=3)}""")
 def gap_evaluation(c: Corpus) -> DataFrame:
     d = c.table("documents")
-    text = F.when(F.col("doc_id") % 10 < 9, F.concat(F.lit("accuracy and "), F.substring("text", 1, 5))).otherwise(F.substring("text", 1, 5))
-    return gaps.evaluation_gap(d.select(F.col("lang").alias("investigation_id"), F.col("source").alias("method"), text.alias("text")))
+    return gaps.evaluation_gap(d.select(F.col("lang").alias("investigation_id"), F.col("source").alias("method"), "text"))
 
 
 @query(sql(_V, "WITH " + ", ".join(f"g_{k} AS ({v})" for k, v in ((k, f"SELECT * FROM ({v})") for k, v in _SQL.items())) + ", a AS (" + " UNION ALL ".join(f"SELECT * FROM g_{k}" for k in _SQL) + ") SELECT rule, count(*) AS gaps, count_if(severity = 'high')::BIGINT AS high, count_if(confidence >= 0.7)::BIGINT AS confident FROM a GROUP BY 1"))
