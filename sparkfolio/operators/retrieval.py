@@ -184,8 +184,9 @@ def occurrences(text: Column, term: Column) -> Column:
 
 def keyword_score(question: dict[str, list[str]], content: Column, label: Column) -> Column:
     """Points of a section for an analysed question (lists keywords, bigrams, phrases and signals by kind): words 10, bigrams 15, phrases 100,
-    label or its aliases 30, signals 12 (words as ASCII letters bound them), and 20 for each gap signal that the question has."""
-    text, name = F.lower(content), F.lower(label)
+    label or its aliases 30, signals 12 (words as ASCII letters bound them), and 20 for each gap signal that the question has. A null content
+    or label has no points of its own."""
+    text, name = F.lower(F.coalesce(content, F.lit(""))), F.lower(F.coalesce(label, F.lit("")))
     score = F.lit(0.0)
     for k in question.get("keywords", []):
         score += 10.0 * F.regexp_count(text, F.lit(rf"(?<!\w)\Q{k}\E(?!\w)"))

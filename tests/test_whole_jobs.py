@@ -40,3 +40,17 @@ def test_unanswered_takes_every_line_and_every_answer(run, query):
     odd = ([(2 * k + 1, "Odd ones\nshort\nan answered phrase", "en", "s", 1) for k in range(3)], DOCUMENTS)
     answers = ([(0, "nothing"), (1, "here is An Answered Phrase indeed")], BENCHMARK)
     assert [(r[0], r[2], r[3]) for r in rows(run(query, documents=odd, benchmark=answers))] == [("s", "odd ones", 3), ("s", "short", 3)]
+
+
+def test_keyword_scores_every_document(run):
+    import re
+
+    texts = [("The end of the thonan", "en"), ("die the", "de"), ("que pasa, que", "es"), ("le que", None), ("İİ the of the er", "en"), ("x", "the"), ("", "en")]
+    data = [(k, t, lang, "s", len(t)) for k, (t, lang) in enumerate(texts)]
+
+    def brute(text, lang):
+        t = text.lower()
+        words = len(re.findall(r"\b(?:the|que)\b", t, re.ASCII))
+        return 10.0 * words + 15.0 * t.count("of the") + 100.0 * ("thonan" in t) + 30.0 * ((lang or "").lower() == "the") + 12.0 * ("er" in t) + 20.0
+
+    assert rows(run("keyword_scores", documents=(data, DOCUMENTS))) == [(k, brute(t, lang)) for k, (t, lang) in enumerate(texts)]
