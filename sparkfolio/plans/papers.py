@@ -93,8 +93,9 @@ _CITED = "CASE WHEN citations > 0 AND m > 0 THEN ln(1 + citations) / ln(1 + m) E
     + 0.2 * CASE source WHEN 'semantic_scholar' THEN 1.0 WHEN 'openalex' THEN 0.9 WHEN 'arxiv' THEN 0.7 ELSE 0.5 END) AS raw FROM r)
   SELECT pos, round(raw, 2)::DOUBLE AS score FROM s ORDER BY round(raw, 6) DESC, pos LIMIT 50"""))
 def rank_papers(c: Corpus) -> DataFrame:
-    ranked = ranking.rank(c.raw_papers(), YEAR)
-    return ranked.orderBy(F.round("raw_score", 6).desc(), "pos").limit(50).select("pos", "score")  # a result list's length
+    _shared(c)
+    ranked = ranking.rank(c.raw_papers(), YEAR).select("pos", "score", F.round("raw_score", 6).alias("_r"))
+    return ranking.numbered(ranked, [F.desc("_r"), F.col("pos")], "rank").select("pos", "score", "rank")
 
 
 @query(sql("raw_papers", f"WITH r AS (SELECT *, max(citations) OVER () AS m FROM raw_papers) SELECT pos, round(0.25 + 0.3 * {_CITED} + 0.2 * {_RECENCY}, 4)::DOUBLE AS score FROM r"))
@@ -114,10 +115,12 @@ def filter_papers(c: Corpus) -> DataFrame:
 
 @query(sql("raw_papers", "(SELECT 'newest' AS mode, pos FROM raw_papers ORDER BY year DESC NULLS LAST, pos LIMIT 20) UNION ALL (SELECT 'oldest', pos FROM raw_papers ORDER BY year NULLS LAST, pos LIMIT 20) UNION ALL (SELECT 'most_cited', pos FROM raw_papers ORDER BY coalesce(citations, 0) DESC, pos LIMIT 20)"))
 def sort_papers(c: Corpus) -> DataFrame:
+    _shared(c)
     out = None
-    for mode in ("newest", "oldest", "most_cited"):
-        top = c.raw_papers().orderBy(*ranking.sort_order(mode)).limit(20).select(F.lit(mode).alias("mode"), "pos")
-        out = top if out is None else out.unionByName(top)
+    for mode in ranking.SORT_MODES:
+        numbered = ranking.numbered(c.raw_papers().select("pos", "title", "year", "citations"), ranking.sort_order(mode), "position")
+        part = numbered.select(F.lit(mode).alias("mode"), "pos", "position")
+        out = part if out is None else out.unionByName(part)
     return out
 
 

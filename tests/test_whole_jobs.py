@@ -54,3 +54,25 @@ def test_keyword_scores_every_document(run):
         return 10.0 * words + 15.0 * t.count("of the") + 100.0 * ("thonan" in t) + 30.0 * ((lang or "").lower() == "the") + 12.0 * ("er" in t) + 20.0
 
     assert rows(run("keyword_scores", documents=(data, DOCUMENTS))) == [(k, brute(t, lang)) for k, (t, lang) in enumerate(texts)]
+
+
+def test_rank_and_sort_every_paper(run):
+    """Sixty papers and more, in an order that a plain sort gives."""
+    names = ["apple", "Banana", "cherry", "Apple", "date"]
+    docs = ([(k, f"{names[k % 5]}\nabstract", "en", "s", 1) for k in range(130)], DOCUMENTS)
+    ranked = sorted(run("rank_papers", documents=docs).collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in ranked] == list(range(1, 131)) and {r.pos for r in ranked} == set(range(130))
+    assert all(a.score >= b.score for a, b in zip(ranked, ranked[1:]))
+    got = {}
+    for r in run("sort_papers", documents=docs).collect():
+        got.setdefault(r.mode, {})[r.position] = r.pos
+    assert all(sorted(places) == list(range(1, 131)) for places in got.values())
+    order = {mode: [places[k] for k in range(1, 131)] for mode, places in got.items()}
+    year, cited = lambda k: 1890 + k % 140, lambda k: k % 97 - 3
+    title = {"apple": 0, "Apple": 1, "Banana": 2, "cherry": 3, "date": 4}
+    assert order == {
+        "newest": sorted(range(130), key=lambda k: (-year(k), k)),
+        "oldest": sorted(range(130), key=lambda k: (year(k), k)),
+        "most_cited": sorted(range(130), key=lambda k: (-cited(k), k)),
+        "alphabetical": sorted(range(130), key=lambda k: (title[names[k % 5]], k)),
+    }
