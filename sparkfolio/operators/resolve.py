@@ -20,19 +20,26 @@ def match_keys(papers: DataFrame) -> DataFrame:
     return papers.select("pos", F.array_compact(F.array(*keys)).alias("keys"))
 
 
-def transitive_groups(papers: DataFrame, rounds: int = 20) -> DataFrame:
-    """pos, group: papers connected through any keys, named by their smallest pos. For any size: smallest labels spread along keys
-    by grouped minima until nothing changes. Chains of matches join here, unlike in greedy_groups()."""
-    edges = match_keys(papers).select("pos", F.explode("keys").alias("key"))
-    labels = papers.select("pos", F.col("pos").alias("group"))
-    for _ in range(rounds):
-        by_key = edges.join(labels, "pos").groupBy("key").agg(F.min("group").alias("m"))
-        better = edges.join(by_key, "key").groupBy("pos").agg(F.min("m").alias("m"))
-        new = labels.join(better, "pos", "left").select("pos", F.least("group", F.coalesce("m", "group")).alias("group"), (F.col("m") < F.col("group")).alias("moved")).checkpoint()
-        labels = new.select("pos", "group")
-        if not new.where("moved").head(1):
+def transitive_groups(papers: DataFrame) -> DataFrame:
+    """pos, group: papers connected through any keys, named by their smallest pos. For any size and any length of chain: each paper
+    hangs on the first one of each key, then large-star and small-star steps (grouped minima and joins with them) go on until every
+    paper hangs on its group's smallest alone; steps grow with the logarithm of the length. Chains of matches join here, unlike in
+    greedy_groups()."""
+    keyed = match_keys(papers).select("pos", F.explode("keys").alias("key"))
+    first = keyed.groupBy("key").agg(F.min("pos").alias("v"))
+    e = keyed.join(first, "key").select(F.col("pos").alias("u"), "v").where("u <> v").distinct().checkpoint()
+    while True:
+        several = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+        deep = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u", F.lit(1).cast("long").alias("n")).limit(1)
+        if not several.unionByName(deep).head(1):
             break
-    return labels
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+    return papers.select("pos").join(e, F.col("pos") == F.col("u"), "left").select("pos", F.coalesce("v", "pos").alias("group"))
 
 
 def _first_wins(pdf: pd.DataFrame, merge: bool) -> pd.DataFrame:

@@ -76,3 +76,21 @@ def test_rank_and_sort_every_paper(run):
         "most_cited": sorted(range(130), key=lambda k: (-cited(k), k)),
         "alphabetical": sorted(range(130), key=lambda k: (title[names[k % 5]], k)),
     }
+
+
+def test_transitive_groups_follow_long_chains(spark):
+    """Each paper shares its DOI with the one before and its URL with the one after, or the other way round; ids are mixed."""
+    from sparkfolio.operators import resolve
+
+    n = 60
+    at = {k: k * 37 % n for k in range(n)}  # place in the chain -> pos
+    data = [(at[k], f"title {k}", f"10.1/{k // 2}", f"http://h/{(k + 1) // 2}") for k in range(n)] + [(n, "alone", None, None)]
+    papers = spark.createDataFrame(data, "pos long, title string, doi string, url string")
+    assert rows(resolve.transitive_groups(papers)) == sorted([(k, 0) for k in range(n)] + [(n, n)], key=repr)
+    kept, owner = [], set()
+    keys = {p: {f"t{t}", *([f"d{d}", f"u{u}"] if d else [])} for p, t, d, u in data}
+    for p in sorted(keys):
+        if not keys[p] & owner:
+            kept.append(p)
+            owner |= keys[p]
+    assert sorted(r.pos for r in resolve.greedy_groups(papers).where("pos = group").collect()) == kept
