@@ -130,7 +130,15 @@ def group_citations(c: Corpus) -> DataFrame:
 
 @query()
 def embed_documents(c: Corpus) -> DataFrame:
-    return R.embed(c.table("benchmark"), "text").select("item_id", "embedding")
+    chunks = R.chunked(c.table("documents"), "doc_id", "text")
+    return R.embed(chunks, "content").select("doc_id", "chunk_index", "embedding")
+
+
+def _document_chunks(c: Corpus) -> DataFrame:
+    """source, label (a document's first line), pos and content of all chunks of documents. pos numbers documents, then chunks: a
+    string has fewer than 2^22 of these."""
+    d = c.table("documents").select(F.struct("doc_id", "source", F.substring_index("text", "\n", 1).alias("label")).alias("of"), "text")
+    return R.chunked(d, "of", "text").select("of.source", "of.label", (F.shiftleft(F.col("of.doc_id").cast("long"), 22) + F.col("chunk_index")).alias("pos"), "content")
 
 
 def _artifacts(c: Corpus) -> DataFrame:
@@ -155,14 +163,14 @@ def artifact_sections(c: Corpus) -> DataFrame:
 def retrieve_by_keywords(c: Corpus) -> DataFrame:
     from ..operators.sections import keyword_retrieval
 
-    return keyword_retrieval(_sections(c).drop("query_id", "score"), {"keywords": ["the", "of"], "bigrams": [], "phrases": []})
+    return keyword_retrieval(_document_chunks(c), {"keywords": ["the", "of"], "bigrams": [], "phrases": []})
 
 
 @query()
 def retrieve_semantically(c: Corpus) -> DataFrame:
     from ..operators.sections import semantic_retrieval
 
-    chunks = R.embed(_sections(c).drop("query_id", "score"), "content", 64)
+    chunks = R.embed(_document_chunks(c), "content", 64)
     return semantic_retrieval(chunks, [1.0] + [0.5] * 63, {"keywords": ["the"]}, "dataset_comparison")
 
 

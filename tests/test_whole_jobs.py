@@ -94,3 +94,14 @@ def test_transitive_groups_follow_long_chains(spark):
             kept.append(p)
             owner |= keys[p]
     assert sorted(r.pos for r in resolve.greedy_groups(papers).where("pos = group").collect()) == kept
+
+
+def test_retrievals_run_over_chunks_of_documents(run):
+    texts = ["the of end", "x " * 1000, "Das Ende", "the " + "y" * 1700]
+    got = run("embed_documents", documents=documents(texts)).collect()
+    assert sorted((r.doc_id, r.chunk_index) for r in got) == [(0, 0), (1, 0), (1, 1), (1, 2), (2, 0), (3, 0), (3, 1), (3, 2)]
+    assert {len(r.embedding) for r in got} == {384}
+    found = run("retrieve_by_keywords", documents=documents(texts)).collect()
+    assert [(r.pos >> 22, r.pos & 0x3FFFFF, r.score) for r in sorted(found, key=lambda r: r.pos)] == [(0, 0, 20.0), (3, 0, 10.0)]
+    near = run("retrieve_semantically", documents=documents(texts)).collect()
+    assert {r.pos >> 22 for r in near} <= {0, 1, 2, 3} and len(near) > 1
