@@ -73,8 +73,10 @@ def fuzzy_score(name: Column, query: str) -> Column:
     return ratio(name)
 
 
-def search(entries: DataFrame, query: str, limit: int = 10, fuzzy: bool = False) -> DataFrame:
-    """institution, paper_count, relevance_score of the best names; ties by papers, then name. Blank queries find nothing."""
+def search(entries: DataFrame, query: str, limit: int = 10, fuzzy: bool = True) -> DataFrame:
+    """institution, paper_count, relevance_score of the best names; ties by papers, then name. Blank queries find nothing.
+
+    Names that score nothing otherwise may be similar as sequences, unless fuzzy is off."""
     if not query.strip():
         return entries.select("institution", "paper_count", F.lit(0.0).alias("relevance_score")).limit(0)
     exact = name_score(F.col("institution"), query)

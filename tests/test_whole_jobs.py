@@ -105,3 +105,33 @@ def test_retrievals_run_over_chunks_of_documents(run):
     assert [(r.pos >> 22, r.pos & 0x3FFFFF, r.score) for r in sorted(found, key=lambda r: r.pos)] == [(0, 0, 20.0), (3, 0, 10.0)]
     near = run("retrieve_semantically", documents=documents(texts)).collect()
     assert {r.pos >> 22 for r in near} <= {0, 1, 2, 3} and len(near) > 1
+
+
+def test_institution_search_finds_similar_names(run):
+    """All branches of a name's score by brute force, the last one (a sequence ratio) too."""
+    from difflib import SequenceMatcher
+
+    names = ["NATION_1", "NATION_12", "NATION_2", "NATYON_1", "Natoin 1", "Elsewhere", "The Nation", "nation_1"]
+    supplier = ([(k, f"S{k}", k) for k in range(len(names))], "s_suppkey long, s_name string, s_nationkey long")
+    nation = (list(enumerate(names)), "n_nationkey long, n_name string")
+    lineitem = ([(k, 1, k, "A", "F") for k in range(len(names))], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string")
+
+    def brute(name, q):
+        n, words = name.lower(), name.lower().split()
+        if n == q:
+            return 1.0
+        if n.startswith(q):
+            return 0.9
+        if len(words) >= 2 and "".join(w[0] for w in words if w != "the") == q:
+            return 0.85
+        if q in n:
+            return 0.7
+        hits = sum(any(t in w for w in words) for t in q.split())
+        if hits:
+            return 0.4 * hits / len(q.split())
+        ratio = SequenceMatcher(None, n, q).ratio()
+        return 0.3 * ratio if ratio > 0.6 else 0.0
+
+    want = {(q, n, round(s, 4)) for q in ("nation_1", "nation", "on_2", "ation 7") for n in names if (s := brute(n, q)) > 0}
+    assert ("nation_1", "NATYON_1", 0.2625) in want
+    assert {(r.q, r.institution, r.relevance_score) for r in run("institution_search", supplier=supplier, nation=nation, lineitem=lineitem).collect()} == want
