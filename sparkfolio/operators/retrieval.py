@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from ..functions.words import (
 )
 
 CHUNK, OVERLAP = 800, 80
+SPACE = " \t\n\r\f\v"
 
 
 # -- chunks ---------------------------------------------------------------------------------------------------------------
@@ -330,6 +332,100 @@ def citation_found(title: Column, context: Column) -> Column:
     return F.coalesce((t != "") & (F.contains(c, t) | ((bare != "") & (F.contains(c, bare) | F.contains(cleared, bare))) | enough), F.lit(False))
 
 
+#: Titles whose index a task holds at a time; more are taken in rounds over the documents.
+TITLES = 20_000
+
+
+class _Titles:
+    """Titles by their long words, to find those that citation_found() finds in a context without looking for each."""
+
+    def __init__(self, items: list[tuple]):
+        import numpy as np
+
+        long = re.compile("[a-zA-Z0-9]{4,}").findall
+        self.ids = [k for k, _ in items]
+        self.titles = [(t or "").strip(SPACE).lower() for _, t in items]
+        self.bare = [re.sub(r"\s*\([^)]*\)\s*", "", t, flags=re.ASCII).strip(SPACE) for t in self.titles]
+        self.words: dict[str, int] = {}
+        parts: dict[str, tuple[list, list]] = {"all": ([], []), "title": ([], []), "bare": ([], [])}
+        for i, (t, bare) in enumerate(zip(self.titles, self.bare, strict=True)):
+            for kind, found in (("all", long(t)), ("title", set(long(t))), ("bare", set(long(bare)))):
+                parts[kind][0].extend(self.words.setdefault(w, len(self.words)) for w in found)
+                parts[kind][1].extend([i] * len(found))
+        count = lambda kind: np.bincount(np.array(parts[kind][1], np.int64), minlength=len(items))
+        self.n = {kind: count(kind) for kind in parts}
+        self.need = np.maximum(3, self.n["all"] // 2)
+        self.there = {kind: np.array([x != "" for x in v], bool) for kind, v in (("title", self.titles), ("bare", self.bare))}
+        self.postings = {}
+        for kind, (words, at) in parts.items():
+            w, i = np.array(words, np.int64), np.array(at, np.int64)
+            order = np.argsort(w, kind="stable")
+            self.postings[kind] = np.split(i[order], np.cumsum(np.bincount(w, minlength=len(self.words)))[:-1]) if len(self.words) else []
+        self.lengths = sorted({len(w) for w in self.words})
+        self.cache: dict[str, frozenset] = {}
+
+    def inside(self, run: str) -> frozenset:
+        """The words that are part of a run of letters and digits."""
+        got = self.cache.get(run)
+        if got is None:
+            got = frozenset(self.words[x] for n in self.lengths if n <= len(run) for k in range(len(run) - n + 1) if (x := run[k : k + n]) in self.words)
+            if len(run) <= 64:
+                if len(self.cache) >= 200_000:
+                    self.cache.clear()
+                self.cache[run] = got
+        return got
+
+    def hits(self, kind: str, words: set[int]):
+        import numpy as np
+
+        lists = [self.postings[kind][w] for w in words]
+        return np.bincount(np.concatenate(lists) if lists else np.zeros(0, np.int64), minlength=len(self.ids))
+
+    def found(self, context: str) -> list:
+        c = context.lower()
+        cleared = re.sub(r"\[.*?\]\s*", "", c, flags=re.ASCII) if "[" in c else c
+        words = lambda x: set().union(*map(self.inside, set(re.findall("[a-zA-Z0-9]{4,}", x))))
+        own = words(c)
+        enough = (self.n["all"] > 0) & (self.hits("all", own) >= self.need) & self.there["title"]
+        either = own if cleared is c else own | words(cleared)
+        whole = self.there["title"] & (self.hits("title", own) == self.n["title"])
+        parts = self.there["bare"] & (self.hits("bare", either) == self.n["bare"])
+        for i in ((whole | parts) & ~enough).nonzero()[0]:
+            t, bare = self.titles[i], self.bare[i]
+            enough[i] = t in c or (bare != "" and (bare in c or bare in cleared))
+        return [self.ids[i] for i in enough.nonzero()[0]]
+
+
+def citations(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """item_id, doc_id, found: every document (doc_id, text) in which citation_found() finds an item's title (item_id, title), and a row
+    with a null doc_id, not found, for an item that is in none. Each document is looked up in an index of the titles' words."""
+    import pyarrow as pa
+
+    schema = pa.schema([("_item", pa.int64()), ("doc_id", pa.int64())])
+
+    def finder(titles: list[tuple]):
+        def run(batches):
+            index = _Titles(titles)
+            for batch in batches:
+                out, docs = [], []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    got = index.found(text or "")
+                    out.extend(got)
+                    docs.extend([doc] * len(got))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(docs, pa.int64())], schema=schema)
+
+        return run
+
+    texts = documents.select(F.col("doc_id").cast("long"), "text")
+    rounds = max(1, -(-items.count() // TITLES))
+    pairs = None
+    for k in range(rounds):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).select(F.col("item_id").cast("long"), "title").collect()  # about TITLES rows
+        found = texts.mapInArrow(finder([tuple(r) for r in part]), "_item long, doc_id long")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return items.join(pairs, F.col("item_id") == F.col("_item"), "left").select("item_id", "doc_id", F.col("doc_id").isNotNull().alias("found"))
+
+
 def confidence(positive: Column, total: Column, chars: Column, max_chars: int, examined: Column, kept: Column, mean_score: Column, model: Column) -> Column:
     """0 to 1 from the share of useful sections, context size, checked citations, scores and the model's own confidence; 0.1 without sections."""
     ratio = F.when(examined > 0, kept / examined).otherwise(1.0)

@@ -101,9 +101,7 @@ def classify_questions(c: Corpus) -> DataFrame:
   l AS (SELECT *, regexp_extract_all(t, '([a-zA-Z0-9]{4,})', 1) AS w FROM t), h AS (SELECT *, len(list_filter(w, lambda x: contains(c, x))) AS h FROM l)
   SELECT doc_id, item_id, contains(c, t) OR (len(w) > 0 AND h >= greatest(3, len(w) // 2)) AS found FROM h""")
 def validate_citations(c: Corpus) -> DataFrame:
-    d = c.table("documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    b = c.table("benchmark").select("item_id", F.substring("text", 1, 60).alias("title"))
-    return d.join(b, "item_id").select("doc_id", "item_id", R.citation_found(F.col("title"), F.col("text")).alias("found"))
+    return R.citations(c.table("documents").select("doc_id", "text"), c.table("benchmark").select("item_id", F.col("text").alias("title")))
 
 
 @query("""WITH a AS (SELECT source, count(*) AS total, count_if(doc_id % 3 > 0) AS positive, sum(n_chars) AS chars, count_if(doc_id % 2 = 0) AS examined, count_if(doc_id % 4 = 0) AS kept, avg(doc_id % 100) AS m FROM documents GROUP BY 1)
@@ -142,8 +140,11 @@ def _document_chunks(c: Corpus) -> DataFrame:
 
 
 def _artifacts(c: Corpus) -> DataFrame:
-    """A gap report and a landscape for each source, as JSON payloads."""
-    d = c.table("documents").select("source", "doc_id", F.substring("text", 1, 30).alias("t")).where("doc_id % 5 = 0")
+    """A gap report and a landscape for each source, as JSON payloads. A report has the gaps that its section shows: the first of a source."""
+    from ..operators.graph import top_n
+    from ..operators.sections import GAPS
+
+    d = top_n(c.table("documents").select("source", "doc_id", F.col("text").alias("t")), GAPS, ["source"], [F.col("doc_id")])
     gap = d.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.col("t").alias("title"), F.lit("d").alias("description")))).alias("gaps"))
     land = c.table("documents").groupBy("source", F.col("lang").alias("name")).agg(F.count("*").alias("count")).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("name", "count"))).alias("datasets"))
     one = gap.select(F.col("source").alias("id"), F.lit("research_gap_report").alias("artifact_type"), F.to_json(F.struct("gaps")).alias("payload"))

@@ -135,3 +135,26 @@ def test_institution_search_finds_similar_names(run):
     want = {(q, n, round(s, 4)) for q in ("nation_1", "nation", "on_2", "ation 7") for n in names if (s := brute(n, q)) > 0}
     assert ("nation_1", "NATYON_1", 0.2625) in want
     assert {(r.q, r.institution, r.relevance_score) for r in run("institution_search", supplier=supplier, nation=nation, lineitem=lineitem).collect()} == want
+
+
+def test_citations_check_every_item_in_every_document(spark, run):
+    from pyspark.sql import functions as F
+
+    from sparkfolio.operators import retrieval as R
+
+    titles = ["Deep residual learning for image recognition", "Un", "  Attention (2017) Is All ", "graph (x)", "", "word word word other", "[a] b", "never quoted anywhere else"] + [f"item number{k}" for k in range(8, 50)]
+    texts = ["on deep RESIDUAL learning", "unearned", "we cite attention is all", "attentionis all", "graphs", "so wordy", "atten[1] tionis all", "b", "item number49 and item number8", "", "xx [a] b item [z] number41", "other prose " * 30]
+    docs, bench = documents(texts), (list(enumerate(titles)), BENCHMARK)
+    got = run("validate_citations", documents=docs, benchmark=bench).collect()
+    d, b = spark.createDataFrame(*docs), spark.createDataFrame(*bench)
+    want = {(r.item_id, r.doc_id) for r in d.crossJoin(b.withColumnRenamed("text", "title")).where(R.citation_found(F.col("title"), F.col("text"))).collect()}
+    assert {(r.item_id, r.doc_id) for r in got if r.found} == want and (49, 8) in want
+    assert {r.item_id for r in got if not r.found} == set(range(50)) - {i for i, _ in want}
+
+
+def test_artifact_sections_take_every_document(run):
+    import hashlib
+
+    texts = [f"gap {k} {'long ' * 20}end" for k in range(7)]
+    got = {r.label: r.content for r in run("artifact_sections", documents=documents(texts)).collect()}
+    assert got["Research Gaps"] == hashlib.md5("\n".join(f"{t}: d" for t in texts).encode()).hexdigest()
