@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 FENCE = re.compile(r"```(?:json|JSON)?\s*\n?(.*?)```", re.S)
 
 
@@ -55,6 +57,7 @@ def repaired(text: str | None) -> str | None:
 
 def repair_json(c: Column) -> Column:
     """repaired() as a Column. Brackets need counting, which SQL can't: Arrow batches."""
+    ship()
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def bare(text: str | None) -> str | None:
     """text in NFKD without combining marks."""
@@ -16,6 +18,7 @@ def bare(text: str | None) -> str | None:
 
 def strip_accents(c: Column) -> Column:
     """Plain ASCII passes by; only other strings go through Python."""
+    ship()
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

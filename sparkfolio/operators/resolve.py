@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_title, normalized_url, strip
+from ..shipping import ship
 
 
 def match_keys(papers: DataFrame) -> DataFrame:
@@ -42,30 +43,43 @@ def transitive_groups(papers: DataFrame) -> DataFrame:
     return papers.select("pos").join(e, F.col("pos") == F.col("u"), "left").select("pos", F.coalesce("v", "pos").alias("group"))
 
 
-def _first_wins(pdf: pd.DataFrame, merge: bool) -> pd.DataFrame:
-    """Sequential semantics on one block: only kept rows' keys count for later ones."""
-    owner: dict[str, int] = {}
-    group = []
-    for pos, keys in zip(pdf["pos"], pdf["keys"], strict=True):
-        hits = [owner[k] for k in keys if k in owner]
-        first = min(hits) if hits else pos
+class _FirstWins:
+    """The sequential rule over one block's papers in the order of pos: only kept papers' keys count for later ones."""
+
+    def __init__(self) -> None:
+        self.owner: dict[str, int] = {}
+
+    def group(self, pos: int, keys: list[str]) -> int:
+        hits = [self.owner[k] for k in keys if k in self.owner]
         if not hits:
             for k in keys:
-                owner.setdefault(k, pos)
-        group.append(first)
-    return pd.DataFrame({"pos": pdf["pos"], "group": group})
+                self.owner.setdefault(k, pos)
+        return min(hits, default=pos)
 
 
 def greedy_groups(papers: DataFrame) -> DataFrame:
     """pos, group: papers in the order of pos, each put to the first kept paper with which it shares a key, else kept itself.
 
-    The sequential rule only matters within connected papers, so blocks are the transitive groups: exact, and parallel.
+    The sequential rule only matters within connected papers, so blocks are the transitive groups: exact, and parallel. A
+    block's positions and keys stream through its task in order; what the task holds is the keys of papers that were kept.
     """
+    ship(papers.sparkSession)
     blocks = match_keys(papers).join(transitive_groups(papers), "pos")
     alone = blocks.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    several = blocks.join(alone, "group", "left_semi")
-    run = lambda pdf: _first_wins(pdf.sort_values("pos"), True)
-    grouped = several.groupBy("group").applyInPandas(run, "pos long, group long")
+    several = blocks.join(alone, "group", "left_semi").select("group", "pos", "keys")
+    schema = pa.schema([("pos", pa.int64()), ("group", pa.int64())])
+
+    def run(batches):
+        block, rule = None, _FirstWins()
+        for batch in batches:
+            groups = []
+            for g, pos, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != block:
+                    block, rule = g, _FirstWins()
+                groups.append(rule.group(pos, keys))
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), pa.array(groups, pa.int64())], schema=schema)
+
+    grouped = several.repartition("group").sortWithinPartitions("group", "pos").mapInArrow(run, "pos long, group long")
     return grouped.unionByName(blocks.join(alone, "group", "left_anti").select("pos", "group"))
 
 

@@ -14,6 +14,7 @@ from ..functions.words import (
     COMPARE_WORDS, COMPARISON, DATASET_WORDS, EVIDENCE_PHRASES, EXACT_SIGNALS, FUTURE_PHRASES, GAP_WORDS, HEDGES, HOW_WHY, LABEL_ALIASES, LIMITATION_PHRASES,
     METHOD_WORDS, PAPER_WORDS, SIGNALS, STOP_WORDS, SUMMARY_PHRASES, TECHNOLOGY_WORDS, TREND_PHRASES,
 )
+from ..shipping import ship
 
 CHUNK, OVERLAP = 800, 80
 SPACE = " \t\n\r\f\v"
@@ -41,6 +42,7 @@ def chunked(sections: DataFrame, id_column: str, content: str, size: int = CHUNK
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
+    ship(sections.sparkSession)
     kind = sections.schema[id_column].dataType
     schema = pa.schema([(id_column, to_arrow_type(kind)), ("chunk_index", pa.int32()), ("content", pa.string())])
 
@@ -200,7 +202,7 @@ def keyword_score(question: dict[str, list[str]], content: Column, label: Column
     if asked:
         score += 30.0 * name.isin(*asked).cast("int")
     for own, aliases in LABEL_ALIASES.items():
-        hits = len(asked & set(aliases.split("|")))
+        hits = len(asked & set(aliases))
         if hits:
             score += F.when(name == own, 30.0 * hits).otherwise(0.0)
     for kind in ("methodology", "dataset", "technology", "domain", "author"):
@@ -255,6 +257,7 @@ def compressed(sections: DataFrame, by: list[str], threshold: float = 0.60, othe
 
     Each kept section matters to later ones, so a group (question and label; at most what one retrieval gives) is walked in pandas.
     """
+    ship(sections.sparkSession)
     schema = sections.schema
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -291,6 +294,7 @@ def claims(sections: DataFrame, least: int = 15) -> DataFrame:
 
 def aggregated_evidence(sections: DataFrame, by: list[str], threshold: float = 0.55, least: int = 15) -> DataFrame:
     """by, claim, confidence, is_inference: claims in order (pos, line) that don't overlap with an earlier kept one."""
+    ship(sections.sparkSession)
     rows = claims(sections, least).withColumn("_n", normalized_claim(F.col("claim"))).where(F.length("_n") >= least)
     ready = rows.select(*by, "pos", "line", "claim", "_n", F.least(F.col("score") / 100, F.lit(1.0)).alias("confidence"), "is_inference")
 
@@ -401,6 +405,7 @@ def citations(documents: DataFrame, items: DataFrame) -> DataFrame:
     with a null doc_id, not found, for an item that is in none. Each document is looked up in an index of the titles' words."""
     import pyarrow as pa
 
+    ship(documents.sparkSession)
     schema = pa.schema([("_item", pa.int64()), ("doc_id", pa.int64())])
 
     def finder(titles: list[tuple]):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,9 +21,26 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: in the folder that the session names in spark.checkpoint.dir, else (as in tests) in a new local one."""
-    import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which checkpoint() uses from here on.
+
+    A session on one machine (local[...]) that names none gets a new folder there; on a cluster a machine's own folder
+    would be lost to the others, so that is an error.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    held = sc._jsc.sc().getCheckpointDir()
+    if found is None and held.isDefined():
+        found = held.get()
+    if found is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="sparkfolio-shared-")
+    if not held.isDefined():
+        sc.setCheckpointDir(found)
+    return found
 
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkfolio-"))
+
+def checkpoints(spark: SparkSession) -> None:
+    """Makes checkpoint() usable."""
+    shared_folder(spark)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shipping import ship
+
 SLIDING = "id long, key string, ts timestamp, allowed boolean"
 
 
@@ -37,6 +39,7 @@ def sliding_log(pdf: pd.DataFrame, accepted: list[float], limit: int, seconds: f
 
 def sliding_limit(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
     """The batch form of sliding_limit_stream(): id, key, ts, allowed."""
+    ship(requests.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "id"])
@@ -45,8 +48,14 @@ def sliding_limit(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
     return requests.select("id", "key", F.col("ts").cast("timestamp").alias("ts")).groupBy("key").applyInPandas(run, SLIDING)
 
 
-def sliding_limit_stream(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """id, key, ts, allowed of a stream of requests. A key's state is the times of accepted requests of the last seconds, at most limit of them."""
+def sliding_limit_stream(requests: DataFrame, limit: int, seconds: float, late: str = "10 minutes") -> DataFrame:
+    """id, key, ts, allowed of a stream of requests; those later than the watermark (late behind the newest) get no answer.
+
+    A key's state is the times of accepted requests of the last seconds, at most limit of them. It goes by event time: it is
+    dropped once the watermark has passed the last accepted request by the length of the log, however slowly a source
+    delivers or however fast it is replayed.
+    """
+    ship(requests.sparkSession)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -55,10 +64,10 @@ def sliding_limit_stream(requests: DataFrame, limit: int, seconds: float) -> Dat
         pdf = pd.concat(list(frames)).sort_values(["ts", "id"])
         allowed, accepted = sliding_log(pdf, list(state.get[0]) if state.exists else [], limit, seconds)
         state.update((accepted,))
-        state.setTimeoutDuration(int(seconds * 1000))
+        state.setTimeoutTimestamp(max(int(1000 * (max(accepted) + seconds)) + 1, state.getCurrentWatermarkMs() + 1))
         yield pdf.assign(allowed=allowed)[["id", "key", "ts", "allowed"]]
 
-    return requests.select("id", "key", "ts").groupBy("key").applyInPandasWithState(run, SLIDING, "accepted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.select("id", "key", "ts").withWatermark("ts", late).groupBy("key").applyInPandasWithState(run, SLIDING, "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str, key: str):
