@@ -102,8 +102,8 @@ def _unanswered(c: Corpus, rule: str, scale: int) -> DataFrame:
     return gaps.unanswered(lines, answers, rule, scale=scale)
 
 
-_UNANSWERED = """{lines}, o AS (SELECT investigation_id, term AS subject, count(*) AS n FROM (SELECT * FROM l WHERE doc_id % 2 = 0 AND length(term) >= 15) GROUP BY ALL HAVING n >= 3),
-  g AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id % 2 = 1 AND l.investigation_id = o.investigation_id AND contains(l.term, o.subject))) {out}"""
+_UNANSWERED = """{lines}, o AS (SELECT investigation_id, term AS subject, count(*) AS n FROM l WHERE term <> '' GROUP BY ALL HAVING n >= 3),
+  g AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(b.text), o.subject))) {out}"""
 
 
 @query(_UNANSWERED.format(lines=_LINES, out=_OUT.format(rule="future_work_gap", scale=8, cap=0.95, limit=5)))
@@ -116,7 +116,7 @@ def gap_limitations(c: Corpus) -> DataFrame:
     return _unanswered(c, "limitation_gap", 10)
 
 
-@query(f"""WITH t AS (SELECT lang AS investigation_id, source AS method, CASE WHEN doc_id % 10 < 9 THEN 'accuracy and ' || left(text, 5) ELSE left(text, 5) END AS text FROM documents),
+@query(f"""WITH t AS (SELECT lang AS investigation_id, source AS method, text FROM documents),
   h AS (SELECT *, regexp_matches(text, '{gaps.METRIC_TERMS}') AS hit, list_transform(regexp_extract_all(text, '{gaps.METRIC_TERMS}', 1), lambda x: lower(x)) AS m FROM t),
   g AS (SELECT investigation_id, method AS subject, count(*) AS n FROM h GROUP BY ALL HAVING count(*) >= 6 AND avg(hit::INT) >= 0.8 AND len(list_distinct(flatten(list(m)))) <= 2) {_OUT.format(rule='evaluation_gap', scale=10, cap=0.95, limit=3)}""")
 def gap_evaluation(c: Corpus) -> DataFrame:

@@ -91,7 +91,7 @@ _CITED = "CASE WHEN citations > 0 AND m > 0 THEN ln(1 + citations) / ln(1 + m) E
 @query(sql("raw_papers", f"""WITH r AS (SELECT *, max(citations) OVER () AS m FROM raw_papers),
   s AS (SELECT pos, 100 * (0.35 * {_CITED} + 0.25 * {_RECENCY} + 0.2 * (((coalesce(length(abstract), 0) > 50)::INT + (len(authors) > 0)::INT + (coalesce(doi, '') <> '')::INT + (venue <> '')::INT + (coalesce(year, 0) <> 0)::INT) / 5.0)
     + 0.2 * CASE source WHEN 'semantic_scholar' THEN 1.0 WHEN 'openalex' THEN 0.9 WHEN 'arxiv' THEN 0.7 ELSE 0.5 END) AS raw FROM r)
-  SELECT pos, round(raw, 2)::DOUBLE AS score FROM s ORDER BY round(raw, 6) DESC, pos LIMIT 50"""))
+  SELECT pos, round(raw, 2)::DOUBLE AS score, row_number() OVER (ORDER BY round(raw, 6) DESC, pos) AS rank FROM s"""))
 def rank_papers(c: Corpus) -> DataFrame:
     _shared(c)
     ranked = ranking.rank(c.raw_papers(), YEAR).select("pos", "score", F.round("raw_score", 6).alias("_r"))
@@ -113,7 +113,10 @@ def filter_papers(c: Corpus) -> DataFrame:
     return c.raw_papers().where(ranking.matches("The", (1950, 2000), "OpenAlex", 5)).select("pos", "year", "source")
 
 
-@query(sql("raw_papers", "(SELECT 'newest' AS mode, pos FROM raw_papers ORDER BY year DESC NULLS LAST, pos LIMIT 20) UNION ALL (SELECT 'oldest', pos FROM raw_papers ORDER BY year NULLS LAST, pos LIMIT 20) UNION ALL (SELECT 'most_cited', pos FROM raw_papers ORDER BY coalesce(citations, 0) DESC, pos LIMIT 20)"))
+_SORTS = {"newest": "year DESC NULLS LAST", "oldest": "year NULLS LAST", "most_cited": "coalesce(citations, 0) DESC", "alphabetical": "title COLLATE en"}
+
+
+@query(sql("raw_papers", " UNION ALL ".join(f"SELECT '{mode}' AS mode, pos, row_number() OVER (ORDER BY {by}, pos) AS position FROM raw_papers" for mode, by in _SORTS.items())))
 def sort_papers(c: Corpus) -> DataFrame:
     _shared(c)
     out = None
@@ -136,19 +139,30 @@ def deduplicate_by_title(c: Corpus) -> DataFrame:
     return resolve.single_key(c.raw_papers(), F.when(key != "", key)).select("pos", "source")
 
 
-@query()
+_RESOLVED = f"""WITH RECURSIVE k AS (SELECT pos, row_number() OVER (ORDER BY pos) AS i, list_filter(['doi:' || {_KEYS['doi']}, 'title:' || {_KEYS['title']}, 'norm:' || nullif({TITLE_SQL.format('title')}, ''),
+    'url:' || nullif(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '/+$', ''), '')], lambda x: x IS NOT NULL) AS keys FROM raw_papers),
+  walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS pos, NULL::BIGINT AS "group", []::VARCHAR[] AS owned, []::BIGINT[] AS owners
+    UNION ALL SELECT i, pos, coalesce(hit, pos), CASE WHEN hit IS NULL THEN list_concat(owned, keys) ELSE owned END, CASE WHEN hit IS NULL THEN list_concat(owners, list_transform(keys, lambda x: pos)) ELSE owners END
+      FROM (SELECT k.i, k.pos, k.keys, walk.owned, walk.owners, list_min(list_transform(list_filter(k.keys, lambda x: list_contains(walk.owned, x)), lambda x: walk.owners[list_position(walk.owned, x)])) AS hit FROM walk JOIN k ON k.i = walk.i + 1)),
+  resolved AS (SELECT pos, "group" FROM walk WHERE i > 0)"""
+_FIELDS = ["title", "abstract", "doi", "url", "venue", "year", "citations"]
+
+
+@query(sql("raw_papers", f'{_RESOLVED} SELECT pos, "group" FROM resolved'))
 def resolve_duplicates(c: Corpus) -> DataFrame:
     _shared(c)
     return resolve.greedy_groups(c.raw_papers())
 
 
-@query()
+@query(sql("raw_papers", f"""{_RESOLVED} SELECT "group", {', '.join(f"arg_min({x}, pos) FILTER ({x}::VARCHAR <> '') AS {x}" for x in _FIELDS)}, array_to_string((list(authors ORDER BY len(authors) DESC, pos))[1], '|') AS authors,
+  string_agg(DISTINCT source, ',' ORDER BY source) AS merged_from, count(*) AS copies FROM raw_papers JOIN resolved USING (pos) GROUP BY 1"""))
 def merge_duplicates(c: Corpus) -> DataFrame:
     _shared(c)
-    return resolve.merged(c.raw_papers())
+    return resolve.merged(c.raw_papers()).withColumn("authors", F.array_join("authors", "|"))
 
 
-@query()
+@query(sql("raw_papers", f"""{_RESOLVED}, given AS ({' UNION ALL '.join(f"SELECT pos, source, '{x}' AS field FROM raw_papers WHERE {x} IS NOT NULL" for x in _FIELDS)}),
+  once AS (SELECT "group", field, source, min(pos) AS pos FROM given JOIN resolved USING (pos) GROUP BY ALL) SELECT "group", field, string_agg(source, ',' ORDER BY pos) AS providers FROM once GROUP BY ALL"""))
 def merge_provenance(c: Corpus) -> DataFrame:
     _shared(c)
     return resolve.provenance(c.raw_papers(), resolve.greedy_groups(c.raw_papers()))

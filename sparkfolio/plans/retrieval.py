@@ -30,8 +30,9 @@ def vector_search(c: Corpus) -> DataFrame:
 QUESTION = {"keywords": ["the", "que"], "bigrams": ["of the"], "phrases": ["thonan"], "signals_methodology": ["er"], "signals_gap": ["x"]}
 
 
-@query("""SELECT doc_id, (10.0 * len(regexp_extract_all(lower(text), '\\bthe\\b')) + 10.0 * len(regexp_extract_all(lower(text), '\\bque\\b')) + 15.0 * ((length(text) - length(replace(lower(text), 'of the', ''))) // 6)
-    + 100.0 * contains(lower(text), 'thonan')::INT + 30.0 * (lang = 'the')::INT + 12.0 * contains(lower(text), 'er')::INT + 20.0)::DOUBLE AS score FROM documents WHERE lang = 'en' AND length(lower(text)) = length(text)""")
+@query("""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, lower(coalesce(lang, '')) AS name FROM documents)
+  SELECT doc_id, (10.0 * len(regexp_extract_all(t, '\\bthe\\b')) + 10.0 * len(regexp_extract_all(t, '\\bque\\b')) + 15.0 * ((length(t) - length(replace(t, 'of the', ''))) // 6)
+    + 100.0 * contains(t, 'thonan')::INT + 30.0 * (name IN ('the', 'que', 'of the'))::INT + 12.0 * contains(t, 'er')::INT + 20.0)::DOUBLE AS score FROM d""")
 def keyword_scores(c: Corpus) -> DataFrame:
     d = c.table("documents")
     return d.select("doc_id", R.keyword_score(QUESTION, F.col("text"), F.col("lang")).alias("score"))
@@ -97,9 +98,13 @@ def classify_questions(c: Corpus) -> DataFrame:
     return R.classified(c.table("conversations").where("role = 'user'").select("conv_id", "turn", "text")).select("conv_id", "turn", "intent")
 
 
-@query("""WITH t AS (SELECT d.doc_id, b.item_id, lower(regexp_replace(left(b.text, 60), '^\\s+|\\s+$', '', 'g')) AS t, lower(d.text) AS c FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
-  l AS (SELECT *, regexp_extract_all(t, '([a-zA-Z0-9]{4,})', 1) AS w FROM t), h AS (SELECT *, len(list_filter(w, lambda x: contains(c, x))) AS h FROM l)
-  SELECT doc_id, item_id, contains(c, t) OR (len(w) > 0 AND h >= greatest(3, len(w) // 2)) AS found FROM h""")
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(text) AS c, regexp_replace(lower(text), '\\[.*?\\]\\s*', '', 'g') AS cleared FROM documents), i AS (SELECT item_id, {_STRIP.format('lower(text)')} AS t FROM benchmark),
+  b AS (SELECT *, regexp_replace(t, '\\s*\\([^)]*\\)\\s*', '', 'g') AS u, regexp_extract_all(t, '[a-zA-Z0-9]{{4,}}') AS w FROM i), n AS (SELECT *, {_STRIP.format('u')} AS bare FROM b),
+  f AS (SELECT item_id, doc_id FROM n, d WHERE t <> '' AND (contains(c, t) OR (bare <> '' AND (contains(c, bare) OR contains(cleared, bare))) OR (len(w) > 0 AND len(list_filter(w, lambda x: contains(c, x))) >= greatest(3, len(w) // 2))))
+  SELECT item_id, doc_id, true AS found FROM f UNION ALL SELECT item_id, NULL, false FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM f)""")
 def validate_citations(c: Corpus) -> DataFrame:
     return R.citations(c.table("documents").select("doc_id", "text"), c.table("benchmark").select("item_id", F.col("text").alias("title")))
 
@@ -151,7 +156,7 @@ def _artifacts(c: Corpus) -> DataFrame:
     return one.unionByName(land.select(F.col("source").alias("id"), F.lit("research_landscape").alias("artifact_type"), F.to_json(F.struct("datasets")).alias("payload")))
 
 
-@query("""WITH g AS (SELECT source AS id, 'Gap Report' AS source, 'Research Gaps' AS label, string_agg(left(text, 30) || ': d', chr(10) ORDER BY doc_id) AS content FROM (SELECT * FROM documents WHERE doc_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 15) GROUP BY 1),
+@query("""WITH g AS (SELECT source AS id, 'Gap Report' AS source, 'Research Gaps' AS label, string_agg(text || ': d', chr(10) ORDER BY doc_id) AS content FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 15) GROUP BY 1),
   l AS (SELECT id, 'Landscape' AS source, 'Datasets' AS label, string_agg(lang, chr(10) ORDER BY lang) AS content FROM (SELECT DISTINCT source AS id, lang FROM documents) GROUP BY 1)
   SELECT id, source, label, md5(content) AS content FROM g UNION ALL SELECT id, source, label, md5(content) FROM l""")
 def artifact_sections(c: Corpus) -> DataFrame:

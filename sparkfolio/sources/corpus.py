@@ -125,4 +125,7 @@ def sql(views: str, body: str) -> str:
         names += [n for n in [*NEEDS.get(v, []), v] if n not in names]
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in sorted(names, key=list(VIEWS).index))
     body = body.strip()
-    return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes}, {body[len(start):]}"
+    return f"WITH {ctes} {body}"
