@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import gaps, landscape
+from ..functions.text import INSTITUTION_KINDS, kind_sql
+from ..operators import gaps, landscape, overview
 from ..sources.corpus import Corpus, sql
 from .registry import query
 
@@ -127,3 +128,82 @@ def gap_evaluation(c: Corpus) -> DataFrame:
 @query(sql(_V, "WITH " + ", ".join(f"g_{k} AS ({v})" for k, v in ((k, f"SELECT * FROM ({v})") for k, v in _SQL.items())) + ", a AS (" + " UNION ALL ".join(f"SELECT * FROM g_{k}" for k in _SQL) + ") SELECT rule, count(*) AS gaps, count_if(severity = 'high')::BIGINT AS high, count_if(confidence >= 0.7)::BIGINT AS confident FROM a GROUP BY 1"))
 def gap_summary(c: Corpus) -> DataFrame:
     return gaps.summary(gaps.detect(_rules(c))[0])
+
+
+_LANDSCAPE = f"""WITH c AS (SELECT type, name, count(*) AS papers FROM entities GROUP BY 1, 2), plural AS (SELECT unnest(['institution', 'methodology', 'technology', 'dataset', 'author']) AS type, unnest(['institutions', 'methodologies', 'technologies', 'datasets', 'authors']) AS section),
+  tot AS (SELECT section, type, count(*) AS n, sum(papers) AS mentions FROM c JOIN plural USING (type) GROUP BY 1, 2), cov AS (SELECT type, count(DISTINCT paper_id) AS papers FROM entities GROUP BY 1),
+  top AS (SELECT type, name, papers, row_number() OVER (PARTITION BY type ORDER BY papers DESC, name) AS rank FROM c QUALIFY rank <= 20), au AS (SELECT i.name, count(DISTINCT a.name) AS authors FROM institutions i JOIN authors a USING (paper_id) GROUP BY 1),
+  kinds AS (SELECT {kind_sql('name', INSTITUTION_KINDS)} AS name, count(*) AS n FROM c WHERE type = 'institution' GROUP BY 1), te AS (SELECT m.name, count(DISTINCT t.name) AS n, string_agg(DISTINCT t.name, '|' ORDER BY t.name) AS l FROM methodologies m JOIN technologies t USING (paper_id) GROUP BY 1),
+  fy AS (SELECT name, min(year) AS year FROM technologies JOIN papers USING (paper_id) GROUP BY 1), nets AS (SELECT 'institution' AS type, * FROM institutions UNION ALL SELECT 'author', * FROM authors),
+  ed AS (SELECT x.type, x.name AS a, y.name AS b, count(*) AS w FROM nets x JOIN nets y ON y.type = x.type AND y.paper_id = x.paper_id AND x.name < y.name GROUP BY 1, 2, 3),
+  dg AS (SELECT type, name, sum(w) AS d FROM (SELECT type, a AS name, w FROM ed UNION ALL SELECT type, b, w FROM ed) GROUP BY 1, 2), ce AS (SELECT type, name, round(d / max(d) OVER (PARTITION BY type), 4) AS z FROM dg),
+  land AS (SELECT section, 'total' AS kind, NULL::BIGINT AS rank, NULL AS name, NULL AS other, n::DOUBLE AS value, NULL::DOUBLE AS second FROM tot
+    UNION ALL SELECT 'institutions', 'top', rank, name, {kind_sql('name', INSTITUTION_KINDS)}, papers, coalesce(authors, 0) FROM top LEFT JOIN au USING (name) WHERE type = 'institution'
+    UNION ALL SELECT 'institutions', 'type', row_number() OVER (ORDER BY n DESC, name), name, NULL, n, count(*) OVER () FROM kinds
+    UNION ALL SELECT 'methodologies', 'top', rank, name, l, papers, coalesce(n, 0) FROM top LEFT JOIN te USING (name) WHERE type = 'methodology'
+    UNION ALL SELECT CASE type WHEN 'dataset' THEN 'datasets' ELSE 'technologies' END, 'top', rank, name, NULL, papers, NULL FROM top WHERE type IN ('technology', 'dataset')
+    UNION ALL SELECT 'technologies', 'first_year', NULL, name, NULL, year, NULL FROM fy UNION ALL (SELECT 'technologies', 'newest', NULL, name, NULL, year, NULL FROM fy ORDER BY year DESC, name LIMIT 1)
+    UNION ALL SELECT section, 'diversity', NULL, NULL, NULL, round(mentions / n, 2), papers FROM tot JOIN cov USING (type) WHERE type IN ('technology', 'dataset')
+    UNION ALL SELECT 'temporal', 'total', NULL, NULL, NULL, count(*), NULL FROM papers UNION ALL SELECT 'temporal', 'year', NULL, year::VARCHAR, NULL, count(*), NULL FROM papers WHERE year IS NOT NULL GROUP BY year
+    UNION ALL SELECT 'temporal', 'span', NULL, CASE WHEN min(year) = max(year) THEN min(year)::VARCHAR ELSE min(year) || '–' || max(year) END, NULL, min(year), max(year) FROM papers
+    UNION ALL SELECT 'collaborations', type || '_network', NULL, NULL, NULL, n, (SELECT count(*) FROM ed WHERE ed.type = tot.type) FROM tot WHERE type IN ('institution', 'author')
+    UNION ALL SELECT 'collaborations', type || '_central', row_number() OVER (PARTITION BY type ORDER BY z DESC, name) AS k, name, NULL, z, NULL FROM ce QUALIFY k <= 20
+    UNION ALL SELECT 'collaborations', type || '_edge', row_number() OVER (PARTITION BY type ORDER BY w DESC, a, b) AS k, a, b, w, NULL FROM ed QUALIFY k <= 20)"""
+_LANDSCAPE_VIEWS = "papers entities institutions authors methodologies technologies"
+
+
+def _landscape(c: Corpus) -> DataFrame:
+    return overview.landscape(c.papers(), c.entities(), c.technologies())
+
+
+@query(sql(_LANDSCAPE_VIEWS, f"{_LANDSCAPE} SELECT * FROM land"))
+def landscape_sections(c: Corpus) -> DataFrame:
+    return _landscape(c)
+
+
+@query(sql(_LANDSCAPE_VIEWS, f"""{_LANDSCAPE}, o AS (SELECT unnest([
+    CASE WHEN section = 'institutions' AND kind = 'top' AND rank = 1 THEN {{'position': 1, 'category': 'institution', 'label': 'Most active institution', 'text': name || ' (' || value::BIGINT || ' papers)'}} END,
+    CASE WHEN section = 'institutions' AND kind = 'type' AND rank = 1 AND second > 1 THEN {{'position': 2, 'category': 'institution', 'label': 'Most common institution type', 'text': name || ' (' || value::BIGINT || ' institutions)'}} END,
+    CASE WHEN section = 'methodologies' AND kind = 'top' AND rank = 1 THEN {{'position': 3, 'category': 'methodology', 'label': 'Most common methodology', 'text': name || ' (' || value::BIGINT || ' papers)'}} END,
+    CASE WHEN section = 'methodologies' AND kind = 'total' THEN {{'position': 4, 'category': 'methodology', 'label': 'Methodology diversity', 'text': value::BIGINT || ' distinct methodologies used'}} END,
+    CASE WHEN section = 'technologies' AND kind = 'top' AND rank = 1 THEN {{'position': 5, 'category': 'technology', 'label': 'Most used technology', 'text': name || ' (' || value::BIGINT || ' papers)'}} END,
+    CASE WHEN section = 'technologies' AND kind = 'newest' THEN {{'position': 6, 'category': 'technology', 'label': 'Newest technology', 'text': name || ' (first appeared ' || value::BIGINT || ')'}} END,
+    CASE WHEN section = 'technologies' AND kind = 'diversity' THEN {{'position': 7, 'category': 'technology', 'label': 'Technology adoption rate', 'text': value || ' papers per technology on average'}} END,
+    CASE WHEN section = 'datasets' AND kind = 'top' AND rank = 1 THEN {{'position': 8, 'category': 'dataset', 'label': 'Most used dataset', 'text': name || ' (' || value::BIGINT || ' papers)'}} END,
+    CASE WHEN section = 'datasets' AND kind = 'diversity' THEN {{'position': 9, 'category': 'dataset', 'label': 'Dataset reuse rate', 'text': value || ' papers per dataset on average'}} END,
+    CASE WHEN section = 'temporal' AND kind = 'span' THEN {{'position': 10, 'category': 'temporal', 'label': 'Research time span', 'text': name}} END,
+    CASE WHEN section = 'temporal' AND kind = 'total' THEN {{'position': 11, 'category': 'temporal', 'label': 'Total research output', 'text': value::BIGINT || ' papers in corpus'}} END,
+    CASE WHEN kind = 'institution_network' THEN {{'position': 12, 'category': 'collaboration', 'label': 'Institution collaboration intensity', 'text': round(second / greatest(value, 1), 2) || ' collaborations per institution'}} END,
+    CASE WHEN kind = 'author_network' AND second > 0 THEN {{'position': 13, 'category': 'collaboration', 'label': 'Author collaboration network', 'text': second::BIGINT || ' co-authorship connections'}} END]) AS o FROM land)
+  SELECT o.position::BIGINT AS position, o.category AS category, o.label AS label, o.text AS text FROM o WHERE o IS NOT NULL"""))
+def landscape_texts(c: Corpus) -> DataFrame:
+    return overview.observations(_landscape(c))
+
+
+@query(sql("methodologies technologies", "SELECT m.name, count(DISTINCT t.name) AS technique_count, string_agg(DISTINCT t.name, '|' ORDER BY t.name) AS techniques FROM methodologies m JOIN technologies t USING (paper_id) GROUP BY 1"))
+def methodology_techniques(c: Corpus) -> DataFrame:
+    return overview.techniques_of(c.methodologies(), c.technologies()).withColumn("techniques", F.array_join("techniques", "|"))
+
+
+def _terms(c: Corpus) -> DataFrame:
+    """Of parts: type as methodology, words of the name as techniques, the name as a contribution; without datasets, metrics, domains
+    or technologies, so that sections fall back."""
+    p = c.table("part").select("p_partkey", "p_name", "p_type", "p_brand")
+    fields = {"methodology": F.array("p_type"), "relevant_techniques": F.split("p_name", " "), "limitations": F.array(F.concat("p_type", F.lit(" limits"))), "key_contributions": F.array("p_name"), "datasets_used": F.array(F.when(F.col("p_partkey") < 0, F.col("p_brand")))}
+    return landscape.flattened(p, "p_partkey", fields)
+
+
+_TERMS = f"""WITH x AS (SELECT 'methodology' AS field, p_type AS term FROM part UNION ALL SELECT 'relevant_techniques', unnest(string_split(p_name, ' ')) FROM part UNION ALL SELECT 'limitations', p_type || ' limits' FROM part UNION ALL SELECT 'key_contributions', p_name FROM part),
+  y AS (SELECT field, {_TERM.format('term')} AS name FROM x WHERE trim(term) <> ''), z AS (SELECT * FROM y UNION ALL SELECT '_all', name FROM y WHERE field <> 'methodology'),
+  n AS (SELECT field, name, count(*) AS count FROM z GROUP BY 1, 2), r AS (SELECT field, name, count, round(100 * count / sum(count) OVER (PARTITION BY field), 1) AS percentage, row_number() OVER (PARTITION BY field ORDER BY count DESC, name) AS rank FROM n)"""
+
+
+@query(f"""{_TERMS}, s AS (SELECT unnest(['methodologies', 'datasets', 'research_domains', 'tasks', 'applications', 'limitations', 'novel_contributions']) AS section, unnest(['methodology', 'relevant_techniques', 'key_contributions', 'methodology', 'relevant_techniques', 'limitations', 'key_contributions']) AS field)
+  SELECT section, name, count, percentage, rank FROM r JOIN s USING (field) WHERE rank <= 20 UNION ALL SELECT 'keywords', name, count, percentage, rank FROM r WHERE field = '_all' AND rank <= 30 UNION ALL SELECT 'clusters', name, count, percentage, rank FROM r WHERE field = '_all' AND count >= 2 AND rank <= 20""")
+def term_landscape(c: Corpus) -> DataFrame:
+    return overview.term_landscape(_terms(c))
+
+
+@query(f"{_TERMS} SELECT 'all' AS cluster, name, count, percentage, rank FROM r WHERE field = '_all' AND count >= 2 AND rank <= 20")
+def co_occurrence_clusters(c: Corpus) -> DataFrame:
+    return overview.co_occurrence_clusters(_terms(c).where("field <> 'methodology'"))
