@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .prefix_bpe import byte_level
-from .runtime import ship, text_of
+from .runtime import parts_of, ship, text_of
 
 #: Cost of a cut in padding tokens: after a document, after a sentence, elsewhere.
 AFTER_DOCUMENT, AFTER_SENTENCE, ELSEWHERE = 0, 2, 10
@@ -125,9 +125,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, separator:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row per piece of a document in a window of at most size tokens.
 
     Documents keep the order in which a partition holds them, each followed by the id separator; a null or empty text
-    has that id only. Windows are cut where padding and cut costs are least. sequence_id is unique over all partitions
-    (the partition in the upper bits). A partition is packed as a stream in blocks, so memory doesn't grow with it, and
-    nothing is shuffled; only a partition's last windows may have padding for want of text.
+    has that id only. Repeated rows are documents of their own, as are rows without doc_id; an empty table has no pieces.
+    Other columns of docs are not read, whatever they are called. Windows are cut where padding and cut costs are least.
+    sequence_id is unique over all partitions (the partition in the upper bits). A partition is packed as a stream in blocks,
+    so memory doesn't grow with it but by one text's ids, however long the text; nothing is shuffled, and only a partition's
+    last windows may have padding for want of text.
     """
     ship(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -147,9 +149,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, separator:
         def rows(out):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], schema=arrow)
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if out := packer.add(batch.column(0)[i].as_py(), encode(batch.column(1)[i].as_py() or "")):
+        for part in parts_of(batches):
+            for doc_id, text in zip(part.column(0), part.column(1), strict=True):
+                if out := packer.add(doc_id.as_py(), encode(text.as_py() or "")):
                     yield rows(out)
         if out := packer.finish():
             yield rows(out)

@@ -1,11 +1,8 @@
-"""What the operators of this subpackage share: shipping code, the shared folder, Arrow maps."""
+"""What the operators of this subpackage share: the shared folder, tables in it, Arrow maps."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,39 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII white space as the contracts define words: everything else belongs to a word.
-WORD_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+from ..session import shared_folder
+from ..shipping import ship
 
-_shipped: set[str] = set()
+__all__ = ["cut", "drop_folder", "map_column", "map_rows", "parts_of", "shared_dir", "ship", "table", "text_of", "unused"]
 
-
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package once per application, so that Python workers can import it wherever they run."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="sparkfolio-"), "sparkfolio_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("sparkfolio", os.path.relpath(full, root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+#: Bytes of strings that one call of a mapped function gets, about.
+CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. It is set here only where the session has none, as in tests on one machine."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if found is None:
-        held = sc._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="sparkfolio-shared-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found
+    """The folder that all executors share, without a slash at its end."""
+    return shared_folder(spark).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,6 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """As cut(), but as Parquet: smaller on disk, and read again with its columns pruned and its size known, so that the
+    planner decides by size whether to broadcast it in a join."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that was written here and that nothing reads any more, in whatever store it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever its columns are called."""
     taken = {c.lower() for c in df.columns}
@@ -62,23 +52,25 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def table(df: DataFrame) -> DataFrame:
-    """As cut(), but as Parquet: smaller on disk for wide rows, and read again with its columns pruned and its size known."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(df: DataFrame, name: str = "text") -> DataFrame:
     """doc_id and text alone, so that extra columns are pruned at the scan and clashing names can't matter."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("string").alias("text"))
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, *, chunk_bytes: int = 8 << 20) -> DataFrame:
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches re-cut so that each holds about CHUNK_BYTES, a row at least: what is turned into Python objects at a time."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            each = max(1, int(n * min(1.0, CHUNK_BYTES / max(1, batch.nbytes))))
+            for at in range(0, n, each):
+                yield batch.slice(at, each)
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str) -> DataFrame:
     """Runs a function over batches of rows (lists, a list for each column) in Arrow; make() is called once per task.
 
-    The function gets the columns of df and returns the columns of the schema. Batches are re-cut so that the
-    strings in one call hold about chunk_bytes, which bounds a worker's memory whatever the lengths of the texts.
+    The function gets the columns of df and returns the columns of the schema, with as many rows as it likes.
     """
     struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -87,14 +79,23 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            each = max(1, int(n * min(1.0, chunk_bytes / max(1, batch.nbytes))))
-            for at in range(0, n, each):
-                part = batch.slice(at, each)
-                out = step([c.to_pylist() for c in part.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, arrow, strict=True)], schema=arrow)
+        for part in parts_of(batches):
+            out = step([c.to_pylist() for c in part.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, struct)
+
+
+def map_column(df: DataFrame, source: str, make: Callable[[], Callable[[list], list]], out: str, kind: T.DataType) -> DataFrame:
+    """df with a column out at its end: a function of the column source. Other columns pass as they are, never as Python objects."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    struct = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+    arrow, at, names = to_arrow_type(kind), df.columns.index(source), [*df.columns, out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for part in parts_of(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(step(part.column(at).to_pylist()), arrow)], names=names)
 
     return df.mapInArrow(run, struct)

@@ -6,16 +6,17 @@ import hashlib
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .prefix_bpe import CACHE_WORDS, byte_level, piece_level
+from .prefix_bpe import CACHE_WORDS, KEEP, byte_level, piece_level
 from .runtime import map_rows, ship, text_of
 
 
 def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string: every text encoded with the byte-level vocabulary at the path tokenizer and decoded again.
 
-    Null text counts as empty: no ids, decoded "". Repeated rows and null ids give a row each. No shuffle.
+    Null text counts as empty: no ids, decoded "". Repeated rows and null ids give a row each, an empty table none. A very long
+    text is one row like any other; its work is linear in its length, also without a space in it. Other columns of docs are
+    not read, whatever they are called. No shuffle.
     """
     ship(docs.sparkSession)
 
@@ -34,23 +35,23 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
 def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode_texts() without keeping the ids.
 
-    ids_sha256 is over the decimal ids joined by commas, decoded_sha256 over the UTF-8 of the decoded text. Null text
-    counts as empty. What is kept per stretch of text is its ids in decimal and the bytes they decode to.
+    ids_sha256 is over the decimal ids joined by commas, decoded_sha256 over the UTF-8 of the decoded text. Rows are as in
+    encode_texts(). What is kept of a short stretch of text is its ids in decimal and the bytes they decode to.
     """
     ship(docs.sparkSession)
 
     def make():
         bpe = byte_level(tokenizer)
-        decimal: dict[str, str] = {}
-        raw: dict[str, bytes] = {}
+        known: dict[str, tuple[str, bytes]] = {}
 
-        def learn(stretch: str) -> None:
-            if len(decimal) >= CACHE_WORDS:
-                decimal.clear()
-                raw.clear()
+        def learnt(stretch: str) -> tuple[str, bytes]:
             ids = bpe.stretch_ids(stretch)
-            decimal[stretch] = ",".join(map(str, ids))
-            raw[stretch] = b"".join([bpe.bytes[i] for i in ids])
+            got = ",".join(map(str, ids)), b"".join([bpe.bytes[i] for i in ids])
+            if len(stretch) <= KEEP:
+                if len(known) >= CACHE_WORDS:
+                    known.clear()
+                known[stretch] = got
+            return got
 
         def one(text: str):
             shown, decoded = [], []
@@ -60,10 +61,9 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                     decoded.append(bpe.bytes[special])
                     continue
                 for s in bpe.stretched(part):
-                    if s not in decimal:
-                        learn(s)
-                    shown.append(decimal[s])
-                    decoded.append(raw[s])
+                    got = known.get(s) or learnt(s)
+                    shown.append(got[0])
+                    decoded.append(got[1])
             ids = ",".join(shown)
             text = b"".join(decoded).decode("utf-8", "replace")
             return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
@@ -81,7 +81,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
 
     fit_chars: how many leading characters can be kept so that neither they nor a shorter prefix takes more than limit
     tokens; the whole text if it is within the limit. Counts of all prefixes are what the dynamic programming stores,
-    so a budget is answered without encoding again. Null text counts as empty (0 bytes, 0 tokens). No shuffle.
+    so a budget is answered without encoding again. Null text counts as empty (0 bytes, 0 tokens). Repeated rows and null ids
+    give a row each, an empty table none; a very long text is one row, in time linear in its length. Other columns of docs
+    are not read, whatever they are called. No shuffle.
     """
     ship(docs.sparkSession)
 
@@ -101,7 +103,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
 
 
 def prefix_token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, prefix_counts array<int>: the exact token count of every prefix of every text, from the empty one on."""
+    """doc_id, prefix_counts array<int>: the exact token count of every prefix (in characters) of every text, from the empty one on.
+
+    Rows are as in count_tokens(); a null text has one prefix, of 0 tokens.
+    """
     ship(docs.sparkSession)
 
     def make():
@@ -136,7 +141,3 @@ def chunk_spans(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
         return lambda cols: [cols[0], [[{"begin": a, "end": b} for a, b in one(x or "")] for x in cols[1]]]
 
     return map_rows(text_of(docs), make, "doc_id long, spans array<struct<begin:long,end:long>>")
-
-
-def over_limit(counted: DataFrame) -> DataFrame:
-    return counted.where(F.col("over_limit"))
