@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A host has at most so many labels (253 characters in all), so a capture has at most so many candidate patterns.
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+from .runtime import table
+
+#: What stands between the user, if there is one, and the port or path; an IPv6 address with its brackets.
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)"
+#: Hosts that are addresses: these have no domains above them.
+ADDRESS = r"^(\[.*|[0-9.]+)$"
 
 
 def host_of(url: Column) -> Column:
@@ -16,8 +20,11 @@ def host_of(url: Column) -> Column:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and the domains above it, the most specific first."""
-    labels = F.split(host, r"\.")
+    """The host and the domains above it, the most specific first; of an address only itself.
+
+    A host name has 253 characters at most, so these are few; whatever a URL has in its place, they are as many as its dots.
+    """
+    labels = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(host, r"\."))
     n = F.size(labels)
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
 
@@ -27,7 +34,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An entry holds from its time until the pattern's next one; actions are block, allow and remove (the pattern is on no list).
     Of entries at the same time the first in the order block, allow, remove holds; repeated entries change nothing. Entries
-    without pattern or time are void. One row a pattern, however often its state changed.
+    without pattern or time are void. One row a pattern, with an interval for each change of its own state: that grows with
+    how often a single pattern is listed and removed, not with the list.
     """
     rank = F.when(F.col("action") == "block", 0).when(F.col("action") == "allow", 1).otherwise(2)
     clean = entries.select(F.lower(F.col("pattern")).alias("pattern"), "action", F.col("at").cast("timestamp").alias("at"), rank.alias("_rank")).where("pattern is not null and at is not null")
@@ -38,12 +46,15 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """captures (with url and fetched_at; other columns stay) with host, matched_pattern, matched_action, kept.
+    """captures (with url and fetched_at) with host, matched_pattern, matched_action, kept; columns of these names that captures
+    has are replaced, all others stay.
 
     The most specific pattern that is active at fetched_at decides: block drops the capture, allow keeps it. Without an active
-    pattern, a host or a fetch time it is kept. Entries are matched to distinct hosts first, so a host with a third of all
-    captures meets the lists once; captures then get their host's intervals by a join with one row a host, whose skew
-    adaptive execution can split, since nothing after it needs a host's captures together.
+    pattern, a host or a fetch time it is kept; repeated rows are judged each; an empty table gives an empty one. Entries are
+    matched to distinct hosts first, so a host with a third of all captures meets the lists once, and written as a table with
+    a row for each host that has any; captures meet it as an as-of join on the host and the time in each of its intervals.
+    The planner broadcasts that table if its size allows it; else both sides are shuffled plainly, and adaptive execution
+    can split a host's captures, since nothing needs them together.
     """
     added = ["host", "matched_pattern", "matched_action", "kept"]
     own = [F.col(f"`{c}`") for c in captures.columns if c not in added]
@@ -52,7 +63,7 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     candidates = hosts.select("_host", F.posexplode(suffixes(F.col("_host"))).alias("_depth", "_pattern"))
     spans = intervals(entries)
     found = candidates.join(spans, F.col("_pattern") == F.col("pattern"))
-    by_host = found.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("_depth", "pattern", "spans"))).alias("_lists"))
+    by_host = table(found.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("_depth", "pattern", "spans"))).alias("_lists")))
     at = F.col("fetched_at").cast("timestamp")
 
     def active(span: Column) -> Column:
@@ -85,7 +96,7 @@ def dated_lists(pages: DataFrame) -> DataFrame:
 
     crc = number(F.col("host"))
     start = F.lit(1704067200) + F.pmod(crc, F.lit(300)) * 86400
-    parent = F.substring_index("host", ".", -3)
+    parent = F.when(F.col("host").rlike(ADDRESS), F.col("host")).otherwise(F.substring_index("host", ".", -3))
 
     def entry(when: Column, pattern: Column, action: str, at: Column) -> Column:
         return F.when(when, F.struct(pattern.alias("pattern"), F.lit(action).alias("action"), F.timestamp_seconds(at).alias("at")))
@@ -103,9 +114,9 @@ def dated_lists(pages: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH p AS (SELECT page_id, url, epoch_ms((1704067200 + ((page_id * 37) % 8760) * 3600) * 1000) AS fetched_at,
-        nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host FROM pages),
+        nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)', 1)), '\.+$', ''), '') AS host FROM pages),
 h AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),
-lab AS (SELECT host, string_split(host, '.') AS l FROM h),
+lab AS (SELECT host, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN [host] ELSE string_split(host, '.') END AS l FROM h),
 up AS (SELECT host, array_to_string(CASE WHEN len(l) > 3 THEN l[len(l) - 2:] ELSE l END, '.') AS parent, l FROM lab),
 crc AS (SELECT host, parent, ('0x' || substr(md5(host), 1, 7))::BIGINT AS c, ('0x' || substr(md5(parent), 1, 7))::BIGINT AS cp FROM up),
 e AS (
