@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, table
 
 SPACE, NOT_SPACE, SYMBOLS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -14,26 +14,28 @@ METRICS = {
     "word_length": ("word_chars", "n_words", 100, 80, True),
     "symbols": ("n_symbols", "n_words", 1000, 100, False),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, 500, False),
+    "stutter": ("n_stutter", "n_words", 1000, 200, False),
 }
 #: A value is rejected farther from the median than so many interquartile ranges.
 FENCE = 4
-#: Documents of a language and source below which the language's thresholds hold, and of a language below which everyone's do.
-MIN_GROUP = 100
-#: Rows of thresholds up to which they are broadcast; with more, documents are joined by shuffling.
-BROADCAST_ROWS = 20_000
+#: A group's quartiles are averaged with its language's, which count as so many documents, and a language's with everyone's.
+PRIOR = 100
 
 
 def with_features(docs: DataFrame, repeats: bool = True) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_lines and, if asked for, n_repeat_words and base_failed.
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_stutter (words equal to the one before) and, if asked
+    for, n_repeat_words and base_failed.
 
     A null text has no words. Columns of these names that docs has are replaced. The features come out of a generator of one
     row, so that no filter on them is pushed down with all that they are made of written out again and again.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", *(["n_repeat_words", "base_failed"] if repeats else [])]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_stutter", *(["n_repeat_words", "base_failed"] if repeats else [])]
     own = [c for c in docs.columns if c not in made]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
+    n = F.size("_words") - 1
+    pairs = F.zip_with(F.slice("_words", F.lit(1), n), F.slice("_words", F.lit(2), n), lambda a, b: a == b)
     df = docs.withColumns({"_words": words, "_lines": lines}).withColumns(
         {
             "n_words": F.size("_words").cast("long"),
@@ -41,6 +43,7 @@ def with_features(docs: DataFrame, repeats: bool = True) -> DataFrame:
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_stutter": F.when(n > 0, F.size(F.filter(pairs, lambda same: same))).otherwise(0).cast("long"),
         }
     )
     if repeats:
@@ -96,10 +99,12 @@ def group_keys() -> list[Column]:
 
 
 def thresholds(features: DataFrame) -> DataFrame:
-    """_lang, _source and the bounds low_*, high_* of every metric, a row per language and source.
+    """_lang_of, _source_of and the bounds low_*, high_* of every metric, a row per language and source.
 
     The sketch of a group counts the rows of each bucket, so sketches merge by adding counts, in any order, to the same
-    result; languages and the whole are merged from groups. Quartiles are the least bucket that reaches the share.
+    result; languages and the whole are merged from groups. Quartiles are the least bucket that reaches the share. Those
+    of a group are averaged with its language's, PRIOR documents against its own number, those of a language likewise with
+    the whole's: a small group leans on its language, and one document more never changes whose thresholds hold.
     """
     rows = features.where(F.col("n_words") >= MIN_WORDS).select(
         *group_keys(), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), metric(m).alias("value")) for m in METRICS])).alias("x")
@@ -108,40 +113,41 @@ def thresholds(features: DataFrame) -> DataFrame:
         rows.where("x.value is not null").groupBy("_lang", "_source", F.col("x.metric").alias("metric"), bucket(F.col("x.value")).alias("bucket")).agg(F.count("*").alias("n"))
     )
 
-    def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+    def quartiles(counts: DataFrame, keys: list[str], suffix: str) -> DataFrame:
         by = Window.partitionBy(*keys, "metric")
         upto = F.sum("n").over(by.orderBy("bucket"))
         all_ = F.sum("n").over(by)
         ranked = counts.withColumns({"upto": upto, "all": all_})
         return ranked.groupBy(*keys, "metric").agg(
-            F.first("all").alias("n"), *[F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("bucket"))).alias(f"q{k}") for k in (1, 2, 3)]
+            F.first("all").cast("double").alias(f"n{suffix}"), *[F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("bucket"))).cast("double").alias(f"q{k}{suffix}") for k in (1, 2, 3)]
         )
 
-    def bounds(q: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-        out = []
-        for m, (_, _, _, least, low) in METRICS.items():
-            here = F.col("metric") == m
-            width = F.greatest(F.lit(least), FENCE * (F.col("q3") - F.col("q1")))
-            out.append(F.max(F.when(here, F.col("q2") + width)).alias(f"high_{m}{suffix}"))
-            if low:
-                out.append(F.max(F.when(here, F.col("q2") - width)).alias(f"low_{m}{suffix}"))
-        return q.groupBy(*keys).agg(F.max("n").alias(f"n{suffix}"), *out)
-
-    fine = bounds(quartiles(sketch, ["_lang", "_source"]), ["_lang", "_source"], "")
-    by_lang = sketch.groupBy("_lang", "metric", "bucket").agg(F.sum("n").alias("n"))
-    lang = bounds(quartiles(by_lang, ["_lang"]), ["_lang"], "_lang")
-    whole = bounds(quartiles(sketch.groupBy(F.lit(0).alias("_all"), "metric", "bucket").agg(F.sum("n").alias("n")), ["_all"]), ["_all"], "_all")
-    names = [c for c in fine.columns if c[0] != "_" and c != "n"]
-    joined = fine.join(lang, "_lang").join(F.broadcast(whole), F.lit(True))  # whole is one row
-    pick = {c: F.when(F.col("n") >= MIN_GROUP, F.col(c)).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{c}_lang")).otherwise(F.col(f"{c}_all")) for c in names}
-    return joined.select(F.col("_lang").alias("_lang_of"), F.col("_source").alias("_source_of"), *[v.alias(c) for c, v in pick.items()])
+    fine = quartiles(sketch, ["_lang", "_source"], "")
+    lang = quartiles(sketch.groupBy("_lang", "metric", "bucket").agg(F.sum("n").alias("n")), ["_lang"], "_lang")
+    whole = quartiles(sketch.groupBy("metric", "bucket").agg(F.sum("n").alias("n")), [], "_all")
+
+    def leaning(k: int, n: str, up: Column) -> Column:
+        return (F.col(f"n{n}") * F.col(f"q{k}{n}") + PRIOR * up) / (F.col(f"n{n}") + PRIOR)
+
+    joined = fine.join(lang, ["_lang", "metric"]).join(F.broadcast(whole), "metric")  # whole has a row for each metric
+    q = joined.select("_lang", "_source", "metric", *[leaning(k, "", leaning(k, "_lang", F.col(f"q{k}_all"))).alias(f"q{k}") for k in (1, 2, 3)])
+    out = []
+    for m, (_, _, _, least, low) in METRICS.items():
+        here = F.col("metric") == m
+        width = F.greatest(F.lit(float(least)), FENCE * (F.col("q3") - F.col("q1")))
+        out.append(F.max(F.when(here, F.col("q2") + width)).alias(f"high_{m}"))
+        if low:
+            out.append(F.max(F.when(here, F.col("q2") - width)).alias(f"low_{m}"))
+    return q.groupBy(F.col("_lang").alias("_lang_of"), F.col("_source").alias("_source_of")).agg(*out)
 
 
 def judged(features: DataFrame, limits: DataFrame) -> DataFrame:
-    """features with kept: false if base_failed or a metric is outside its group's bounds. A group without bounds has no further rule."""
-    limits = cut(limits)
-    if limits.count() <= BROADCAST_ROWS:
-        limits = F.broadcast(limits)
+    """features with kept: false if base_failed or a metric is outside its group's bounds. A group without bounds has no further rule.
+
+    Bounds are a table, a row a group, so that the planner broadcasts it if its size allows it; else adaptive execution can
+    split the rows of a group that has a third of all.
+    """
+    limits = table(limits)
     lang, source = group_keys()
     joined = features.withColumns({"_l": lang, "_s": source}).join(limits, (F.col("_l") == F.col("_lang_of")) & (F.col("_s") == F.col("_source_of")), "left")
     outside = F.lit(False)
@@ -160,7 +166,8 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row of docs.
 
     A row without words (null, empty or blank text) fails the base rules. Null lang or source is a group of its own; repeated
-    rows are judged each. Texts are read once; what follows is on numbers.
+    rows are judged each, a very long text as any other; an empty table gives an empty one. Other columns are not read.
+    Texts are read once; what follows is on numbers.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
     features = cut(with_features(slim).drop("text"))
@@ -168,7 +175,10 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that quality_verdicts() keeps. Texts are read twice rather than shuffled."""
+    """The rows of docs, with all their columns (whatever these are called), that quality_verdicts() keeps; rows are as there.
+
+    Texts are read twice rather than shuffled.
+    """
     columns = docs.columns
     limits = thresholds(with_features(docs.select("text", "lang", "source"), repeats=False))
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *[F.col(c) for c in ("text", "lang", "source")])
@@ -185,27 +195,28 @@ twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
 f AS (SELECT w.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
-        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_stutter, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN covered ON covered.r = w.r),
 g AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
         CASE WHEN n_words > 0 THEN (100 * word_chars) // n_words END AS word_length, CASE WHEN n_words > 0 THEN (1000 * n_symbols) // n_words END AS symbols,
-        CASE WHEN n_lines > 0 THEN (1000 * n_dup_lines) // n_lines END AS dup_lines FROM f),
+        CASE WHEN n_lines > 0 THEN (1000 * n_dup_lines) // n_lines END AS dup_lines, CASE WHEN n_words > 0 THEN (1000 * n_stutter) // n_words END AS stutter FROM f),
 long AS (SELECT lang, source, metric, value FROM (
-    SELECT lang, source, unnest(['word_length', 'symbols', 'dup_lines']) AS metric, unnest([word_length, symbols, dup_lines]) AS value FROM g WHERE n_words >= {MIN_WORDS}) WHERE value IS NOT NULL),
+    SELECT lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'stutter']) AS metric, unnest([word_length, symbols, dup_lines, stutter]) AS value FROM g WHERE n_words >= {MIN_WORDS}) WHERE value IS NOT NULL),
 sk AS (SELECT lang, source, metric, (value // (1 << greatest(length(ltrim(bin(value), '0')) - 10, 0))) * (1 << greatest(length(ltrim(bin(value), '0')) - 10, 0)) AS bucket FROM long),
 lev AS (SELECT 0 AS lev, lang, source, metric, bucket FROM sk UNION ALL SELECT 1, lang, '', metric, bucket FROM sk UNION ALL SELECT 2, '', '', metric, bucket FROM sk),
 c AS (SELECT lev, lang, source, metric, bucket, count(*) AS n FROM lev GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY lev, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lev, lang, source, metric) AS total FROM c),
-q AS (SELECT lev, lang, source, metric, max(total) AS n, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (2 * upto >= total) AS q2,
-        min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM u GROUP BY ALL),
-b AS (SELECT lev, lang, source, metric, max(n) OVER (PARTITION BY lev, lang, source) AS n, q2 - greatest(80, {FENCE} * (q3 - q1)) AS low,
-        q2 + greatest(CASE metric WHEN 'word_length' THEN 80 WHEN 'symbols' THEN 100 ELSE 500 END, {FENCE} * (q3 - q1)) AS high FROM q),
-t AS (SELECT x.lang, x.source, x.metric, CASE WHEN x.n >= {MIN_GROUP} THEN x.low WHEN y.n >= {MIN_GROUP} THEN y.low ELSE z.low END AS low,
-        CASE WHEN x.n >= {MIN_GROUP} THEN x.high WHEN y.n >= {MIN_GROUP} THEN y.high ELSE z.high END AS high
-      FROM b x JOIN b y ON y.lev = 1 AND y.lang = x.lang AND y.metric = x.metric JOIN b z ON z.lev = 2 AND z.metric = x.metric WHERE x.lev = 0)
+q AS (SELECT lev, lang, source, metric, max(total)::DOUBLE AS n, [min(bucket) FILTER (4 * upto >= total)::DOUBLE, min(bucket) FILTER (2 * upto >= total)::DOUBLE,
+        min(bucket) FILTER (4 * upto >= 3 * total)::DOUBLE] AS q FROM u GROUP BY ALL),
+m AS (SELECT x.lang, x.source, x.metric, list_transform([1, 2, 3], lambda k: (x.n * x.q[k] + {PRIOR}::DOUBLE * ((y.n * y.q[k] + {PRIOR}::DOUBLE * z.q[k]) / (y.n + {PRIOR}::DOUBLE))) / (x.n + {PRIOR}::DOUBLE)) AS q
+      FROM q x JOIN q y ON y.lev = 1 AND y.lang = x.lang AND y.metric = x.metric JOIN q z ON z.lev = 2 AND z.metric = x.metric WHERE x.lev = 0),
+t AS (SELECT lang, source, metric, q[2] - greatest(80.0::DOUBLE, {FENCE}::DOUBLE * (q[3] - q[1])) AS low,
+        q[2] + greatest(CASE metric WHEN 'word_length' THEN 80 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 500 ELSE 200 END::DOUBLE, {FENCE}::DOUBLE * (q[3] - q[1])) AS high FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND NOT coalesce(word_length > w1.high OR word_length < w1.low, false) AND NOT coalesce(symbols > w2.high, false) AND NOT coalesce(dup_lines > w3.high, false) AS kept
+    NOT base_failed AND NOT coalesce(word_length > w1.high OR word_length < w1.low, false) AND NOT coalesce(symbols > w2.high, false) AND NOT coalesce(dup_lines > w3.high, false)
+    AND NOT coalesce(stutter > w4.high, false) AS kept
 FROM g LEFT JOIN t w1 ON w1.lang = g.lang AND w1.source = g.source AND w1.metric = 'word_length'
 LEFT JOIN t w2 ON w2.lang = g.lang AND w2.source = g.source AND w2.metric = 'symbols'
 LEFT JOIN t w3 ON w3.lang = g.lang AND w3.source = g.source AND w3.metric = 'dup_lines'
+LEFT JOIN t w4 ON w4.lang = g.lang AND w4.source = g.source AND w4.metric = 'stutter'
 """
