@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import cut, map_rows, shared_dir, ship
+from .runtime import cut, map_rows, parts_of, shared_dir, ship, table
 
 #: Payloads from this size on are stored once; equal ones revisit the one with the smallest page_id.
 REVISIT_BYTES = 100
 #: Longest block of a record; a longer one continues in further records. With the records of a file this bounds a file's
 #: size (RECORDS * (SEGMENT + 2 KiB) at most), which is what a reading task holds.
 SEGMENT, RECORDS, CHUNK = 32 << 10, 1024, 8 << 10
+#: Bytes of an archive that are inflated at a time.
+WINDOW = 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -74,8 +76,22 @@ def records(page_id, url, payload: bytes, digest: str, refers_to) -> list[bytes]
     return out
 
 
+def members(archive: bytes):
+    """The contents of an archive's gzip members, one after the other: a file of one member for all records gives one."""
+    at, view = 0, memoryview(archive)
+    while at < len(view):
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            piece = view[at : at + WINDOW]
+            parts.append(inflate.decompress(piece))
+            at += len(piece) - len(inflate.unused_data)
+        yield b"".join(parts)
+
+
 def parsed(archive: bytes):
-    """(fields, block) of every record of an archive file; field names in lower case. Raises ValueError on broken framing."""
+    """(fields, block) of every record of an uncompressed archive; field names in lower case. Raises ValueError on broken framing."""
     at = 0
     while at < len(archive):
         end = archive.find(b"\r\n\r\n", at)
@@ -93,10 +109,10 @@ def parsed(archive: bytes):
 def payload_of(block: bytes) -> tuple[bytes, int]:
     """The decoded payload of an HTTP response and its length; of a response without body, the length that it states."""
     header, _, body = block.partition(b"\r\n\r\n")
-    if b"\r\nTransfer-Encoding: chunked" in header:
+    if re.search(rb"(?i)\r\nTransfer-Encoding:[ \t]*chunked", header):
         payload = dechunked(body)
         return payload, len(payload)
-    stated = re.search(rb"\r\nContent-Length: (\d+)", header)
+    stated = re.search(rb"(?i)\r\nContent-Length:[ \t]*(\d+)", header)
     return body, int(stated[1]) if stated else len(body)
 
 
@@ -105,49 +121,43 @@ def page_of(record_id: str | None):
     return int(found[1]) if found else None
 
 
+def member(record: bytes) -> bytes:
+    """A record as a gzip member of its own, so that an archive can be read from any record's offset.
+
+    Without its last byte, which is the highest byte of the record's length and so zero below 16 MiB: it comes back as the
+    separator that the text writer puts after each row.
+    """
+    made = zlib.compress(record, 6, 31)
+    if made[-1]:
+        raise ValueError("a record is longer than 16 MiB")
+    return made[:-1]
+
+
 def write_archives(pages: DataFrame, folder: str) -> None:
-    """Writes a record for every row of pages (page_id, url, html) into archive files under folder, compressed by gzip.
+    """Writes a record for every row of pages (page_id, url, html) into archive files under folder, each a sequence of gzip members.
 
     A null html is an empty payload. Of rows with equal payloads of at least REVISIT_BYTES bytes, those with the smallest
-    page_id are responses, the others revisits; null ids sort last. The smallest ids are found by a grouped minimum (combined
-    before the shuffle) and joined back; a payload that a third of all pages share is a skewed key that adaptive execution splits.
+    page_id are responses, the others revisits; null ids sort last. Which row revisits which page is found on ids and
+    digests alone; payloads are only read again beside the rows that revisit, a table that the planner broadcasts if its
+    size allows it. So payloads are joined, if at all, on page_id and digest, not on a digest that a third of all pages may share.
     """
     ship(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    digest = F.sha2(payload, 256)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), digest.alias("digest"))
-    large = F.octet_length("payload") >= REVISIT_BYTES
-    firsts = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("key"), "first")
-    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    joined = rows.withColumn("_key", key).join(firsts, F.col("_key") == F.col("key"), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    large = table(rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest"))
+    firsts = table(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "first"))
+    again = large.join(firsts, F.col("digest") == F.col("_digest")).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    again = table(again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_key"), "first").distinct())
+    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_key")), "left")
     schema = pa.schema([("record", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                page_id, url, raw, sha, first = (c[i].as_py() for c in batch.columns)
-                yield pa.RecordBatch.from_arrays([pa.array(records(page_id, url, raw, sha, first), pa.binary())], schema=schema)
+        for batch in parts_of(batches):
+            made = [member(r) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in records(*row)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], schema=schema)
 
-    made = joined.select("page_id", "url", "payload", "digest", refers.alias("first")).mapInArrow(merged(run), "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS).option("lineSep", "\n").option("compression", "gzip").text(folder)
-
-
-def merged(run, rows: int = 256, size: int = 8 << 20):
-    """run with its small batches put together, up to so many rows or bytes."""
-
-    def together(batches):
-        held, n, b = [], 0, 0
-        for x in run(batches):
-            held.append(x)
-            n, b = n + x.num_rows, b + x.nbytes
-            if n >= rows or b >= size:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n, b = [], 0, 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return together
+    made = joined.select("page_id", "url", "payload", "digest", "first").mapInArrow(run, "record binary")
+    made.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS).option("lineSep", "\0").text(folder)
 
 
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string"
@@ -159,7 +169,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     Records in one piece are decoded where they are read. Segments are grouped by their origin's id, ordered by number and
     joined if they are complete and as long in all as the last one states; only segments are shuffled. The digest is that of
-    the decoded payload, of a revisit that which it states. problem says why a payload couldn't be read, else it is null.
+    the decoded payload, of a revisit that which it states. problem says why a payload couldn't be read or that its digest
+    isn't the one stated, else it is null. A file is read as a whole, so it has to be below 2 GB; write_archives() bounds its own.
     """
     ship(spark)
     from pyspark.sql import types as T
@@ -171,14 +182,15 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 out = []
-                for fields, block in parsed(gzip.decompress(batch.column(0)[i].as_py())):
+                records = (r for m in members(batch.column(0)[i].as_py()) for r in parsed(m))
+                for fields, block in records:
                     kind, own = fields.get("warc-type"), fields.get("warc-record-id")
                     if kind == "continuation" or "warc-segment-number" in fields:
                         origin = fields.get("warc-segment-origin-id", own)
                         total = fields.get("warc-segment-total-length")
-                        out.append((page_of(origin), None, None, "response", None, None, origin, int(fields["warc-segment-number"]), int(total) if total else None, block))
+                        out.append((page_of(origin), None, stated(fields), "response", None, None, origin, int(fields["warc-segment-number"]), int(total) if total else None, block))
                     elif kind in ("response", "revisit"):
-                        size, sha, problem = read_block(block, fields if kind == "revisit" else None)
+                        size, sha, problem = read_block(block, stated(fields), kind == "revisit")
                         out.append((page_of(own), size, sha, kind, page_of(fields.get("warc-refers-to")), problem, None, None, None, None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
@@ -186,7 +198,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
     found = cut(files.mapInArrow(run, PARSED))
     names = [x.split(" ")[0] for x in RESULT.split(", ")]
-    segments = found.where("origin is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "block"))).alias("segments"))
+    segments = found.where("origin is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "block", "payload_digest"))).alias("segments"))
 
     def step(cols):
         out = []
@@ -199,26 +211,39 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             elif once[-1]["total"] != len(block):
                 got = (None, None, f"segments have {len(block)} bytes, {once[-1]['total']} are stated")
             else:
-                got = read_block(block, None)
+                got = read_block(block, once[0]["payload_digest"], False)
             out += [(page_of(origin), *got[:2], "response", None, got[2])] * copies
         return list(zip(*out, strict=True))
 
     return found.where("origin is null").select(*names).unionByName(map_rows(segments, lambda: step, RESULT))
 
 
-def read_block(block: bytes, revisit: dict | None) -> tuple:
-    """(payload bytes, payload digest, problem)."""
+def stated(fields: dict) -> str | None:
+    """The payload digest that a record states, bare."""
+    found = fields.get("warc-payload-digest")
+    return found and found.removeprefix("sha256:")
+
+
+def read_block(block: bytes, digest: str | None, revisit: bool) -> tuple:
+    """(payload bytes, payload digest, problem); digest: what the record states, which a payload is compared with."""
     try:
         payload, n = payload_of(block)
     except ValueError as e:
         return None, None, str(e)
-    return n, revisit.get("warc-payload-digest", "").removeprefix("sha256:") if revisit is not None else hashlib.sha256(payload).hexdigest(), None
+    if revisit:
+        return n, digest, None
+    own = hashlib.sha256(payload).hexdigest()
+    return n, own, None if digest in (None, own) else f"the payload's digest is not {digest}, as is stated"
 
 
 def through_archives(pages: DataFrame) -> DataFrame:
-    """read_archives() of what write_archives() makes of pages, in a new folder within the shared one. The archives stay there."""
+    """read_archives() of what write_archives() makes of pages, in a new folder within the shared one. The archives stay there.
+
+    A page of a null, empty or very long html, without url or page_id, or repeated has a row each; an empty table gives an
+    empty one. Columns other than page_id, url and html are not read.
+    """
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder)
     return read_archives(spark, folder)
 
