@@ -65,7 +65,10 @@ def likeness(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
 
 
 def fingerprint_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, fingerprint for every text; null counts as empty. Equal texts have equal fingerprints. No shuffle."""
+    """doc_id, n_chars, fingerprint for every text; null counts as empty. Equal texts have equal fingerprints. No shuffle.
+
+    Repeated rows and null ids give a row each, an empty table none; a very long text is counted whole. Other columns are not read.
+    """
     ship(docs.sparkSession)
 
     def step(cols):
@@ -92,17 +95,18 @@ def compared(doc_id, text: str, own, following: str, next_codes) -> tuple:
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, a row per row of docs.
 
-    The next document is the next row by (doc_id, text), after the last the first; null ids come first, null texts count as
-    empty, repeated rows follow one another. Rows are dealt by ranges of (doc_id, hash of the text) and sorted, once; a task
-    streams through its range. The ranges' first and last documents, a row for each range, come from the same shuffle and are
-    matched up among themselves: the only rows that meet beyond a range.
+    The next document is the next row by (doc_id, CRC-32 of the text, text), after the last the first; null ids come first, null
+    texts count as empty, repeated rows follow one another, in one range. An empty table gives an empty one; other columns
+    are not read, whatever they are called. Rows are dealt by ranges of (doc_id, CRC-32) and sorted, once; a task streams
+    through its range and holds two texts. The ranges' first and last documents, a row for each range, come from the same
+    shuffle and are matched up among themselves: the only rows that meet beyond a range.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows.withColumn("_h", F.crc32(F.col("text").cast("binary")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ordered.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    ranged = ordered.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
     arrow, ends_arrow = pa.schema(FIELDS), pa.schema([("doc_id", pa.int64()), ("range", pa.int64()), ("first", pa.string()), ("last", pa.string())])
 
     def inside(batches):
