@@ -19,35 +19,63 @@ def prose(rng, n):
     return " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
 
 
+def one_by_one(sizes, capacity):
+    """Best fit decreasing as it is defined: (size, bin) of every item, and the bins' sums."""
+    left, where = [], []
+    for size in sorted(sizes, reverse=True):
+        fit = [(free, k) for k, free in enumerate(left) if free >= size]
+        k = min(fit)[1] if fit else len(left)
+        left += [] if fit else [capacity]
+        left[k] -= size
+        where.append((size, k))
+    return where, len(left)
+
+
 def test_best_fit_takes_the_tightest_bin():
     rng = random.Random(2)
-    for _ in range(200):
-        items = [(rng.randint(1, 30), k) for k in range(rng.randint(0, 20))]
-        placed, n = sharding.best_fit_decreasing(items, 40)
-        left, where = [], {}
-        for size, key in sorted(items, key=lambda x: (-x[0], x[1])):
-            fit = [(free, k) for k, free in enumerate(left) if free >= size]
-            k = min(fit)[1] if fit else len(left)
-            left += [] if fit else [40]
-            left[k] -= size
-            where[key] = k
-        assert (placed, n) == (where, len(left))
+    for _ in range(300):
+        sizes = [rng.choice((rng.randint(1, 50), 7, 3)) for _ in range(rng.randint(0, 40))]
+        runs = sharding.best_fit_decreasing(sorted(Counter(sizes).items(), reverse=True), 40)
+        where, n = one_by_one(sizes, 40)
+        assert sorted((s, k) for s, _, count, k in runs for _ in range(count)) == sorted(where) and len({k for *_, k in runs}) == n
+        for size in set(sizes):  # an item's rank among those of its size is in one run
+            assert sorted(i for s, first, count, _ in runs if s == size for i in range(first, first + count)) == list(range(sizes.count(size)))
+
+
+def test_least_capacity():
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes = [rng.randint(1, 90) for _ in range(rng.randint(1, 60))]
+        runs = sharding.fewest_bytes(sorted(Counter(sizes).items(), reverse=True), 5)
+        load = Counter()
+        for s, _, n, k in runs:
+            load[k] += s * n
+        assert len(load) <= 5 and sum(load.values()) == sum(sizes) and max(load.values()) <= -(-sum(sizes) // 5) + max(sizes)
 
 
 def test_sharding(spark):
     rng = random.Random(3)
-    values = [(i, prose(rng, rng.randint(1, 60))) for i in range(700)] + [(1000 + i, "the same text") for i in range(40)] + [(2000, None), (2001, ""), (None, "x"), (3005, "again"), (3005, "again")]
+    values = [(i, prose(rng, rng.randint(1, 60))) for i in range(700)] + [(1000 + i, "the same text") for i in range(40)] + [(2000, None), (2001, ""), (None, "x"), (3005, "again"), (3005, "again"), (4000, "long " * 300)]
     docs = spark.createDataFrame([(i, t, 7) for i, t in values], "doc_id long, text string, shard long")
     out = sharding.shard_documents(docs, parts=4).toPandas()
     assert len(out) == len(values) and set(out.law) == {"bytes"} and out.grown_shard.isna().all() and out.shard.between(0, 23).all()
     assert (out.sort_values("slot").groupby("shard").slot.apply(list).map(lambda s: s == list(range(len(s))))).all()
     size = out.groupby("shard")["size"].sum()
-    assert size.max() <= 1.1 * size.sum() / 24 and len(size) == 24
+    assert size.max() <= 1.02 * size.sum() / 24 and len(size) == 24
     text = dict((i, t) for i, t in values if i is not None)
     for r in out.dropna(subset=["doc_id"]).itertuples():
         raw = (text[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
     assert out[out.doc_id.between(1000, 1039)].shard.nunique() == 1 and out[out.doc_id.isin([2000, 2001])].shard.nunique() == 1
+    groups = Counter()
+    for _, t in values:
+        groups[t or ""] += len((t or "").encode()) + 8
+    want = Counter()
+    for s, _, n, k in sharding.fewest_bytes(sorted(Counter(groups.values()).items(), reverse=True), 24):
+        want[s, k] += n
+    shard_of = {text[r.doc_id] or "": r.shard for r in out.dropna(subset=["doc_id"]).itertuples()}
+    got = Counter((groups[t], k) for t, k in shard_of.items())
+    assert sum((got - want).values()) == 0 and sum((want - got).values()) == 1  # the text without doc_id
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
@@ -60,8 +88,10 @@ def quality_table():
             text = " ".join(w + "###" for w in text.split())
         if i % 25 == 1:
             text += "\n" + text
+        if i % 40 == 2:
+            text = " ".join(w for w in text.split()[:20] for _ in range(6))
         values.append((i, text, rng.choice(["en", "de", None]), rng.choice(["a", "b"])))
-    odd = [None, "", " \n\t ", "one", "a\x0bb\x0cc", "x y " * 30, "line\nline\n\nline", "w " * 40, "é" * 9]
+    odd = [None, "", " \n\t ", "one", "a\x0bb\x0cc", "x y " * 30, "line\nline\n\nline", "w " * 40, "é" * 9, prose(rng, 30_000)]
     return values + [(1000 + k, t, None, None) for k, t in enumerate(odd)] + [(3, values[3][1], "en", "a")] * 2
 
 
@@ -75,7 +105,13 @@ def test_quality_rules_equal_sql(spark):
     assert got == sorted(map(repr, want))
     kept = quality.keep_good(frame)
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in want if r[-1])
-    assert 0 < len([r for r in want if not r[-1] and not r[-2]]) < 40
+    assert 0 < len([r for r in want if not r[-1] and not r[-2]]) < 60
+    assert not any(r[-1] for r in want if r[0] < 400 and r[0] % 40 == 2)  # each word six times in a row
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # and by shuffling
+    try:
+        assert got == sorted(map(repr, map(tuple, quality.quality_verdicts(frame).collect())))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert quality.quality_verdicts(frame.limit(0)).count() == 0 == quality.keep_good(frame.limit(0)).count()
 
 
@@ -92,7 +128,7 @@ def test_repeated_windows_by_brute_force(spark):
 
 def test_fingerprints_by_brute_force(spark):
     rng = random.Random(5)
-    values = [(i * 3, prose(rng, rng.randint(0, 90))) for i in range(60)] + [(200, None), (201, ""), (202, "é日" * 30), (203, "ab"), (204, "x" * 20000)]
+    values = [(i * 3, prose(rng, rng.randint(0, 90))) for i in range(60)] + [(200, None), (201, ""), (202, "é日" * 30), (203, "ab"), (204, "x" * 20000), (205, prose(rng, 50_000))]
     frame = spark.createDataFrame([(i, t, "clash") for i, t in values], "doc_id long, text string, range string").repartition(3)
     out = {r.doc_id: r for r in fingerprints.compare_with_next(frame).collect()}
     assert len(out) == len(values)
@@ -153,9 +189,12 @@ def brute(values, k, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_by_brute_force(spark, words, percent, monkeypatch):
+@pytest.mark.parametrize(("words", "percent", "broadcast"), [(3, 85, "10m"), (5, 80, "-1")])
+def test_near_duplicates_by_brute_force(spark, words, percent, broadcast, monkeypatch):
+    """With large groups of copies, chains in which only neighbours are alike, blocks of a few rows, and either kind of join."""
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 20_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     rng = random.Random(7)
     values, n = [], 0
     for family in range(12):
@@ -166,13 +205,23 @@ def test_near_duplicates_by_brute_force(spark, words, percent, monkeypatch):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
             values.append((n, " ".join(w)))
             n += 1
+    base = prose(rng, 100).split()
+    for k in range(30):
+        base[3 * k] = base[3 * k + 1] = rng.choice(WORDS)
+        values.append((n, " ".join(base)))
+        n += 1
+    values.append((n, prose(rng, 40_000)))
+    n += 1
     values += [(n + k, t) for k, t in enumerate([None, "", " \n", "One", "one", "one two", "ONE  two", "a b c d e f", "é É x y z w"])]
     rng.shuffle(values)
     frame = spark.createDataFrame([(i, t, 1) for i, t in values], "doc_id long, text string, kept int")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, words, percent).collect()}
-    assert got == brute(values, words, percent)
-    kept = neardup.keep_one(frame, words, percent)
-    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, words, percent).collect()}
+        assert got == brute(values, words, percent)
+        kept = neardup.keep_one(frame, words, percent)
+        assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_near_duplicates_edges(spark):

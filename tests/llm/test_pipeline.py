@@ -56,6 +56,83 @@ def test_one_class_or_no_labels(spark):
     assert toxicity.toxicity_scores(frame.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def naive(model, words):
+    """Pooled values and logit by the definition of a convolution: every filter at every window of a padded text."""
+    vectors = [sum(model.embed[b].astype(float) for b in toxicity.buckets(w)) for w in words]
+    vectors += [np.zeros(toxicity.DIM)] * max(max(toxicity.WIDTHS) - 1, max(toxicity.WIDTHS) - len(words))
+    n, pooled = max(1, len(words)), []
+    for width, filters in zip(toxicity.WIDTHS, model.filters):
+        for f in range(toxicity.FILTERS):
+            pooled.append(max(sum(float(vectors[i + j] @ filters[j, :, f]) for j in range(width)) for i in range(n)))
+    pooled = [max(0.0, x + b) for x, b in zip(pooled, model.bias.tolist())]
+    return pooled, sum(x * float(w) for x, w in zip(pooled, model.out)) + model.out_bias
+
+
+def random_model(seed=5, kind=np.float32):
+    rng = np.random.default_rng(seed)
+    k = len(toxicity.WIDTHS) * toxicity.FILTERS
+    embed = rng.normal(0, 0.5, (toxicity.BUCKETS, toxicity.DIM)).astype(kind)
+    embed[0] = 0
+    return toxicity.Model(embed, [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)).astype(kind) for w in toxicity.WIDTHS], rng.normal(0, 0.2, k).astype(kind), rng.normal(0, 0.5, k).astype(kind), 0.3)
+
+
+def test_scores_equal_a_naive_convolution():
+    model, words = random_model(), toxicity.Words(random_model())
+    for text in ("", "one", "two words", "a longer text, with some words: twice twice!", "... !!"):
+        doc = toxicity.words_of(text)
+        words.learn(set(doc))
+        rows = words.of(doc)
+        pooled, logit = naive(model, doc)
+        assert np.allclose(model.pooled(rows), pooled, atol=1e-4) and abs(model.logit(rows) - logit) < 1e-3, text
+
+
+def test_gradients_equal_numeric_ones():
+    model, pad = random_model(6, np.float64), max(toxicity.WIDTHS) - 1
+    texts, labels = ["river stone cloud river green", "one", "a b c d e f g"], np.array([1, 0, 1])
+    feats = [np.array([toxicity.buckets(w) for w in t.split()] + [(0, 0, 0)] * max(pad, pad + 1 - len(t.split()))) for t in texts]
+
+    def loss():
+        p = [1 / (1 + np.exp(-naive(model, t.split())[1])) for t in texts]
+        return -np.mean([np.log(x) if y else np.log(1 - x) for x, y in zip(p, labels)])
+
+    grads, keys, rows, out_bias = toxicity.gradients(model, feats, labels)
+    params = {"bias": model.bias, "out": model.out, **{f"f{k}": w for k, w in enumerate(model.filters)}}
+    rng, eps = np.random.default_rng(1), 1e-6
+
+    def numeric(array, at):
+        held = array[at]
+        array[at] = held + eps
+        up = loss()
+        array[at] = held - eps
+        down = loss()
+        array[at] = held
+        return (up - down) / (2 * eps)
+
+    for name, array in params.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in array.shape)
+            assert abs(numeric(array, at) - grads[name][at]) < 1e-6, name
+    for k, key in list(enumerate(keys))[1:8]:
+        assert abs(numeric(model.embed, (key, 3)) - rows[k, 3]) < 1e-6
+    held, model.out_bias = model.out_bias, model.out_bias + eps
+    up = loss()
+    model.out_bias = held - eps
+    assert abs((up - loss()) / (2 * eps) - out_bias) < 1e-6
+
+
+def test_a_document_repeated_many_times_is_one_to_learn_from(spark):
+    docs, labels = labelled(60)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").unionByName(spark.range(50_000).selectExpr("4L as doc_id", "concat('gruntle ', id % 7) as text"))
+    seen = []
+    train = toxicity.train
+    try:
+        toxicity.train = lambda texts, y, weights: seen.append(len(texts)) or train(texts, y, weights)
+        toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    finally:
+        toxicity.train = train
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in docs)]
+
+
 def test_best_cut_separates():
     z, y = np.array([3.0, 2.0, -1.0, -2.0]), np.array([1, 1, 0, 0])
     assert toxicity.best_cut(z, y, (90.0, 10.0)) == 0.5
@@ -90,3 +167,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert neardup.threshold(0.8) > neardup.threshold(0.85)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.select("doc_id", "start", "length").groupBy("doc_id").sum("length").collect())) == sorted(map(tuple, packed.groupBy("doc_id").sum("length").collect()))
+
+
+def test_stages_on_nulls_empty_tables_and_clashing_columns(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    docs, labels = labelled(120, seed=5)
+    rng = random.Random(6)
+    rows = [(i, t + " " + " ".join(rng.choice(WORDS) for _ in range(30)), "en", "s") for i, t in docs]
+    rows += [(None, None, None, None), (500, None, "en", None), (501, "", None, "s"), (502, " \n", "en", "s"), (503, "the " + " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ed"]) for _ in range(60_000)), None, None), (7, rows[7][1], "en", "s"), (None, rows[9][1], "en", "s")]
+    clash = ["kept", "toxicity", "_row", "_gone", "n_words", "sig", "key", "label"]
+    frame = spark.createDataFrame([(*r, *range(len(clash))) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in clash))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for part in (frame, frame.limit(0)):
+        now = part
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == frame.columns and all(tuple(r)[4:] == tuple(range(len(clash))) for r in got)
+                now = spark.createDataFrame(got, frame.schema)
+        assert bool(got) == (part is frame)
+        assert not {r.doc_id for r in got} & {500, 501, 502} and (part is not frame or 503 in {r.doc_id for r in got})

@@ -79,6 +79,51 @@ def test_operators_on_null_empty_repeated_and_clashing(spark):
     assert spans[2] == [] and spans[1][0][0] == 0 and spans[1][-1][1] == 11 and all(a[1] == b[0] for a, b in zip(spans[1], spans[1][1:]))
 
 
+def test_a_megabyte_without_a_space(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghij漢字かな") for _ in range(400_000))
+    docs = table(spark, [(1, long), (2, "x" + long), (3, "short")])
+    ids = {i: library().encode(t, add_special_tokens=False).ids for i, t in ((1, long), (2, "x" + long), (3, "short"))}
+    out = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in tokens.encode_digests(docs, BYTE).collect()}
+    assert out == {i: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in ids.items()}
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, PIECE, 100).collect()} == {1: len(lib.encode(long)), 2: len(lib.encode("x" + long)), 3: len(lib.encode("short"))}
+    pieces = packing.pack_documents(docs, BYTE).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in pieces} == {i: len(x) + 1 for i, x in ids.items()}
+
+
+def test_caches_are_bounded_by_what_they_hold():
+    """Long stretches aren't kept, so that 10 000 texts without a space leave nothing behind."""
+    rng = random.Random(9)
+    byte, piece = ByteLevelBpe(BYTE), PieceBpe(PIECE)
+    for _ in range(10_000):
+        t = "".join(rng.choices("abcdefgh", k=rng.choice((65, 80))))
+        byte.encode(t)
+        piece.count("▁" + t)
+    assert not byte.words and not piece.words
+    assert byte.core._automaton is not None
+    other = ByteLevelBpe(BYTE)
+    other.merged_ids("only merging")
+    assert other.core._automaton is None
+
+
+def test_prefix_counts_of_texts(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    docs = table(spark, [(1, "some words, é"), (2, None), (3, "")])
+    got = {r.doc_id: r.prefix_counts for r in tokens.prefix_token_counts(docs, PIECE).collect()}
+    assert got == {1: [len(lib.encode("some words, é"[:i])) for i in range(14)], 2: [0], 3: [0]}
+
+
+def test_packing_on_null_repeated_and_clashing(spark):
+    docs = spark.createDataFrame([(1, None, 9, "x"), (2, "a b", 9, "x"), (2, "a b", 9, "x"), (None, "c", 9, "x")], "doc_id long, text string, start int, sequence_id string")
+    got = packing.pack_documents(docs.coalesce(1), BYTE).orderBy("sequence_id", "offset").collect()
+    assert [(r.doc_id, r.length) for r in got] == [(1, 1), (2, 3), (2, 3), (None, 2)]
+
+
 def test_window_cuts_are_optimal():
     rng = random.Random(1)
     for _ in range(300):

@@ -20,8 +20,8 @@ def at(n):
 def test_captures_by_brute_force(spark):
     rng = random.Random(1)
     hosts = ["a.example.com", "b.example.com", "example.com", "x.y.example.org", "example.org", "other.net"]
-    entries = [(rng.choice(hosts), rng.choice(["block", "allow", "remove"]), at(rng.randint(0, 20))) for _ in range(40)] + [("EXAMPLE.com", "block", at(3)), (None, "block", at(1)), ("other.net", "block", None)]
-    captures = [(i, f"https://{rng.choice(hosts).upper()}:80/p?q#f", at(rng.randint(-1, 22))) for i in range(120)] + [(500, None, at(1)), (501, "nonsense", at(1)), (502, "http://example.com.", None), (503, "http://user@example.com/x", at(9)), (503, "http://user@example.com/x", at(9))]
+    entries = [(rng.choice(hosts), rng.choice(["block", "allow", "remove"]), at(rng.randint(0, 20))) for _ in range(40)] + [("EXAMPLE.com", "block", at(3)), (None, "block", at(1)), ("other.net", "block", None), ("[2001:db8::1]", "block", at(2)), ("0.0.1", "block", at(2)), ("10.0.0.1", "allow", at(3))]
+    captures = [(i, f"https://{rng.choice(hosts).upper()}:80/p?q#f", at(rng.randint(-1, 22))) for i in range(120)] + [(500, None, at(1)), (501, "nonsense", at(1)), (502, "http://example.com.", None), (503, "http://user@example.com/x", at(9)), (503, "http://user@example.com/x", at(9)), (504, "http://[2001:DB8::1]:8080/x", at(9)), (505, "http://10.0.0.1/", at(9)), (506, "http://" + "long." * 60_000 + "example.com/", at(9))]
     frame = spark.createDataFrame([(i, u, t, "clash", 1) for i, u, t in captures], "id long, url string, fetched_at timestamp, host string, _host int")
     out = urls.judge_captures(frame, spark.createDataFrame(entries, "pattern string, action string, at timestamp")).collect()
     order = {"block": 0, "allow": 1, "remove": 2}
@@ -29,9 +29,10 @@ def test_captures_by_brute_force(spark):
     for i, u, t in captures:
         host = None
         if u and "://" in u:
-            host = u.split("://")[1].split("/")[0].split("@")[-1].split(":")[0].lower().rstrip(".")
+            host = u.split("://")[1].split("/")[0].split("@")[-1].lower()
+            host = host.split("]")[0] + "]" if host[0] == "[" else host.split(":")[0].rstrip(".")
         pattern = action = None
-        labels = host.split(".") if host else []
+        labels = [host] if host and (host[0] == "[" or host.replace(".", "").isdigit()) else host.split(".") if host else []
         for k in range(len(labels)):
             p = ".".join(labels[k:])
             known = [(e[2], -order[e[1]], e[1]) for e in entries if e[0] and e[2] and e[0].lower() == p and t is not None and e[2] <= t]
@@ -94,3 +95,37 @@ def test_broken_framing_is_told():
         list(warc.parsed(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"))
     with pytest.raises(ValueError):
         list(warc.parsed(b"no archive"))
+
+
+def test_records_can_be_read_from_their_offsets(spark, tmp_path):
+    import gzip
+    import zlib
+
+    folder = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(30)], "page_id long, url string, html string").coalesce(1), folder)
+    (file,) = (tmp_path / "w").glob("part-*")
+    raw = file.read_bytes()
+    whole = gzip.decompress(raw)
+    assert len(list(warc.parsed(whole))) == 30
+    at, found = 0, []
+    while at < len(raw):
+        inflate = zlib.decompressobj(31)
+        ((fields, block),) = warc.parsed(inflate.decompress(raw[at:]))
+        found.append(fields["warc-record-id"])
+        at = len(raw) - len(inflate.unused_data)
+    assert len(set(found)) == 30
+    with pytest.raises(ValueError):
+        list(warc.members(raw[:-5]))
+
+
+def test_a_wrong_digest_and_other_spellings_are_told(spark, tmp_path):
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\ntransfer-ENCODING: chunked\r\n\r\n" + warc.chunked(b"payload")
+    def one(page, digest):
+        return warc.head([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{page}:x>"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Length", len(block))]) + block + b"\r\n\r\n"
+    right = hashlib.sha256(b"payload").hexdigest()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "part-0").write_bytes(gzip.compress(one(1, right) + one(2, "0" * 64)))  # one member for both
+    got = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "in")).collect()}
+    assert (got[1].payload_bytes, got[1].payload_digest, got[1].problem) == (7, right, None) and "digest" in got[2].problem
