@@ -8,26 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkfolio.llm import neardup, packing, quality, toxicity
 from sparkfolio.llm.queries import BYTE_BPE, tokenizer
-from sparkfolio.llm.runtime import shared_dir
+from sparkfolio.llm.runtime import drop_folder, shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null, empty and blank texts too. All columns stay, whatever they are called."""
     return quality.keep_good(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. The classifier learns from labels of the documents that are there."""
+    """Documents that score as toxic go. The classifier learns from labels of the documents that are there; without labels of
+    both classes it has one score for all, below the threshold unless all labels are toxic."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingles of five words and a similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    """Of documents linked by shingles of five words and a similarity of 0.8 or more, the one with the smallest doc_id stays,
+    with all its rows if it is repeated. Documents without doc_id or without words stay."""
     return neardup.keep_one(docs, words=5, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of at most 1024 tokens."""
+    """Pieces of documents in windows of at most 1024 tokens; of an empty table none. The only stage whose rows aren't documents."""
     return packing.pack_documents(docs, tokenizer(BYTE_BPE))
 
 
@@ -38,10 +40,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written as Parquet in the shared folder and read again by the next."""
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents, each written as Parquet in the shared folder and read again by the next.
+
+    A stage's output goes once the next one is written; the last one's stays, as the result reads it.
+    """
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            drop_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
