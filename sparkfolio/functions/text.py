@@ -44,8 +44,15 @@ def doi_from_url(c: Column) -> Column:
 def abstract_from_index(index: Column) -> Column:
     """Text of an inverted index map<word, array<position>>: words at their positions, the last word of an entry order wins, gaps stay empty."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    at = F.sequence(F.lit(0), F.array_max(F.transform(pairs, lambda x: x["p"])))
-    words = F.transform(at, lambda i: F.coalesce(F.try_element_at(F.filter(pairs, lambda x: x["p"] == i), F.lit(-1))["w"], F.lit("")))
+    numbered = F.transform(pairs, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w")))
+    start = F.struct(F.lit(-1).alias("p"), F.array().cast("array<string>").alias("words"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.array_repeat(F.lit(""), F.greatest(x["p"] - acc["p"] - 1, F.lit(0)))
+        kept = F.when(x["p"] == acc["p"], F.slice(acc["words"], F.lit(1), F.size(acc["words"]) - 1)).otherwise(acc["words"])
+        return F.struct(x["p"].alias("p"), F.concat(kept, gap, F.array(x["w"])).alias("words"))
+
+    words = F.aggregate(F.array_sort(numbered), start, step)["words"]
     return F.when(F.size(pairs) > 0, strip(F.array_join(words, " ")))
 
 
@@ -130,6 +137,12 @@ def is_entity_name(c: Column) -> Column:
     return F.coalesce((n >= 2) & (n <= 200) & ~bad, F.lit(False))
 
 
+def valid_entities(items: Column, kind: str, least: float = 0.3) -> Column:
+    """Of an array of names those that name an entity, as structs of name and confidence; below the least confidence they are left out."""
+    scored = F.transform(items, lambda x: F.struct(x.alias("name"), entity_confidence(F.lit(kind), x, F.lit(False)).alias("confidence")))
+    return F.filter(scored, lambda e: is_entity_name(e["name"]) & (e["confidence"] >= least))
+
+
 def entity_confidence(kind: Column, name: Column, has_extra: Column) -> Column:
     """0 for an invalid name, else 0.5 with bonuses for length, form and extra fields; at most 1, two decimals."""
     s = strip(name)

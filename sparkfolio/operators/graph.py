@@ -12,12 +12,12 @@ def pair_counts(bridge: DataFrame, by: list[str] = ()) -> DataFrame:
     """a, b, weight: in how many papers two names (a < b) occur together. bridge: paper_id, name, distinct.
 
     Pairs come from each paper's sorted names, not from a self-join of the bridge: one shuffle on the paper, then partial counts,
-    and as many rows as there are pairs within papers, whatever the number of papers that share a name.
+    and as many rows as there are pairs within papers, whatever the number of papers that share a name. Names are dealt out
+    first and each meets those after it, so no row ever holds a paper's pairs, however many authors it has.
     """
     lists = bridge.groupBy(*by, "paper_id").agg(F.sort_array(F.collect_set("name")).alias("names")).where(F.size("names") > 1)
-    n = F.size("names")
-    later = lambda x, i: F.transform(F.slice(F.col("names"), i + 2, n), lambda y: F.struct(x.alias("a"), y.alias("b")))
-    pairs = lists.select(*by, F.explode(F.flatten(F.transform("names", later))).alias("p")).select(*by, "p.a", "p.b")
+    firsts = lists.select(*by, "names", F.posexplode("names").alias("i", "a")).where(F.col("i") < F.size("names") - 1)
+    pairs = firsts.select(*by, "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
     return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("weight"))
 
 
@@ -84,6 +84,15 @@ def trends(counts: DataFrame, by: list[str], recent: int = 3) -> DataFrame:
     return g.withColumns({"emerging": fresh & (F.col("growth") > 0), "declining": (F.col("years") >= 2) & (F.col("growth") < 0)}).drop("_latest")
 
 
+def top_emerging(trend_rows: DataFrame, n: int, by: list[str] = ()) -> DataFrame:
+    """The n emerging names of a group (of all without by) that grow fastest, with rank; ties by name. trend_rows: as of trends()."""
+    rows = trend_rows.where("emerging")
+    order = [F.desc("growth"), F.col("name")]
+    if by:
+        return top_n(rows, n, list(by), order)
+    return top_n(rows.orderBy(*order).limit(n).withColumn("_one", F.lit(1)), n, ["_one"], order).drop("_one")
+
+
 def z_scores(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """df with z: distance from the group's mean in sample standard deviations; 0 for a single value or equal ones."""
     stats = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
@@ -96,10 +105,10 @@ def percentiles(df: DataFrame, value: str, by: list[str], points: list[float]) -
 
 
 def nodes(papers: DataFrame, entities: DataFrame) -> DataFrame:
-    """type, name, papers, first_year, kind: entity nodes; kind classifies institutions and technologies."""
+    """type, name, papers, first_year, kind: entity nodes; kind classifies institutions and technologies. Papers without metadata count, without a year."""
     dated = papers.select("paper_id", "year")
     kind = F.when(F.col("type") == "institution", kind_of(F.col("name"), INSTITUTION_KINDS)).when(F.col("type") == "technology", kind_of(F.col("name"), TECHNOLOGY_KINDS))
-    return entities.join(dated, "paper_id").groupBy("type", "name").agg(F.countDistinct("paper_id").alias("papers"), F.min("year").alias("first_year")).withColumn("kind", kind)
+    return entities.join(dated, "paper_id", "left").groupBy("type", "name").agg(F.countDistinct("paper_id").alias("papers"), F.min("year").alias("first_year")).withColumn("kind", kind)
 
 
 #: Kind of the edge between an entity (source) and a paper, or from a paper to an entity.
@@ -116,6 +125,18 @@ def edges(entities: DataFrame, authors: DataFrame, institutions: DataFrame) -> D
     return own.unionByName(affiliated).select(F.concat("source", F.lit("->"), "target").alias("id"), "source", "target", "type")
 
 
+def with_paper_meta(knowledge: DataFrame, meta: DataFrame) -> DataFrame:
+    """knowledge (paper_id, ...) with year, citations and venue of its paper; what has no metadata stays, with nulls and 0 citations."""
+    known = meta.select("paper_id", "year", F.col("citations").alias("_c"), "venue")
+    return knowledge.join(known, "paper_id", "left").withColumn("citations", F.coalesce("_c", F.lit(0))).drop("_c")
+
+
+def occurrences(mentions: DataFrame) -> DataFrame:
+    """paper_id, type, name, occurrences: the bridge as a multiset. A name that a record has more than once (an author listed twice, a
+    method that is a technique as well) counts as often; sum occurrences where repeated mentions are to count double."""
+    return mentions.groupBy("paper_id", "type", "name").agg(F.count("*").alias("occurrences"))
+
+
 def induced(edge_rows: DataFrame, node_ids: DataFrame) -> DataFrame:
     """Edges with both ends among node_ids (id)."""
     return edge_rows.join(node_ids.select(F.col("id").alias("source")), "source", "left_semi").join(node_ids.select(F.col("id").alias("target")), "target", "left_semi")

@@ -85,8 +85,18 @@ def merged_metadata(stored: Column, update: Column) -> Column:
     return F.map_concat(keep, update)
 
 
-def searched_notes(notes: DataFrame, q: str | None) -> DataFrame:
-    """Notes whose title or content contains q (LIKE wildcards included, ignoring case); a blank q lists all."""
+def request_metrics(log: DataFrame, buckets: list[float]) -> tuple[DataFrame, DataFrame]:
+    """Of a request log (method, endpoint, status, seconds): requests by method, endpoint and status, and by method and endpoint
+    the count, sum and cumulative buckets of their durations. A status class is a digit and "xx"."""
+    by_status = log.groupBy("method", "endpoint", "status").agg(F.count("*").alias("requests")).withColumn("status_class", F.concat(F.substring(F.col("status").cast("string"), 1, 1), F.lit("xx")))
+    return by_status, metrics(log, ["method", "endpoint"], "seconds", buckets)
+
+
+def searched_notes(notes: DataFrame, q: str | None, source_type: str | None = None) -> DataFrame:
+    """Notes whose title or content contains q (LIKE wildcards included, ignoring case); a blank q lists all. source_type, if it is
+    given, must be theirs."""
+    if source_type is not None:
+        notes = notes.where(F.col("source_type") == source_type)
     if not q or not q.strip():
         return notes
     return notes.where(F.col("title").ilike(f"%{q.strip()}%") | F.col("content").ilike(f"%{q.strip()}%"))

@@ -10,23 +10,29 @@ from ..functions.text import normalized_title, normalized_url, strip
 from ..shipping import ship
 
 
-def match_keys(papers: DataFrame) -> DataFrame:
+KINDS = ("doi", "title", "norm", "url", "id")
+
+
+def match_keys(papers: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """pos and keys array<string>: what a paper matches others by, with the kind of each as a prefix."""
     title, doi = strip(F.lower("title")), strip(F.lower("doi"))
     key = lambda kind, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{kind}:"), c))
-    keys = [key("doi", doi), key("title", title), key("norm", normalized_title(F.col("title"))), key("url", normalized_url(F.col("url")))]
-    if "external_ids" in papers.columns:
+    made = {"doi": doi, "title": title, "norm": normalized_title(F.col("title"))}
+    if "url" in kinds:
+        made["url"] = normalized_url(F.col("url"))
+    keys = [key(k, c) for k, c in made.items() if k in kinds]
+    if "id" in kinds and "external_ids" in papers.columns:
         ids = F.transform("external_ids", lambda e: F.concat(F.lit("id:"), e["namespace"], F.lit(":"), e["id"]))
         return papers.select("pos", F.array_union(F.array_compact(F.array(*keys)), ids).alias("keys"))
     return papers.select("pos", F.array_compact(F.array(*keys)).alias("keys"))
 
 
-def transitive_groups(papers: DataFrame) -> DataFrame:
+def transitive_groups(papers: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """pos, group: papers connected through any keys, named by their smallest pos. For any size and any length of chain: each paper
     hangs on the first one of each key, then large-star and small-star steps (grouped minima and joins with them) go on until every
     paper hangs on its group's smallest alone; steps grow with the logarithm of the length. Chains of matches join here, unlike in
     greedy_groups()."""
-    keyed = match_keys(papers).select("pos", F.explode("keys").alias("key"))
+    keyed = match_keys(papers, kinds).select("pos", F.explode("keys").alias("key"))
     first = keyed.groupBy("key").agg(F.min("pos").alias("v"))
     e = keyed.join(first, "key").select(F.col("pos").alias("u"), "v").where("u <> v").distinct().checkpoint()
     while True:
@@ -57,14 +63,14 @@ class _FirstWins:
         return min(hits, default=pos)
 
 
-def greedy_groups(papers: DataFrame) -> DataFrame:
+def greedy_groups(papers: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """pos, group: papers in the order of pos, each put to the first kept paper with which it shares a key, else kept itself.
 
     The sequential rule only matters within connected papers, so blocks are the transitive groups: exact, and parallel. A
     block's positions and keys stream through its task in order; what the task holds is the keys of papers that were kept.
     """
     ship(papers.sparkSession)
-    blocks = match_keys(papers).join(transitive_groups(papers), "pos")
+    blocks = match_keys(papers, kinds).join(transitive_groups(papers, kinds), "pos")
     alone = blocks.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
     several = blocks.join(alone, "group", "left_semi").select("group", "pos", "keys")
     schema = pa.schema([("pos", pa.int64()), ("group", pa.int64())])
@@ -83,9 +89,9 @@ def greedy_groups(papers: DataFrame) -> DataFrame:
     return grouped.unionByName(blocks.join(alone, "group", "left_anti").select("pos", "group"))
 
 
-def kept_first(papers: DataFrame) -> DataFrame:
-    """The papers that greedy_groups() keeps."""
-    return papers.join(greedy_groups(papers).where("pos = group").select("pos"), "pos", "left_semi")
+def kept_first(papers: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The papers that greedy_groups() keeps; by ("doi", "title", "norm") the plain list without repeated papers."""
+    return papers.join(greedy_groups(papers, kinds).where("pos = group").select("pos"), "pos", "left_semi")
 
 
 def merged(papers: DataFrame) -> DataFrame:

@@ -76,24 +76,36 @@ def nearest(vectors: DataFrame, query: list[float], k: int, min_score: float | N
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
-def embed(texts: DataFrame, content: str, dimensions: int = 384) -> DataFrame:
-    """texts with embedding array<float>: an offline stand-in (hashed words, unit length) for a sentence model; a model's provider has the same shape."""
+def hashed_words(dimensions: int):
+    """An offline stand-in for a sentence model: hashed words, of unit length."""
+    import zlib
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
+    import numpy as np
 
-        import numpy as np
+    def vectors(texts: list[str]) -> list:
+        out = []
+        for text in texts:
+            v = np.zeros(dimensions, np.float32)
+            for w in text.lower().split():
+                h = zlib.crc32(w.encode())
+                v[h % dimensions] += 1 if h & 1 << 20 else -1
+            out.append(v / (np.linalg.norm(v) or 1))
+        return out
+
+    return vectors
+
+
+def embed(texts: DataFrame, content: str, dimensions: int = 384, embedder=None, batch: int = 32) -> DataFrame:
+    """texts with embedding array<float>. embedder() is called once in each task (a model is loaded there) and gives a function from
+    a list of at most batch texts to their vectors; without one, hashed_words() stands in."""
+    ship(texts.sparkSession)
 
+    @F.pandas_udf("array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = hashed_words(dimensions) if embedder is None else embedder()
         for s in batches:
-            out = []
-            for text in s:
-                v = np.zeros(dimensions, np.float32)
-                for w in (text or "").lower().split():
-                    h = zlib.crc32(w.encode())
-                    v[h % dimensions] += 1 if h & 1 << 20 else -1
-                out.append(v / (np.linalg.norm(v) or 1))
-            yield pd.Series(out)
+            items = [x or "" for x in s]
+            yield pd.Series([v for at in range(0, len(items), batch) for v in model(items[at : at + batch])])
 
     return texts.withColumn("embedding", vectors(F.col(content)))
 
@@ -237,9 +249,10 @@ def within_budget(sections: DataFrame, by: list[str], budget: int, order: list[C
     return numbered.join(kept, [*by, "_k"], "left_semi").drop("_k")
 
 
-def artifact_budget(content: Column, cap: int) -> Column:
+def artifact_budget(content: Column, cap: int | Column) -> Column:
     """A text cut to a cap at its last line break, if there is one."""
-    cut = F.substring(content, 1, cap)
+    cap = F.lit(cap)
+    cut = F.substring(content, F.lit(1), cap)
     at = F.length(cut) - F.instr(F.reverse(cut), "\n")
     return F.when(F.length(content) <= cap, content).otherwise(F.when(F.instr(F.reverse(cut), "\n") > 0, F.substring(cut, F.lit(1), at)).otherwise(cut))
 
@@ -447,22 +460,8 @@ def confidence_reasons(positive: Column, total: Column, kept: Column, completene
     return F.when(total == 0, "No retrieved sections available.").otherwise(F.when(text == "", "limited evidence").otherwise(text))
 
 
-def follow_ups(labels: Column, topics: Column, limit: int = 5) -> Column:
-    """Up to so many questions from section labels and topics, each once (ignoring case)."""
-    made = F.zip_with(labels, topics, lambda lab, top: F.concat(F.lit("Which "), F.lower(lab), F.coalesce(F.concat(F.lit(" are most relevant to "), top), F.lit(" are used in this research area")), F.lit("?")))
-    return F.slice(F.array_distinct(made), 1, limit)
-
-
 def history(messages: DataFrame, by: str, order: str, limit: int = 2000) -> DataFrame:
     """by, history: a conversation's messages in order as "Role: text" lines, each text cut to so many characters."""
     line = F.concat(F.initcap("role"), F.lit(": "), F.substring("text", 1, limit))
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
     return messages.groupBy(by).agg(F.array_join(F.transform(rows, lambda r: r["l"]), "\n").alias("history"))
-
-
-def prompt(sections: DataFrame, by: str, limit: int = 15) -> DataFrame:
-    """by, prompt: the first sections of a question by score as blocks of a prompt."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "pos")
-    top = sections.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit)
-    block = F.format_string("[%s / %s]\n%s", "source", "label", "content")
-    return top.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", block.alias("b")))), lambda r: r["b"]), "\n\n").alias("prompt"))

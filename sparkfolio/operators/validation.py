@@ -56,6 +56,14 @@ def scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", score).withColumn("status", F.when(critical, "invalid").when(F.col("score") >= 90, "valid").when(F.col("score") >= 70, "warning").otherwise("invalid"))
 
 
+def stage_summary(validated: DataFrame, messages: str = "messages") -> DataFrame:
+    """summary() as a stage's artifact has it: records count as duplicates if a message has "duplicate" in it, in lower case; so
+    messages that begin with "Duplicate" don't count."""
+    hit = F.exists(F.coalesce(F.col(messages), F.array().cast("array<string>")), lambda m: F.coalesce(F.contains(m, F.lit("duplicate")), F.lit(False)))
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("valid", "warning", "invalid")]
+    return validated.agg(F.count("*").alias("total"), *counts, F.count_if(hit).alias("duplicates"), F.coalesce(F.round(F.avg("score"), 1), F.lit(0.0)).alias("average_score"))
+
+
 def summary(validated: DataFrame) -> DataFrame:
     """One row: counts by status, records with a duplicate rule, mean score."""
     duplicate = F.exists("issues", lambda i: i.startswith("duplicate_"))

@@ -26,5 +26,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _name in ("papers", "graph", "analysis", "retrieval", "events"):
+for _name in ("papers", "graph", "analysis", "retrieval", "events", "answers"):
     importlib.import_module(f"sparkfolio.plans.{_name}")

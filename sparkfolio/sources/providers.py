@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,11 +79,73 @@ class Registry:
         return out, errors
 
 
+class TableCache:
+    """DataFrames kept as Parquet under a folder by key, each until its time is over. Keys are paths without "..".
+
+    An entry is a folder of its own, written as a whole before it counts (_SUCCESS); its age is that of this mark. clock gives
+    the seconds since the epoch. Failures of the store never reach the caller of get_or_compute(): the value is computed.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, seconds: float = 3600, clock: Callable[[], float] = time.time):
+        self.spark, self.folder, self.seconds, self.clock = spark, folder.rstrip("/"), seconds, clock
+
+    def _path(self, key: str):
+        if ".." in key.split("/"):
+            raise ValueError(f"no key: {key!r}")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{key}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def exists(self, key: str, seconds: float | None = None) -> bool:
+        fs, p = self._path(f"{key}/_SUCCESS")
+        if not fs.exists(p):
+            return False
+        return self.clock() - fs.getFileStatus(p).getModificationTime() / 1000 < (self.seconds if seconds is None else seconds)
+
+    def get(self, key: str) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.folder}/{key}") if self.exists(key) else None
+
+    def set(self, key: str, value: DataFrame) -> None:
+        value.write.mode("overwrite").parquet(f"{self.folder}/{key}")
+
+    def delete(self, key: str) -> bool:
+        fs, p = self._path(key)
+        return bool(fs.delete(p, True))
+
+    def delete_pattern(self, pattern: str) -> int:
+        """Deletes the entries whose keys a glob matches, whatever their age; how many there were."""
+        import fnmatch
+
+        fs, root = self._path("")
+        if not fs.exists(root):
+            return 0
+        found, base, marks = [], fs.makeQualified(root).toUri().getPath().rstrip("/") + "/", fs.listFiles(root, True)
+        while marks.hasNext():
+            at = marks.next().getPath()
+            if at.getName() == "_SUCCESS":
+                key = at.getParent().toUri().getPath().removeprefix(base)
+                found += [key] if fnmatch.fnmatchcase(key, pattern) else []
+        return sum(map(self.delete, found))
+
+    def get_or_compute(self, key: str, compute: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+        """(value, whether it was there)"""
+        try:
+            if (found := self.get(key)) is not None:
+                return found, True
+        except Exception:  # a store outside may fail in any way
+            return compute(), False
+        value = compute()
+        try:
+            self.set(key, value)
+            return self.spark.read.schema(value.schema).parquet(f"{self.folder}/{key}"), False
+        except Exception:
+            return value, False
+
+
 class Cached:
-    """A provider whose answers are kept as Parquet by provider, query and limit."""
+    """A provider whose answers are kept by provider, query and limit for so many seconds."""
 
-    def __init__(self, name: str, provider: Callable[[SparkSession, str, int], DataFrame], folder: str):
-        self.name, self.provider, self.folder = name, provider, folder
+    def __init__(self, name: str, provider: Callable[[SparkSession, str, int], DataFrame], folder: str, seconds: float = 3600, clock: Callable[[], float] = time.time):
+        self.name, self.provider, self.folder, self.seconds, self.clock = name, provider, folder, seconds, clock
 
     def key(self, query: str, limit: int) -> str:
         import hashlib
@@ -90,26 +153,33 @@ class Cached:
         return f"provider={self.name}/query={hashlib.sha256(query.encode()).hexdigest()[:16]}/limit={limit}"
 
     def __call__(self, spark: SparkSession, query: str, limit: int) -> DataFrame:
-        path = f"{self.folder}/{self.key(query, limit)}"
-        try:
-            return spark.read.schema(SCHEMA).parquet(path) if self._there(spark, path) else self._fill(spark, query, limit, path)
-        except Exception:
-            return self.provider(spark, query, limit)
+        cache = TableCache(spark, self.folder, self.seconds, self.clock)
+        return cache.get_or_compute(self.key(query, limit), lambda: self.provider(spark, query, limit).select(*FIELDS))[0]
 
-    def _there(self, spark: SparkSession, path: str) -> bool:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-    def _fill(self, spark: SparkSession, query: str, limit: int, path: str) -> DataFrame:
-        self.provider(spark, query, limit).select(*FIELDS).write.mode("overwrite").parquet(path)
-        return spark.read.schema(SCHEMA).parquet(path)
+#: Types that an upload of an extension has; a stated type has to be one of these.
+MIME_TYPES = {"pdf": "application/pdf", "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "xml": "application/xml", "html": "text/html", "zip": "application/zip"}
 
 
 def uploads(spark: SparkSession, path: str, extensions: list[str], max_bytes: int) -> DataFrame:
     """path, length, accepted, reason of files in a folder; contents aren't read."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
-    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too large").when(~ext.isin(*extensions), "extension")
+    return checked_uploads(files.withColumn("mime_type", F.lit(None).cast("string")), extensions, max_bytes).drop("mime_type")
+
+
+def checked_uploads(files: DataFrame, extensions: list[str], max_bytes: int) -> DataFrame:
+    """files (path, length, mime_type) with reason, why one is not accepted, and accepted. A missing type follows from the
+    extension; the type has to be that of an accepted extension; names that begin with a dot are none."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    known = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
+    stated = F.lower(F.trim(F.coalesce("mime_type", F.lit(""))))
+    mime = F.when(stated != "", stated).otherwise(F.coalesce(known[ext], F.lit("")))
+    allowed = [MIME_TYPES[x] for x in extensions if x in MIME_TYPES]
+    reason = (
+        F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too large").when((name == "") | name.startswith("."), "name")
+        .when((ext != "") & ~ext.isin(*extensions), "extension").when(~mime.isin(*allowed), "type")
+    )
     return files.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
