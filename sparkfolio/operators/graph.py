@@ -15,8 +15,12 @@ def pair_counts(bridge: DataFrame, by: list[str] = ()) -> DataFrame:
     and as many rows as there are pairs within papers, whatever the number of papers that share a name. Names are dealt out
     first and each meets those after it, so no row ever holds a paper's pairs, however many authors it has.
     """
-    lists = bridge.groupBy(*by, "paper_id").agg(F.sort_array(F.collect_set("name")).alias("names")).where(F.size("names") > 1)
-    firsts = lists.select(*by, "names", F.posexplode("names").alias("i", "a")).where(F.col("i") < F.size("names") - 1)
+    return set_pair_counts(bridge.groupBy(*by, "paper_id").agg(F.sort_array(F.collect_set("name")).alias("names")), by)
+
+
+def set_pair_counts(sets: DataFrame, by: list[str] = ()) -> DataFrame:
+    """pair_counts() of papers' sorted arrays of distinct names (names)."""
+    firsts = sets.where(F.size("names") > 1).select(*by, "names", F.posexplode("names").alias("i", "a")).where(F.col("i") < F.size("names") - 1)
     pairs = firsts.select(*by, "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
     return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("weight"))
 

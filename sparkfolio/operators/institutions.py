@@ -28,6 +28,29 @@ def ranking_entries(papers: DataFrame, institutions: DataFrame, authors: DataFra
     return out.join(degrees, "institution", "left").withColumns({"collaboration_score": F.coalesce("collaboration_score", F.lit(0.0)), "growth_rate": F.coalesce("growth_rate", F.lit(0.0))})
 
 
+def entries_of_sets(papers: DataFrame, sets: DataFrame) -> DataFrame:
+    """ranking_entries() from a row a paper with arrays of distinct names (institution, author, technology, domain; sorted).
+
+    Papers are dealt once; measures by institution are three aggregates of what follows from a row: papers and citations by
+    year, distinct names of the other kinds, and pairs of institutions.
+    """
+    rows = sets.join(papers.select("paper_id", "citations", "year"), "paper_id")
+    each = rows.select(F.explode("institution").alias("institution"), "citations", "year", "author", "technology", "domain")
+    years = each.groupBy("institution", "year").agg(F.count("*").alias("papers"), F.sum("citations").alias("cited"))
+    base = years.groupBy("institution").agg(F.sum("papers").alias("paper_count"), F.coalesce(F.sum("cited"), F.lit(0)).alias("citation_count"))
+    base = base.withColumn("avg_citations", F.round(F.col("citation_count") / F.greatest("paper_count", F.lit(1)), 2))
+    rate = graph.growth(years.where("year is not null").select("institution", "year", "papers"), ["institution"], floor_previous=True).select("institution", F.round("growth", 4).alias("growth_rate"))
+    tagged = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    named = F.flatten(F.array(*map(tagged, ("author", "technology", "domain"))))
+    names = each.select("institution", F.explode(named).alias("e")).select("institution", "e.kind", "e.name").distinct()
+    counts = names.groupBy("institution").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in ("author", "technology", "domain")])
+    pairs = graph.set_pair_counts(sets.select(F.col("institution").alias("names")))
+    degrees = graph.weighted_degrees(pairs).select(F.col("name").alias("institution"), F.round("centrality", 4).alias("collaboration_score"))
+    out = base.join(rate, "institution", "left").join(counts, "institution", "left").join(degrees, "institution", "left")
+    zero = {"collaboration_score": 0.0, "growth_rate": 0.0, "author_count": 0, "technology_count": 0, "domain_count": 0}
+    return out.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in zero.items()})
+
+
 #: Criterion -> column; anything else ranks by papers.
 CRITERIA = {"paper_count": "paper_count", "citations": "citation_count", "avg_citations": "avg_citations", "growth": "growth_rate", "collaboration": "collaboration_score", "technology_diversity": "technology_count", "domain_diversity": "domain_count"}
 
@@ -39,6 +62,13 @@ def ranked(entries: DataFrame, criterion: str, limit: int) -> DataFrame:
     return graph.top_n(top.withColumn("_one", F.lit(1)), limit, ["_one"], [F.desc(column), F.col("institution")]).drop("_one")
 
 
+def leaders(entries: DataFrame, limit: int) -> DataFrame:
+    """criterion, institution, rank: the first entries by each criterion, ties by name; one pass over the entries for all criteria."""
+    values = F.array(*[F.struct(F.lit(k).alias("criterion"), F.col(v).cast("double").alias("value")) for k, v in CRITERIA.items()])
+    each = entries.select("institution", F.explode(values).alias("e")).select("institution", "e.*")
+    return graph.top_n(each, limit, ["criterion"], [F.desc("value"), F.col("institution")]).select("criterion", "institution", "rank")
+
+
 STOP = ["of", "the", "and", "for", "in", "at", "on", "by", "a", "an"]
 
 

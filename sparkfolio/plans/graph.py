@@ -24,7 +24,7 @@ _VIEWS = "papers institutions authors technologies domains"
 
 
 def _entries(c: Corpus) -> DataFrame:
-    return institutions.ranking_entries(c.papers(), c.institutions(), c.authors(), c.technologies(), c.domains())
+    return institutions.entries_of_sets(c.papers(), c.entity_sets("institution", "author", "technology", "domain"))
 
 
 @query(sql(_VIEWS, f"{_ENTRIES} SELECT *, row_number() OVER (ORDER BY paper_count DESC, institution) AS rank FROM entries"))
@@ -34,11 +34,7 @@ def institution_ranking(c: Corpus) -> DataFrame:
 
 @query(sql(_VIEWS, f"{_ENTRIES} SELECT * FROM (" + " UNION ALL ".join(f"(SELECT '{k}' AS criterion, institution, row_number() OVER (ORDER BY {v} DESC, institution) AS rank FROM entries QUALIFY rank <= 10)" for k, v in institutions.CRITERIA.items()) + ")"))
 def institution_leaders(c: Corpus) -> DataFrame:
-    entries, out = _entries(c), None
-    for criterion in institutions.CRITERIA:
-        part = institutions.ranked(entries, criterion, 10).select(F.lit(criterion).alias("criterion"), "institution", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return institutions.leaders(_entries(c), 10)
 
 
 @query(sql(_VIEWS, f"""{_ENTRIES} SELECT institution, paper_count, round(domain_count / greatest(paper_count, 1), 4) AS diversity,
