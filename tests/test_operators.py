@@ -133,6 +133,19 @@ def test_landscape_and_gaps(spark):
     assert out.count() == 1 and "bad" in errors
 
 
+def test_answered_by_brute_force(spark):
+    """Terms of one, two and more words, parts of words at either end, odd white space."""
+    import random
+
+    rng = random.Random(3)
+    alphabet = ["art", "start", "tar", "ta", "data", "more data", "a", "x\ty", "is"]
+    texts = [(rng.randint(1, 2), " ".join(rng.choices(alphabet, k=rng.randint(0, 6)))) for _ in range(40)]
+    terms = {(rng.randint(1, 3), " ".join(rng.choices(["art", "ar", "tar", "data", "at", "more", "s", "is", "t"], k=rng.randint(1, 4)))) for _ in range(300)} | {(1, "x\ty"), (1, "data x\ty s"), (2, "t  d")}
+    got = gaps.answered(spark.createDataFrame(list(terms), "investigation_id long, term string"), spark.createDataFrame([*texts, (1, None)], "investigation_id long, text string"))
+    want = sorted(((i, t) for i, t in terms if any(j == i and t in x for j, x in texts)), key=repr)
+    assert rows(got) == want and 20 < len(want) < len(terms) - 20
+
+
 def test_institutions(spark):
     score = lambda n, q: one(spark, institutions.name_score(F.lit(n), q))
     assert [score("Massachusetts Institute of Technology", q) for q in ("mit", "mass", "massachusetts institute of technology", "institute", "zz")] == [0.85, 0.9, 1.0, 0.7, 0.0]
