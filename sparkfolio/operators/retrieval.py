@@ -237,16 +237,27 @@ def boosted(sections: DataFrame, intent: str) -> DataFrame:
 
 
 def within_budget(sections: DataFrame, by: list[str], budget: int, order: list[Column]) -> DataFrame:
-    """Greedily by order: a section that no longer fits is skipped, later ones may still fit. A group's sections (those retrieved for one
-    question) are folded in the JVM over an array of their sizes."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    numbered = sections.withColumn("_k", F.row_number().over(w))
-    sizes = numbered.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_k", "char_count"))).alias("_s"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<int>").alias("kept"))
-    fits = lambda acc, x: x["char_count"] <= acc["left"]
-    step = lambda acc, x: F.when(fits(acc, x), F.struct((acc["left"] - x["char_count"]).cast("long").alias("left"), F.array_append(acc["kept"], x["_k"]).alias("kept"))).otherwise(acc)
-    kept = sizes.select(*by, F.explode(F.aggregate("_s", start, step)["kept"]).alias("_k"))
-    return numbered.join(kept, [*by, "_k"], "left_semi").drop("_k")
+    """Greedily by order: a section that no longer fits is skipped, later ones may still fit. What is left of a budget depends on
+    every earlier section of its group, so a group's sections stream through its task in order; nothing is gathered."""
+    import pyarrow as pa
+
+    ship(sections.sparkSession)
+    numbered = sections.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).sortWithinPartitions(*by, "_k")
+    at, size = [numbered.columns.index(c) for c in by], numbered.columns.index("char_count")
+
+    def run(batches):
+        group, free = None, budget
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in at), strict=True))
+            fits = []
+            for key, n in zip(keys, batch.column(size).to_pylist(), strict=True):
+                if key != group:
+                    group, free = key, budget
+                fits.append(n is not None and n <= free)
+                free -= n if fits[-1] else 0
+            yield batch.filter(pa.array(fits, pa.bool_()))
+
+    return numbered.mapInArrow(run, numbered.schema).drop("_k")
 
 
 def artifact_budget(content: Column, cap: int | Column) -> Column:

@@ -21,9 +21,13 @@ def rate_limit_tumbling(c: Corpus) -> DataFrame:
     return logs.tumbling_limit(_requests(c), 2, 86400).select("id", "key", "allowed")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_id AS id, user_id::VARCHAR AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  w AS (SELECT id, key, ts, k, true AS allowed, [ts] AS accepted FROM r WHERE k = 1
+    UNION ALL SELECT id, key, ts, k, len(recent) < 2, CASE WHEN len(recent) < 2 THEN list_append(recent, ts) ELSE recent END
+      FROM (SELECT r.id, r.key, r.ts, r.k, list_filter(w.accepted, lambda a: a >= r.ts - INTERVAL 1 DAY) AS recent FROM w JOIN r ON r.key = w.key AND r.k = w.k + 1))
+  SELECT id, key, epoch_us(ts) AS us, allowed FROM w""")
 def rate_limit_sliding(c: Corpus) -> DataFrame:
-    return streaming.sliding_limit(_requests(c), 2, 86400.0)
+    return streaming.sliding_limit(_requests(c), 2, 86400.0).select("id", "key", F.unix_micros("ts").alias("us"), "allowed")
 
 
 @query("""SELECT event_id, CASE WHEN p IN ('/health', '/metrics') THEN NULL WHEN p LIKE '%/retrieve' THEN 5 WHEN p LIKE '%/copilot/chat' THEN 20 ELSE 120 END AS allowed

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,14 +40,28 @@ def sliding_log(pdf: pd.DataFrame, accepted: list[float], limit: int, seconds: f
 
 
 def sliding_limit(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """The batch form of sliding_limit_stream(): id, key, ts, allowed."""
+    """The batch form of sliding_limit_stream(): id, key, ts, allowed. A key's requests stream through its task in order; what is
+    held is the accepted ones of the last seconds, at most limit of them."""
     ship(requests.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        return pdf.assign(allowed=sliding_log(pdf, [], limit, seconds)[0])[["id", "key", "ts", "allowed"]]
-
-    return requests.select("id", "key", F.col("ts").cast("timestamp").alias("ts")).groupBy("key").applyInPandas(run, SLIDING)
+    rows = requests.select("id", "key", F.col("ts").cast("timestamp").alias("ts"))
+    ready = rows.select("*", F.unix_micros("ts").alias("_us")).repartition("key").sortWithinPartitions("key", "_us", "id")
+    length = int(seconds * 1_000_000)
+
+    def run(batches):
+        key, accepted = None, deque()
+        for batch in batches:
+            out = []
+            for k, at in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if k != key:
+                    key, accepted = k, deque()
+                while accepted and accepted[0] < at - length:
+                    accepted.popleft()
+                out.append(len(accepted) < limit)
+                if out[-1]:
+                    accepted.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.bool_())], names=["id", "key", "ts", "allowed"])
+
+    return ready.mapInArrow(run, SLIDING)
 
 
 def sliding_limit_stream(requests: DataFrame, limit: int, seconds: float, late: str = "10 minutes") -> DataFrame:
