@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import HEDGES
+from ..functions.words import (
+    COMPARE_WORDS, COMPARISON, DATASET_WORDS, EVIDENCE_PHRASES, FUTURE_PHRASES, GAP_WORDS, HEDGES, HOW_WHY, LIMITATION_PHRASES, METHOD_WORDS, PAPER_WORDS, SIGNALS, STOP_WORDS, SUMMARY_PHRASES,
+    TECHNOLOGY_WORDS, TREND_PHRASES,
+)
 from ..operators import retrieval as R
 from ..sources.corpus import Corpus
 from .registry import query
 
 
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
 @query("""WITH RECURSIVE c AS (
     SELECT doc_id, 0 AS chunk_index, text, 0 AS s FROM documents WHERE trim(text) <> ''
     UNION ALL SELECT doc_id, chunk_index + 1, text, e - 80 FROM (SELECT *, CASE WHEN s + 800 >= length(text) THEN length(text) WHEN position(chr(10) IN reverse(substr(text, s + 401, 400))) > 0 THEN s + 800 - position(chr(10) IN reverse(substr(text, s + 401, 400))) ELSE s + 800 END AS e FROM c) WHERE e < length(text))
@@ -77,9 +83,15 @@ def section_overlaps(c: Corpus) -> DataFrame:
     return R.near_pairs(_sections(c), ["query_id"], 0.25).withColumn("overlap", F.round("overlap", 4))
 
 
-@query()
+_OVER = "len(list_intersect({0}, {1})) / least(len({0}), len({1}))"
+
+
+@query(f"""WITH RECURSIVE {_SECTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY item_score DESC, pos) AS k FROM (SELECT *, (pos % 13 * 7.0)::DOUBLE AS item_score FROM s)),
+  w AS (SELECT query_id, label, pos, k, t, true AS kept, [t] AS held FROM o WHERE k = 1
+    UNION ALL SELECT query_id, label, pos, k, t, NOT near, CASE WHEN near THEN held ELSE list_append(held, t) END FROM (SELECT o.query_id, o.label, o.pos, o.k, o.t, w.held, len(list_filter(w.held, lambda h: {_OVER.format('o.t', 'h')} > 0.3)) > 0 AS near FROM w JOIN o ON o.query_id = w.query_id AND o.label = w.label AND o.k = w.k + 1))
+  SELECT query_id, pos FROM w WHERE kept""")
 def compress_context(c: Corpus) -> DataFrame:
-    return R.compressed(_sections(c), ["query_id"], 0.3)
+    return R.compressed(_sections(c), ["query_id"], 0.3).select("query_id", "pos")
 
 
 @query()
@@ -87,18 +99,37 @@ def aggregate_evidence(c: Corpus) -> DataFrame:
     return R.aggregated_evidence(_sections(c), ["query_id"])
 
 
-@query()
+_QUESTIONS = f"q AS (SELECT conv_id, turn, text, {_STRIP.format('lower(text)')} AS raw FROM conversations WHERE role = 'user'), t AS (SELECT *, regexp_extract_all(raw, '[a-zA-Z][a-zA-Z0-9_\\-.#]*') AS tokens FROM q)"
+_FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_ANY = "len(list_filter({0}, lambda w: contains({1}, w))) > 0"
+
+
+@query(f"""WITH {_QUESTIONS}, k AS (SELECT *, list_filter(tokens, lambda x: length(x) > 1 AND NOT list_contains({STOP_WORDS}, x)) AS k0, list_filter(list_transform(range(1, greatest(len(tokens), 1)), lambda i: CASE WHEN NOT (list_contains({STOP_WORDS}, tokens[i]) AND list_contains({STOP_WORDS}, tokens[i + 1])) THEN tokens[i] || ' ' || tokens[i + 1] END), lambda x: x IS NOT NULL AND length(x) > 3) AS b0,
+    list_filter(list_transform(regexp_extract_all(raw, '"([^"]+)"', 1), lambda x: {_STRIP.format('x')}), lambda x: length(x) > 2) AS phrases FROM t),
+  d AS (SELECT *, {_FIRST.format('k0')} AS keywords, {_FIRST.format('b0')} AS bigrams FROM k), a AS (SELECT *, list_distinct(list_concat(list_concat(keywords, bigrams), phrases)) AS terms FROM d)
+  SELECT conv_id, turn, array_to_string(keywords, '|') AS keywords, array_to_string(bigrams, '|') AS bigrams, array_to_string(phrases, '|') AS phrases,
+    {', '.join(f"array_to_string(list_sort(list_filter(terms, lambda x: {_ANY.format(SIGNALS[s], 'x')})), '|') AS signals_{s}" for s in ('methodology', 'gap'))}, list_has_any(tokens, {COMPARISON}) AS is_comparison, list_has_any(tokens, {HOW_WHY}) AS is_how_why FROM a""")
 def analyze_questions(c: Corpus) -> DataFrame:
     q = R.analyzed(c.table("conversations").where("role = 'user'").select("conv_id", "turn", "text"))
     return q.select("conv_id", "turn", *[F.array_join(x, "|").alias(x) for x in ("keywords", "bigrams", "phrases", "signals_methodology", "signals_gap")], "is_comparison", "is_how_why")
 
 
-@query()
-def classify_questions(c: Corpus) -> DataFrame:
-    return R.classified(c.table("conversations").where("role = 'user'").select("conv_id", "turn", "text")).select("conv_id", "turn", "intent")
+def _about(words: list[str]) -> str:
+    return f"(implicit <> '' AND (list_contains({words}, implicit) OR {_ANY.format([w for w in words if len(w) > 4], 'implicit')}))"
 
 
-_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_INTENT = f"""CASE WHEN comparing AND (mentioned OR (targets >= 2 AND list_has_any(tokens, {PAPER_WORDS}))) THEN 'paper_comparison' WHEN comparing AND list_has_any(tokens, {TECHNOLOGY_WORDS}) THEN 'technology_comparison'
+  WHEN comparing AND list_has_any(tokens, {METHOD_WORDS}) THEN 'methodology_comparison' WHEN comparing AND list_has_any(tokens, {DATASET_WORDS}) THEN 'dataset_comparison' WHEN {_about(METHOD_WORDS)} THEN 'methodology_comparison'
+  WHEN {_about(DATASET_WORDS)} THEN 'dataset_comparison' WHEN {_about(TECHNOLOGY_WORDS)} THEN 'technology_comparison' WHEN mentioned AND ({_ANY.format(SUMMARY_PHRASES, 'raw')} OR NOT list_has_any(tokens, {[*METHOD_WORDS, *DATASET_WORDS, *TECHNOLOGY_WORDS, *GAP_WORDS]})) THEN 'paper_summary'
+  WHEN list_has_any(tokens, {GAP_WORDS}) AND {_ANY.format(LIMITATION_PHRASES, 'raw')} THEN 'limitation_analysis' WHEN list_has_any(tokens, {GAP_WORDS}) OR {_ANY.format(FUTURE_PHRASES, 'raw')} THEN 'research_gap_exploration'
+  WHEN {_ANY.format(TREND_PHRASES, 'raw')} THEN 'trend_analysis' WHEN {_ANY.format(EVIDENCE_PHRASES, 'raw')} THEN 'evidence_lookup' ELSE 'general_research_question' END"""
+
+
+@query(f"""WITH {_QUESTIONS}, m AS (SELECT *, len(regexp_extract_all(text, '"([^"]+)"')) > 0 AS mentioned, regexp_extract(raw, '\\bwhich\\s+(.+?)\\s+(?:is|are)\\s+most', 1) AS implicit,
+    len(list_filter([regexp_extract(text, '(?i)(?:compare|between)\\s+(.+?)\\s+and\\s+(.+?)(?:\\?|$|\\.)', 1), regexp_extract(text, '(?i)(?:compare|between)\\s+(.+?)\\s+and\\s+(.+?)(?:\\?|$|\\.)', 2)], lambda x: regexp_replace({_STRIP.format('x')}, '^"+|"+$', '', 'g') <> '')) AS targets FROM t),
+  c AS (SELECT *, list_has_any(tokens, {COMPARE_WORDS}) OR targets > 0 AS comparing FROM m) SELECT conv_id, turn, {_INTENT} AS intent FROM c""")
+def classify_questions(c: Corpus) -> DataFrame:
+    return R.classified(c.table("conversations").where("role = 'user'").select("conv_id", "turn", "text")).select("conv_id", "turn", "intent")
 
 
 @query(f"""WITH d AS (SELECT doc_id, lower(text) AS c, regexp_replace(lower(text), '\\[.*?\\]\\s*', '', 'g') AS cleared FROM documents), i AS (SELECT item_id, {_STRIP.format('lower(text)')} AS t FROM benchmark),
