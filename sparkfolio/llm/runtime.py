@@ -10,15 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shipping
 from ..session import shared_folder
-from ..shipping import ship
-
-__all__ = ["cut", "drop_folder", "map_column", "map_rows", "parts_of", "shared_dir", "ship", "table", "text_of", "unused"]
 
+#: Bytes and rows of an Arrow batch between Spark and Python, in which whole texts of any length travel. Spark's own bounds suit
+#: numbers; a batch is held several times over, by either side, in every task.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
 #: Bytes of strings that one call of a mapped function gets, about.
 CHUNK_BYTES = 2 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, and bounds Arrow batches where the session leaves Spark's defaults."""
+    shipping.ship(spark)
+    for key, default, value in (("maxBytesPerBatch", "67108864b", BATCH_BYTES), ("maxRecordsPerBatch", "10000", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, str(value))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, without a slash at its end."""
     return shared_folder(spark).rstrip("/")
