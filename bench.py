@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "institution_ranking", "collaboration_edges", "co_authorship_edges", "author_centrality", "technology_trends", "graph_edges", "institution_profiles", "gap_method_combinations", "gap_temporal",
-    "validate_papers", "rank_papers", "landscape_clusters", "vector_search", "context_budget", "chunk_documents", "windows_session", "stage_attempts",
+    "gap_future_work", "validate_papers", "rank_papers", "landscape_sections", "landscape_clusters", "vector_search", "context_budget", "chunk_documents", "windows_session", "stage_attempts",
 ]
 
 

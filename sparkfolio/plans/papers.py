@@ -27,15 +27,22 @@ def fn_terms_authors(c: Corpus) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), text.normalized_term(F.col("p_type")).alias("term"), text.normalized_author(comma).alias("author"))
 
 
-@query(f"SELECT kind, alias AS raw, canonical AS resolved FROM {aliases.values_sql(aliases.GRAPH)}")
+@query(f"SELECT kind, alias AS raw, canonical AS resolved FROM {aliases.values_sql(aliases.GRAPH)} UNION ALL SELECT kind, 'x ' || alias, 'X ' || upper(alias) FROM {aliases.values_sql(aliases.GRAPH)} UNION ALL SELECT 'dataset', p_name, p_name FROM part")
 def fn_entity_resolver(c: Corpus) -> DataFrame:
-    raw = aliases.alias_table(c.spark, aliases.GRAPH).select("kind", "alias", F.concat(F.lit("  "), F.upper("alias"), F.lit(" ")).alias("raw"))
-    return aliases.resolved(raw.select("kind", F.col("alias").alias("a"), "raw"), "kind", "raw", aliases.GRAPH).select("kind", F.col("a").alias("raw"), "resolved")
+    """Every alias, names that only look like one, and the names of parts."""
+    known = aliases.alias_table(c.spark, aliases.GRAPH).select("kind", F.col("alias").alias("a"))
+    other = known.select("kind", F.concat(F.lit("x "), "a").alias("a"))
+    raw = known.unionByName(other).select("kind", "a", F.concat(F.lit("  "), F.upper("a"), F.lit(" ")).alias("raw"))
+    parts = c.table("part").select(F.lit("dataset").alias("kind"), F.col("p_name").alias("a"), F.concat(F.col("p_name"), F.lit("\t")).alias("raw"))
+    return aliases.resolved(raw.unionByName(parts), "kind", "raw", aliases.GRAPH).select("kind", F.col("a").alias("raw"), "resolved")
 
 
-@query(f"SELECT kind, alias AS raw, canonical AS resolved FROM {aliases.values_sql(aliases.EXTRACTION)}")
+@query(f"SELECT kind, alias AS raw, canonical AS resolved FROM {aliases.values_sql(aliases.EXTRACTION)} UNION ALL SELECT kind, 'no ' || alias, 'no ' || alias FROM {aliases.values_sql(aliases.EXTRACTION)} UNION ALL SELECT 'technology', p_type, p_type FROM part")
 def fn_extraction_aliases(c: Corpus) -> DataFrame:
-    raw = aliases.alias_table(c.spark, aliases.EXTRACTION).select("kind", F.col("alias").alias("a"), F.concat(F.lit(" "), F.col("alias"), F.lit("  ")).alias("raw"))
+    """Every alias, names that only look like one, and the types of parts, with white space to squeeze."""
+    known = aliases.alias_table(c.spark, aliases.EXTRACTION).select("kind", F.col("alias").alias("a"))
+    more = known.select("kind", F.concat(F.lit("no "), "a").alias("a")).unionByName(c.table("part").select(F.lit("technology").alias("kind"), F.col("p_type").alias("a")))
+    raw = known.unionByName(more).select("kind", "a", F.concat(F.lit(" "), F.replace("a", F.lit(" "), F.lit("  ")), F.lit("  ")).alias("raw"))
     return aliases.resolved(raw, "kind", "raw", aliases.EXTRACTION, squeezed=True).select("kind", F.col("a").alias("raw"), "resolved")
 
 

@@ -28,6 +28,19 @@ def semantic_scholar_rows(raw: bytes) -> Iterator[tuple]:
         yield p.get("title"), p.get("abstract"), _names(a.get("name") for a in p.get("authors") or []), p.get("year"), p.get("venue"), doi, p.get("url"), p.get("citationCount"), external, "semantic_scholar"
 
 
+def openalex_rows(raw: bytes) -> Iterator[tuple]:
+    import json
+    import re
+
+    for p in json.loads(raw).get("results") or []:
+        place = p.get("primary_location") or {}
+        at = {k: w for w, found in (p.get("abstract_inverted_index") or {}).items() for k in found}
+        abstract = " ".join(at.get(k, "") for k in range(max(at) + 1)).strip() if at else None
+        doi = re.sub(r"^https?://doi\.org/", "", p["doi"]) if p.get("doi") else None
+        authors = _names((a.get("author") or {}).get("display_name") for a in p.get("authorships") or [])
+        yield p.get("title"), abstract, authors, p.get("publication_year"), (place.get("source") or {}).get("display_name"), doi, place.get("landing_page_url") or p.get("id"), p.get("cited_by_count"), {"openalex": p.get("id")}, "openalex"
+
+
 def arxiv_rows(raw: bytes) -> Iterator[tuple]:
     import xml.etree.ElementTree as ET
 
@@ -40,7 +53,7 @@ def arxiv_rows(raw: bytes) -> Iterator[tuple]:
         yield text.get("title"), text.get("summary"), authors, year, "arXiv", None, text.get("id"), None, {"arxiv": key} if key else {}, "arxiv"
 
 
-PARSERS: dict[str, Parser] = {"semantic_scholar": semantic_scholar_rows, "arxiv": arxiv_rows}
+PARSERS: dict[str, Parser] = {"semantic_scholar": semantic_scholar_rows, "openalex": openalex_rows, "arxiv": arxiv_rows}
 
 
 class File(InputPartition):

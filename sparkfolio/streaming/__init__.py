@@ -86,8 +86,13 @@ def sliding_limit_stream(requests: DataFrame, limit: int, seconds: float, late:
     return requests.select("id", "key", "ts").withWatermark("ts", late).groupBy("key").applyInPandasWithState(run, SLIDING, "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str, key: str):
-    """Writes a stream so that a repeated batch changes nothing: each batch has its own folder, which is overwritten."""
+def append_batches(stream: DataFrame, path: str, checkpoint: str, key: str, late: str | None = None, time: str = "ts"):
+    """Writes a stream so that a repeated batch changes nothing: each batch has its own folder, which is overwritten.
+
+    A key is written once a batch; with late, the longest time between repetitions (by the column time), once in all batches.
+    """
+    if late is not None:
+        stream = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

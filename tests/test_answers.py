@@ -122,6 +122,10 @@ def test_papers_data_source(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 2 and sorted(r.external_ids["semantic_scholar"] for r in df.collect()) == ["p0", "p1"]
     declared = providers.semantic_scholar(spark, str(tmp_path / "s2"))
     assert rows(df) == rows(declared.select(*df.columns))
+    (tmp_path / "oa").mkdir()
+    (tmp_path / "oa" / "a.json").write_text(json.dumps({"results": [{"id": "W1", "title": "T", "publication_year": 2021, "doi": "https://doi.org/10.2/y", "cited_by_count": 5, "abstract_inverted_index": {"hello": [0], "world": [1, 3]}, "authorships": [{"author": {"display_name": "B"}}], "primary_location": {"source": {"display_name": "J"}}}]}))
+    alex = spark.read.format("papers").option("provider", "openalex").load(str(tmp_path / "oa"))
+    assert rows(alex) == rows(providers.openalex(spark, str(tmp_path / "oa")).select(*alex.columns)) and alex.first().abstract == "hello world  world"
     (tmp_path / "feed").mkdir()
     (tmp_path / "feed" / "a.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/17.1v2</id><title>A\n  title</title><published>2017-06-12T17:57:34Z</published><author><name>C</name></author></entry></feed>')
     r = spark.read.format("papers").option("provider", "arxiv").load(str(tmp_path / "feed")).first()
@@ -188,6 +192,18 @@ def test_landscape_reports(spark):
     assert landscape_markdown(empty, overview.observations(empty)) == "# Research Landscape\n"
 
 
+def test_repeated_events_are_written_once(spark, tmp_path):
+    from sparkfolio import streaming
+
+    schema = "id long, ts timestamp"
+    for k, ids in enumerate(([1, 2, 2], [2, 3])):
+        spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id", "timestamp'2024-01-01 00:00:00' as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = streaming.append_batches(source, str(tmp_path / "out"), str(tmp_path / "cp"), "id", late="1 hour").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
 def test_small_additions(spark):
     t = spark.createDataFrame([("a", 2.0, True), ("b", 3.0, True), ("c", 9.0, False), ("d", 2.0, True)], "name string, growth double, emerging boolean")
     assert [(r.name, r["rank"]) for r in graph.top_emerging(t, 2).orderBy("rank").collect()] == [("b", 1), ("a", 2)]
