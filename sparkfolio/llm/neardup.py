@@ -219,7 +219,8 @@ def tile_links(docs: DataFrame, tiles: DataFrame, words: int, limit: int, percen
     """u, v: a forest of the links of each tile (bucket, row, col and MEMBER), confirmed on full sets.
 
     Signatures are compared first, on rows of about 150 bytes; only rows with a partner within the distance get their sets,
-    made anew of the texts where these are read. A pair is never a row.
+    made anew of the texts. These are dealt by doc_id, hashed against the few that are asked for: the same plan at every
+    size, since what is asked for grows with the input and can't be broadcast. A pair is never a row.
     """
 
     def meet(batches):
@@ -244,7 +245,7 @@ def tile_links(docs: DataFrame, tiles: DataFrame, words: int, limit: int, percen
 
     near = table(dealt(tiles.select("bucket", "row", "col", *MEMBER)).mapInArrow(meet, tiles.select("bucket", "row", "col", *MEMBER).schema))
     asked = table(near.select(F.col("id").alias("doc_id"), "digest").distinct())
-    sets = map_rows(docs.join(asked, "doc_id").select("doc_id", "text", "digest"), make, "id long, digest binary, shingles binary")
+    sets = map_rows(docs.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "digest"), make, "id long, digest binary, shingles binary")
     whole = near.join(sets.dropDuplicates(["id", "digest"]), ["id", "digest"]).select("bucket", "row", "col", *MEMBER, "shingles")
     return dealt(whole).mapInArrow(compare, "u long, v long")
 
@@ -300,9 +301,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, of which near_duplicates() keeps the document.
 
-    Rows without doc_id or without words stay; repeated rows of a kept document stay all. The ids that go are a table, which
-    the planner broadcasts if its size allows it.
+    Rows without doc_id or without words stay; repeated rows of a kept document stay all. The ids that go grow with the input, so
+    rows are dealt by doc_id to meet them.
     """
     name = unused(docs, "_gone")
     gone = table(near_duplicates(docs, words, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_anti")
