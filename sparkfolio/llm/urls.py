@@ -11,6 +11,8 @@ from .runtime import table
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)"
 #: Hosts that are addresses: these have no domains above them.
 ADDRESS = r"^(\[.*|[0-9.]+)$"
+#: Characters of the longest domain name. Longer patterns are void, so that a capture has a bounded number of candidates.
+LONGEST = 253
 
 
 def host_of(url: Column) -> Column:
@@ -22,11 +24,13 @@ def host_of(url: Column) -> Column:
 def suffixes(host: Column) -> Column:
     """The host and the domains above it, the most specific first; of an address only itself.
 
-    A host name has 253 characters at most, so these are few; whatever a URL has in its place, they are as many as its dots.
+    Of what is longer than a domain name can be, only the domains in its last LONGEST characters.
     """
-    labels = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(host, r"\."))
+    end = F.regexp_replace(F.substring(host, -LONGEST - 1, LONGEST + 1), r"^[^.]*\.", "")
+    whole = F.when(F.length(host) <= LONGEST, host).when(F.length(end) <= LONGEST, end)
+    labels = F.coalesce(F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(whole, r"\.")), F.array().cast("array<string>"))
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+    return F.when(n == 0, labels).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), ".")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -34,11 +38,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An entry holds from its time until the pattern's next one; actions are block, allow and remove (the pattern is on no list).
     Of entries at the same time the first in the order block, allow, remove holds; repeated entries change nothing. Entries
-    without pattern or time are void. One row a pattern, with an interval for each change of its own state: that grows with
+    without pattern or time or with a pattern above LONGEST characters are void. One row a pattern, with an interval for each change of its own state: that grows with
     how often a single pattern is listed and removed, not with the list.
     """
     rank = F.when(F.col("action") == "block", 0).when(F.col("action") == "allow", 1).otherwise(2)
-    clean = entries.select(F.lower(F.col("pattern")).alias("pattern"), "action", F.col("at").cast("timestamp").alias("at"), rank.alias("_rank")).where("pattern is not null and at is not null")
+    clean = entries.select(F.lower(F.col("pattern")).alias("pattern"), "action", F.col("at").cast("timestamp").alias("at"), rank.alias("_rank")).where(f"pattern is not null and at is not null and length(pattern) <= {LONGEST}")
     at_once = clean.groupBy("pattern", "at").agg(F.min_by("action", "_rank").alias("action"))
     until = F.lead("at").over(Window.partitionBy("pattern").orderBy("at"))
     spans = at_once.withColumn("until", until).where(F.col("action").isin("block", "allow"))
@@ -116,7 +120,8 @@ SQL = r"""
 WITH p AS (SELECT page_id, url, epoch_ms((1704067200 + ((page_id * 37) % 8760) * 3600) * 1000) AS fetched_at,
         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)', 1)), '\.+$', ''), '') AS host FROM pages),
 h AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),
-lab AS (SELECT host, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN [host] ELSE string_split(host, '.') END AS l FROM h),
+lab AS (SELECT host, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN [host] WHEN length(host) <= 253 THEN string_split(host, '.')
+    WHEN contains(right(host, 254), '.') THEN string_split(regexp_replace(right(host, 254), '^[^.]*\.', ''), '.') ELSE [] END AS l FROM h),
 up AS (SELECT host, array_to_string(CASE WHEN len(l) > 3 THEN l[len(l) - 2:] ELSE l END, '.') AS parent, l FROM lab),
 crc AS (SELECT host, parent, ('0x' || substr(md5(host), 1, 7))::BIGINT AS c, ('0x' || substr(md5(parent), 1, 7))::BIGINT AS cp FROM up),
 e AS (
