@@ -50,7 +50,7 @@ def head(fields: list[tuple[str, object]]) -> bytes:
 
 
 def records(page_id, url, payload: bytes, digest: str, refers_to) -> list[bytes]:
-    """The record or records of a page, each without the line feed that ends it."""
+    """The record or records of a page."""
     own = f"<urn:page:{page_id}:sha256:{digest}>"
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or f"urn:page:{page_id}"
     common = [("WARC-Date", DATE), ("WARC-Target-URI", target)]
@@ -58,7 +58,7 @@ def records(page_id, url, payload: bytes, digest: str, refers_to) -> list[bytes]
         block = HTTP + b"Content-Length: %d\r\n\r\n" % len(payload)
         fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}:sha256:{digest}>")]
         fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(block))]
-        return [head(fields) + block + b"\r\n\r"]
+        return [head(fields) + block + b"\r\n\r\n"]
     block = HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     segments = [block[i : i + SEGMENT] for i in range(0, len(block), SEGMENT)]
     out = []
@@ -72,7 +72,7 @@ def records(page_id, url, payload: bytes, digest: str, refers_to) -> list[bytes]
             fields.append(("WARC-Segment-Number", k))
             if k == len(segments):
                 fields.append(("WARC-Segment-Total-Length", len(block)))
-        out.append(head([*fields, ("Content-Length", len(part))]) + part + b"\r\n\r")
+        out.append(head([*fields, ("Content-Length", len(part))]) + part + b"\r\n\r\n")
     return out
 
 
@@ -138,8 +138,8 @@ def write_archives(pages: DataFrame, folder: str) -> None:
 
     A null html is an empty payload. Of rows with equal payloads of at least REVISIT_BYTES bytes, those with the smallest
     page_id are responses, the others revisits; null ids sort last. Which row revisits which page is found on ids and
-    digests alone; payloads are only read again beside the rows that revisit, a table that the planner broadcasts if its
-    size allows it. So payloads are joined, if at all, on page_id and digest, not on a digest that a third of all pages may share.
+    digests alone; payloads then meet what their row revisits by page_id and digest, not by a digest that a third of all pages
+    may share.
     """
     ship(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -148,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     firsts = table(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "first"))
     again = large.join(firsts, F.col("digest") == F.col("_digest")).where(~F.col("page_id").eqNullSafe(F.col("first")))
     again = table(again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_key"), "first").distinct())
-    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_key")), "left")
+    joined = rows.join(again.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_key")), "left")
     schema = pa.schema([("record", pa.binary())])
 
     def run(batches):
