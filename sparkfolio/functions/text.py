@@ -44,15 +44,11 @@ def doi_from_url(c: Column) -> Column:
 def abstract_from_index(index: Column) -> Column:
     """Text of an inverted index map<word, array<position>>: words at their positions, the last word of an entry order wins, gaps stay empty."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    numbered = F.transform(pairs, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w")))
-    start = F.struct(F.lit(-1).alias("p"), F.array().cast("array<string>").alias("words"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.array_repeat(F.lit(""), F.greatest(x["p"] - acc["p"] - 1, F.lit(0)))
-        kept = F.when(x["p"] == acc["p"], F.slice(acc["words"], F.lit(1), F.size(acc["words"]) - 1)).otherwise(acc["words"])
-        return F.struct(x["p"].alias("p"), F.concat(kept, gap, F.array(x["w"])).alias("words"))
-
-    words = F.aggregate(F.array_sort(numbered), start, step)["words"]
+    ordered = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w"))))
+    following = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(0)))
+    last = F.filter(F.zip_with(ordered, following, lambda x, y: F.struct(x["p"].alias("p"), x["w"].alias("w"), y["p"].alias("next"))), lambda x: x["next"].isNull() | (x["next"] != x["p"]))
+    before = F.concat(F.array(F.lit(-1)), F.transform(last, lambda x: x["p"]))
+    words = F.zip_with(last, before, lambda x, p: F.concat(F.repeat(F.lit(" "), x["p"] - p - 1), x["w"]))  # the one place too many is null
     return F.when(F.size(pairs) > 0, strip(F.array_join(words, " ")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import content_overlap
 from ..functions.words import (
     COMPARE_WORDS, COMPARISON, DATASET_WORDS, EVIDENCE_PHRASES, FUTURE_PHRASES, GAP_WORDS, HEDGES, HOW_WHY, LIMITATION_PHRASES, METHOD_WORDS, PAPER_WORDS, SIGNALS, STOP_WORDS, SUMMARY_PHRASES,
     TECHNOLOGY_WORDS, TREND_PHRASES,
@@ -44,11 +45,21 @@ def keyword_scores(c: Corpus) -> DataFrame:
     return d.select("doc_id", R.keyword_score(QUESTION, F.col("text"), F.col("lang")).alias("score"))
 
 
-@query("""WITH s AS (SELECT doc_id, (doc_id % 97) / 97.0 AS sem, (doc_id % 150) * 1.0 AS kw, CASE WHEN doc_id % 3 = 0 THEN 'Methodologies' ELSE 'Datasets' END AS label FROM documents), h AS (SELECT *, 0.7 * sem + 0.3 * least(kw / 100, 1.0) AS h FROM s)
-  SELECT doc_id, round(CASE WHEN label = 'Methodologies' THEN least(h + 0.25, 1.0) ELSE h END, 4)::DOUBLE AS score FROM h""")
+_ASKED = "the data of a new model and la que"
+_SCORED = f"""d AS (SELECT doc_id, source, lang, coalesce(n_chars, 0) AS chars, lower(coalesce(text, '')) AS t, lower(coalesce(lang, '')) AS name FROM documents),
+  k AS (SELECT *, (10.0 * len(regexp_extract_all(t, '\\bthe\\b')) + 10.0 * len(regexp_extract_all(t, '\\bque\\b')) + 15.0 * ((length(t) - length(replace(t, 'of the', ''))) // 6)
+    + 100.0 * contains(t, 'thonan')::INT + 30.0 * (name IN ('the', 'que', 'of the'))::INT + 12.0 * contains(t, 'er')::INT + 20.0)::DOUBLE AS kw, list_distinct(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) AS w FROM d),
+  sc AS (SELECT *, CASE WHEN len(w) > 0 THEN len(list_intersect(w, {_ASKED.split()})) / least(len(w), {len(set(_ASKED.split()))}) ELSE 0 END AS sem FROM k)"""
+
+
+@query(f"""WITH {_SCORED}, h AS (SELECT doc_id, lang, 0.7 * sem + 0.3 * least(kw / 100, 1.0) AS h FROM sc)
+  SELECT doc_id, round(CASE WHEN lang = 'de' THEN least(h + 0.25, 1.0) ELSE h END, 4)::DOUBLE AS score FROM h""")
 def hybrid_scores(c: Corpus) -> DataFrame:
-    k = F.col("doc_id")
-    s = c.table("documents").select("doc_id", R.hybrid((k % 97) / 97.0, (k % 150) * 1.0).alias("score"), F.when(k % 3 == 0, "Methodologies").otherwise("Datasets").alias("label"), F.lit("any").alias("source"))
+    """Overlap with a question's words as the semantic part, keyword points, and a boost for German documents as methodologies."""
+    d = c.table("documents")
+    semantic = content_overlap(F.coalesce("text", F.lit("")), F.lit(_ASKED))
+    label = F.when(F.col("lang") == "de", "Methodologies").otherwise("Datasets")
+    s = d.select("doc_id", R.hybrid(semantic, R.keyword_score(QUESTION, F.col("text"), F.col("lang"))).alias("score"), label.alias("label"), F.lit("any").alias("source"))
     return R.boosted(s, "methodology_comparison").select("doc_id", F.round("score", 4).alias("score"))
 
 
@@ -140,15 +151,17 @@ def validate_citations(c: Corpus) -> DataFrame:
     return R.citations(c.table("documents").select("doc_id", "text"), c.table("benchmark").select("item_id", F.col("text").alias("title")))
 
 
-@query("""WITH a AS (SELECT source, count(*) AS total, count_if(doc_id % 3 > 0) AS positive, sum(n_chars) AS chars, count_if(doc_id % 2 = 0) AS examined, count_if(doc_id % 4 = 0) AS kept, avg(doc_id % 100) AS m FROM documents GROUP BY 1)
-  SELECT source, round(0.25 * positive / total + 0.1 * least(chars / 28000, 1) + 0.15 * CASE WHEN examined > 0 THEN kept / examined ELSE 1 END + 0.05 * kept / (kept + 3) + 0.15 * least(m / 100, 1) + 0.3 * 0.8, 2)::DOUBLE AS confidence FROM a""")
+@query(f"""WITH {_SCORED}, a AS (SELECT source, count(*) AS total, count_if(kw > 32) AS positive, sum(chars) AS chars, count_if(lang IS NOT NULL) AS examined, count_if(lang = 'en') AS kept, avg(kw) AS m, avg(sem) AS model FROM sc GROUP BY 1)
+  SELECT source, round(0.25 * positive / total + 0.1 * least(chars / 28000, 1) + 0.15 * CASE WHEN examined > 0 THEN kept / examined ELSE 1 END + 0.05 * kept / (kept + 3) + 0.15 * least(m / 100, 1) + 0.3 * model, 2)::DOUBLE AS confidence FROM a""")
 def calibrate_confidence(c: Corpus) -> DataFrame:
-    k = F.col("doc_id")
-    a = c.table("documents").groupBy("source").agg(
-        F.count("*").alias("total"), F.count_if(k % 3 > 0).alias("positive"), F.sum("n_chars").alias("chars"), F.count_if(k % 2 == 0).alias("examined"), F.count_if(k % 4 == 0).alias("kept"), F.avg(k % 100).alias("m")
+    """Sources by their documents: those with keyword points count as useful, English ones as citations that hold."""
+    kw, semantic = R.keyword_score(QUESTION, F.col("text"), F.col("lang")), content_overlap(F.coalesce("text", F.lit("")), F.lit(_ASKED))
+    d = c.table("documents").select("source", "lang", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), kw.alias("kw"), semantic.alias("sem"))
+    a = d.groupBy("source").agg(
+        F.count("*").alias("total"), F.count_if(F.col("kw") > 32).alias("positive"), F.sum("n_chars").alias("chars"), F.count("lang").alias("examined"), F.count_if(F.col("lang") == "en").alias("kept"), F.avg("kw").alias("m"), F.avg("sem").alias("model")
     )
     col = F.col
-    return a.select("source", R.confidence(col("positive"), col("total"), col("chars"), 28000, col("examined"), col("kept"), col("m"), F.lit(0.8)).alias("confidence"))
+    return a.select("source", R.confidence(col("positive"), col("total"), col("chars"), 28000, col("examined"), col("kept"), col("m"), col("model")).alias("confidence"))
 
 
 @query("SELECT conv_id, md5(string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || left(text, 2000), chr(10) ORDER BY turn)) AS history FROM conversations GROUP BY 1")
