@@ -16,10 +16,24 @@ from functools import lru_cache
 import ahocorasick
 import regex
 
-#: Bounds of a worker's memory: characters of the longest stretch of text that is kept, and entries of the caches, which are
-#: emptied when full. A kept stretch takes below a kilobyte, so a cache stays below 100 MB at its worst and at a tenth of
-#: that on usual words. They never change a result.
-KEEP, CACHE_WORDS, CACHE_PAIRS = 64, 100_000, 200_000
+#: Bounds of a worker's memory: characters of the longest stretch of text that is kept, entries and characters of a cache of
+#: stretches, and entries of the cache of pairs; caches are emptied when full. So a cache holds about 100 MB at its worst,
+#: be it many short words or fewer long ones. They never change a result.
+KEEP, CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 64, 500_000, 6_000_000, 1_000_000
+
+
+class Kept(dict):
+    """What is known of stretches of text."""
+
+    chars = 0
+
+    def keep(self, stretch: str, value) -> None:
+        if len(stretch) <= KEEP:
+            if len(self) >= CACHE_WORDS or self.chars >= CACHE_CHARS:
+                self.clear()
+                self.chars = 0
+            self.chars += len(stretch)
+            self[stretch] = value
 
 
 class PrefixBpe:
@@ -81,8 +95,6 @@ class PrefixBpe:
                     while node:
                         got[side].append((node[0], node[1], taken))
                         node, taken = node[2] and node[2][side], node[1]
-            if len(self.borders) >= CACHE_WORDS:
-                self.borders.clear()
             self.borders[token] = got
         return got
 
@@ -180,7 +192,7 @@ class ByteLevelBpe:
         self.stretches = regex.compile(r" (?=\s|$)")
         self.cut = regex.compile(r"(?= \S)")
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words: dict[str, list[int]] = {}
+        self.words = Kept()  # piece -> ids
         made_in_order = [vocab[a + b] for a, b in merges]
         self.ordered = made_in_order == sorted(made_in_order)
         self._merger = None
@@ -222,10 +234,7 @@ class ByteLevelBpe:
             got = self.words.get(piece)
             if got is None:
                 got = self.core.ids(self.lettered(piece))
-                if len(piece) <= KEEP:
-                    if len(self.words) >= CACHE_WORDS:
-                        self.words.clear()
-                    self.words[piece] = got
+                self.words.keep(piece, got)
             out += got
         return out
 
@@ -287,7 +296,7 @@ class PieceBpe:
         self.core = PrefixBpe(plain, lambda a, b: score.get(a + b))
         self.known = {t for t in plain if len(t) == 1}
         self.split = regex.compile(f"{self.MARK}+[^{self.MARK}]*")
-        self.words: dict[str, int] = {}
+        self.words = Kept()  # stretch -> number of tokens
 
     def stretched(self, text: str) -> list[str]:
         """The text as independent stretches, marks included."""
@@ -322,10 +331,7 @@ class PieceBpe:
         got = self.words.get(stretch)
         if got is None:
             got = self.stretch_counts(stretch)[-1]
-            if len(stretch) <= KEEP:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[stretch] = got
+            self.words.keep(stretch, got)
         return got
 
     def prefix_counts(self, text: str) -> list[int]:

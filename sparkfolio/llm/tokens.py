@@ -7,7 +7,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
-from .prefix_bpe import CACHE_WORDS, KEEP, byte_level, piece_level
+from .prefix_bpe import Kept, byte_level, piece_level
 from .runtime import map_rows, ship, text_of
 
 
@@ -42,15 +42,12 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def make():
         bpe = byte_level(tokenizer)
-        known: dict[str, tuple[str, bytes]] = {}
+        known = Kept()
 
         def learnt(stretch: str) -> tuple[str, bytes]:
             ids = bpe.stretch_ids(stretch)
             got = ",".join(map(str, ids)), b"".join([bpe.bytes[i] for i in ids])
-            if len(stretch) <= KEEP:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                known[stretch] = got
+            known.keep(stretch, got)
             return got
 
         def one(text: str):
