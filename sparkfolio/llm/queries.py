@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, urls, warc
+from . import infill, quality, urls, warc
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -81,6 +81,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened_components
+
+    return whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import removal_digests
+
+    return removal_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -92,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_whitening": op12_whitening,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": urls.SQL, "op7_quality_rules": quality.SQL, "op9_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": urls.SQL, "op7_quality_rules": quality.SQL, "op9_warc": warc.SQL, "op11_fill_in_middle": infill.SQL}

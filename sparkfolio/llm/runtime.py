@@ -45,7 +45,15 @@ def table(df: DataFrame) -> DataFrame:
     planner decides by size whether to broadcast it in a join."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes tables of table() that nothing reads any more."""
+    for df in tables:
+        drop_folder(df.sparkSession, df._table_path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
