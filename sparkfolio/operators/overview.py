@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import INSTITUTION_KINDS, kind_of
+from ..session import dropped, stored
 from . import graph
 from .landscape import clustered
 
 COLUMNS = ["section", "kind", "rank", "name", "other", "value", "second"]
 
 
-def rows(df: DataFrame, section: str | Column, kind: str, name: Column, value: Column, rank: Column | None = None, other: Column | None = None, second: Column | None = None) -> DataFrame:
+def rows(df: DataFrame, section: str | Column, kind: str | Column, name: Column, value: Column, rank: Column | None = None, other: Column | None = None, second: Column | None = None) -> DataFrame:
     """df as rows of a landscape: what they tell of (section, kind, rank), whom (name, other) and two numbers."""
     null = F.lit(None)
     made = [F.lit(section), F.lit(kind), null if rank is None else rank, name, null if other is None else other, value, null if second is None else second]
@@ -26,61 +27,86 @@ def techniques_of(methodologies: DataFrame, techniques: DataFrame, by: list[str]
     return both.groupBy(*by).agg(F.sort_array(F.collect_set("_t")).alias("techniques")).withColumn("technique_count", F.size("techniques").cast("long"))
 
 
+#: Type of an entity -> section of a landscape.
+PLURAL = {"institution": "institutions", "methodology": "methodologies", "technology": "technologies", "dataset": "datasets", "author": "authors"}
+
+
+def paper_sets(papers: DataFrame, entities: DataFrame, techniques: DataFrame) -> DataFrame:
+    """paper_id, year, a sorted array of names for each type of PLURAL, and technique: a row a paper that has any name, by one shuffle."""
+    both = entities.where(F.col("type").isin(*PLURAL)).select("paper_id", "type", "name").unionByName(techniques.select("paper_id", F.lit("technique").alias("type"), "name"))
+    sets = [F.sort_array(F.collect_set(F.when(F.col("type") == t, F.col("name")))).alias(t) for t in (*PLURAL, "technique")]
+    return both.groupBy("paper_id").agg(*sets).join(papers.select("paper_id", "year"), "paper_id", "left")
+
+
 def landscape(papers: DataFrame, entities: DataFrame, techniques: DataFrame, n: int = 20) -> DataFrame:
     """The rows of COLUMNS over papers (paper_id, year) and their entities (paper_id, type, name; distinct), lists of at most n.
 
     institutions, methodologies, technologies, datasets: total, top (value: papers); type (of institutions, value: how many);
     first_year (of technologies); diversity (value: papers a name, second: papers that have any); temporal: total, year, span;
     collaborations: network (value: nodes, second: edges), central (value: centrality) and edge (name, other; value: papers) of
-    institutions and authors; other of methodologies: its techniques. One grouped count of the entities serves most of it.
+    institutions and authors; other of methodologies: its techniques.
+
+    The entities are read once, into a table of a row a paper; counts and edges are tables made of it, and the landscape itself
+    is one, so that observations and reports read rows and run nothing again. Only that last table stays.
     """
-    of = lambda kind: entities.where(F.col("type") == kind).select("paper_id", "name")
-    counts = entities.groupBy("type", "name").agg(F.count("*").alias("papers"))
-    top = graph.top_n(counts, n, ["type"], [F.desc("papers"), F.col("name")])
-    plural = {"institution": "institutions", "methodology": "methodologies", "technology": "technologies", "dataset": "datasets", "author": "authors"}
-    totals = counts.where(F.col("type").isin(*plural)).groupBy("type").agg(F.count("*").alias("n"), F.sum("papers").alias("all"))
-    covered = entities.where(F.col("type").isin("technology", "dataset")).groupBy("type").agg(F.countDistinct("paper_id").alias("papers"))
-    section = F.create_map(*[F.lit(x) for pair in plural.items() for x in pair])[F.col("type")]
-    name, papers_, null = F.col("name"), F.col("papers"), F.lit(None)
+    sets = stored(paper_sets(papers, entities, techniques))
+    named = F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("names")) for t in PLURAL])
+    of_type = sets.select("paper_id", "year", F.explode(named).alias("e")).select("paper_id", "year", "e.type", "e.names")
+    counts = stored(of_type.select("type", "year", F.explode("names").alias("name")).groupBy("type", "name").agg(F.count("*").alias("papers"), F.min("year").alias("year")))
+    edges = stored(graph.set_pair_counts(of_type.where(F.col("type").isin("institution", "author")), ["type"]))
+    years = stored(papers.groupBy("year").agg(F.count("*").alias("papers")))
+    ranked = stored(graph.top_n(counts, n, ["type"], [F.desc("papers"), F.col("name")]))
+    whole = stored(landscape_rows(sets, counts, ranked, edges, years, n))
+    dropped(sets, counts, ranked, edges, years)
+    return whole
 
-    inst = of("institution").withColumnRenamed("name", "institution")
-    authors = inst.join(of("author"), "paper_id").select("institution", "name").distinct().groupBy(F.col("institution").alias("name")).agg(F.count("*").alias("authors"))
+
+def landscape_rows(sets: DataFrame, counts: DataFrame, ranked: DataFrame, edges: DataFrame, years: DataFrame, n: int) -> DataFrame:
+    """landscape() of paper_sets(), counts (type, name, papers, first year), the n first of each type with rank, edges (type, a, b,
+    weight) and years (year, papers)."""
+    name, papers_, null = F.col("name"), F.col("papers"), F.lit(None)
+    section = F.create_map(*[F.lit(x) for pair in PLURAL.items() for x in pair])[F.col("type")]
+    best = lambda t: ranked.where(F.col("type") == t)
+    totals = counts.groupBy("type").agg(F.count("*").alias("n"), F.sum("papers").alias("all"))
+
+    wanted = lambda t: F.broadcast(best(t).select("name"))  # noqa: E731  n rows
+    met = sets.select(F.explode("institution").alias("name"), "author").join(wanted("institution"), "name").select("name", F.explode("author").alias("author"))
+    authors = met.distinct().groupBy("name").agg(F.count("*").alias("authors"))
+    used = sets.select(F.explode("methodology").alias("name"), "technique").join(wanted("methodology"), "name").select("name", F.explode("technique").alias("_t"))
+    techniques = used.groupBy("name").agg(F.sort_array(F.collect_set("_t")).alias("techniques"))
     kind = kind_of(name, INSTITUTION_KINDS)
     types = counts.where("type = 'institution'").groupBy(kind.alias("name")).agg(F.count("*").alias("n"))
     w = Window.orderBy(F.desc("n"), "name")  # a row for each kind, of which there are five
     typed = types.withColumns({"rank": F.row_number().over(w), "all": F.count("*").over(Window.partitionBy(F.lit(1)))})
-    dated = papers.where("year is not null").select("paper_id", "year")
-    first = of("technology").join(dated, "paper_id").groupBy("name").agg(F.min("year").alias("year"))
+    covered = sets.agg(*[F.count_if(F.size(t) > 0).alias(t) for t in ("technology", "dataset")])
+    covered = covered.select(F.explode(F.create_map(*[x for t in ("technology", "dataset") for x in (F.lit(t), F.col(t))])).alias("type", "papers"))
+    first = counts.where("type = 'technology' AND year IS NOT NULL")
     newest = first.agg(F.min_by("name", F.struct(-F.col("year"), F.col("name"))).alias("name"), F.max("year").alias("year")).where("name is not null")
-    yearly = dated.groupBy("year").agg(F.count("*").alias("papers"))
+    dated = years.where("year is not null")
     span = dated.agg(F.min("year").alias("a"), F.max("year").alias("b")).where("a is not null")
     text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat(F.col("a").cast("string"), F.lit("–"), F.col("b").cast("string")))
-    best = lambda t: top.where(F.col("type") == t)
 
+    central = graph.weighted_degrees(edges, ["type"]).withColumn("centrality", F.round("centrality", 4))
+    central = graph.top_n(central, n, ["type"], [F.desc("centrality"), name])
+    heaviest = graph.top_n(edges, n, ["type"], [F.desc("weight"), F.col("a"), F.col("b")])
+    networks = totals.where(F.col("type").isin("institution", "author")).join(edges.groupBy("type").agg(F.count("*").alias("e")), "type", "left")
+    of_type = lambda suffix: F.concat("type", F.lit(suffix))
     out = [
         rows(totals, section, "total", null, F.col("n")),
         rows(best("institution").join(authors, "name", "left"), "institutions", "top", name, papers_, F.col("rank"), kind, F.coalesce("authors", F.lit(0))),
         rows(typed, "institutions", "type", name, F.col("n"), F.col("rank"), second=F.col("all")),
-        rows(best("methodology").join(techniques_of(of("methodology").join(best("methodology").select("name"), "name", "left_semi"), techniques), "name", "left"), "methodologies", "top", name, papers_, F.col("rank"), F.array_join("techniques", "|"), F.coalesce("technique_count", F.lit(0))),
-        rows(best("technology"), "technologies", "top", name, papers_, F.col("rank")),
+        rows(best("methodology").join(techniques, "name", "left"), "methodologies", "top", name, papers_, F.col("rank"), F.array_join("techniques", "|"), F.coalesce(F.size("techniques"), F.lit(0))),
+        rows(ranked.where(F.col("type").isin("technology", "dataset")), section, "top", name, papers_, F.col("rank")),
         rows(first, "technologies", "first_year", name, F.col("year")),
         rows(newest, "technologies", "newest", name, F.col("year")),
-        rows(best("dataset"), "datasets", "top", name, papers_, F.col("rank")),
-        *[rows(totals.join(covered, "type").where(F.col("type") == t), plural[t], "diversity", null, F.round(F.col("all") / F.col("n"), 2), second=papers_) for t in ("technology", "dataset")],
-        rows(papers.agg(F.count("*").alias("n")), "temporal", "total", null, F.col("n")),
-        rows(yearly, "temporal", "year", F.col("year"), papers_),
+        rows(totals.join(covered, "type"), section, "diversity", null, F.round(F.col("all") / F.col("n"), 2), second=papers_),
+        rows(years.agg(F.coalesce(F.sum("papers"), F.lit(0)).alias("n")), "temporal", "total", null, F.col("n")),
+        rows(dated, "temporal", "year", F.col("year"), papers_),
         rows(span, "temporal", "span", text, F.col("a"), second=F.col("b")),
+        rows(networks, "collaborations", of_type("_network"), null, F.col("n"), second=F.coalesce("e", F.lit(0))),
+        rows(central, "collaborations", of_type("_central"), name, F.col("centrality"), F.col("rank")),
+        rows(heaviest, "collaborations", of_type("_edge"), F.col("a"), F.col("weight"), F.col("rank"), F.col("b")),
     ]
-    for t in ("institution", "author"):
-        edges = graph.pair_counts(of(t))
-        central = graph.weighted_degrees(edges).withColumn("centrality", F.round("centrality", 4))
-        order, of_edges = [F.desc("centrality"), name], [F.desc("weight"), F.col("a"), F.col("b")]
-        one = F.lit(1).alias("_one")
-        first_n = lambda df, by: graph.top_n(df.orderBy(*by).limit(n).select("*", one), n, ["_one"], by)
-        nodes = totals.where(F.col("type") == t).crossJoin(F.broadcast(edges.agg(F.count("*").alias("e"))))  # one row on either side
-        out.append(rows(nodes, "collaborations", f"{t}_network", null, F.col("n"), second=F.col("e")))
-        out.append(rows(first_n(central, order), "collaborations", f"{t}_central", name, F.col("centrality"), F.col("rank")))
-        out.append(rows(first_n(edges, of_edges), "collaborations", f"{t}_edge", F.col("a"), F.col("weight"), F.col("rank"), F.col("b")))
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
