@@ -46,29 +46,35 @@ def papers_per_year(c: Corpus) -> DataFrame:
     return landscape.scaled(c.papers().where("year is not null").groupBy("year").agg(F.count("*").alias("papers")), "papers")
 
 
-def _with_investigation(c: Corpus, bridge: DataFrame) -> DataFrame:
-    return bridge.join(c.papers().select("paper_id", "investigation_id"), "paper_id")
-
-
 _IN = "m AS (SELECT investigation_id, paper_id, name FROM methodologies JOIN papers USING (paper_id)), t AS (SELECT investigation_id, paper_id, name FROM datasets JOIN papers USING (paper_id))"
-_OUT = "SELECT investigation_id, '{rule}' AS rule, subject, n::BIGINT AS frequency, round(least(n / {scale}, {cap}), 2)::DOUBLE AS confidence, CASE WHEN n >= 5 THEN 'high' ELSE 'medium' END AS severity FROM g QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY n DESC, subject) <= {limit}"
+#: Confidence (a share to two places, half to even, with a cap) and severity are each rule's own.
+_OUT = "SELECT investigation_id, '{rule}' AS rule, subject, n::BIGINT AS frequency, least(round_even({share}, 2), {cap})::DOUBLE AS confidence, {severity} AS severity FROM g QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY {order}) <= {limit}"
+_HIGH = "CASE WHEN n >= 5 THEN 'high' ELSE 'medium' END"
+_BY_N = "n DESC, subject"
 _SQL = {
     "dataset_gap": f"WITH {_IN}, f AS (SELECT investigation_id, name, count(DISTINCT paper_id) AS n FROM m GROUP BY ALL), d AS (SELECT m.investigation_id, m.name, count(DISTINCT t.name) AS d FROM m JOIN t USING (paper_id) GROUP BY ALL), "
-    f"g AS (SELECT f.investigation_id, f.name AS subject, n FROM f LEFT JOIN d ON d.investigation_id = f.investigation_id AND d.name = f.name WHERE n >= 3 AND coalesce(d, 0) / n < 3.0) {_OUT.format(rule='dataset_gap', scale=10, cap=0.95, limit=5)}",
+    f"g AS (SELECT f.investigation_id, f.name AS subject, n FROM f LEFT JOIN d ON d.investigation_id = f.investigation_id AND d.name = f.name WHERE n >= 3 AND coalesce(d, 0) / n < 3.0) {_OUT.format(rule='dataset_gap', share='n / 10', cap=0.95, severity=_HIGH, order=_BY_N, limit=5)}",
     "method_combination": f"""WITH {_IN}, a AS (SELECT investigation_id, name AS a, count(DISTINCT paper_id) AS na FROM m GROUP BY 1, 2 HAVING na >= 3 QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY na DESC, name) <= 15),
       b AS (SELECT investigation_id, name AS b, count(DISTINCT paper_id) AS nb FROM t GROUP BY 1, 2 HAVING nb >= 3 QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY nb DESC, name) <= 15),
       s AS (SELECT m.investigation_id, m.name AS a, t.name AS b, count(DISTINCT m.paper_id) AS c FROM m JOIN t USING (paper_id) GROUP BY ALL),
-      g AS (SELECT a.investigation_id, a.a || ' + ' || b.b AS subject, na + nb AS n FROM a JOIN b USING (investigation_id) LEFT JOIN s ON s.investigation_id = a.investigation_id AND s.a = a.a AND s.b = b.b WHERE coalesce(c, 0) < 2) {_OUT.format(rule='method_combination', scale=20, cap=0.9, limit=5)}""",
-    "temporal_gap": f"""WITH d AS (SELECT DISTINCT investigation_id, name AS term, year FROM technologies JOIN papers USING (paper_id)), y AS (SELECT DISTINCT investigation_id, year FROM d),
-      k AS (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY year DESC) AS k, count(*) OVER (PARTITION BY investigation_id) AS c FROM y QUALIFY c >= 3),
-      g AS (SELECT d.investigation_id, term AS subject, count_if(k > 2) AS n FROM d JOIN k ON k.investigation_id = d.investigation_id AND k.year = d.year GROUP BY ALL HAVING count_if(k > 2) >= 2 AND count_if(k <= 2) = 0) {_OUT.format(rule='temporal_gap', scale=10, cap=0.95, limit=5)}""",
+      g AS (SELECT a.investigation_id, a.a || ' + ' || b.b AS subject, na + nb AS n, na, nb FROM a JOIN b USING (investigation_id) LEFT JOIN s ON s.investigation_id = a.investigation_id AND s.a = a.a AND s.b = b.b WHERE coalesce(c, 0) < 2) {_OUT.format(rule='method_combination', share='n / 20', cap=0.9, severity="CASE WHEN na >= 5 AND nb >= 5 THEN 'high' ELSE 'medium' END", order=_BY_N, limit=5)}""",
+    "temporal_gap": f"""WITH d AS (SELECT DISTINCT investigation_id, 'technique' AS kind, lower(name) AS term, year FROM technologies JOIN papers USING (paper_id) UNION SELECT investigation_id, 'methodology', lower(name), year FROM methodologies JOIN papers USING (paper_id)),
+      y AS (SELECT DISTINCT investigation_id, year FROM papers), k AS (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY year DESC) AS k, count(*) OVER (PARTITION BY investigation_id) AS c FROM y QUALIFY c >= 3),
+      g AS (SELECT d.investigation_id, kind, term AS subject, count_if(k > 2) AS n FROM d JOIN k ON k.investigation_id = d.investigation_id AND k.year = d.year GROUP BY ALL HAVING count_if(k > 2) >= 2 AND count_if(k <= 2) = 0)
+      {_OUT.format(rule='temporal_gap', share='n / 5', cap=0.85, severity="CASE WHEN n >= 4 THEN 'medium' ELSE 'low' END", order="n DESC, kind = 'methodology', subject", limit=5)}""",
 }
 
 
 def _rules(c: Corpus) -> dict:
-    m, t = _with_investigation(c, c.methodologies()), _with_investigation(c, c.datasets())
-    dated = c.technologies().join(c.papers().select("paper_id", "investigation_id", "year"), "paper_id").select("investigation_id", F.col("name").alias("term"), "year")
-    return {"dataset_gap": lambda: gaps.dataset_gap(m, t, ratio=3.0), "method_combination": lambda: gaps.method_combination(m, t), "temporal_gap": lambda: gaps.temporal_gap(dated)}
+    """Methods, datasets and technologies of papers with their investigations: one bridge for all rules."""
+    papers = c.papers().select("paper_id", "investigation_id", "year")
+    kinds = {"methodology": "methodology", "dataset": "dataset", "technology": "technique"}
+    named = F.array(*[F.struct(F.lit(v).alias("kind"), F.col(k).alias("name")) for k, v in kinds.items()])
+    bridge = c.mentions().select("paper_id", F.explode(named).alias("e")).select("paper_id", "e.*").where("name is not null").distinct().join(papers, "paper_id")
+    of = lambda kind: bridge.where(F.col("kind") == kind).select("investigation_id", "paper_id", "name")
+    m, t = of("methodology"), of("dataset")
+    dated = bridge.where("kind <> 'dataset'").select("investigation_id", "kind", F.col("name").alias("term"), "year")
+    return {"dataset_gap": lambda: gaps.dataset_gap(m, t, ratio=3.0), "method_combination": lambda: gaps.method_combination(m, t), "temporal_gap": lambda: gaps.temporal_gap(dated, years=papers)}
 
 
 _V = "papers methodologies datasets technologies"
@@ -98,31 +104,43 @@ def _lines(c: Corpus) -> DataFrame:
 
 def _unanswered(c: Corpus, rule: str, scale: int) -> DataFrame:
     """Phrases are all lines of documents; answers are all items of the benchmark, which name no source and so answer in each."""
-    lines = _lines(c)
-    answers = lines.select("investigation_id").distinct().crossJoin(c.table("benchmark").select("text"))
-    return gaps.unanswered(lines, answers, rule, scale=scale)
+    return gaps.unanswered(_lines(c), c.table("benchmark").select("text"), rule, scale=scale)
 
 
 _UNANSWERED = """{lines}, o AS (SELECT investigation_id, term AS subject, count(*) AS n FROM l WHERE term <> '' GROUP BY ALL HAVING n >= 3),
   g AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(b.text), o.subject))) {out}"""
 
 
-@query(_UNANSWERED.format(lines=_LINES, out=_OUT.format(rule="future_work_gap", scale=8, cap=0.95, limit=5)))
+@query(_UNANSWERED.format(lines=_LINES, out=_OUT.format(rule="future_work_gap", share="n / 8", cap=0.95, severity=_HIGH, order=_BY_N, limit=5)))
 def gap_future_work(c: Corpus) -> DataFrame:
     return _unanswered(c, "future_work_gap", 8)
 
 
-@query(_UNANSWERED.format(lines=_LINES, out=_OUT.format(rule="limitation_gap", scale=10, cap=0.95, limit=5)))
+def _limitations(c: Corpus) -> DataFrame:
+    """Titles of documents and the last words of technologies, a mention each; what might solve them is below."""
+    technologies = c.table("part").select(F.col("p_type").alias("investigation_id"), F.explode(F.split("p_name", " ")).alias("term"))
+    return _lines(c).select("investigation_id", "term").unionByName(technologies)
+
+
+def _solutions(c: Corpus) -> DataFrame:
+    """Methodologies and techniques of parts, and findings: the items of the benchmark."""
+    p = c.table("part")
+    return p.select(F.col("p_type").alias("text")).unionByName(p.select(F.col("p_brand").alias("text"))).distinct().unionByName(c.table("benchmark").select("text"))
+
+
+@query(f"""WITH l AS (SELECT source AS investigation_id, trim(lower(unnest(string_split(text, chr(10))))) AS term FROM documents UNION ALL SELECT p_type, trim(lower(unnest(string_split(p_name, ' ')))) FROM part),
+  s AS (SELECT DISTINCT lower(p_type) AS text FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT lower(text) FROM benchmark),
+  o AS (SELECT investigation_id, term AS subject, count(*) AS n FROM l WHERE term <> '' GROUP BY ALL HAVING n >= 3), g AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(s.text, o.subject)))
+  {_OUT.format(rule="limitation_gap", share="n / 8", cap=0.95, severity=_HIGH, order=_BY_N, limit=5)}""")
 def gap_limitations(c: Corpus) -> DataFrame:
-    return _unanswered(c, "limitation_gap", 10)
+    return gaps.unanswered(_limitations(c), _solutions(c), "limitation_gap", scale=8)
 
 
-@query(f"""WITH t AS (SELECT lang AS investigation_id, source AS method, text FROM documents),
-  h AS (SELECT *, regexp_matches(text, '{gaps.METRIC_TERMS}') AS hit, list_transform(regexp_extract_all(text, '{gaps.METRIC_TERMS}', 1), lambda x: lower(x)) AS m FROM t),
-  g AS (SELECT investigation_id, method AS subject, count(*) AS n FROM h GROUP BY ALL HAVING count(*) >= 6 AND avg(hit::INT) >= 0.8 AND len(list_distinct(flatten(list(m)))) <= 2) {_OUT.format(rule='evaluation_gap', scale=10, cap=0.95, limit=3)}""")
+@query(sql("findings", f"""WITH h AS (SELECT investigation_id, lower(method) AS subject, pos, list_distinct(list_transform(regexp_extract_all(text, '{gaps.METRIC_TERMS}', 1), lambda x: lower(x))) AS m FROM findings),
+  g AS (SELECT investigation_id, subject, count_if(len(m) > 0) AS n, count(*) AS texts, min(pos) AS pos, len(list_distinct(flatten(list(m)))) AS d FROM h GROUP BY ALL HAVING texts >= 6 AND n / texts >= 0.8 AND d BETWEEN 1 AND 2)
+  {_OUT.format(rule='evaluation_gap', share='n / texts', cap=0.85, severity="CASE WHEN d = 1 THEN 'medium' ELSE 'low' END", order='pos, subject', limit=3)}"""))
 def gap_evaluation(c: Corpus) -> DataFrame:
-    d = c.table("documents")
-    return gaps.evaluation_gap(d.select(F.col("lang").alias("investigation_id"), F.col("source").alias("method"), "text"))
+    return gaps.evaluation_gap(c.findings())
 
 
 @query(sql(_V, "WITH " + ", ".join(f"g_{k} AS ({v})" for k, v in ((k, f"SELECT * FROM ({v})") for k, v in _SQL.items())) + ", a AS (" + " UNION ALL ".join(f"SELECT * FROM g_{k}" for k in _SQL) + ") SELECT rule, count(*) AS gaps, count_if(severity = 'high')::BIGINT AS high, count_if(confidence >= 0.7)::BIGINT AS confident FROM a GROUP BY 1"))

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What findings say, by the number of a part's brand.
+FINDINGS = ["Accuracy rises with depth", "F1 and recall fall on long inputs", "BLEU, ROUGE and perplexity disagree", "The cost is moderate", "LATENCY: the latency halves"]
+
+
 class Corpus:
     """Lazily read tables and views of a folder; each view selects only what it needs, so scans are pruned."""
 
@@ -84,6 +88,14 @@ class Corpus:
         """paper_id and for each kind the sorted array of its names: a row a paper, by one shuffle"""
         return self.mentions().groupBy("paper_id").agg(*[F.sort_array(F.collect_set(k)).alias(k) for k in kinds])
 
+    def findings(self) -> DataFrame:
+        """investigation_id (the part's type), method, text, pos: a finding a line item, which speaks of metrics as its part's brand does."""
+        p = self.table("part").select("p_partkey", F.col("p_type").alias("investigation_id"), F.col("p_brand").alias("method"), "p_size")
+        spoken = F.element_at(F.array(*map(F.lit, FINDINGS)), (F.substring_index("method", "#", -1).cast("int") % len(FINDINGS) + 1).cast("int"))
+        text = F.when(F.col("p_size") % 10 < 9, spoken).otherwise("No figures are given")
+        lines = self.table("lineitem").select("l_partkey", F.col("l_orderkey").alias("pos"))
+        return lines.join(p, F.col("l_partkey") == F.col("p_partkey")).select("investigation_id", "method", text.alias("text"), "pos")
+
     def raw_papers(self) -> DataFrame:
         """Paper-like records from documents, with collisions of DOI, title and URL on purpose."""
         d = self.table("documents").select("doc_id", "text", "source")
@@ -115,6 +127,7 @@ VIEWS = {
         f"SELECT paper_id, '{k}' AS type, name FROM {v}"
         for k, v in [("author", "authors"), ("institution", "institutions"), ("methodology", "methodologies"), ("dataset", "datasets"), ("technology", "technologies"), ("domain", "domains"), ("metric", "metrics")]
     ),
+    "findings": "SELECT p_type AS investigation_id, p_brand AS method, CASE WHEN p_size % 10 < 9 THEN ['" + "', '".join(FINDINGS) + "'][split_part(p_brand, '#', 2)::INT % 5 + 1] ELSE 'No figures are given' END AS text, l_orderkey AS pos FROM lineitem JOIN part ON l_partkey = p_partkey",
     "raw_papers": """SELECT doc_id AS pos, split_part(text, chr(10), 1) AS title, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text END AS abstract,
         CASE WHEN doc_id % 5 = 0 THEN '10.1000/ABC.' || (doc_id % 400) WHEN doc_id % 7 = 0 THEN 'bad doi' END AS doi,
         CASE WHEN doc_id % 3 = 0 THEN 'HTTPS://Example.org/p/' || (doc_id % 500) || '/' WHEN doc_id % 13 = 0 THEN 'no-url' END AS url,

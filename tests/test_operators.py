@@ -127,10 +127,34 @@ def test_landscape_and_gaps(spark):
     answers = spark.createDataFrame([(1, "we have SEEN it"), (2, "more data")], "investigation_id long, text string")
     found = gaps.unanswered(phrases, answers, "future_work_gap").collect()
     assert [(r.subject, r.frequency, r.confidence) for r in found] == [("more data", 3, 0.38)]
-    dated = spark.createDataFrame([(1, "old", 2001), (1, "old", 2002), (1, "new", 2003), (1, "new", 2004)], "investigation_id long, term string, year int")
-    assert [r.subject for r in gaps.temporal_gap(dated).collect()] == ["old"]
+    dated = spark.createDataFrame([(1, "technique", "old", 2001), (1, "technique", "Old ", 2002), (1, "methodology", "new", 2003), (1, "technique", "new", 2004), (1, "methodology", "older", 2001), (1, "methodology", "older", 2002)], "investigation_id long, kind string, term string, year int")
+    assert [(r.subject, r.frequency, r.confidence, r.severity) for r in gaps.temporal_gap(dated).collect()] == [("old", 2, 0.4, "low"), ("older", 2, 0.4, "low")]
+    four = spark.createDataFrame([(1, "technique", "gone", y) for y in range(2000, 2005)] + [(1, "technique", "x", y) for y in (2005, 2006)], dated.schema)
+    assert [(r.subject, r.confidence, r.severity) for r in gaps.temporal_gap(four).collect()] == [("gone", 0.85, "medium")]
+    little = spark.createDataFrame([(1, "technique", "a", 2001), (1, "technique", "a", 2002)], dated.schema)
+    assert gaps.temporal_gap(little).collect() == [] and len(gaps.temporal_gap(little, years=spark.createDataFrame([(1, y) for y in (2001, 2002, 2003, 2004)], "investigation_id long, year int")).collect()) == 1
     out, errors = gaps.detect({"bad": lambda: 1 / 0, "good": lambda: gaps.temporal_gap(dated)})
-    assert out.count() == 1 and "bad" in errors
+    assert out.count() == 2 and "bad" in errors
+
+
+def test_severity_and_confidence_of_gaps(spark):
+    """Each rule's own: both frequencies for combinations, the share of texts for evaluation; shares round half to even."""
+    bridge = "investigation_id long, paper_id long, name string"
+    methods = spark.createDataFrame([(1, i, "m") for i in range(6)] + [(1, 10 + i, "few") for i in range(4)], bridge)
+    techniques = spark.createDataFrame([(1, 20 + i, "t") for i in range(5)], bridge)
+    assert [(r.subject, r.frequency, r.confidence, r.severity) for r in gaps.method_combination(methods, techniques).collect()] == [("m + t", 11, 0.55, "high"), ("few + t", 9, 0.45, "medium")]
+    five = spark.createDataFrame([(1, "open question")] * 5, "investigation_id long, term string")
+    assert [(r.confidence, r.severity) for r in gaps.unanswered(five, spark.createDataFrame([("no",)], "text string"), "limitation_gap").collect()] == [(0.62, "high")]
+    say = lambda method, texts, at: [(1, method, t, at + i) for i, t in enumerate(texts)]
+    texts = say("One ", ["Accuracy first"] * 5 + ["none"], 50) + say("two", ["F1 and recall"] * 6, 10) + say("three", ["bleu", "rouge", "auc"] * 3, 0) + say("half", ["map"] * 3 + ["none"] * 3, 1) + say("short", ["map"] * 5, 2) + say("late", ["map"] * 6, 90) + say("later", ["map"] * 6, 99)
+    got = gaps.evaluation_gap(spark.createDataFrame(texts, "investigation_id long, method string, text string, pos long")).collect()
+    assert [(r.subject, r.frequency, r.confidence, r.severity) for r in got] == [("two", 6, 0.85, "low"), ("one", 5, 0.83, "medium"), ("late", 6, 0.85, "medium")]
+
+
+def test_answers_that_hold_for_all(spark):
+    terms = spark.createDataFrame([(1, "ab"), (2, "ab"), (2, "b c"), (3, "\tab"), (3, "zz"), (4, " ")], "investigation_id long, term string")
+    got = gaps.answered(terms, spark.createDataFrame([("CAB cd",), (None,)], "text string"))
+    assert rows(got) == [("ab",), ("b c",)]
 
 
 def test_answered_by_brute_force(spark):

@@ -27,19 +27,22 @@ def documents(texts, lang="en", source="s"):
     return [(k, t, lang, source, len(t)) for k, t in enumerate(texts)], DOCUMENTS
 
 
-def test_gap_evaluation_reads_whole_texts(run):
-    told = documents(["we report the Accuracy only"] * 8)
-    assert [(r.subject, r.frequency) for r in run("gap_evaluation", documents=told).collect()] == [("s", 8)]
-    many = documents(["at the end accuracy, recall and latency"] * 8)
-    assert run("gap_evaluation", documents=many).collect() == []
-    assert run("gap_evaluation", documents=documents(["nothing of the kind"] * 10)).collect() == []
-
-
-@pytest.mark.parametrize("query", ["gap_future_work", "gap_limitations"])
-def test_unanswered_takes_every_line_and_every_answer(run, query):
-    odd = ([(2 * k + 1, "Odd ones\nshort\nan answered phrase", "en", "s", 1) for k in range(3)], DOCUMENTS)
-    answers = ([(0, "nothing"), (1, "here is An Answered Phrase indeed")], BENCHMARK)
-    assert [(r[0], r[2], r[3]) for r in rows(run(query, documents=odd, benchmark=answers))] == [("s", "odd ones", 3), ("s", "short", 3)]
+def test_gap_evaluation_reads_whole_texts(spark):
+    from sparkfolio.operators.gaps import evaluation_gap
+
+    told = lambda texts: evaluation_gap(spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "pos long, text string, investigation_id string, method string")).collect()
+    assert [(r.subject, r.frequency) for r in told(["words " * 1000 + "we report the Accuracy only"] * 8)] == [("s", 8)]
+    assert told(["at the end accuracy, recall and latency"] * 8) == [] and told(["nothing of the kind"] * 10) == []
+
+
+PART = ([(1, "cold widget", "Brand#1", "PROMO"), (2, "cold phrase", "Brand#2", "PROMO"), (3, "cold bolt", "Brand#3", "PROMO")], "p_partkey long, p_name string, p_brand string, p_type string")
+
+
+@pytest.mark.parametrize("query,more", [("gap_future_work", []), ("gap_limitations", [("PROMO", "cold", 3)])])
+def test_unanswered_takes_every_line_and_every_answer(run, query, more):
+    odd = ([(2 * k + 1, "Odd ones\nshort\nan answered phrase\npromo", "en", "s", 1) for k in range(3)], DOCUMENTS)
+    answers = ([(0, "nothing"), (1, "here is An Answered Phrase indeed"), (2, "promo"[: 5 * (query == "gap_future_work")])], BENCHMARK)
+    assert [(r[0], r[2], r[3]) for r in rows(run(query, documents=odd, benchmark=answers, part=PART))] == [*more, ("s", "odd ones", 3), ("s", "short", 3)]
 
 
 def test_keyword_scores_every_document(run):
