@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import map_rows, ship
+from .runtime import map_rows, ship, table
 
 #: Buckets of a digest; each holds a quartile code of two bits.
 BUCKETS = 1024
@@ -40,14 +40,18 @@ def codes_of(raw: bytes) -> tuple[np.ndarray, int]:
     return codes.astype(np.uint8), round(8 * math.log2(1 + len(raw)))
 
 
-def encoded(codes: np.ndarray, length: int) -> str:
+def digest(codes: np.ndarray, length: int) -> bytes:
     c = codes.reshape(-1, 4)
     packed = c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
-    return base64.b64encode(length.to_bytes(2, "big") + packed.astype(np.uint8).tobytes()).decode()
+    return length.to_bytes(2, "big") + packed.astype(np.uint8).tobytes()
+
+
+def encoded(codes: np.ndarray, length: int) -> str:
+    return base64.b64encode(digest(codes, length)).decode()
 
 
-def decoded(digest: str) -> tuple[np.ndarray, int]:
-    raw = base64.b64decode(digest)
+def decoded(text: str) -> tuple[np.ndarray, int]:
+    raw = base64.b64decode(text)
     packed = np.frombuffer(raw[2:], np.uint8)
     return np.stack([packed >> s & 3 for s in (0, 2, 4, 6)], axis=1).reshape(-1), int.from_bytes(raw[:2], "big")
 
@@ -83,13 +87,14 @@ def edited_with_next(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+#: As tables hold a comparison: digests in bytes.
+FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 
 
 def compared(doc_id, text: str, own, following: str, next_codes) -> tuple:
     edited = edited_with_next(text, following).encode("utf-8", "replace")
     changed = codes_of(edited)
-    return doc_id, len(text), hashlib.sha256(edited).hexdigest(), encoded(*own), encoded(*changed), likeness(own, changed), likeness(own, next_codes)
+    return doc_id, len(text), hashlib.sha256(edited).digest(), digest(*own), digest(*changed), likeness(own, changed), likeness(own, next_codes)
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
@@ -98,8 +103,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     The next document is the next row by (doc_id, CRC-32 of the text, text), after the last the first; null ids come first, null
     texts count as empty, repeated rows follow one another, in one range. An empty table gives an empty one; other columns
     are not read, whatever they are called. Rows are dealt by ranges of (doc_id, CRC-32) and sorted, once; a task streams
-    through its range and holds two texts. The ranges' first and last documents, a row for each range, come from the same
-    shuffle and are matched up among themselves: the only rows that meet beyond a range.
+    through its range and holds two texts. One pass gives the results and the range's first and last text, a row for each
+    range, and is written to the shared folder: which rows a range has is decided once, whatever is reused or run again. The
+    ends are then matched up among themselves: the only rows that meet beyond a range.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -107,42 +113,34 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     ordered = rows.withColumn("_h", F.crc32(F.col("text").cast("binary")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = ordered.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
-    arrow, ends_arrow = pa.schema(FIELDS), pa.schema([("doc_id", pa.int64()), ("range", pa.int64()), ("first", pa.string()), ("last", pa.string())])
+    ends_fields = [("range", pa.int64()), ("first", pa.string()), ("last", pa.string())]
+    arrow = pa.schema(FIELDS + ends_fields)
 
-    def inside(batches):
-        """Every row of a range that has a next one there."""
-        before, out = None, []
-
-        def flush():
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
-            out.clear()
-            return made
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
+    def inside(batches):
+        """Every row of a range that has a next one there; at last the range's number, its last doc_id, its first and last text."""
+        before, first, out = None, None, []
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 doc_id, text = doc_id.as_py(), text.as_py()
                 own = codes_of(text.encode("utf-8", "replace"))
-                if before is not None:
-                    out.append(compared(*before, text, own))
+                if before is None:
+                    first = text
+                else:
+                    out.append((*compared(*before, text, own), None, None, None))
                     if len(out) >= 1000:
-                        yield flush()
+                        yield made(out)
+                        out.clear()
                 before = (doc_id, text, own)
-        if out:
-            yield flush()
+        if before is not None:
+            out.append((before[0], *[None] * (len(FIELDS) - 1), TaskContext.get().partitionId(), first, before[1]))
+            yield made(out)
 
-    def at_ends(batches):
-        """A row for each range: its last doc_id, its number, its first and last text."""
-        first = last = None
-        for batch in batches:
-            if batch.num_rows:
-                first = batch.column(1)[0].as_py() if last is None else first
-                last = (batch.column(0)[batch.num_rows - 1].as_py(), batch.column(1)[batch.num_rows - 1].as_py())
-        if last is not None:
-            row = (last[0], TaskContext.get().partitionId(), first, last[1])
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, ends_arrow.types, strict=True)], schema=ends_arrow)
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    ends = ranged.mapInArrow(at_ends, "doc_id long, range long, first string, last string")
+    schema = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+    ranged = table(ranged.mapInArrow(inside, f"{schema}, range long, first string, last string"))
+    ends = ranged.where("range is not null")
     by_range = Window.orderBy("range")  # a row for each shuffle partition
     whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pairs = ends.select("doc_id", "last", F.coalesce(F.lead("first").over(by_range), F.first("first").over(whole)).alias("_next"))
@@ -153,4 +151,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             made.append(compared(doc_id, text, codes_of(text.encode("utf-8", "replace")), following, codes_of(following.encode("utf-8", "replace"))))
         return list(zip(*made, strict=True))
 
-    return ranged.mapInArrow(inside, schema).unionByName(map_rows(pairs, lambda: step, schema))
+    every = ranged.where("range is null").select(*[name for name, _ in FIELDS]).unionByName(map_rows(pairs, lambda: step, schema))
+    plain = lambda c: F.translate(F.base64(c), "\r\n", "")  # noqa: E731  some settings break lines
+    shown = {"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": plain("fingerprint"), "edited_fingerprint": plain("edited_fingerprint")}
+    return every.withColumns(shown)

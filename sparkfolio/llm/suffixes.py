@@ -226,34 +226,38 @@ def sort_small(held: DataFrame, length: int) -> DataFrame:
     return dealt.select("doc", "hash", "anchor", "run", "single", "bytes").mapInArrow(step, schema)
 
 
-def count_large(held: DataFrame, length: int) -> DataFrame:
-    """As sort_small(), for anchors with too many kinds for a task: a row a window, dealt by its digest."""
+def count_large(held: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """As sort_small(), for anchors with too many kinds for a task: a row a window, dealt by its digest. And a table to drop later."""
     first, n, ahead = F.shiftright("run", 24), F.shiftright("run", 12).bitwiseAND(4095), F.col("run").bitwiseAND(4095)
     windows = held.select("doc", "hash", "single", "bytes", first.alias("first"), ahead.alias("ahead"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("within"))
     digest = F.sha2(F.substring("bytes", F.col("within").cast("int") + 1, F.lit(length)), 256).alias("window")
     windows = windows.select("doc", "hash", "single", (F.col("first") + F.col("within")).alias("start"), digest)
-    repeated = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
+    repeated = table(windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window"))
     alive = windows.where("single").join(repeated, "window", "left_semi")
-    return alive.select("doc", "hash", F.shiftleft("start", 24).bitwiseOR(F.lit(1 << 12)).alias("run"))
+    return alive.select("doc", "hash", F.shiftleft("start", 24).bitwiseOR(F.lit(1 << 12)).alias("run")), repeated
 
 
 def repeated_runs(rows: DataFrame, length: int, kinds: int = KINDS) -> DataFrame:
-    """doc, hash, own array<long>: the packed runs of repeated windows of each text that has any."""
+    """doc, hash, own array<long>: the packed runs of repeated windows of each text that has any.
+
+    What is counted is a table before it is joined, so that both sides of a join come straight from a shuffle: only then are hot
+    anchors, kinds and windows split among tasks.
+    """
     every = runs(rows, length)
-    together = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    together = table(every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
     alive = table(every.join(together, "anchor", "left_semi"))
     place = F.struct("doc", "hash", "run")
     each_kind = table(alive.groupBy("anchor", "kind").agg(F.count("*").alias("times"), F.min(place).alias("place")))
     resolved = alive.join(each_kind.where("times > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi").select("doc", "hash", "run")
     single = F.col("times") == 1
-    contested = each_kind.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(single).alias("singles")).where("kinds > 1 AND singles > 0").select("anchor", "kinds")
+    contested = table(each_kind.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(single).alias("singles")).where("kinds > 1 AND singles > 0").select("anchor", "kinds"))
     wanted = each_kind.join(contested, "anchor").select("place.*", "anchor", "kinds", single.alias("single"))
     held = table(with_bytes(rows, wanted, length))
     sorted_out = sort_small(held.where(F.col("kinds") <= kinds), length)
-    counted = count_large(held.where(F.col("kinds") > kinds), length)
+    counted, repeated = count_large(held.where(F.col("kinds") > kinds), length)
     found = resolved.unionByName(sorted_out).unionByName(counted)
     result = table(found.groupBy("doc", "hash").agg(F.collect_list("run").alias("own")))
-    drop_tables(alive, each_kind, held)
+    drop_tables(together, alive, each_kind, contested, held, repeated)
     return result
 
 

@@ -151,6 +151,21 @@ def test_fingerprints_by_brute_force(spark):
     assert fingerprints.fingerprint_texts(frame).count() == len(values)
 
 
+def test_fingerprints_whatever_is_reused(spark):
+    """Ranges are decided once: every document is there once, with its neighbour, also where no shuffle is used again."""
+    values = [(i * 7 % 3000, f"text of {i * 7 % 3000} and {i * 7 % 11}") for i in range(3000)]
+    frame = spark.createDataFrame(values, "doc_id long, text string").repartition(5)
+    in_order = sorted(values)
+    want = {i: fingerprints.edited_with_next(t, u) for (i, t), (_, u) in zip(in_order, [*in_order[1:], in_order[0]], strict=True)}
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = fingerprints.compare_with_next(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert len(got) == 3000 and {r.doc_id: r.edited_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)] + [(7, 7)]
