@@ -14,10 +14,12 @@ from ..functions.words import (
     COMPARE_WORDS, COMPARISON, DATASET_WORDS, EVIDENCE_PHRASES, EXACT_SIGNALS, FUTURE_PHRASES, GAP_WORDS, HEDGES, HOW_WHY, LABEL_ALIASES, LIMITATION_PHRASES,
     METHOD_WORDS, PAPER_WORDS, SIGNALS, STOP_WORDS, SUMMARY_PHRASES, TECHNOLOGY_WORDS, TREND_PHRASES,
 )
+from ..session import stored
 from ..shipping import ship
+from . import containment
+from .graph import top_n
 
 CHUNK, OVERLAP = 800, 80
-SPACE = " \t\n\r\f\v"
 
 
 # -- chunks ---------------------------------------------------------------------------------------------------------------
@@ -343,10 +345,13 @@ def grouped_citations(mentions: DataFrame) -> DataFrame:
 
 
 def title_mentions(claim_rows: DataFrame, titles: DataFrame, by: list[str], limit: int = 5) -> DataFrame:
-    """by, claim, paper_title: up to so many titles (of the same group) that stand in a claim."""
-    hits = claim_rows.join(titles, by).where(F.contains(F.lower("claim"), F.lower("paper_title")))
-    w = Window.partitionBy(*by, "claim").orderBy("paper_title")
-    return hits.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit).select(*by, "claim", "paper_title")
+    """by, claim, paper_title: up to so many titles (of the same group) that stand in a claim, the first by name. Claims and titles
+    meet by their words, not all of a group's with all of the other's."""
+    named = titles.select(*by, "paper_title", F.lower("paper_title").alias("term")).where("paper_title <> ''").distinct()
+    texts = claim_rows.select(*by, "claim").distinct().select(*by, "claim", F.lower("claim").alias("text"), F.sha2(F.to_json(F.struct(*by, "claim")).cast("binary"), 256).alias("id"))
+    hits = containment.contained(named.select(*by, "term"), texts.select(*by, "id", "text"), by)
+    found = hits.join(named, [*by, "term"]).join(texts.select("id", "claim"), "id")
+    return top_n(found.select(*by, "claim", "paper_title"), limit, [*by, "claim"], [F.col("paper_title")]).drop("rank")
 
 
 def citation_found(title: Column, context: Column) -> Column:
@@ -360,99 +365,57 @@ def citation_found(title: Column, context: Column) -> Column:
     return F.coalesce((t != "") & (F.contains(c, t) | ((bare != "") & (F.contains(c, bare) | F.contains(cleared, bare))) | enough), F.lit(False))
 
 
-#: Titles whose index a task holds at a time; more are taken in rounds over the documents.
-TITLES = 20_000
-
-
-class _Titles:
-    """Titles by their long words, to find those that citation_found() finds in a context without looking for each."""
-
-    def __init__(self, items: list[tuple]):
-        import numpy as np
-
-        long = re.compile("[a-zA-Z0-9]{4,}").findall
-        self.ids = [k for k, _ in items]
-        self.titles = [(t or "").strip(SPACE).lower() for _, t in items]
-        self.bare = [re.sub(r"\s*\([^)]*\)\s*", "", t, flags=re.ASCII).strip(SPACE) for t in self.titles]
-        self.words: dict[str, int] = {}
-        parts: dict[str, tuple[list, list]] = {"all": ([], []), "title": ([], []), "bare": ([], [])}
-        for i, (t, bare) in enumerate(zip(self.titles, self.bare, strict=True)):
-            for kind, found in (("all", long(t)), ("title", set(long(t))), ("bare", set(long(bare)))):
-                parts[kind][0].extend(self.words.setdefault(w, len(self.words)) for w in found)
-                parts[kind][1].extend([i] * len(found))
-        count = lambda kind: np.bincount(np.array(parts[kind][1], np.int64), minlength=len(items))
-        self.n = {kind: count(kind) for kind in parts}
-        self.need = np.maximum(3, self.n["all"] // 2)
-        self.there = {kind: np.array([x != "" for x in v], bool) for kind, v in (("title", self.titles), ("bare", self.bare))}
-        self.postings = {}
-        for kind, (words, at) in parts.items():
-            w, i = np.array(words, np.int64), np.array(at, np.int64)
-            order = np.argsort(w, kind="stable")
-            self.postings[kind] = np.split(i[order], np.cumsum(np.bincount(w, minlength=len(self.words)))[:-1]) if len(self.words) else []
-        self.lengths = sorted({len(w) for w in self.words})
-        self.cache: dict[str, frozenset] = {}
-
-    def inside(self, run: str) -> frozenset:
-        """The words that are part of a run of letters and digits."""
-        got = self.cache.get(run)
-        if got is None:
-            got = frozenset(self.words[x] for n in self.lengths if n <= len(run) for k in range(len(run) - n + 1) if (x := run[k : k + n]) in self.words)
-            if len(run) <= 64:
-                if len(self.cache) >= 200_000:
-                    self.cache.clear()
-                self.cache[run] = got
-        return got
-
-    def hits(self, kind: str, words: set[int]):
-        import numpy as np
-
-        lists = [self.postings[kind][w] for w in words]
-        return np.bincount(np.concatenate(lists) if lists else np.zeros(0, np.int64), minlength=len(self.ids))
-
-    def found(self, context: str) -> list:
-        c = context.lower()
-        cleared = re.sub(r"\[.*?\]\s*", "", c, flags=re.ASCII) if "[" in c else c
-        words = lambda x: set().union(*map(self.inside, set(re.findall("[a-zA-Z0-9]{4,}", x))))
-        own = words(c)
-        enough = (self.n["all"] > 0) & (self.hits("all", own) >= self.need) & self.there["title"]
-        either = own if cleared is c else own | words(cleared)
-        whole = self.there["title"] & (self.hits("title", own) == self.n["title"])
-        parts = self.there["bare"] & (self.hits("bare", either) == self.n["bare"])
-        for i in ((whole | parts) & ~enough).nonzero()[0]:
-            t, bare = self.titles[i], self.bare[i]
-            enough[i] = t in c or (bare != "" and (bare in c or bare in cleared))
-        return [self.ids[i] for i in enough.nonzero()[0]]
+def token_matches(titles: DataFrame, index: DataFrame) -> DataFrame:
+    """title, id: texts that hold enough of a title's long words (tokens, repeated ones counting as often), as part of their own.
+
+    titles: title, tokens; index: id, word. Tokens are looked up among the texts' distinct words by their parts of four
+    characters. Any text with enough tokens has one of the title's rarest, those without which too few are left; only texts
+    that have one are counted in full, from the text's list of tokens and the title's.
+    """
+    weights = titles.where(F.size("tokens") > 0).select("title", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    weights = weights.groupBy("title", "n", "token").agg(F.count("*").alias("m")).withColumn("need", F.greatest(F.lit(3), F.floor(F.col("n") / 2))).where("n >= need")
+    runs = index.select("id", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit("([a-z0-9]{4,})"), F.lit(1)))).alias("word"))
+    counts = runs.groupBy("word").agg(F.count("*").alias("df"))
+    asked = weights.select("token").distinct().select("token", containment.grams(F.col("token"), 4).alias("_h"))
+    inside = containment.looked_up(asked, counts, [], ("gram",), 4).where(F.contains("word", "token"))
+    held = stored(inside.join(runs, "word").select("id", "token").distinct())
+
+    often = held.groupBy("token").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("title").orderBy("df", "token")
+    seen = F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ordered = weights.join(often, "token").withColumns({"before": seen, "all": F.sum("m").over(Window.partitionBy("title"))})
+    rare = ordered.where(F.col("before") <= F.col("all") - F.col("need")).select("title", "token")
+    candidates = rare.join(held, "token").select("title", "id").distinct()
+    lists = held.groupBy("id").agg(F.collect_set("token").alias("held"))
+    whole = weights.groupBy("title", "need").agg(F.collect_list(F.struct("token", "m")).alias("own"))
+    both = candidates.join(lists, "id").join(whole, "title")
+    common = F.map_from_arrays(F.col("own.token"), F.col("own.m"))
+    hits = F.aggregate(F.array_intersect(F.col("own.token"), "held"), F.lit(0).cast("long"), lambda a, t: a + F.element_at(common, t))
+    return both.where(hits >= F.col("need")).select("title", "id")
 
 
 def citations(documents: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, doc_id, found: every document (doc_id, text) in which citation_found() finds an item's title (item_id, title), and a row
-    with a null doc_id, not found, for an item that is in none. Each document is looked up in an index of the titles' words."""
-    import pyarrow as pa
+    with a null doc_id, not found, for an item that is in none.
 
-    ship(documents.sparkSession)
-    schema = pa.schema([("_item", pa.int64()), ("doc_id", pa.int64())])
-
-    def finder(titles: list[tuple]):
-        def run(batches):
-            index = _Titles(titles)
-            for batch in batches:
-                out, docs = [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    got = index.found(text or "")
-                    out.extend(got)
-                    docs.extend([doc] * len(got))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(docs, pa.int64())], schema=schema)
-
-        return run
-
-    texts = documents.select(F.col("doc_id").cast("long"), "text")
-    rounds = max(1, -(-items.count() // TITLES))
-    pairs = None
-    for k in range(rounds):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).select(F.col("item_id").cast("long"), "title").collect()  # about TITLES rows
-        found = texts.mapInArrow(finder([tuple(r) for r in part]), "_item long, doc_id long")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return items.join(pairs, F.col("item_id") == F.col("_item"), "left").select("item_id", "doc_id", F.col("doc_id").isNotNull().alias("found"))
+    Neither titles nor documents pass through the driver or meet all of the others: equal titles are looked for once, by an index
+    of the documents' words, which is read for whole titles, titles without (...), and long words. A null text counts as empty;
+    repeated documents give a row each. The index stays in the shared folder.
+    """
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).withColumn("id", F.md5(F.col("text").cast("binary")))
+    texts = keyed.select("id", "text").dropDuplicates(["id"])
+    index = stored(containment.index_of(texts, []))
+    named = items.select("item_id", strip(F.lower("title")).alias("title")).where("title <> ''")
+    bare = strip(F.regexp_replace("title", r"\s*\([^)]*\)\s*", ""))
+    titles = named.select("title").distinct().select("title", bare.alias("bare"), F.regexp_extract_all("title", F.lit("([a-z0-9]{4,})"), F.lit(1)).alias("tokens"))
+    terms = titles.select(F.explode(F.array("title", "bare")).alias("term")).where("term <> ''").distinct()
+    cleared = texts.where(F.contains("text", F.lit("["))).withColumn("text", F.regexp_replace("text", r"\[.*?\]\s*", ""))
+    whole = containment.contained(terms, texts, index=index)
+    parts = whole.unionByName(containment.contained(titles.select(F.col("bare").alias("term")).where("term <> ''").distinct(), cleared))
+    found = whole.select(F.col("term").alias("title"), "id").unionByName(titles.select("title", F.col("bare").alias("term")).join(parts, "term").select("title", "id"))
+    pairs = found.unionByName(token_matches(titles, index)).distinct().join(keyed.select("id", "doc_id"), "id")
+    cited = named.join(pairs.select("title", "doc_id"), "title").select(F.col("item_id").alias("_item"), "doc_id", F.lit(True).alias("_found"))
+    return items.select("item_id").join(cited, F.col("item_id") == F.col("_item"), "left").select("item_id", "doc_id", F.coalesce("_found", F.lit(False)).alias("found"))
 
 
 def confidence(positive: Column, total: Column, chars: Column, max_chars: int, examined: Column, kept: Column, mean_score: Column, model: Column) -> Column:
