@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_overlap, normalized_claim, strip
+from ..functions.text import normalized_claim, strip
 from ..functions.words import (
     COMPARE_WORDS, COMPARISON, DATASET_WORDS, EVIDENCE_PHRASES, EXACT_SIGNALS, FUTURE_PHRASES, GAP_WORDS, HEDGES, HOW_WHY, LABEL_ALIASES, LIMITATION_PHRASES,
     METHOD_WORDS, PAPER_WORDS, SIGNALS, STOP_WORDS, SUMMARY_PHRASES, TECHNOLOGY_WORDS, TREND_PHRASES,
@@ -17,6 +17,7 @@ from ..functions.words import (
 from ..session import stored
 from ..shipping import ship
 from . import containment
+from .apart import kept_apart, overlapping, rare_first, word_set
 from .graph import top_n
 
 CHUNK, OVERLAP = 800, 80
@@ -270,43 +271,21 @@ def artifact_budget(content: Column, cap: int | Column) -> Column:
     return F.when(F.length(content) <= cap, content).otherwise(F.when(F.instr(F.reverse(cut), "\n") > 0, F.substring(cut, F.lit(1), at)).otherwise(cut))
 
 
-def _tokens(text: str) -> frozenset:
-    return frozenset((text or "").lower().split())
-
-
-def _overlap(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
-
-
 def compressed(sections: DataFrame, by: list[str], threshold: float = 0.60, other_source: bool = False) -> DataFrame:
-    """Greedily by score (ties by pos): sections that overlap with a kept one of their label (and, if asked for, of another source) are dropped.
-
-    Each kept section matters to later ones, so a group (question and label; at most what one retrieval gives) is walked in pandas.
-    """
-    ship(sections.sparkSession)
-    schema = sections.schema
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "pos"], ascending=[False, True])
-        kept: list[tuple[frozenset, str]] = []
-        flags = []
-        for content, source in zip(pdf["content"], pdf["source"], strict=True):
-            t = _tokens(content)
-            near = any(_overlap(t, k) > threshold and (not other_source or source != s) for k, s in kept)
-            flags.append(not near)
-            if not near:
-                kept.append((t, source))
-        return pdf[flags]
-
-    return sections.groupBy(*by, "label").applyInPandas(walk, schema)
+    """Greedily by score (ties by pos): sections that overlap with a kept one of their label (and, if asked for, of another source)
+    are dropped. A label of any size is decided stretch by stretch; see apart.py."""
+    kind = F.col("source") if other_source else None
+    return kept_apart(sections, [*by, "label"], word_set(F.col("content")), [F.desc("score"), F.col("pos"), *by, F.col("label")], threshold, kind)
 
 
 def near_pairs(sections: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """by, a, b, overlap: pairs of sections of a group and label above the threshold; candidates for compressed()."""
-    left = sections.select(*by, "label", F.col("pos").alias("a"), F.col("content").alias("_x"))
-    right = sections.select(*by, "label", F.col("pos").alias("b"), F.col("content").alias("_y"))
-    pairs = left.join(right, [*by, "label"]).where("a < b").withColumn("overlap", content_overlap(F.col("_x"), F.col("_y")))
-    return pairs.where(F.col("overlap") > threshold).select(*by, "a", "b", "overlap")
+    """by, a, b, overlap: pairs of sections of a group and label above the threshold. They meet by their rare words."""
+    keys = [*by, "label"]
+    sets = sections.select(*keys, F.col("pos").alias("at"), F.lit("").alias("kind"), word_set(F.col("content")).alias("words"))
+    own = lambda n, w: sets.select(*by, F.col("at").alias(n), F.col("words").alias(w))
+    met = overlapping(rare_first(sets, keys), None, keys, threshold, False).select(F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"))
+    pairs = met.join(own("a", "_x"), "a").join(own("b", "_y").drop(*by), "b")
+    return pairs.select(*by, "a", "b", (F.size(F.array_intersect("_x", "_y")) / F.least(F.size("_x"), F.size("_y"))).alias("overlap"))
 
 
 # -- evidence -------------------------------------------------------------------------------------------------------------
@@ -320,23 +299,9 @@ def claims(sections: DataFrame, least: int = 15) -> DataFrame:
 
 def aggregated_evidence(sections: DataFrame, by: list[str], threshold: float = 0.55, least: int = 15) -> DataFrame:
     """by, claim, confidence, is_inference: claims in order (pos, line) that don't overlap with an earlier kept one."""
-    ship(sections.sparkSession)
     rows = claims(sections, least).withColumn("_n", normalized_claim(F.col("claim"))).where(F.length("_n") >= least)
     ready = rows.select(*by, "pos", "line", "claim", "_n", F.least(F.col("score") / 100, F.lit(1.0)).alias("confidence"), "is_inference")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "line"])
-        kept: list[frozenset] = []
-        flags = []
-        for text in pdf["_n"]:
-            t = _tokens(text)
-            new = not any(_overlap(t, k) > threshold for k in kept)
-            flags.append(new)
-            if new:
-                kept.append(t)
-        return pdf[flags]
-
-    return ready.groupBy(*by).applyInPandas(walk, ready.schema).drop("_n")
+    return kept_apart(ready, by, word_set(F.col("_n")), [F.col("pos"), F.col("line"), *by], threshold).drop("_n")
 
 
 def grouped_citations(mentions: DataFrame) -> DataFrame:
@@ -365,12 +330,16 @@ def citation_found(title: Column, context: Column) -> Column:
     return F.coalesce((t != "") & (F.contains(c, t) | ((bare != "") & (F.contains(c, bare) | F.contains(cleared, bare))) | enough), F.lit(False))
 
 
+#: Of a title's rarest long words, how many a text must have before it is counted in full.
+RARE = 6
+
+
 def token_matches(titles: DataFrame, index: DataFrame) -> DataFrame:
     """title, id: texts that hold enough of a title's long words (tokens, repeated ones counting as often), as part of their own.
 
     titles: title, tokens; index: id, word. Tokens are looked up among the texts' distinct words by their parts of four
-    characters. Any text with enough tokens has one of the title's rarest, those without which too few are left; only texts
-    that have one are counted in full, from the text's list of tokens and the title's.
+    characters. Any text with enough tokens has RARE of the title's rarest, those without which too few are left; only texts that
+    have these are counted in full, from the text's list of tokens and the title's.
     """
     weights = titles.where(F.size("tokens") > 0).select("title", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     weights = weights.groupBy("title", "n", "token").agg(F.count("*").alias("m")).withColumn("need", F.greatest(F.lit(3), F.floor(F.col("n") / 2))).where("n >= need")
@@ -384,8 +353,9 @@ def token_matches(titles: DataFrame, index: DataFrame) -> DataFrame:
     w = Window.partitionBy("title").orderBy("df", "token")
     seen = F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ordered = weights.join(often, "token").withColumns({"before": seen, "all": F.sum("m").over(Window.partitionBy("title"))})
-    rare = ordered.where(F.col("before") <= F.col("all") - F.col("need")).select("title", "token")
-    candidates = rare.join(held, "token").select("title", "id").distinct()
+    asked_for = F.least(F.col("need"), F.lit(RARE))
+    rare = ordered.where(F.col("before") < F.col("all") - F.col("need") + asked_for).select("title", "token", "m", asked_for.alias("asked"))
+    candidates = rare.join(held, "token").groupBy("title", "id", "asked").agg(F.sum("m").alias("m")).where("m >= asked").select("title", "id")
     lists = held.groupBy("id").agg(F.collect_set("token").alias("held"))
     whole = weights.groupBy("title", "need").agg(F.collect_list(F.struct("token", "m")).alias("own"))
     both = candidates.join(lists, "id").join(whole, "title")

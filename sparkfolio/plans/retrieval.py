@@ -106,10 +106,33 @@ def compress_context(c: Corpus) -> DataFrame:
 
 
 @query()
+def compress_chunks(c: Corpus) -> DataFrame:
+    """Chunks of all documents, labelled by their source, as sections of one question."""
+    doc_id, chunk = F.shiftright("pos", 22), F.col("pos").bitwiseAND((1 << 22) - 1)
+    sections = _document_chunks(c).select(F.lit(0).alias("query_id"), F.col("source").alias("label"), "pos", "content", (doc_id % 13 * 7.0).alias("score"))
+    return R.compressed(sections, ["query_id"]).select("label", doc_id.alias("doc_id"), chunk.alias("chunk_index"))
+
+
+_CLAIMS = f"""l AS (SELECT query_id, pos, (i - 1)::INT AS line, (pos % 13 * 7.0)::DOUBLE AS score, {_STRIP.format("string_split(content, chr(10))[i]")} AS l FROM (SELECT *, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM s)),
+  a AS (SELECT *, regexp_replace(regexp_replace(l, '^\\[.*?\\]\\s*', ''), '^[-•*]\\s*', '') AS claim FROM l WHERE length(l) >= 15), n AS (SELECT *, regexp_replace({_STRIP.format('lower(claim)')}, '[^a-z0-9\\s]', '', 'g') AS n FROM a WHERE length(claim) >= 15),
+  o AS (SELECT *, list_distinct(list_filter(string_split_regex(n, '\\s+'), lambda x: x <> '')) AS t, row_number() OVER (PARTITION BY query_id ORDER BY pos, line) AS k FROM n WHERE length(n) >= 15)"""
+
+
+@query(f"""WITH RECURSIVE {_SECTIONS}, {_CLAIMS},
+  w AS (SELECT query_id, pos, line, k, true AS kept, [t] AS held FROM o WHERE k = 1
+    UNION ALL SELECT query_id, pos, line, k, NOT near, CASE WHEN near THEN held ELSE list_append(held, t) END FROM (SELECT o.query_id, o.pos, o.line, o.k, o.t, w.held, len(list_filter(w.held, lambda h: {_OVER.format('o.t', 'h')} > 0.55)) > 0 AS near FROM w JOIN o ON o.query_id = w.query_id AND o.k = w.k + 1))
+  SELECT o.query_id, o.pos, o.line, claim, least(score / 100, 1.0)::DOUBLE AS confidence, len(list_filter({HEDGES}, lambda h: contains(lower(claim), h))) > 0 AS is_inference FROM o JOIN w ON w.query_id = o.query_id AND w.k = o.k WHERE kept""")
 def aggregate_evidence(c: Corpus) -> DataFrame:
     return R.aggregated_evidence(_sections(c), ["query_id"])
 
 
+@query()
+def aggregate_claims(c: Corpus) -> DataFrame:
+    """Claims of all documents, the sections of their sources' questions."""
+    d = c.table("documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"), (F.col("doc_id") % 13 * 7.0).alias("score"))
+    return R.aggregated_evidence(d, ["query_id"]).select("query_id", "pos", "line", F.md5("claim").alias("claim_md5"), "confidence", "is_inference")
+
+
 _QUESTIONS = f"q AS (SELECT conv_id, turn, text, {_STRIP.format('lower(text)')} AS raw FROM conversations WHERE role = 'user'), t AS (SELECT *, regexp_extract_all(raw, '[a-zA-Z][a-zA-Z0-9_\\-.#]*') AS tokens FROM q)"
 _FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _ANY = "len(list_filter({0}, lambda w: contains({1}, w))) > 0"
