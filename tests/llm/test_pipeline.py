@@ -133,6 +133,32 @@ def test_a_document_repeated_many_times_is_one_to_learn_from(spark):
     assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in docs)]
 
 
+def test_long_texts_are_learnt_from(spark, monkeypatch):
+    """A class that has only long texts is learnt from; short ones come first, and what the driver gets is bounded."""
+    monkeypatch.setattr(toxicity, "LONGEST", 300)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, ("vile gruntle " * 40 if k % 2 else "a fine day ") + f"n{i}") for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)] + [(999_999, 1)], "doc_id long, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, weights: seen.append([t for t, c in zip(texts, y, strict=True) if c]) or train(texts, y, weights))
+    out = {r.doc_id: r.score for r in toxicity.toxicity_scores(frame, labels).collect()}
+    assert all((out[i] >= 0.7) == (k % 2 == 1) for k, i in enumerate(ids)) and len(seen[0]) == len(ids) // 2
+    toxicity.fit(frame, labels, sample=10)
+    assert sum(map(len, seen[1])) <= 10 * 300 and len(seen[1]) >= 1
+    toxicity.fit(spark.createDataFrame([*docs, (ids[0] + 10**6, "x"), (ids[1], "vile")], "doc_id long, text string"), labels, sample=1)
+    assert len(seen[2]) == 1
+
+
+def test_thresholds_move_with_the_number_of_labels():
+    z, y = np.array([3.0, 2.0, -1.0, -2.0]), np.array([1, 1, 0, 0])
+    own = toxicity.best_cut(z, y, (1.0, 1.0))
+    assert toxicity.blended(z[:2], y[:2], (1.0, 1.0), 9.0) == 9.0 and abs(toxicity.blended(z, y, (1.0, 1.0), 9.0) - (2 * own + 90) / 12) < 1e-9
+    many = toxicity.blended(np.tile(z, 500), np.tile(y, 500), (1.0, 1.0), 9.0)
+    assert abs(many - own) < 0.1
+
+
 def test_best_cut_separates():
     z, y = np.array([3.0, 2.0, -1.0, -2.0]), np.array([1, 1, 0, 0])
     assert toxicity.best_cut(z, y, (90.0, 10.0)) == 0.5
