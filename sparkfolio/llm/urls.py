@@ -11,8 +11,6 @@ from .runtime import table
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)"
 #: Hosts that are addresses: these have no domains above them.
 ADDRESS = r"^(\[.*|[0-9.]+)$"
-#: Characters of the longest domain name. Longer patterns are void, so that a capture has a bounded number of candidates.
-LONGEST = 253
 
 
 def host_of(url: Column) -> Column:
@@ -21,16 +19,14 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def suffixes(host: Column) -> Column:
-    """The host and the domains above it, the most specific first; of an address only itself.
-
-    Of what is longer than a domain name can be, only the domains in its last LONGEST characters.
-    """
-    end = F.regexp_replace(F.substring(host, -LONGEST - 1, LONGEST + 1), r"^[^.]*\.", "")
-    whole = F.when(F.length(host) <= LONGEST, host).when(F.length(end) <= LONGEST, end)
-    labels = F.coalesce(F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(whole, r"\.")), F.array().cast("array<string>"))
-    n = F.size(labels)
-    return F.when(n == 0, labels).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), ".")))
+def suffixes(host: Column, lengths: list[int]) -> Column:
+    """array<struct<depth, pattern>>: of the host and the domains above it those of the lengths, the most specific first, with how
+    many characters stand before each; of an address only itself. Work goes by the lengths, so a host of any length is looked at whole."""
+    n = F.length(host)
+    alone = host.rlike(ADDRESS)
+    fits = lambda k: (k == n) | (~alone & (k < n) & (F.substr(host, n - k, F.lit(1)) == "."))
+    ends = F.filter(F.array(*map(F.lit, sorted(lengths, reverse=True))).cast("array<int>"), fits)
+    return F.transform(ends, lambda k: F.struct((n - k).alias("depth"), F.substr(host, n - k + 1).alias("pattern")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -38,11 +34,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An entry holds from its time until the pattern's next one; actions are block, allow and remove (the pattern is on no list).
     Of entries at the same time the first in the order block, allow, remove holds; repeated entries change nothing. Entries
-    without pattern or time or with a pattern above LONGEST characters are void. One row a pattern, with an interval for each change of its own state: that grows with
-    how often a single pattern is listed and removed, not with the list.
+    without pattern or time are void. One row a pattern, with an interval for each change of its own state: that grows with how
+    often a single pattern is listed and removed, not with the list.
     """
     rank = F.when(F.col("action") == "block", 0).when(F.col("action") == "allow", 1).otherwise(2)
-    clean = entries.select(F.lower(F.col("pattern")).alias("pattern"), "action", F.col("at").cast("timestamp").alias("at"), rank.alias("_rank")).where(f"pattern is not null and at is not null and length(pattern) <= {LONGEST}")
+    clean = entries.select(F.lower(F.col("pattern")).alias("pattern"), "action", F.col("at").cast("timestamp").alias("at"), rank.alias("_rank")).where("pattern is not null and at is not null")
     at_once = clean.groupBy("pattern", "at").agg(F.min_by("action", "_rank").alias("action"))
     until = F.lead("at").over(Window.partitionBy("pattern").orderBy("at"))
     spans = at_once.withColumn("until", until).where(F.col("action").isin("block", "allow"))
@@ -58,14 +54,16 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     matched to distinct hosts first, so a host with a third of all captures meets the lists once, and written as a table with
     a row for each host that has any; captures meet it as an as-of join on the host and the time in each of its intervals.
     The planner broadcasts that table if its size allows it; else both sides are shuffled plainly, and adaptive execution
-    can split a host's captures, since nothing needs them together.
+    can split a host's captures, since nothing needs them together. A host of any length meets every domain above it that is
+    on a list: the driver gets the distinct lengths of patterns, of which there are at most the root of twice all their characters.
     """
     added = ["host", "matched_pattern", "matched_action", "kept"]
     own = [F.col(f"`{c}`") for c in captures.columns if c not in added]
     rows = captures.select(F.struct(*own).alias("_row"), F.col("fetched_at"), host_of(F.col("url").cast("string")).alias("host"))
     hosts = rows.select(F.col("host").alias("_host")).where("_host is not null").distinct()
-    candidates = hosts.select("_host", F.posexplode(suffixes(F.col("_host"))).alias("_depth", "_pattern"))
     spans = intervals(entries)
+    lengths = [r.n for r in spans.select(F.length("pattern").alias("n")).distinct().collect()]
+    candidates = hosts.select("_host", F.explode(suffixes(F.col("_host"), lengths)).alias("_s")).select("_host", F.col("_s.depth").alias("_depth"), F.col("_s.pattern").alias("_pattern"))
     found = candidates.join(spans, F.col("_pattern") == F.col("pattern"))
     by_host = table(found.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("_depth", "pattern", "spans"))).alias("_lists")))
     at = F.col("fetched_at").cast("timestamp")
@@ -120,8 +118,7 @@ SQL = r"""
 WITH p AS (SELECT page_id, url, epoch_ms((1704067200 + ((page_id * 37) % 8760) * 3600) * 1000) AS fetched_at,
         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)', 1)), '\.+$', ''), '') AS host FROM pages),
 h AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),
-lab AS (SELECT host, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN [host] WHEN length(host) <= 253 THEN string_split(host, '.')
-    WHEN contains(right(host, 254), '.') THEN string_split(regexp_replace(right(host, 254), '^[^.]*\.', ''), '.') ELSE [] END AS l FROM h),
+lab AS (SELECT host, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN [host] ELSE string_split(host, '.') END AS l FROM h),
 up AS (SELECT host, array_to_string(CASE WHEN len(l) > 3 THEN l[len(l) - 2:] ELSE l END, '.') AS parent, l FROM lab),
 crc AS (SELECT host, parent, ('0x' || substr(md5(host), 1, 7))::BIGINT AS c, ('0x' || substr(md5(parent), 1, 7))::BIGINT AS cp FROM up),
 e AS (

@@ -20,8 +20,8 @@ def at(n):
 def test_captures_by_brute_force(spark):
     rng = random.Random(1)
     hosts = ["a.example.com", "b.example.com", "example.com", "x.y.example.org", "example.org", "other.net"]
-    entries = [(rng.choice(hosts), rng.choice(["block", "allow", "remove"]), at(rng.randint(0, 20))) for _ in range(40)] + [("EXAMPLE.com", "block", at(3)), (None, "block", at(1)), ("other.net", "block", None), ("[2001:db8::1]", "block", at(2)), ("0.0.1", "block", at(2)), ("10.0.0.1", "allow", at(3)), ("x" * 300, "block", at(1))]
-    captures = [(i, f"https://{rng.choice(hosts).upper()}:80/p?q#f", at(rng.randint(-1, 22))) for i in range(120)] + [(500, None, at(1)), (501, "nonsense", at(1)), (502, "http://example.com.", None), (503, "http://user@example.com/x", at(9)), (503, "http://user@example.com/x", at(9)), (504, "http://[2001:DB8::1]:8080/x", at(9)), (505, "http://10.0.0.1/", at(9)), (506, "http://" + "long." * 60_000 + "example.com/", at(9)), (507, "http://" + "x" * 300 + "/", at(9))]
+    entries = [(rng.choice(hosts), rng.choice(["block", "allow", "remove"]), at(rng.randint(0, 20))) for _ in range(40)] + [("EXAMPLE.com", "block", at(3)), (None, "block", at(1)), ("other.net", "block", None), ("[2001:db8::1]", "block", at(2)), ("0.0.1", "block", at(2)), ("10.0.0.1", "allow", at(3)), ("x" * 300, "block", at(1)), ("y" * 200 + ".net." + "z." * 150 + "net", "allow", at(1)), ("z.net", "block", at(1)), ("", "block", at(1))]
+    captures = [(i, f"https://{rng.choice(hosts).upper()}:80/p?q#f", at(rng.randint(-1, 22))) for i in range(120)] + [(500, None, at(1)), (501, "nonsense", at(1)), (502, "http://example.com.", None), (503, "http://user@example.com/x", at(9)), (503, "http://user@example.com/x", at(9)), (504, "http://[2001:DB8::1]:8080/x", at(9)), (505, "http://10.0.0.1/", at(9)), (506, "http://" + "long." * 60_000 + "example.com/", at(9)), (507, "http://" + "x" * 300 + "/", at(9)), (508, "http://w." + "y" * 200 + ".net." + "z." * 150 + "net/", at(9)), (509, "http://q." + "z." * 150 + "net/", at(9)), (510, "http://a..b./", at(9))]
     frame = spark.createDataFrame([(i, u, t, "clash", 1) for i, u, t in captures], "id long, url string, fetched_at timestamp, host string, _host int")
     out = urls.judge_captures(frame, spark.createDataFrame(entries, "pattern string, action string, at timestamp")).collect()
     order = {"block": 0, "allow": 1, "remove": 2}
@@ -32,12 +32,10 @@ def test_captures_by_brute_force(spark):
             host = u.split("://")[1].split("/")[0].split("@")[-1].lower()
             host = host.split("]")[0] + "]" if host[0] == "[" else host.split(":")[0].rstrip(".")
         pattern = action = None
-        labels = [host] if host and (host[0] == "[" or host.replace(".", "").isdigit()) else host.split(".") if host else []
-        for k in range(max(0, len(labels) - 254), len(labels)):
-            p = ".".join(labels[k:])
-            if len(p) > 253:
-                continue
-            known = [(e[2], -order[e[1]], e[1]) for e in entries if e[0] and e[2] and e[0].lower() == p and t is not None and e[2] <= t]
+        alone = host and (host[0] == "[" or host.replace(".", "").isdigit())
+        above = {e[0].lower() for e in entries if e[0] is not None and host and (e[0].lower() == host or (not alone and host.endswith("." + e[0].lower())))}
+        for p in sorted(above, key=len, reverse=True):
+            known = [(e[2], -order[e[1]], e[1]) for e in entries if e[0] is not None and e[2] and e[0].lower() == p and t is not None and e[2] <= t]
             if known and max(known)[2] != "remove":
                 pattern, action = p, max(known)[2]
                 break
