@@ -12,24 +12,33 @@ from sparkfolio.llm.runtime import drop_folder, shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go: null, empty and blank texts too. All columns stay, whatever they are called."""
+    """Documents that the quality rules reject go: null, empty and blank texts too. Repeated rows count as often and share their
+    verdict, ties at a threshold stay, a very long text is read whole, an empty table gives an empty one. All columns stay,
+    whatever they are called."""
     return quality.keep_good(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. The classifier learns from labels of the documents that are there; without labels of
-    both classes it has one score for all, below the threshold unless all labels are toxic."""
+    """Documents that score as toxic go, those at exactly the threshold too. The classifier learns from labels of the documents that
+    are there; without labels of both classes it has one score for all, below the threshold unless all labels are toxic.
+
+    A null or empty text scores as one without words, a very long one is scored whole, repeated rows share their score; an
+    empty table gives an empty one. All columns stay, whatever they are called."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles of five words and a similarity of 0.8 or more, the one with the smallest doc_id stays,
-    with all its rows if it is repeated. Documents without doc_id or without words stay."""
+    with all its rows if it is repeated. Documents without doc_id or without words stay; very long texts are compared by all
+    their shingles; an empty table gives an empty one. All columns stay, whatever they are called."""
     return neardup.keep_one(docs, words=5, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of at most 1024 tokens; of an empty table none. The only stage whose rows aren't documents."""
+    """Pieces of documents in windows of at most 1024 tokens; of an empty table none. The only stage whose rows aren't documents.
+
+    A null text counts as empty and is one piece with the closing id alone; repeated rows are packed each; a very long text is cut
+    into as many pieces as it needs. Columns other than doc_id and text are not read, whatever they are called."""
     return packing.pack_documents(docs, tokenizer(BYTE_BPE))
 
 
