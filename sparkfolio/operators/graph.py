@@ -63,6 +63,23 @@ def top_co_occurring(bridge_a: DataFrame, name: str, bridge_b: DataFrame, n: int
     return bridge_b.join(papers, "paper_id", "left_semi").where(F.col("name") != name).groupBy("name").agg(F.countDistinct("paper_id").alias("shared")).orderBy(F.desc("shared"), "name").limit(n)
 
 
+#: What goes with what: relation -> (type, other type). Fixed values.
+RELATIONS = {"technology_methodology": ("technology", "methodology"), "technology_dataset": ("technology", "dataset"), "dataset_methodology": ("dataset", "methodology"), "dataset_technology": ("dataset", "technology")}
+
+
+def goes_with(sets: DataFrame, n: int = 20, relations: dict[str, tuple[str, str]] = RELATIONS) -> DataFrame:
+    """relation, name, other, papers, rank: for each name the n names of the other type that share most papers with it.
+
+    sets: a row a paper with arrays of distinct names by type. Names are dealt out one at a time and each meets the paper's
+    others, so a paper with many names makes many rows and no large one; pairs are counted before they are shuffled, and of
+    each name no more than n rows leave a task.
+    """
+    each = F.array(*[F.struct(F.lit(k).alias("relation"), F.col(a).alias("names"), F.col(b).alias("others")) for k, (a, b) in relations.items()])
+    rows = sets.select(F.explode(each).alias("r")).select("r.relation", "r.others", F.explode("r.names").alias("name"))
+    counts = rows.select("relation", "name", F.explode("others").alias("other")).groupBy("relation", "name", "other").agg(F.count("*").alias("papers"))
+    return top_n(counts, n, ["relation", "name"], [F.desc("papers"), F.col("other")])
+
+
 def yearly(bridge: DataFrame, papers: DataFrame, by: list[str] = ("name",)) -> DataFrame:
     """Papers by name and observed year."""
     dated = papers.where("year is not null").select("paper_id", "year")

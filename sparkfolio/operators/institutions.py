@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import INSTITUTION_KINDS, kind_of
 from . import graph
 
 
@@ -51,8 +52,13 @@ def entries_of_sets(papers: DataFrame, sets: DataFrame) -> DataFrame:
     return out.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in zero.items()})
 
 
-#: Criterion -> column; anything else ranks by papers.
-CRITERIA = {"paper_count": "paper_count", "citations": "citation_count", "avg_citations": "avg_citations", "growth": "growth_rate", "collaboration": "collaboration_score", "technology_diversity": "technology_count", "domain_diversity": "domain_count"}
+#: Criterion -> column; anything else ranks by papers. Fixed values.
+CRITERIA = {"publication_count": "paper_count", "citation_count": "citation_count", "avg_citations": "avg_citations", "growth_rate": "growth_rate", "technology_diversity": "technology_count", "research_diversity": "domain_count", "collaboration_score": "collaboration_score"}
+#: List -> (column that it is sorted by, least value that it asks for, itself left out). Fixed values.
+INTELLIGENCE = {
+    "top_institutions": ("paper_count", None), "emerging_institutions": ("growth_rate", 0.3), "most_collaborative": ("collaboration_score", None), "fastest_growing": ("growth_rate", None),
+    "technology_leaders": ("technology_count", None), "dataset_leaders": ("paper_count", None), "methodology_leaders": ("domain_count", None),
+}
 
 
 def ranked(entries: DataFrame, criterion: str, limit: int) -> DataFrame:
@@ -62,11 +68,11 @@ def ranked(entries: DataFrame, criterion: str, limit: int) -> DataFrame:
     return graph.top_n(top.withColumn("_one", F.lit(1)), limit, ["_one"], [F.desc(column), F.col("institution")]).drop("_one")
 
 
-def leaders(entries: DataFrame, limit: int) -> DataFrame:
-    """criterion, institution, rank: the first entries by each criterion, ties by name; one pass over the entries for all criteria."""
-    values = F.array(*[F.struct(F.lit(k).alias("criterion"), F.col(v).cast("double").alias("value")) for k, v in CRITERIA.items()])
-    each = entries.select("institution", F.explode(values).alias("e")).select("institution", "e.*")
-    return graph.top_n(each, limit, ["criterion"], [F.desc("value"), F.col("institution")]).select("criterion", "institution", "rank")
+def leaders(entries: DataFrame, limit: int = 10) -> DataFrame:
+    """list, institution, value, rank: the seven lists of INTELLIGENCE, ties by name; one pass over the entries for all of them."""
+    lists = [F.when(F.lit(True) if least is None else F.col(c) > least, F.struct(F.lit(k).alias("list"), F.col(c).cast("double").alias("value"))) for k, (c, least) in INTELLIGENCE.items()]
+    each = entries.select("institution", F.explode(F.array_compact(F.array(*lists))).alias("e")).select("institution", "e.*")
+    return graph.top_n(each, limit, ["list"], [F.desc("value"), F.col("institution")]).select("list", "institution", "value", "rank")
 
 
 STOP = ["of", "the", "and", "for", "in", "at", "on", "by", "a", "an"]
@@ -133,6 +139,16 @@ def topic_search(topic: DataFrame, institutions: DataFrame, papers: DataFrame, l
     return counts.crossJoin(F.broadcast(total)).withColumn("relevance", F.round(F.col("papers") / F.col("_n"), 4)).drop("_n").orderBy(F.desc("papers"), F.desc("citations"), "institution").limit(limit)  # one row
 
 
+def topic_details(found: DataFrame, topic: DataFrame, institutions: DataFrame, papers: DataFrame, authors: DataFrame, n: int = 5) -> DataFrame:
+    """institution, kind (paper or author), name, value, rank: of each institution of topic_search(), the topic's most cited papers (value:
+    citations) and the authors with most of them (value: papers)."""
+    own = institutions.select("paper_id", F.col("name").alias("institution")).join(F.broadcast(found.select("institution")), "institution").join(topic, "paper_id", "left_semi")  # a row for each of a limited list
+    cited = own.join(papers.select("paper_id", "citations"), "paper_id").select("institution", F.lit("paper").alias("kind"), F.col("paper_id").alias("_id"), F.col("paper_id").cast("string").alias("name"), F.coalesce("citations", F.lit(0)).cast("long").alias("value"))
+    wrote = own.join(authors.select("paper_id", "name"), "paper_id").groupBy("institution", "name").agg(F.count("*").alias("value"))
+    both = cited.unionByName(wrote.select("institution", F.lit("author").alias("kind"), F.lit(None).cast("long").alias("_id"), "name", "value"))
+    return graph.top_n(both, n, ["institution", "kind"], [F.desc("value"), F.col("_id"), F.col("name")]).drop("_id")
+
+
 def filtered(institutions: DataFrame, papers: DataFrame, bridges: dict[str, DataFrame], min_papers: int = 0, min_citations: int = 0, years: tuple[int | None, int | None] = (None, None), containing: dict[str, list[str]] | None = None) -> DataFrame:
     """institution, paper_count, citation_count of those with enough of both over all papers and one paper that meets the rest.
 
@@ -152,13 +168,58 @@ def filtered(institutions: DataFrame, papers: DataFrame, bridges: dict[str, Data
     return totals.join(fit, "institution", "left_semi")
 
 
+#: Label, column, and what the value must be above (strengths) or below (weaknesses). Fixed values.
+STRENGTHS = [
+    ("High publication output", "paper_count", 10), ("High citation impact", "citation_count", 100), ("High average citations per paper", "avg_citations", 10),
+    ("Fast publication growth", "growth_rate", 0.5), ("Broad research diversity", "diversity", 0.3), ("Strong collaboration network", "collaboration_score", 0.5),
+]
+WEAKNESSES = [
+    ("Low publication output", "paper_count", 3), ("Low citation impact", "citation_count", 10), ("Below-average citations per paper", "avg_citations", 3),
+    ("Declining publication trend", "growth_rate", 0), ("Narrow research focus", "diversity", 0.1), ("Limited collaboration network", "collaboration_score", 0.1),
+]
+
+
 def compare(entries: DataFrame, names: list[str]) -> DataFrame:
-    """Two to five institutions side by side with diversity (domains a paper), strengths and weaknesses by threshold."""
+    """Two to five institutions side by side with diversity (domains a paper), strengths and weaknesses, joined by "; "."""
     e = entries.where(F.col("institution").isin(*names)).withColumn("diversity", F.round(F.col("domain_count") / F.greatest("paper_count", F.lit(1)), 4))
-    label = lambda cases: F.array_join(F.array_compact(F.array(*[F.when(c, t) for t, c in cases])), ",")
-    strong = label([("productive", F.col("paper_count") >= 100), ("cited", F.col("avg_citations") >= 100), ("connected", F.col("collaboration_score") >= 0.9), ("growing", F.col("growth_rate") > 0)])
-    weak = label([("few papers", F.col("paper_count") < 100), ("seldom cited", F.col("avg_citations") < 100), ("shrinking", F.col("growth_rate") < 0)])
-    return e.withColumns({"strengths": strong, "weaknesses": weak})
+    label = lambda cases, holds: F.array_join(F.array_compact(F.array(*[F.when(holds(F.col(c), x), t) for t, c, x in cases])), "; ")
+    return e.withColumns({"strengths": label(STRENGTHS, lambda c, x: c > x), "weaknesses": label(WEAKNESSES, lambda c, x: c < x)})
+
+
+def details(papers: DataFrame, sets: DataFrame, home: DataFrame, n: int = 10) -> DataFrame:
+    """institution, section, name, value, rank: whole profiles of all institutions.
+
+    sets: a row a paper with arrays of distinct names (institution, author, technology, domain, dataset, methodology); home: author
+    name and institution, distinct. Sections: total (papers, authors, citations); domain, technology, dataset, methodology and year
+    (all of them, by papers; years in order); author, co_author (of papers, but not at home here), collaborator (n each) and paper
+    (n, by citations). Papers are dealt once, and one count over (institution, section, name) serves all but papers and totals.
+    """
+    rows = sets.join(papers.select("paper_id", "citations", "year"), "paper_id").select("*", F.explode("institution").alias("own"))
+    tagged = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("section"), x.cast("string").alias("name")))
+    year = F.when(F.col("year").isNotNull(), F.array("year")).otherwise(F.array().cast("array<int>"))
+    partners = F.filter("institution", lambda x: x != F.col("own"))
+    kinds = {"author": F.col("author"), "domain": F.col("domain"), "technology": F.col("technology"), "dataset": F.col("dataset"), "methodology": F.col("methodology"), "collaborator": partners, "year": year}
+    names = F.flatten(F.array(*[tagged(k, c) for k, c in kinds.items()]))
+    counts = rows.select(F.col("own").alias("institution"), F.explode(names).alias("e")).groupBy("institution", "e.section", "e.name").agg(F.count("*").alias("value"))
+    foreign = counts.where("section = 'author'").join(home.select("institution", F.col("author").alias("name")), ["institution", "name"], "left_anti").withColumn("section", F.lit("co_author"))
+    of = lambda section: F.when(section == "year", F.col("name"))
+    by = [of(F.col("section")), F.desc("value"), F.col("name")]
+    w = Window.partitionBy("institution", "section").orderBy(*by)
+    whole = counts.where(~F.col("section").isin("author", "collaborator")).withColumn("rank", F.row_number().over(w).cast("long"))
+    first = graph.top_n(counts.where(F.col("section").isin("author", "collaborator")).unionByName(foreign.select(*counts.columns)), n, ["institution", "section"], [F.desc("value"), F.col("name")])
+    cited = rows.select(F.col("own").alias("institution"), F.lit("paper").alias("section"), "paper_id", F.coalesce("citations", F.lit(0)).cast("long").alias("value"))
+    cited = graph.top_n(cited, n, ["institution"], [F.desc("value"), F.col("paper_id")]).select("institution", "section", F.col("paper_id").cast("string").alias("name"), "value", "rank")
+    sums = rows.groupBy(F.col("own").alias("institution")).agg(F.count("*").alias("papers"), F.coalesce(F.sum("citations"), F.lit(0)).cast("long").alias("citations"))
+    sums = sums.join(counts.where("section = 'author'").groupBy("institution").agg(F.count("*").alias("authors")), "institution", "left")
+    totals = sums.select("institution", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(k, F.lit(0)).cast("long").alias("value")) for k in ("papers", "authors", "citations")])).alias("e"))
+    totals = totals.select("institution", F.lit("total").alias("section"), "e.*", F.lit(None).cast("long").alias("rank"))
+    return whole.unionByName(first).unionByName(cited).unionByName(totals)
+
+
+def by_type(institutions: DataFrame, n: int = 10) -> DataFrame:
+    """kind, institution, papers, rank: the first n institutions of each type."""
+    counts = institutions.groupBy(F.col("name").alias("institution")).agg(F.count("*").alias("papers")).withColumn("kind", kind_of(F.col("institution"), INSTITUTION_KINDS))
+    return graph.top_n(counts, n, ["kind"], [F.desc("papers"), F.col("institution")])
 
 
 def profile_lists(institutions: DataFrame, bridges: dict[str, DataFrame], n: int = 10) -> DataFrame:

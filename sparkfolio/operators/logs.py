@@ -13,15 +13,23 @@ def tumbling_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     return requests.withColumn("allowed", F.row_number().over(w) <= limit)
 
 
-def policy(method: Column, path: Column) -> Column:
-    """Requests a minute that a route may get; null without a limit."""
+#: Paths without a limit, the prefix of routes, requests a minute. Fixed values.
+UNLIMITED = ["/api/v1/live", "/api/v1/health", "/api/v1/ready", "/api/v1/metrics/info"]
+PREFIX, RUNS, INVESTIGATIONS, CHATS, DEFAULT = "/api/v1", 5, 10, 20, 120
+
+
+def policy(method: Column, path: Column, overrides: dict[tuple[str, str], int] | None = None) -> Column:
+    """Requests a window that a route may get; null without a limit. overrides: (method, exact path) -> limit, which come first."""
     bare = F.regexp_replace(path, "/+$", "")
+    first = F.when(F.lit(False), 0)
+    for (m, p), limit in (overrides or {}).items():
+        first = first.when((method == m.upper()) & (path == p), limit)
     return (
-        F.when(path.isin("/health", "/metrics", "/docs", "/openapi.json"), None)
-        .when((method == "POST") & bare.endswith("/retrieve"), 5)
-        .when((method == "POST") & bare.endswith("/investigations"), 10)
-        .when(F.contains(path, F.lit("/copilot")) & F.contains(path, F.lit("/chat")), 20)
-        .otherwise(120)
+        first.when(path.isin(*UNLIMITED), None)
+        .when((method == "POST") & bare.endswith("/retrieve"), RUNS)
+        .when((method == "POST") & (bare == f"{PREFIX}/investigations"), INVESTIGATIONS)
+        .when(F.contains(path, F.lit("/copilot")) & F.contains(path, F.lit("/chat")), CHATS)
+        .otherwise(DEFAULT)
     )
 
 

@@ -239,25 +239,41 @@ def boosted(sections: DataFrame, intent: str) -> DataFrame:
     return sections.withColumn("score", F.when(hit, F.least(F.col("score") + 0.25, F.lit(1.0))).otherwise(F.col("score")))
 
 
-def within_budget(sections: DataFrame, by: list[str], budget: int, order: list[Column]) -> DataFrame:
+def within_budget(sections: DataFrame, by: list[str], budget: int, order: list[Column], content: str | None = None) -> DataFrame:
     """Greedily by order: a section that no longer fits is skipped, later ones may still fit. What is left of a budget depends on
-    every earlier section of its group, so a group's sections stream through its task in order; nothing is gathered."""
+    every earlier section of its group, so a group's sections stream through its task in order; nothing is gathered.
+
+    content: a text column. With it a group whose first section is larger than the whole budget has that one cut to the budget,
+    and later ones still fit as if it weren't there."""
     import pyarrow as pa
 
     ship(sections.sparkSession)
     numbered = sections.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).sortWithinPartitions(*by, "_k")
     at, size = [numbered.columns.index(c) for c in by], numbered.columns.index("char_count")
+    text = numbered.columns.index(content) if content else None
 
     def run(batches):
-        group, free = None, budget
+        group, free, any_yet = None, budget, False
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in at), strict=True))
-            fits = []
-            for key, n in zip(keys, batch.column(size).to_pylist(), strict=True):
+            fits, cut = [], []
+            for row, (key, n) in enumerate(zip(keys, batch.column(size).to_pylist(), strict=True)):
                 if key != group:
-                    group, free = key, budget
-                fits.append(n is not None and n <= free)
-                free -= n if fits[-1] else 0
+                    group, free, any_yet = key, budget, False
+                whole = n is not None and n <= free
+                if text is not None and n is not None and not whole and not any_yet:
+                    cut.append(row)
+                fits.append(whole or bool(cut and cut[-1] == row))
+                free -= n if whole else 0
+                any_yet |= fits[-1]
+            if cut:
+                columns = list(batch.columns)
+                texts, sizes = columns[text].to_pylist(), columns[size].to_pylist()
+                for row in cut:
+                    texts[row] = (texts[row] or "")[:budget]
+                    sizes[row] = len(texts[row])
+                columns[text], columns[size] = pa.array(texts, columns[text].type), pa.array(sizes, columns[size].type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch.filter(pa.array(fits, pa.bool_()))
 
     return numbered.mapInArrow(run, numbered.schema).drop("_k")

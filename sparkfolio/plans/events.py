@@ -30,12 +30,19 @@ def rate_limit_sliding(c: Corpus) -> DataFrame:
     return streaming.sliding_limit(_requests(c), 2, 86400.0).select("id", "key", F.unix_micros("ts").alias("us"), "allowed")
 
 
-@query("""SELECT event_id, CASE WHEN p IN ('/health', '/metrics') THEN NULL WHEN p LIKE '%/retrieve' THEN 5 WHEN p LIKE '%/copilot/chat' THEN 20 ELSE 120 END AS allowed
-  FROM (SELECT event_id, ['/health', '/api/v1/investigations/1/retrieve', '/api/v1/copilot/chat', '/api/v1/papers'][(event_id % 4 + 1)::INT] AS p FROM events)""")
+_ROUTES = [
+    ("GET", "/api/v1/live"), ("GET", "/api/v1/health"), ("GET", "/api/v1/ready"), ("GET", "/api/v1/metrics/info"), ("GET", "/health"), ("POST", "/api/v1/investigations"), ("POST", "/api/v1/investigations//"), ("GET", "/api/v1/investigations"),
+    ("POST", "/api/v2/investigations"), ("POST", "/api/v1/investigations/1/retrieve"), ("POST", "/api/v1/investigations/1/retrieve/"), ("GET", "/api/v1/investigations/1/retrieve"), ("POST", "/api/v1/copilot/1/chat"), ("GET", "/api/v1/papers"), ("POST", "/api/v1/export"), ("GET", "/api/v1/export"),
+]
+
+
+@query(f"""WITH r AS (SELECT event_id, {[m for m, _ in _ROUTES]}[(event_id % 16 + 1)::INT] AS m, {[p for _, p in _ROUTES]}[(event_id % 16 + 1)::INT] AS p FROM events)
+  SELECT event_id, CASE WHEN m = 'POST' AND p = '/api/v1/export' THEN 3 WHEN p IN ('/api/v1/live', '/api/v1/health', '/api/v1/ready', '/api/v1/metrics/info') THEN NULL WHEN m = 'POST' AND rtrim(p, '/') LIKE '%/retrieve' THEN 5
+    WHEN m = 'POST' AND rtrim(p, '/') = '/api/v1/investigations' THEN 10 WHEN contains(p, '/copilot') AND contains(p, '/chat') THEN 20 ELSE 120 END AS allowed FROM r""")
 def rate_limit_policy(c: Corpus) -> DataFrame:
-    paths = F.array(*map(F.lit, ["/health", "/api/v1/investigations/1/retrieve", "/api/v1/copilot/chat", "/api/v1/papers"]))
-    e = c.table("events").select("event_id", F.element_at(paths, (F.col("event_id") % 4 + 1).cast("int")).alias("p"))
-    return e.select("event_id", logs.policy(F.lit("POST"), F.col("p")).alias("allowed"))
+    k = (F.col("event_id") % len(_ROUTES) + 1).cast("int")
+    method, path = (F.element_at(F.array(*[F.lit(r[i]) for r in _ROUTES]), k) for i in (0, 1))
+    return c.table("events").select("event_id", logs.policy(method, path, {("post", "/api/v1/export"): 3}).alias("allowed"))
 
 
 @query("SELECT event_type, (epoch(ts)::BIGINT // 86400) * 86400 AS start_s, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -32,20 +32,60 @@ def institution_ranking(c: Corpus) -> DataFrame:
     return institutions.ranked(_entries(c), "paper_count", 100)
 
 
-@query(sql(_VIEWS, f"{_ENTRIES} SELECT * FROM (" + " UNION ALL ".join(f"(SELECT '{k}' AS criterion, institution, row_number() OVER (ORDER BY {v} DESC, institution) AS rank FROM entries QUALIFY rank <= 10)" for k, v in institutions.CRITERIA.items()) + ")"))
+_LISTS = [("top_institutions", "paper_count", "true"), ("emerging_institutions", "growth_rate", "growth_rate > 0.3"), ("most_collaborative", "collaboration_score", "true"), ("fastest_growing", "growth_rate", "true"),
+    ("technology_leaders", "technology_count", "true"), ("dataset_leaders", "paper_count", "true"), ("methodology_leaders", "domain_count", "true")]
+
+
+@query(sql(_VIEWS, f"{_ENTRIES} SELECT * FROM (" + " UNION ALL ".join(f"(SELECT '{k}' AS list, institution, {v}::DOUBLE AS value, row_number() OVER (ORDER BY {v} DESC, institution) AS rank FROM entries WHERE {w} QUALIFY rank <= 10)" for k, v, w in _LISTS) + ")"))
 def institution_leaders(c: Corpus) -> DataFrame:
     return institutions.leaders(_entries(c), 10)
 
 
 @query(sql(_VIEWS, f"""{_ENTRIES} SELECT institution, paper_count, round(domain_count / greatest(paper_count, 1), 4) AS diversity,
-  concat_ws(',', CASE WHEN paper_count >= 100 THEN 'productive' END, CASE WHEN avg_citations >= 100 THEN 'cited' END, CASE WHEN collaboration_score >= 0.9 THEN 'connected' END, CASE WHEN growth_rate > 0 THEN 'growing' END) AS strengths,
-  concat_ws(',', CASE WHEN paper_count < 100 THEN 'few papers' END, CASE WHEN avg_citations < 100 THEN 'seldom cited' END, CASE WHEN growth_rate < 0 THEN 'shrinking' END) AS weaknesses FROM entries WHERE institution IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') OR institution < 'F'"""))
+  concat_ws('; ', CASE WHEN paper_count > 10 THEN 'High publication output' END, CASE WHEN citation_count > 100 THEN 'High citation impact' END, CASE WHEN avg_citations > 10 THEN 'High average citations per paper' END, CASE WHEN growth_rate > 0.5 THEN 'Fast publication growth' END,
+    CASE WHEN round(domain_count / greatest(paper_count, 1), 4) > 0.3 THEN 'Broad research diversity' END, CASE WHEN collaboration_score > 0.5 THEN 'Strong collaboration network' END) AS strengths,
+  concat_ws('; ', CASE WHEN paper_count < 3 THEN 'Low publication output' END, CASE WHEN citation_count < 10 THEN 'Low citation impact' END, CASE WHEN avg_citations < 3 THEN 'Below-average citations per paper' END, CASE WHEN growth_rate < 0 THEN 'Declining publication trend' END,
+    CASE WHEN round(domain_count / greatest(paper_count, 1), 4) < 0.1 THEN 'Narrow research focus' END, CASE WHEN collaboration_score < 0.1 THEN 'Limited collaboration network' END) AS weaknesses FROM entries WHERE institution IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') OR institution < 'F'"""))
 def institution_comparison(c: Corpus) -> DataFrame:
     e = _entries(c)
     names = [r[0] for r in c.table("nation").select("n_name").where("n_name in ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') or n_name < 'F'").collect()]  # a dimension of 25 rows
     return institutions.compare(e, names).select("institution", "paper_count", "diversity", "strengths", "weaknesses")
 
 
+_HOME = "home AS (SELECT DISTINCT s_name AS name, n_name AS institution FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
+
+
+def _home(c: Corpus) -> DataFrame:
+    return c.table("supplier").join(c.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("author"), F.col("n_name").alias("institution")).distinct()
+
+
+@query(sql("papers entities", f"""WITH {_HOME}, i AS (SELECT paper_id, name AS institution FROM entities WHERE type = 'institution'), o AS (SELECT i.institution, e.type AS section, e.name, count(*) AS value FROM i JOIN entities e USING (paper_id) WHERE type IN ('author', 'domain', 'technology', 'dataset', 'methodology') GROUP BY ALL),
+  k AS (SELECT i.institution, 'collaborator' AS section, j.institution AS name, count(*) AS value FROM i JOIN i j ON j.paper_id = i.paper_id AND j.institution <> i.institution GROUP BY ALL),
+  x AS (SELECT institution, 'co_author' AS section, name, value FROM o WHERE section = 'author' AND NOT EXISTS (SELECT 1 FROM home h WHERE h.name = o.name AND h.institution = o.institution)),
+  p AS (SELECT i.institution, p.* FROM i JOIN papers p USING (paper_id)), y AS (SELECT institution, 'year' AS section, year::VARCHAR AS name, count(*) AS value FROM p GROUP BY ALL)
+  SELECT institution, section, name, value, row_number() OVER (PARTITION BY institution, section ORDER BY value DESC, name) AS rank FROM o WHERE section <> 'author'
+  UNION ALL SELECT *, row_number() OVER (PARTITION BY institution ORDER BY name) FROM y
+  UNION ALL SELECT *, row_number() OVER (PARTITION BY institution, section ORDER BY value DESC, name) AS rank FROM (SELECT * FROM o WHERE section = 'author' UNION ALL SELECT * FROM k UNION ALL SELECT * FROM x) QUALIFY rank <= 10
+  UNION ALL SELECT institution, 'paper', paper_id::VARCHAR, citations::BIGINT, row_number() OVER (PARTITION BY institution ORDER BY citations DESC, paper_id) AS rank FROM p QUALIFY rank <= 10
+  UNION ALL SELECT institution, 'total', unnest(['papers', 'citations']), unnest([count(*), sum(citations)::BIGINT]), NULL FROM p GROUP BY institution
+  UNION ALL SELECT institution, 'total', 'authors', count(*), NULL FROM o WHERE section = 'author' GROUP BY institution"""))
+def institution_details(c: Corpus) -> DataFrame:
+    return institutions.details(c.papers(), c.entity_sets("institution", "author", "technology", "domain", "dataset", "methodology"), _home(c))
+
+
+@query(sql("institutions", f"SELECT {kind_sql('name', INSTITUTION_KINDS)} AS kind, name AS institution, count(*) AS papers, row_number() OVER (PARTITION BY {kind_sql('name', INSTITUTION_KINDS)} ORDER BY count(*) DESC, name) AS rank FROM institutions GROUP BY 2 QUALIFY rank <= 10"))
+def institutions_by_type(c: Corpus) -> DataFrame:
+    return institutions.by_type(c.institutions())
+
+
+@query(sql("technologies datasets methodologies", """WITH c AS (SELECT 'technology_methodology' AS relation, a.name, b.name AS other, count(*) AS papers FROM technologies a JOIN methodologies b USING (paper_id) GROUP BY ALL
+    UNION ALL SELECT 'technology_dataset', a.name, b.name, count(*) FROM technologies a JOIN datasets b USING (paper_id) GROUP BY ALL UNION ALL SELECT 'dataset_methodology', a.name, b.name, count(*) FROM datasets a JOIN methodologies b USING (paper_id) GROUP BY ALL
+    UNION ALL SELECT 'dataset_technology', a.name, b.name, count(*) FROM datasets a JOIN technologies b USING (paper_id) GROUP BY ALL)
+  SELECT *, row_number() OVER (PARTITION BY relation, name ORDER BY papers DESC, other) AS rank FROM c QUALIFY rank <= 20"""))
+def what_goes_with(c: Corpus) -> DataFrame:
+    return graph.goes_with(c.entity_sets("technology", "dataset", "methodology"))
+
+
 @query()  # the last branch of a score is a sequence ratio, which SQL has no function for: tests compare with brute force
 def institution_search(c: Corpus) -> DataFrame:
     e = c.institutions().groupBy(F.col("name").alias("institution")).agg(F.count("*").alias("paper_count"))
@@ -63,6 +103,16 @@ def institution_topics(c: Corpus) -> DataFrame:
     return institutions.topic_search(topic, c.institutions(), c.papers(), 10)
 
 
+@query(sql(_VIEWS + " datasets methodologies", """WITH t AS (SELECT DISTINCT paper_id FROM (SELECT * FROM domains UNION ALL SELECT * FROM technologies UNION ALL SELECT * FROM datasets UNION ALL SELECT * FROM methodologies) WHERE contains(lower(name), 'st')),
+  f AS (SELECT i.name AS institution FROM institutions i JOIN t USING (paper_id) JOIN papers p USING (paper_id) GROUP BY 1 ORDER BY count(*) DESC, sum(citations) DESC, institution LIMIT 10), o AS (SELECT f.institution, i.paper_id FROM f JOIN institutions i ON i.name = f.institution JOIN t USING (paper_id)),
+  b AS (SELECT institution, 'paper' AS kind, paper_id AS id, paper_id::VARCHAR AS name, citations::BIGINT AS value FROM o JOIN papers USING (paper_id) UNION ALL SELECT institution, 'author', NULL, a.name, count(*) FROM o JOIN authors a USING (paper_id) GROUP BY ALL)
+  SELECT institution, kind, name, value, row_number() OVER (PARTITION BY institution, kind ORDER BY value DESC, id, name) AS rank FROM b QUALIFY rank <= 5"""))
+def institution_topic_details(c: Corpus) -> DataFrame:
+    topic = institutions.topic_papers([c.domains(), c.technologies(), c.datasets(), c.methodologies()], "St")
+    found = institutions.topic_search(topic, c.institutions(), c.papers(), 10)
+    return institutions.topic_details(found, topic, c.institutions(), c.papers(), c.authors())
+
+
 @query(sql("papers institutions datasets methodologies", """WITH cited AS (SELECT i.name AS institution, p.* FROM institutions i JOIN papers p USING (paper_id)),
   ok AS (SELECT paper_id FROM datasets WHERE contains(lower(name), '#1') INTERSECT SELECT paper_id FROM methodologies WHERE contains(lower(name), 'st'))
   SELECT institution, count(*) AS paper_count, sum(citations)::BIGINT AS citation_count FROM cited GROUP BY 1 HAVING count(*) >= 20 AND sum(citations) >= 500 AND bool_or(year BETWEEN 1996 AND 1999 AND paper_id IN (SELECT paper_id FROM ok))"""))
@@ -80,8 +130,7 @@ def institution_profiles(c: Corpus) -> DataFrame:
 @query(sql("institutions authors", """WITH home AS (SELECT DISTINCT s_name AS author, n_name AS institution FROM supplier JOIN nation ON n_nationkey = s_nationkey),
   o AS (SELECT DISTINCT i.name AS institution, a.name AS author FROM institutions i JOIN authors a USING (paper_id)) SELECT institution, count(*) AS external FROM (SELECT * FROM o EXCEPT SELECT institution, author FROM home) GROUP BY 1"""))
 def institution_external_coauthors(c: Corpus) -> DataFrame:
-    home = c.table("supplier").join(c.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("author"), F.col("n_name").alias("institution")).distinct()
-    return institutions.external_coauthors(c.institutions(), c.authors(), home)
+    return institutions.external_coauthors(c.institutions(), c.authors(), _home(c))
 
 
 @query(sql("institutions", f"SELECT {kind_sql('name', INSTITUTION_KINDS)} AS kind, count(DISTINCT name) AS names, count(DISTINCT paper_id) AS papers FROM institutions GROUP BY 1"))

@@ -151,6 +151,26 @@ def test_severity_and_confidence_of_gaps(spark):
     assert [(r.subject, r.frequency, r.confidence, r.severity) for r in got] == [("two", 6, 0.85, "low"), ("one", 5, 0.83, "medium"), ("late", 6, 0.85, "medium")]
 
 
+def test_strengths_weaknesses_and_lists(spark):
+    """Every label at both sides of its bound."""
+    names = ["institution", "paper_count", "citation_count", "avg_citations", "growth_rate", "domain_count", "collaboration_score", "technology_count"]
+    kinds = "institution string, paper_count long, citation_count long, avg_citations double, growth_rate double, domain_count long, collaboration_score double, technology_count long"
+    data = [("high", 11, 101, 10.01, 0.51, 4, 0.51, 1), ("edge", 10, 100, 10.0, 0.5, 3, 0.5, 2), ("low", 2, 9, 2.99, -0.01, 0, 0.09, 3), ("least", 3, 10, 3.0, 0.0, 1, 0.1, 4), ("new", 1, 1, 1.0, 0.3, 1, 0.0, 5)]
+    e = spark.createDataFrame(data, kinds)
+    assert e.columns == names
+    got = {r.institution: (r.strengths, r.weaknesses) for r in institutions.compare(e, ["high", "edge", "low", "least"]).collect()}
+    assert got["high"] == ("; ".join(t for t, *_ in institutions.STRENGTHS), "") and got["edge"] == ("", "")
+    assert got["low"] == ("", "; ".join(t for t, *_ in institutions.WEAKNESSES)) and got["least"] == ("Broad research diversity", "")
+    lists = {}
+    for r in institutions.leaders(e, 2).orderBy("rank").collect():
+        lists.setdefault(r["list"], []).append(r.institution)
+    assert lists == {
+        "top_institutions": ["high", "edge"], "emerging_institutions": ["high", "edge"], "most_collaborative": ["high", "edge"], "fastest_growing": ["high", "edge"],
+        "technology_leaders": ["new", "least"], "dataset_leaders": ["high", "edge"], "methodology_leaders": ["high", "edge"],
+    }
+    assert [r.institution for r in institutions.leaders(e, 10).where("list = 'emerging_institutions'").orderBy("rank").collect()] == ["high", "edge"]
+
+
 def test_answers_that_hold_for_all(spark):
     terms = spark.createDataFrame([(1, "ab"), (2, "ab"), (2, "b c"), (3, "\tab"), (3, "zz"), (4, " ")], "investigation_id long, term string")
     got = gaps.answered(terms, spark.createDataFrame([("CAB cd",), (None,)], "text string"))
@@ -204,7 +224,9 @@ def test_retrieval(spark):
 def test_logs(spark):
     e = spark.createDataFrame([(i, "k", f"2024-01-01 00:00:{i * 10:02d}") for i in range(4)], "id long, key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [r.allowed for r in logs.tumbling_limit(e, 3, 60).orderBy("id").collect()] == [True, True, True, False]
-    assert one(spark, logs.policy(F.lit("POST"), F.lit("/api/v1/investigations/"))) == 10
+    assert one(spark, logs.policy(F.lit("POST"), F.lit("/api/v1/investigations/"))) == 10 and one(spark, logs.policy(F.lit("POST"), F.lit("/x/investigations"))) == 120
+    assert one(spark, logs.policy(F.lit("GET"), F.lit("/api/v1/health"))) is None and one(spark, logs.policy(F.lit("GET"), F.lit("/health"))) == 120
+    assert one(spark, logs.policy(F.lit("GET"), F.lit("/api/v1/health"), {("get", "/api/v1/health"): 7})) == 7
     assert one(spark, F.map_entries(logs.merged_metadata(F.expr("map('a', 1, 'b', 2)"), F.expr("map('b', 3)"))))[1].value == 3
 
 
