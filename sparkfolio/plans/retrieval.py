@@ -239,12 +239,49 @@ def retrieve_by_keywords(c: Corpus) -> DataFrame:
     return keyword_retrieval(_document_chunks(c), {"keywords": ["the", "of"], "bigrams": [], "phrases": []})
 
 
+def _questions(c: Corpus) -> DataFrame:
+    """All user turns of conversations, analysed and classified; question_id numbers turns within conversations."""
+    turns = c.table("conversations").where("role = 'user'").select((F.shiftleft(F.col("conv_id").cast("long"), 16) + F.col("turn")).alias("question_id"), "text")
+    return R.classified(R.analyzed(turns))
+
+
 @query()
 def retrieve_semantically(c: Corpus) -> DataFrame:
+    """All user turns against an index of the chunks of all documents."""
+    from ..operators import vectors
     from ..operators.sections import semantic_retrieval
 
-    chunks = R.embed(_document_chunks(c), "content", 64)
-    return semantic_retrieval(chunks, [1.0] + [0.5] * 63, {"keywords": ["the"]}, "dataset_comparison")
+    chunks = _document_chunks(c)
+    index = vectors.build(R.embed(chunks, "content", 64), "pos")
+    found = semantic_retrieval(index, chunks, R.embed(_questions(c), "text", 64))
+    return found.select("question_id", "pos", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.round("score", 6).alias("score"), "char_count")
+
+
+@query()
+def question_sections(c: Corpus) -> DataFrame:
+    """The ten best chunks of all documents by keywords, for every user turn."""
+    from ..operators.scoring import best_sections
+
+    return best_sections(_questions(c), _document_chunks(c), 10)
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS s FROM v q, v WHERE q.vec_id % 50 = 0)
+  SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s QUALIFY rank <= 10""")
+def vector_search_exact(c: Corpus) -> DataFrame:
+    """Vectors whose id is divisible by 50 against all, in blocks of an index that is read whole."""
+    from ..operators import vectors
+
+    e = c.table("embeddings")
+    return vectors.search(vectors.build(e), e.where("vec_id % 50 = 0"), 10, "vec_id", probes=None).withColumn("score", F.round("score", 6))
+
+
+@query()
+def vector_index_search(c: Corpus) -> DataFrame:
+    """The same by the index: tests hold its recall against brute force."""
+    from ..operators import vectors
+
+    e = c.table("embeddings")
+    return vectors.search(vectors.build(e), e.where("vec_id % 50 = 0"), 10, "vec_id").withColumn("score", F.round("score", 6))
 
 
 @query("SELECT DISTINCT user_id FROM events WHERE event_type IN ('view', 'click') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error')")

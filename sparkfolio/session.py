@@ -47,11 +47,12 @@ def checkpoints(spark: SparkSession) -> None:
     shared_folder(spark)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: what several plans read is made once, and its size is known to the planner."""
+def stored(df: DataFrame, *partitions: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, split by columns if any are named: what several plans read is made once, and its
+    size is known to the planner."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(partitions) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
