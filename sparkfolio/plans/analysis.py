@@ -52,8 +52,8 @@ _OUT = "SELECT investigation_id, '{rule}' AS rule, subject, n::BIGINT AS frequen
 _HIGH = "CASE WHEN n >= 5 THEN 'high' ELSE 'medium' END"
 _BY_N = "n DESC, subject"
 _SQL = {
-    "dataset_gap": f"WITH {_IN}, f AS (SELECT investigation_id, name, count(DISTINCT paper_id) AS n FROM m GROUP BY ALL), d AS (SELECT m.investigation_id, m.name, count(DISTINCT t.name) AS d FROM m JOIN t USING (paper_id) GROUP BY ALL), "
-    f"g AS (SELECT f.investigation_id, f.name AS subject, n FROM f LEFT JOIN d ON d.investigation_id = f.investigation_id AND d.name = f.name WHERE n >= 3 AND coalesce(d, 0) / n < 3.0) {_OUT.format(rule='dataset_gap', share='n / 10', cap=0.95, severity=_HIGH, order=_BY_N, limit=5)}",
+    "dataset_gap": f"WITH {_IN}, f AS (SELECT investigation_id, name, count(DISTINCT paper_id) AS n FROM m GROUP BY ALL), d AS (SELECT m.investigation_id, m.name, count(DISTINCT t.name) AS d FROM m JOIN metrics t USING (paper_id) GROUP BY ALL), "
+    f"g AS (SELECT f.investigation_id, f.name AS subject, n FROM f LEFT JOIN d ON d.investigation_id = f.investigation_id AND d.name = f.name WHERE n >= 3 AND coalesce(d, 0) / n < 0.5) {_OUT.format(rule='dataset_gap', share='n / 10', cap=0.95, severity=_HIGH, order=_BY_N, limit=5)}",
     "method_combination": f"""WITH {_IN}, a AS (SELECT investigation_id, name AS a, count(DISTINCT paper_id) AS na FROM m GROUP BY 1, 2 HAVING na >= 3 QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY na DESC, name) <= 15),
       b AS (SELECT investigation_id, name AS b, count(DISTINCT paper_id) AS nb FROM t GROUP BY 1, 2 HAVING nb >= 3 QUALIFY row_number() OVER (PARTITION BY investigation_id ORDER BY nb DESC, name) <= 15),
       s AS (SELECT m.investigation_id, m.name AS a, t.name AS b, count(DISTINCT m.paper_id) AS c FROM m JOIN t USING (paper_id) GROUP BY ALL),
@@ -66,18 +66,19 @@ _SQL = {
 
 
 def _rules(c: Corpus) -> dict:
-    """Methods, datasets and technologies of papers with their investigations: one bridge for all rules."""
+    """Methods, datasets, technologies and metrics of papers with their investigations: one bridge for all rules. What a method is tried
+    with are the metrics of its papers, of which there are few."""
     papers = c.papers().select("paper_id", "investigation_id", "year")
-    kinds = {"methodology": "methodology", "dataset": "dataset", "technology": "technique"}
+    kinds = {"methodology": "methodology", "dataset": "dataset", "technology": "technique", "metric": "metric"}
     named = F.array(*[F.struct(F.lit(v).alias("kind"), F.col(k).alias("name")) for k, v in kinds.items()])
     bridge = c.mentions().select("paper_id", F.explode(named).alias("e")).select("paper_id", "e.*").where("name is not null").distinct().join(papers, "paper_id")
     of = lambda kind: bridge.where(F.col("kind") == kind).select("investigation_id", "paper_id", "name")
     m, t = of("methodology"), of("dataset")
-    dated = bridge.where("kind <> 'dataset'").select("investigation_id", "kind", F.col("name").alias("term"), "year")
-    return {"dataset_gap": lambda: gaps.dataset_gap(m, t, ratio=3.0), "method_combination": lambda: gaps.method_combination(m, t), "temporal_gap": lambda: gaps.temporal_gap(dated, years=papers)}
+    dated = bridge.where("kind IN ('methodology', 'technique')").select("investigation_id", "kind", F.col("name").alias("term"), "year")
+    return {"dataset_gap": lambda: gaps.dataset_gap(m, of("metric")), "method_combination": lambda: gaps.method_combination(m, t), "temporal_gap": lambda: gaps.temporal_gap(dated, years=papers)}
 
 
-_V = "papers methodologies datasets technologies"
+_V = "papers methodologies datasets technologies metrics"
 
 
 @query(sql(_V, _SQL["dataset_gap"]))

@@ -130,11 +130,14 @@ def request_durations(c: Corpus) -> DataFrame:
     return logs.request_metrics(_log(c), [10, 100])[1]
 
 
-@query(sql("papers technologies", """WITH y AS (SELECT name, year, count(DISTINCT paper_id) AS n FROM technologies JOIN papers USING (paper_id) WHERE year <= 1997 GROUP BY 1, 2), s AS (SELECT *, lag(n) OVER (PARTITION BY name ORDER BY year) AS b, row_number() OVER (PARTITION BY name ORDER BY year DESC) AS k, max(year) OVER () AS latest FROM y),
-  g AS (SELECT name, coalesce((n - b) / b, 0) AS growth FROM s WHERE k = 1 AND year >= latest - 2) SELECT name, round(growth, 4) AS growth, row_number() OVER (ORDER BY growth DESC, name) AS rank FROM g WHERE growth > 0 QUALIFY rank <= 10"""))
+@query(sql("papers technologies", """WITH y AS (SELECT investigation_id, name, year, count(DISTINCT paper_id) AS n FROM technologies JOIN papers USING (paper_id) GROUP BY ALL),
+  s AS (SELECT *, lag(n) OVER (PARTITION BY investigation_id, name ORDER BY year) AS b, row_number() OVER (PARTITION BY investigation_id, name ORDER BY year DESC) AS k, max(year) OVER () AS latest FROM y),
+  g AS (SELECT investigation_id, name, coalesce((n - b) / b, 0) AS growth FROM s WHERE k = 1 AND year >= latest - 2) SELECT investigation_id, name, round(growth, 4) AS growth, row_number() OVER (PARTITION BY investigation_id ORDER BY growth DESC, name) AS rank FROM g WHERE growth > 0 QUALIFY rank <= 10"""))
 def top_emerging(c: Corpus) -> DataFrame:
-    t = graph.trends(graph.yearly(c.technologies(), c.papers().where("year <= 1997")), ["name"])
-    return graph.top_emerging(t, 10).select("name", F.round("growth", 4).alias("growth"), "rank")
+    by = ["investigation_id", "name"]
+    papers = c.papers().select("paper_id", "investigation_id", "year")
+    t = graph.trends(graph.yearly(c.technologies().join(papers.select("paper_id", "investigation_id"), "paper_id"), papers, by), by)
+    return graph.top_emerging(t, 10, ["investigation_id"]).select("investigation_id", "name", F.round("growth", 4).alias("growth"), "rank")
 
 
 @query(sql("raw_papers", f"{_VALID} SELECT count(*) AS total, count_if(status = 'valid')::BIGINT AS valid, count_if(status = 'warning')::BIGINT AS warning, count_if(status = 'invalid')::BIGINT AS invalid, count_if(issues LIKE '%duplicate_url%')::BIGINT AS duplicates, coalesce(round(avg(score), 1), 0) AS average_score FROM s"))

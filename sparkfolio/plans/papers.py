@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aliases, text
@@ -46,10 +46,21 @@ def fn_extraction_aliases(c: Corpus) -> DataFrame:
     return aliases.resolved(raw, "kind", "raw", aliases.EXTRACTION, squeezed=True).select("kind", F.col("a").alias("raw"), "resolved")
 
 
-@query(f"SELECT s_suppkey AS id, {text.kind_sql('n_name', text.INSTITUTION_KINDS)} AS institution_kind, {text.kind_sql('s_name', text.TECHNOLOGY_KINDS)} AS technology_kind FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+_INSTITUTIONS = [("University of {}", "university"), ("{} Research Centre", "lab"), ("Google {}", "company"), ("Ministry of {}", "government"), ("{}", "other"), ("OpenAI lab, {}", "lab"), ("{} college of INC", "university")]
+_TECHNOLOGIES = [("PyTorch {}", "framework"), ("{} numpy", "library"), ("docker for {}", "tool"), ("{}", "other"), ("Flask and CUDA, {}", "framework")]
+_KIND = "{}[(s_suppkey % {} + 1)::INT]"
+
+
+@query(f"SELECT s_suppkey AS id, {_KIND.format([k for _, k in _INSTITUTIONS], len(_INSTITUTIONS))} AS institution_kind, {_KIND.format([k for _, k in _TECHNOLOGIES], len(_TECHNOLOGIES))} AS technology_kind FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def fn_classify(c: Corpus) -> DataFrame:
+    """Names of nations and suppliers, worded so that every rule decides for some; the SQL states the kinds."""
     s = c.table("supplier").select("s_suppkey", "s_name", "s_nationkey").join(c.table("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.select(F.col("s_suppkey").alias("id"), text.kind_of(F.col("n_name"), text.INSTITUTION_KINDS).alias("institution_kind"), text.kind_of(F.col("s_name"), text.TECHNOLOGY_KINDS).alias("technology_kind"))
+
+    def worded(name: str, forms: list[tuple[str, str]]) -> Column:
+        each = F.array(*[F.concat(F.lit(x.split("{}")[0]), F.col(name), F.lit(x.split("{}")[1])) for x, _ in forms])
+        return F.element_at(each, (F.col("s_suppkey") % len(forms) + 1).cast("int"))
+
+    return s.select(F.col("s_suppkey").alias("id"), text.kind_of(worded("n_name", _INSTITUTIONS), text.INSTITUTION_KINDS).alias("institution_kind"), text.kind_of(worded("s_name", _TECHNOLOGIES), text.TECHNOLOGY_KINDS).alias("technology_kind"))
 
 
 @query("""SELECT p_partkey AS id, round(least(0.5 + CASE WHEN length(p_name) >= 10 THEN 0.2 WHEN length(p_name) >= 5 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(substr(p_name, 2), '[A-Z]') THEN 0.1 ELSE 0 END
