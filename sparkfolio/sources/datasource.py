@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..shipping import ship
-from .providers import SCHEMA
+from .providers import FIELDS, SCHEMA
 
 #: What turns one recorded answer of a provider into rows of SCHEMA (tuples); more may be added before register() is called.
 Parser = Callable[[bytes], Iterator[tuple]]
@@ -61,39 +61,76 @@ class File(InputPartition):
         self.path = path
 
 
-class PaperReader(DataSourceReader):
+class Answers:
+    """Recorded answers under a folder, of whatever store pyarrow opens; a file, one answer, is a partition that its own reader opens."""
+
     def __init__(self, options):
         self.folder, self.parse = options["path"], PARSERS[options["provider"]]
+        self.with_errors = options.get("errors") == "rows"
 
-    def partitions(self) -> list[File]:
-        """A file, one recorded answer, a partition: a reader opens its own file only."""
+    def files(self) -> list[tuple[int, str]]:
+        """(time of change in nanoseconds, path), in this order."""
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
         found = store.get_file_info(fs.FileSelector(path, recursive=True))
-        return [File(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith((".", "_"))]
+        return sorted((f.mtime_ns or 0, f.path) for f in found if f.is_file and not f.base_name.startswith((".", "_")))
 
     def read(self, partition: File) -> Iterator[tuple]:
         from pyarrow import fs
 
         store = fs.FileSystem.from_uri(self.folder)[0] if "://" in self.folder else fs.LocalFileSystem()
         with store.open_input_stream(partition.path) as f:
-            yield from self.parse(f.read())
+            raw = f.read()
+        if not self.with_errors:
+            yield from self.parse(raw)
+            return
+        try:
+            rows = list(self.parse(raw))
+        except Exception as e:  # an answer from outside may be anything
+            yield (*[None] * len(FIELDS), partition.path, f"{type(e).__name__}: {e}")
+            return
+        yield from ((*r, partition.path, None) for r in rows)
+
+
+class PaperReader(Answers, DataSourceReader):
+    def partitions(self) -> list[File]:
+        return [File(path) for _, path in sorted(self.files(), key=lambda f: f[1])]
+
+
+class PaperStreamReader(Answers, DataSourceStreamReader):
+    """Answers as they are recorded: an offset is the last file that counts, by time of change, then path. Recorded files don't change; one
+    that is moved in with an older time than what was read isn't seen."""
+
+    def initialOffset(self) -> dict:
+        return {"changed": -1, "path": ""}
+
+    def latestOffset(self) -> dict:
+        files = self.files()
+        return {"changed": files[-1][0], "path": files[-1][1]} if files else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[File]:
+        at = lambda o: (o["changed"], o["path"])
+        return [File(path) for changed, path in self.files() if at(start) < (changed, path) <= at(end)]
 
 
 class Papers(DataSource):
-    """Recorded answers of a provider as rows of papers; option provider: a name in PARSERS."""
+    """Recorded answers of a provider as rows of papers, read or streamed; option provider: a name in PARSERS. With the option errors set to
+    rows, file and error are columns too, and an answer that can't be read is a row that says why."""
 
     @classmethod
     def name(cls) -> str:
         return "papers"
 
     def schema(self) -> str:
-        return SCHEMA
+        return f"{SCHEMA}, file string, error string" if self.options.get("errors") == "rows" else SCHEMA
 
     def reader(self, schema) -> PaperReader:
         return PaperReader(self.options)
 
+    def streamReader(self, schema) -> PaperStreamReader:
+        return PaperStreamReader(self.options)
+
 
 def register(spark: SparkSession) -> None:
     ship(spark)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import abstract_from_index, doi_from_url, retrieval_key, squeeze
+from ..session import checkpoints
 
 SCHEMA = "title string, abstract string, authors array<string>, year int, venue string, doi string, url string, citations int, external_ids map<string,string>, source string"
 FIELDS = ["title", "abstract", "authors", "year", "venue", "doi", "url", "citations", "external_ids", "source"]
@@ -16,7 +19,7 @@ FIELDS = ["title", "abstract", "authors", "year", "venue", "doi", "url", "citati
 SEMANTIC_SCHOLAR = "data array<struct<paperId:string,title:string,abstract:string,year:int,venue:string,url:string,citationCount:int,authors:array<struct<name:string>>,externalIds:map<string,string>>>"
 OPENALEX = """results array<struct<id:string,title:string,publication_year:int,doi:string,cited_by_count:int,abstract_inverted_index:map<string,array<int>>,
     authorships:array<struct<author:struct<display_name:string>>>,primary_location:struct<landing_page_url:string,source:struct<display_name:string>>>>"""
-ARXIV = "id string, title string, summary string, published string, author array<struct<name:string>>"
+ARXIV = "entry array<struct<id:string,title:string,summary:string,published:string,author:array<struct<name:string>>>>"
 
 
 def _names(c: Column, get=lambda x: x["name"]) -> Column:
@@ -43,8 +46,9 @@ def openalex(spark: SparkSession, path: str, limit: int = 200) -> DataFrame:
 
 
 def arxiv(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
-    """Recorded Atom feeds: an entry a row, at most limit in all."""
-    rows = spark.read.format("xml").option("rowTag", "entry").schema(ARXIV).load(path).limit(limit)
+    """Recorded Atom feeds: an entry a row, at most limit of each feed, in its order (the service gives 100 at most)."""
+    feeds = spark.read.format("xml").option("rowTag", "feed").schema(ARXIV).load(path)
+    rows = feeds.select(F.explode(F.slice("entry", 1, min(limit, 100))).alias("e")).select("e.*")
     year = F.year(F.to_timestamp(F.col("published")))
     key = F.get(F.split("id", "/abs/", 2), F.lit(1))
     return rows.select(squeeze(F.col("title")).alias("title"), squeeze(F.col("summary")).alias("abstract"), _names(F.col("author")).alias("authors"), year.cast("int").alias("year"), F.lit("arXiv").alias("venue"), F.lit(None).cast("string").alias("doi"),
@@ -66,17 +70,22 @@ class Registry:
         return self.providers[name]
 
     def search(self, spark: SparkSession, names: list[str], query: str, limit: int) -> tuple[DataFrame, dict[str, str]]:
-        """The union of what the providers give, and the errors of those that fail when asked or read: the others still count."""
-        out, errors = spark.createDataFrame([], SCHEMA), {}
-        for name in names:
+        """The union of what the providers give, and the errors of those that fail when asked or read: the others still count. All are
+        asked at once, and each answer is read once and kept."""
+        checkpoints(spark)
+
+        def ask(name: str) -> DataFrame | str:
             try:
-                part = self.create(name)(spark, query, limit).select(*FIELDS)
-                part.head(1)
+                return self.create(name)(spark, query, limit).select(*FIELDS).checkpoint()
             except Exception as e:  # a source outside may fail in any way
-                errors[name] = str(e).splitlines()[0]
-                continue
-            out = out.unionByName(part)
-        return out, errors
+                return str(e).splitlines()[0]
+
+        with ThreadPoolExecutor(max(1, len(names))) as pool:
+            answers = dict(zip(names, pool.map(inheritable_thread_target(spark)(ask), names), strict=True))
+        out = spark.createDataFrame([], SCHEMA)
+        for part in answers.values():
+            out = out if isinstance(part, str) else out.unionByName(part)
+        return out, {name: part for name, part in answers.items() if isinstance(part, str)}
 
 
 class TableCache:

@@ -29,6 +29,63 @@ def test_recorded_answers(spark, tmp_path):
     assert found.count() == 1 and set(errors) == {"down", "unknown"}
 
 
+def test_limits_are_of_each_feed(spark, tmp_path):
+    for k in range(3):
+        entries = "".join(f"<entry><id>http://arxiv.org/abs/{k}.{i}</id><title>T{i}</title><author><name>A</name></author></entry>" for i in range(6))
+        (tmp_path / f"{k}.xml").write_text(f'<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>x</title>{entries}</feed>')
+    got = providers.arxiv(spark, str(tmp_path), 2).collect()
+    assert sorted(r.external_ids["arxiv"] for r in got) == [f"{k}.{i}" for k in range(3) for i in range(2)]
+
+
+def test_providers_are_asked_at_once_and_once(spark):
+    import threading
+
+    met, calls = threading.Barrier(3, timeout=60), []
+
+    def provider(name):
+        def ask(s, q, n):
+            calls.append(name)
+            met.wait()  # all three have to be there together
+            return s.createDataFrame([(name, None, ["A"], 2020, None, None, None, 1, {}, name)], providers.SCHEMA)
+
+        return ask
+
+    registry = providers.Registry()
+    for name in "abc":
+        registry.register(name, provider(name))
+    found, errors = registry.search(spark, list("abc"), "q", 5)
+    assert sorted(r.title for r in found.collect()) == list("abc") and found.count() == 3 and sorted(calls) == list("abc") and errors == {}
+
+
+def test_answers_as_a_stream(spark, tmp_path):
+    """Stopped and started again from its checkpoint: nothing is read twice, and what can't be read is a row."""
+    from sparkfolio.sources import datasource
+
+    datasource.register(spark)
+    folder, out, mark = (tmp_path / x for x in ("in", "out", "mark"))
+    folder.mkdir()
+    answer = lambda *titles: json.dumps({"data": [{"paperId": t, "title": t} for t in titles]})
+
+    def run():
+        source = spark.readStream.format("papers").option("provider", "semantic_scholar").option("errors", "rows").load(str(folder))
+        q = source.writeStream.format("parquet").option("checkpointLocation", str(mark)).start(str(out))
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted((r.title, r.error is not None) for r in spark.read.schema(source.schema).parquet(str(out)).select("title", "error").na.fill("-", ["title"]).collect())
+
+    (folder / "b.json").write_text(answer("one", "two"))
+    assert run() == [("one", False), ("two", False)]
+    time.sleep(0.05)
+    (folder / "a.json").write_text(answer("three"))
+    (folder / "c.json").write_text("not json")
+    assert run() == [("-", True), ("one", False), ("three", False), ("two", False)]
+    assert run() == [("-", True), ("one", False), ("three", False), ("two", False)]
+    read = spark.read.format("papers").option("provider", "semantic_scholar").option("errors", "rows").load(str(folder))
+    assert read.where("error is not null").select("file").first().file.endswith("c.json") and read.count() == 4
+
+
 def test_cache_and_uploads(spark, tmp_path):
     calls = []
 
