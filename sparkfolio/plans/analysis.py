@@ -66,16 +66,22 @@ _SQL = {
 
 
 def _rules(c: Corpus) -> dict:
-    """Methods, datasets, technologies and metrics of papers with their investigations: one bridge for all rules. What a method is tried
+    """Rules over papers' names with their investigations; each reads the kinds that it asks for from one bridge. What a method is tried
     with are the metrics of its papers, of which there are few."""
     papers = c.papers().select("paper_id", "investigation_id", "year")
-    kinds = {"methodology": "methodology", "dataset": "dataset", "technology": "technique", "metric": "metric"}
-    named = F.array(*[F.struct(F.lit(v).alias("kind"), F.col(k).alias("name")) for k, v in kinds.items()])
-    bridge = c.mentions().select("paper_id", F.explode(named).alias("e")).select("paper_id", "e.*").where("name is not null").distinct().join(papers, "paper_id")
-    of = lambda kind: bridge.where(F.col("kind") == kind).select("investigation_id", "paper_id", "name")
-    m, t = of("methodology"), of("dataset")
-    dated = bridge.where("kind IN ('methodology', 'technique')").select("investigation_id", "kind", F.col("name").alias("term"), "year")
-    return {"dataset_gap": lambda: gaps.dataset_gap(m, of("metric")), "method_combination": lambda: gaps.method_combination(m, t), "temporal_gap": lambda: gaps.temporal_gap(dated, years=papers)}
+
+    def bridge(**kinds: str) -> DataFrame:
+        named = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(column).alias("name")) for column, kind in kinds.items()])
+        return c.mentions().select("paper_id", F.explode(named).alias("e")).select("paper_id", "e.*").where("name is not null").distinct().join(papers, "paper_id")
+
+    def two(other: str) -> list[DataFrame]:
+        rows = bridge(methodology="methodology", **{other: other})
+        return [rows.where(F.col("kind") == k).select("investigation_id", "paper_id", "name") for k in ("methodology", other)]
+
+    def dated() -> DataFrame:
+        return bridge(methodology="methodology", technology="technique").select("investigation_id", "kind", F.col("name").alias("term"), "year")
+
+    return {"dataset_gap": lambda: gaps.dataset_gap(*two("metric")), "method_combination": lambda: gaps.method_combination(*two("dataset")), "temporal_gap": lambda: gaps.temporal_gap(dated(), years=papers)}
 
 
 _V = "papers methodologies datasets technologies metrics"
