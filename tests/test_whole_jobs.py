@@ -106,8 +106,9 @@ def test_retrievals_run_over_chunks_of_documents(run):
     assert {len(r.embedding) for r in got} == {384}
     found = run("retrieve_by_keywords", documents=documents(texts)).collect()
     assert [(r.pos >> 22, r.pos & 0x3FFFFF, r.score) for r in sorted(found, key=lambda r: r.pos)] == [(0, 0, 20.0), (3, 0, 10.0)]
-    near = run("retrieve_semantically", documents=documents(texts)).collect()
-    assert {r.pos >> 22 for r in near} <= {0, 1, 2, 3} and len(near) > 1
+    turns = ([(1, 0, "user", "the end of it"), (1, 1, "assistant", "x"), (1, 2, "user", "Das Ende"), (2, 0, "user", None)], "conv_id long, turn int, role string, text string")
+    near = run("retrieve_semantically", documents=documents(texts), conversations=turns).collect()
+    assert {(r.question_id >> 16, r.question_id & 0xFFFF) for r in near} == {(1, 0), (1, 2)} and {r.pos >> 22 for r in near} == {0, 1, 2, 3}
 
 
 def test_institution_search_finds_similar_names(run):
