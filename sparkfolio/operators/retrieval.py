@@ -241,7 +241,8 @@ def boosted(sections: DataFrame, intent: str) -> DataFrame:
 
 def within_budget(sections: DataFrame, by: list[str], budget: int, order: list[Column], content: str | None = None) -> DataFrame:
     """Greedily by order: a section that no longer fits is skipped, later ones may still fit. What is left of a budget depends on
-    every earlier section of its group, so a group's sections stream through its task in order; nothing is gathered.
+    every earlier section of its group, so a group's sections stream through its task in order; nothing is gathered. For groups that are
+    small by what makes them (the sections found for a question); budget.within_budget_split() spreads a group over tasks.
 
     content: a text column. With it a group whose first section is larger than the whole budget has that one cut to the budget,
     and later ones still fit as if it weren't there."""

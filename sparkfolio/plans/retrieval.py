@@ -11,6 +11,7 @@ from ..functions.words import (
     TECHNOLOGY_WORDS, TREND_PHRASES,
 )
 from ..operators import retrieval as R
+from ..operators.budget import within_budget_split
 from ..sources.corpus import Corpus
 from .registry import query
 
@@ -69,7 +70,7 @@ def hybrid_scores(c: Corpus) -> DataFrame:
   SELECT source, doc_id FROM w WHERE kept""")
 def context_budget(c: Corpus) -> DataFrame:
     s = c.table("documents").select("source", "doc_id", F.col("n_chars").alias("char_count"))
-    return R.within_budget(s, ["source"], 8000, [F.col("doc_id")]).select("source", "doc_id")
+    return within_budget_split(s, ["source"], 8000, [F.col("doc_id")]).select("source", "doc_id")
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents), s AS (SELECT *, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS x FROM l),
