@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dropped
+from ..session import stored as written
 from .retrieval import chunked, embed
+from .tables import Table, Version
 
 
 def embedded_counts(investigations: DataFrame, stored: DataFrame) -> DataFrame:
@@ -29,10 +32,26 @@ def refreshed(artifacts: DataFrame, stored: DataFrame, embedder=None, dimensions
     lose their chunks and get new ones at the next version; everything else stays."""
     todo = to_refresh(artifacts, stored)
     left = stored.join(todo.select("investigation_id", F.col("id").alias("artifact_id")), ["investigation_id", "artifact_id"], "left_anti")
+    return left.unionByName(_embedded(todo, embedder, dimensions).select(*left.columns))
+
+
+def refreshed_table(artifacts: DataFrame, table: Table, embedder=None, dimensions: int = 384) -> Version:
+    """refreshed() on a stored table (its buckets by investigation_id): only buckets of the artifacts' investigations are read, only
+    those with something to refresh written."""
+    base = table.version()
+    here = table.found(artifacts.select("investigation_id").distinct(), base)
+    todo = written(to_refresh(artifacts, here))
+    new = written(_embedded(todo, embedder, dimensions))
+    try:
+        return table.change(todo.select("investigation_id", F.col("id").alias("artifact_id")), new, base)
+    finally:
+        dropped(todo, new)
+
+
+def _embedded(todo: DataFrame, embedder, dimensions: int) -> DataFrame:
     of = F.struct("investigation_id", F.col("id").alias("artifact_id"), F.col("next_version").alias("artifact_version"))
     pieces = chunked(todo.select(of.alias("_of"), "payload"), "_of", "payload")
-    new = embed(pieces, "content", dimensions, embedder).select("_of.*", "chunk_index", "content", "embedding")
-    return left.unionByName(new.select(*left.columns))
+    return embed(pieces, "content", dimensions, embedder).select("_of.*", "chunk_index", "content", "embedding")
 
 
 def summary(artifacts: DataFrame, stored: DataFrame, chunks: DataFrame) -> DataFrame:

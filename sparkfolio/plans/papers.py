@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aliases, text
 from ..operators import ranking, resolve, sinks, validation
+from ..operators.tables import Table
+from ..session import shared_folder
 from ..sources.corpus import Corpus, sql
 from .registry import query
 
@@ -231,3 +235,19 @@ def upsert_reading_status(c: Corpus) -> DataFrame:
 @query("SELECT event_id, event_type FROM events WHERE NOT (event_type = 'error' AND user_id % 2 = 0)")
 def delete_where(c: Corpus) -> DataFrame:
     return sinks.without(c.table("events").select("event_id", "event_type", "user_id"), (F.col("event_type") == "error") & (F.col("user_id") % 2 == 0)).select("event_id", "event_type")
+
+
+@query("""WITH old AS (SELECT o_orderkey AS id, 'unread' AS status FROM orders WHERE o_orderkey % 3 = 0), new AS (SELECT o_orderkey AS id, 'reading' AS status FROM orders WHERE o_orderkey % 2 = 0),
+  both AS (SELECT coalesce(n.id, o.id) AS id, coalesce(n.status, o.status) AS status FROM old o FULL JOIN new n ON n.id = o.id),
+  more AS (SELECT * FROM both UNION ALL SELECT o_orderkey, 'later' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey NOT IN (SELECT id FROM both))
+  SELECT id, status FROM more WHERE NOT (status = 'reading' AND id % 7 = 0)""")
+def stored_reading_status(c: Corpus) -> DataFrame:
+    """A stored table after an upsert, an insert of what is absent and a delete; the table stays in the shared folder."""
+    o = c.table("orders").select(F.col("o_orderkey").alias("id"))
+    of = lambda n, status: o.where(F.col("id") % n == 0).withColumn("status", F.lit(status))
+    table = Table.made(of(3, "unread"), f"{shared_folder(c.spark).rstrip('/')}/table-{uuid.uuid4().hex}", ["id"])
+    table.upsert(of(2, "reading"))
+    table.upsert(of(5, "later"), keep=True)
+    table.delete((F.col("status") == "reading") & (F.col("id") % 7 == 0))
+    table.cleaned()
+    return table.rows()

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..shipping import ship
 
@@ -86,6 +87,80 @@ def sliding_limit_stream(requests: DataFrame, limit: int, seconds: float, late:
     return requests.select("id", "key", "ts").withWatermark("ts", late).groupBy("key").applyInPandasWithState(run, SLIDING, "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _InOrder(StatefulProcessor):
+    """A key's state: requests that wait for the watermark, times of accepted ones of the last seconds, one timer."""
+
+    def __init__(self, decide: Callable, length: int):
+        self.decide, self.length = decide, length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "id long, us long")
+        self.accepted = handle.getListState("accepted", "us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        least = None
+        for frame in rows:
+            self.waiting.appendList(list(frame[["id", "us"]].itertuples(index=False, name=None)))
+            least = min(int(frame["us"].min()), least) if least is not None else int(frame["us"].min())
+        if least is not None:
+            self._wake(min([-(-least // 1000), *self.handle.listTimers()]))
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000  # what is not later than this can't get company any more
+        waiting = {(int(us), int(i)) for i, us in self.waiting.get()}
+        ready = sorted(w for w in waiting if w[0] <= now)
+        allowed, accepted = self.decide([us for us, _ in ready], [int(a[0]) for a in self.accepted.get()])
+        rest = [(i, us) for us, i in waiting if us > now]
+        accepted = [a for a in accepted if a >= now - self.length]
+        self.waiting.clear()
+        self.accepted.clear()
+        if rest:
+            self.waiting.put(rest)
+        if accepted:
+            self.accepted.put([(a,) for a in accepted])
+        if rest or accepted:  # the next request, or the time when the last accepted one counts no more
+            self._wake(-(-min(us for _, us in rest) // 1000) if rest else (accepted[-1] + self.length) // 1000 + 1)
+        yield pd.DataFrame({"id": [i for _, i in ready], "key": key[0], "us": [us for us, _ in ready], "allowed": allowed})
+
+    def _wake(self, at: int) -> None:
+        for other in list(self.handle.listTimers()):
+            if other != at:
+                self.handle.deleteTimer(other)
+        self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+def sliding_limit_in_order(requests: DataFrame, limit: int, seconds: float, late: str = "10 minutes") -> DataFrame:
+    """id, key, ts, allowed as sliding_limit() gives them, however requests arrive: in any order within the watermark, or repeatedly
+    (same id and ts: one answer). Those later than the watermark (late behind the newest) get none.
+
+    A request is answered once the watermark has passed it, so nothing that comes before it can still arrive; sliding_limit_stream()
+    answers at once, in the order of arrival. A key holds the requests that wait and at most limit accepted times, and nothing once the
+    log has run out. Needs the RocksDB state store (sparkfolio.session names it).
+    """
+    ship(requests.sparkSession)
+    length = int(seconds * 1_000_000)
+
+    def decide(times: list[int], accepted: list[int]) -> tuple[list[bool], list[int]]:
+        log, out = deque(accepted), []
+        for at in times:
+            while log and log[0] < at - length:
+                log.popleft()
+            out.append(len(log) < limit)
+            if out[-1]:
+                log.append(at)
+        return out, list(log)
+
+    ready = requests.select("id", "key", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    grouped = ready.select("id", "key", "ts", F.unix_micros("ts").alias("us")).groupBy("key")
+    out = grouped.transformWithStateInPandas(_InOrder(decide, length), "id long, key string, us long, allowed boolean", "append", "EventTime")
+    return out.select("id", "key", F.timestamp_micros("us").alias("ts"), "allowed")
+
+
 def append_batches(stream: DataFrame, path: str, checkpoint: str, key: str, late: str | None = None, time: str = "ts"):
     """Writes a stream so that a repeated batch changes nothing: each batch has its own folder, which is overwritten.
 
