@@ -238,8 +238,8 @@ def delete_where(c: Corpus) -> DataFrame:
 
 
 @query("""WITH old AS (SELECT o_orderkey AS id, 'unread' AS status FROM orders WHERE o_orderkey % 3 = 0), new AS (SELECT o_orderkey AS id, 'reading' AS status FROM orders WHERE o_orderkey % 2 = 0),
-  both AS (SELECT coalesce(n.id, o.id) AS id, coalesce(n.status, o.status) AS status FROM old o FULL JOIN new n ON n.id = o.id),
-  more AS (SELECT * FROM both UNION ALL SELECT o_orderkey, 'later' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey NOT IN (SELECT id FROM both))
+  merged AS (SELECT coalesce(n.id, o.id) AS id, coalesce(n.status, o.status) AS status FROM old o FULL JOIN new n ON n.id = o.id),
+  more AS (SELECT * FROM merged UNION ALL SELECT o_orderkey, 'later' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey NOT IN (SELECT id FROM merged))
   SELECT id, status FROM more WHERE NOT (status = 'reading' AND id % 7 = 0)""")
 def stored_reading_status(c: Corpus) -> DataFrame:
     """A stored table after an upsert, an insert of what is absent and a delete; the table stays in the shared folder."""
