@@ -251,3 +251,16 @@ def stored_reading_status(c: Corpus) -> DataFrame:
     table.delete((F.col("status") == "reading") & (F.col("id") % 7 == 0))
     table.cleaned()
     return table.rows()
+
+
+@query("""SELECT doc_id, CASE WHEN lang = 'de' THEN 'translate' ELSE 'new' END AS status, md5(text) AS digest FROM documents WHERE NOT coalesce(n_chars < 200, false)""")
+def stored_documents(c: Corpus) -> DataFrame:
+    """Whole documents as a stored table: made, German ones put in place with another status, all of them offered again (which adds
+    nothing), short ones deleted. The table stays in the shared folder."""
+    new = c.table("documents").select("doc_id", "lang", "n_chars", "text").withColumn("status", F.lit("new"))
+    table = Table.made(new, f"{shared_folder(c.spark).rstrip('/')}/table-{uuid.uuid4().hex}", ["doc_id"])
+    table.upsert(new.where("lang = 'de'").withColumn("status", F.lit("translate")))
+    table.upsert(new, keep=True)
+    table.delete(F.col("n_chars") < 200)
+    table.cleaned()
+    return table.rows().select("doc_id", "status", F.md5(F.col("text").cast("binary")).alias("digest"))
