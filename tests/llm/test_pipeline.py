@@ -216,3 +216,35 @@ def test_stages_on_nulls_empty_tables_and_clashing_columns(spark, tmp_path):
                 now = spark.createDataFrame(got, frame.schema)
         assert bool(got) == (part is frame)
         assert not {r.doc_id for r in got} & {500, 501, 502} and (part is not frame or 503 in {r.doc_id for r in got})
+
+
+def test_every_labelled_document_is_learnt_from(spark, monkeypatch):
+    """More documents of a class than a sample would hold, in shards: all are drawn, counted and used for thresholds, in any order of rows."""
+    ids = [i for i in range(9400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, "vile gruntle" if i % 40 == 0 else f"fine day {i % 9}") for i in ids]
+    labels = spark.createDataFrame([(i, int(i % 40 == 0)) for i in ids], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD", 2500)
+    monkeypatch.setattr(toxicity, "STEPS", 20)  # fewer than it takes to draw every document of a shard
+    seen, counted, models = [], [], []
+    train, count = toxicity.train, toxicity.count_logits
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, weights: seen.append((len(texts), len(y))) or train(texts, y, weights))
+    monkeypatch.setattr(toxicity, "count_logits", lambda rows, model: counted.append((out := count(rows, model))[4].sum()) or out)
+    for parts in (1, 5):
+        models.append(toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts), labels))
+    assert len(ids) > 6000 and seen == [(len(ids), len(ids))] * 2 and counted == [len(ids)] * 2
+    assert (models[0].embed == models[1].embed).all() and (models[0].cuts == models[1].cuts).all()
+    scores = {t: toxicity.score_texts(spark.createDataFrame([(t,)], "text string"), models[0]).head().toxicity for t in ("vile gruntle", "fine day 3")}
+    assert scores["vile gruntle"] >= 0.7 > scores["fine day 3"]
+
+
+def test_a_shard_draws_all_its_documents(monkeypatch):
+    drawn, real = set(), toxicity.gradients
+    monkeypatch.setattr(toxicity, "STEPS", 14)
+    monkeypatch.setattr(toxicity, "gradients", lambda model, batch, labels: drawn.update(int(d[0, 0]) for d in batch) or real(model, batch, labels))
+    docs = [np.array([(k, 0, 0)] * 3, np.uint16) for k in range(1, 1001)]
+    labels, alive = (np.arange(1000) % 100 == 0).astype(np.int64), np.arange(toxicity.BUCKETS) > 0
+    theta = toxicity.first_theta(alive, 1)
+    squares = np.full_like(theta, 1e-3)
+    for turn in range(toxicity.ROUNDS):
+        toxicity.learn(theta, squares, alive, docs, labels, turn, (1, 2))
+    assert drawn == set(range(1, 1001))
