@@ -10,8 +10,10 @@ from __future__ import annotations
 import struct
 import zlib
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,8 @@ LONGEST = 1 << 16
 PRIOR = 10
 #: Words kept by a worker, which starts anew when there are more.
 CACHE_WORDS = 50_000
+#: Bits of the filter by which most texts without a usable label are told before the rest is joined with labels: so many a label, at most MOST_BITS.
+LABEL_BITS, MOST_BITS = 16, 1 << 26
 #: Frequent words of some languages by which a text's language is guessed from the text alone.
 FUNCTION_WORDS = {
     "en": "the of and to is that for with was this are by they have from not",
@@ -47,16 +51,19 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = [*FUNCTION_WORDS, "other"]
 _LANGUAGE_OF = {w: k for k, words in enumerate(FUNCTION_WORDS.values()) for w in words.split()}
+#: Hashes of what stands before a prefix.
+_FOUR, _FIVE = zlib.crc32(b"4"), zlib.crc32(b"5")
 _STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»…“”„‘’"
 
 
 def buckets(word: str) -> tuple[int, int, int]:
     """A word's features: itself and its first four and five letters, hashed. Without letters and digits there are none (0)."""
-    w = word.strip(_STRIP)
+    w = word if word.isalnum() else word.strip(_STRIP)
     if not w:
         return 0, 0, 0
-    n = BUCKETS - 1
-    return tuple(1 + zlib.crc32(x.encode("utf-8", "replace")) % n for x in (w, "4" + w[:4], "5" + w[:5]))
+    n, whole = BUCKETS - 1, w.encode("utf-8", "replace")
+    four, five = (whole[:4], whole[:5]) if len(whole) == len(w) else (w[:4].encode("utf-8", "replace"), w[:5].encode("utf-8", "replace"))
+    return 1 + zlib.crc32(whole) % n, 1 + zlib.crc32(four, _FOUR) % n, 1 + zlib.crc32(five, _FIVE) % n
 
 
 def words_of(text: str) -> list[str]:
@@ -110,18 +117,18 @@ class Model:
 
 
 class Words:
-    """Rows of projections for words, computed when first met. Row 0 is the empty word."""
+    """Rows of projections for words, computed when first met: sums of those of their features, whatever words they come with. Row 0 is the empty word."""
 
     def __init__(self, model: Model):
-        self.table, self.embed = model.projections().astype(np.float32), model.embed
+        self.features = model.embed @ model.projections().astype(np.float32)
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, self.table.shape[1]), np.float32)
+        self.rows = np.zeros((1 << 12, self.features.shape[1]), np.float32)
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.index]
+        new = list(words.difference(self.index))
         if len(self.index) + len(new) > CACHE_WORDS and self.index:
             self.clear()
             new = list(words)
@@ -129,14 +136,15 @@ class Words:
             first = len(self.index) + 1
             while first + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[first : first + len(new)] = self.embed[np.array([buckets(w) for w in new])].sum(axis=1) @ self.table
+            whole, four, five = np.fromiter(chain.from_iterable(map(buckets, new)), np.intp, 3 * len(new)).reshape(-1, 3).T
+            self.rows[first : first + len(new)] = self.features[whole] + self.features[four] + self.features[five]
             self.index.update(zip(new, range(first, first + len(new)), strict=True))
 
     def of(self, words: list[str]) -> np.ndarray:
-        index = self.index
-        ids = [index[w] for w in words]
-        ids += [0] * max(max(WIDTHS) - 1, max(WIDTHS) - len(ids))
-        return self.rows[ids]
+        n = len(words)
+        ids = np.zeros(n + max(max(WIDTHS) - 1, max(WIDTHS) - n), np.intp)
+        ids[:n] = np.fromiter(map(self.index.__getitem__, words), np.intp, n)
+        return self.rows.take(ids, axis=0)
 
 
 def gradients(model: Model, batch: list[np.ndarray], labels: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
@@ -424,6 +432,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def maybe_labelled(usable: DataFrame, n: int) -> Column:
+    """True for every doc_id (a long) among usable's n and for few others, so that the exact join that must follow doesn't shuffle their texts.
+
+    A bit for each hash of a labelled doc_id, MOST_BITS at most whatever the labels: with more labels than that has bits for,
+    more others pass, all of them in the end.
+    """
+    bits = 1 << max(6, min(MOST_BITS, LABEL_BITS * max(1, n)).bit_length() - 1)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(bits))
+    held = usable.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("word"))
+    got = held.toArrow()
+    words = np.zeros(bits >> 6, np.int64)
+    words[got["at"].to_numpy()] = got["word"].to_numpy()
+    shared = usable.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def there(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return there(place)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Model:
     """Learns toxic from every row of labels, none held out, whose document is in docs.
 
@@ -434,7 +464,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Model:
     sample, for trials: at most so many documents of each class instead, in the order of a hash of doc_id, those with texts up to
     LONGEST first; longer ones, whole, as far as the class stays within sample times LONGEST characters, the first in any case.
 
-    Labels are a table while this runs, whose size tells the planner whether to join by broadcast; many are joined by shuffling.
+    Labels are a table while this runs, whose size tells the planner whether to join by broadcast; many are joined by shuffling
+    texts that may have a label, which a filter of bounded size tells (maybe_labelled()).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -442,9 +473,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Model:
     usable = table(clean.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     texts = text_of(docs).where("text is not null").where(~held_out(F.col("doc_id")))
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    may = maybe_labelled(usable, sum(counts.values()))
 
     def sized(some):
-        return texts.select("doc_id", F.length("text").alias("n")).join(some, "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n"))
+        return texts.select("doc_id", F.length("text").alias("n")).where(may).join(some, "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n"))
 
     chosen = usable if sample is None else spark.createDataFrame(sampled(sized(usable), sample), "doc_id long, toxic int")
     found = sized(chosen).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("n").alias("chars"), F.min(F.xxhash64("doc_id")).alias("first")).collect()
@@ -452,7 +484,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Model:
     if len(sizes) < 2:
         model = Model(np.zeros((1, 1)), [], np.zeros(0), np.zeros(0), 0.0, constant=(1 + CUT) / 2 if 1 in sizes else CUT / 2)
     else:
-        rows = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        rows = texts.where(may).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
         model = train(Labelled(rows, "text", sizes), Labelled(rows, "toxic", sizes), (float(counts[0]), float(counts[1])))
     drop_tables(usable)
     return model

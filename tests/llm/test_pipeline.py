@@ -248,3 +248,56 @@ def test_a_shard_draws_all_its_documents(monkeypatch):
     for turn in range(toxicity.ROUNDS):
         toxicity.learn(theta, squares, alive, docs, labels, turn, (1, 2))
     assert drawn == set(range(1, 1001))
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of df's executed plan wrote."""
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else []
+        children = plan.children()
+        own = plan.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(map(walk, [*inner, *(children.apply(i) for i in range(children.size()))]))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_texts_without_labels_are_not_shuffled(spark, monkeypatch):
+    """Where labels aren't broadcast, too; a filter with too few bits lets more rows through and changes nothing."""
+    docs = [(i, f"fine day {i}" if i % 2 else f"vile gruntle {i}") for i in range(-1500, 1500)]
+    frame = spark.createDataFrame([*docs, (None, "null id"), (90, "a second text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in [*range(-30, 100), 5000]], "doc_id long, toxic int")
+    want = {(i, t, 1 - i % 2) for i, t in docs if i in range(-30, 100) and zlib.crc32(str(i).encode()) % 3 != 1}
+    want = {(i, min(t, "a second text") if i == 90 else t, y) for i, t, y in want}
+    seen, model = [], random_model()
+
+    def train(texts, y, weights):
+        seen.append(({(r.doc_id, r.text, r.toxic) for r in texts.rows.collect()}, shuffled_rows(texts.rows)))
+        return model
+
+    monkeypatch.setattr(toxicity, "train", train)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for bits in (toxicity.MOST_BITS, 64):
+            monkeypatch.setattr(toxicity, "MOST_BITS", bits)
+            toxicity.fit(frame, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert [got for got, _ in seen] == [want, want]
+    assert 2 * len(want) <= seen[0][1] <= 5 * len(want) < seen[1][1]
+
+
+def test_words_have_rows_of_their_own_whatever_they_come_with():
+    """A word's row is the same, bit by bit, alone and among others, so equal texts have equal scores wherever they lie."""
+    model, words = random_model(), [f"{a}{b}" for a in ("", "é", "¿", "…") for b in WORDS]
+    for w, feats in zip(words, map(toxicity.buckets, words)):
+        s = w.strip(toxicity._STRIP)
+        assert feats == tuple(1 + zlib.crc32(x.encode()) % (toxicity.BUCKETS - 1) for x in (s, "4" + s[:4], "5" + s[:5]))
+    together = toxicity.Words(model)
+    together.learn(set(words))
+    for w in words:
+        alone = toxicity.Words(model)
+        alone.learn({w})
+        assert (alone.of([w]) == together.of([w])).all()
