@@ -47,12 +47,12 @@ def rate_limit_policy(c: Corpus) -> DataFrame:
 
 @query("SELECT event_type, (epoch(ts)::BIGINT // 86400) * 86400 AS start_s, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windows_tumbling(c: Corpus) -> DataFrame:
-    return logs.windowed(c.table("events"), "1 day").select("event_type", F.unix_timestamp("start").alias("start_s"), "events", "total")
+    return logs.windowed(c.table("events"), 86_400)
 
 
 @query("SELECT event_type, (epoch(ts)::BIGINT // 43200 - k) * 43200 AS start_s, count(*) AS events, round(sum(value), 4) AS total FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
 def windows_sliding(c: Corpus) -> DataFrame:
-    return logs.windowed(c.table("events"), "24 hours", "12 hours").select("event_type", F.unix_timestamp("start").alias("start_s"), "events", "total")
+    return logs.windowed(c.table("events"), 86_400, 43_200)
 
 
 @query("""WITH g AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER w >= INTERVAL 6 HOURS)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
