@@ -228,18 +228,21 @@ _EDGES = """WITH own AS (SELECT 'paper:' || paper_id AS source, type || ':' || n
 
 @query(sql("entities authors institutions", f"{_EDGES} SELECT source || '->' || target AS id, source, target, type FROM e"))
 def graph_edges(c: Corpus) -> DataFrame:
-    return graph.edges(c.entities(), c.authors(), c.institutions())
+    return graph.edges(c.entity_sets(*graph.EDGE_KINDS))
 
 
 @query(sql("entities authors institutions", f"{_EDGES} SELECT type, count(*) AS edges FROM e GROUP BY 1"))
 def graph_edge_counts(c: Corpus) -> DataFrame:
-    return graph.edges(c.entities(), c.authors(), c.institutions()).groupBy("type").agg(F.count("*").alias("edges"))
+    return graph.edges(c.entity_sets(*graph.EDGE_KINDS)).groupBy("type").agg(F.count("*").alias("edges"))
 
 
 @query(sql("entities authors institutions", f"{_EDGES} SELECT source, target, type FROM e WHERE (source LIKE 'author:%' OR source LIKE 'institution:%') AND (target LIKE 'author:%' OR target LIKE 'institution:%')"))
 def graph_induced(c: Corpus) -> DataFrame:
-    ids = c.entities().where(F.col("type").isin("author", "institution")).select(F.concat("type", F.lit(":"), "name").alias("id")).distinct()
-    return graph.induced(graph.edges(c.entities(), c.authors(), c.institutions()), ids).select("source", "target", "type")
+    """Among authors and institutions: edges of papers begin at none of these, so only affiliations are made."""
+    sets = c.entity_sets("author", "institution")
+    named = F.array(*[F.struct(F.lit(k).alias("type"), F.col(k).alias("names")) for k in ("author", "institution")])
+    nodes = sets.select(F.explode(named).alias("e")).select("e.type", F.explode("e.names").alias("name")).distinct()
+    return graph.induced(graph.affiliations(sets), nodes.select(F.concat("type", F.lit(":"), "name").alias("id")))
 
 
 @query(sql("entities", """WITH n AS (SELECT type, name, count(*) AS papers FROM entities WHERE type IN ('methodology', 'dataset') GROUP BY 1, 2)
