@@ -46,10 +46,18 @@ def landscape(papers: DataFrame, entities: DataFrame, techniques: DataFrame, n:
     collaborations: network (value: nodes, second: edges), central (value: centrality) and edge (name, other; value: papers) of
     institutions and authors; other of methodologies: its techniques.
 
-    The entities are read once, into a table of a row a paper; counts and edges are tables made of it, and the landscape itself
-    is one, so that observations and reports read rows and run nothing again. Only that last table stays.
+    The entities are read once, into a table of a row a paper; see landscape_of_sets().
     """
-    sets = stored(paper_sets(papers, entities, techniques))
+    return landscape_of_sets(papers, paper_sets(papers, entities, techniques), n)
+
+
+def landscape_of_sets(papers: DataFrame, sets: DataFrame, n: int = 20) -> DataFrame:
+    """landscape() of a row a paper, as of paper_sets().
+
+    These rows become a table; counts and edges are tables made of it, and the landscape itself is one, so that observations and
+    reports read rows and run nothing again. Only that last table stays.
+    """
+    sets = stored(sets)
     named = F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("names")) for t in PLURAL])
     of_type = sets.select("paper_id", "year", F.explode(named).alias("e")).select("paper_id", "year", "e.type", "e.names")
     counts = stored(of_type.select("type", "year", F.explode("names").alias("name")).groupBy("type", "name").agg(F.count("*").alias("papers"), F.min("year").alias("year")))
