@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import INSTITUTION_KINDS, kind_of
+from ..session import stored
 from . import graph
 
 
@@ -192,15 +193,17 @@ def details(papers: DataFrame, sets: DataFrame, home: DataFrame, n: int = 10) ->
     sets: a row a paper with arrays of distinct names (institution, author, technology, domain, dataset, methodology); home: author
     name and institution, distinct. Sections: total (papers, authors, citations); domain, technology, dataset, methodology and year
     (all of them, by papers; years in order); author, co_author (of papers, but not at home here), collaborator (n each) and paper
-    (n, by citations). Papers are dealt once, and one count over (institution, section, name) serves all but papers and totals.
+    (n, by citations). Papers are dealt once, and one count over (institution, section, name) serves all but papers and totals: both
+    are written, as each reader would make them anew for the sections that it asks for.
     """
-    rows = sets.join(papers.select("paper_id", "citations", "year"), "paper_id").select("*", F.explode("institution").alias("own"))
+    dealt = stored(sets.join(papers.select("paper_id", "citations", "year"), "paper_id"))
+    rows = dealt.select("*", F.explode("institution").alias("own"))
     tagged = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("section"), x.cast("string").alias("name")))
     year = F.when(F.col("year").isNotNull(), F.array("year")).otherwise(F.array().cast("array<int>"))
     partners = F.filter("institution", lambda x: x != F.col("own"))
     kinds = {"author": F.col("author"), "domain": F.col("domain"), "technology": F.col("technology"), "dataset": F.col("dataset"), "methodology": F.col("methodology"), "collaborator": partners, "year": year}
     names = F.flatten(F.array(*[tagged(k, c) for k, c in kinds.items()]))
-    counts = rows.select(F.col("own").alias("institution"), F.explode(names).alias("e")).groupBy("institution", "e.section", "e.name").agg(F.count("*").alias("value"))
+    counts = stored(rows.select(F.col("own").alias("institution"), F.explode(names).alias("e")).groupBy("institution", "e.section", "e.name").agg(F.count("*").alias("value")))
     foreign = counts.where("section = 'author'").join(home.select("institution", F.col("author").alias("name")), ["institution", "name"], "left_anti").withColumn("section", F.lit("co_author"))
     of = lambda section: F.when(section == "year", F.col("name"))
     by = [of(F.col("section")), F.desc("value"), F.col("name")]
