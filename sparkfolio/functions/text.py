@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..shipping import ship
 
 STRIP = r"^\s+|\s+$"
 
@@ -43,13 +47,41 @@ def doi_from_url(c: Column) -> Column:
 
 def abstract_from_index(index: Column) -> Column:
     """Text of an inverted index map<word, array<position>>: words at their positions, the last word of an entry order wins, gaps stay empty."""
+    once = lambda x, made: F.get(F.transform(F.array(x), made), F.lit(0))  # noqa: E731  x is computed once, however often it is named
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    ordered = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w"))))
-    following = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(0)))
-    last = F.filter(F.zip_with(ordered, following, lambda x, y: F.struct(x["p"].alias("p"), x["w"].alias("w"), y["p"].alias("next"))), lambda x: x["next"].isNull() | (x["next"] != x["p"]))
-    before = F.concat(F.array(F.lit(-1)), F.transform(last, lambda x: x["p"]))
-    words = F.zip_with(last, before, lambda x, p: F.concat(F.repeat(F.lit(" "), x["p"] - p - 1), x["w"]))  # the one place too many is null
-    return F.when(F.size(pairs) > 0, strip(F.array_join(words, " ")))
+    ordered = F.sort_array(F.transform(pairs, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w"))))  # array_sort() calls a lambda a comparison
+    at = lambda o, i: F.get(o, i)["p"]
+    last = once(ordered, lambda o: F.filter(o, lambda x, i: at(o, i + 1).isNull() | (at(o, i + 1) != x["p"])))
+    words = once(last, lambda o: F.transform(o, lambda x, i: F.concat(F.repeat(F.lit(" "), x["p"] - F.coalesce(at(o, i - 1), F.lit(-1)) - 1), x["w"])))
+    return F.when(F.exists(F.map_values(index), lambda p: F.size(p) > 0), strip(F.array_join(words, " ")))
+
+
+def inverted_index(texts: DataFrame, id_column: str, content: str) -> DataFrame:
+    """id_column, index map<word, array<position>> of texts with a word, a row each: words are what stands between spaces, tabs and line
+    breaks. Each row makes its own index, in Arrow batches; nothing is shuffled."""
+    ship(texts.sparkSession)
+    kind = texts.schema[id_column].dataType
+    ids = to_arrow_type(kind)
+
+    def run(batches):
+        for batch in batches:
+            kept, entries, words, counts, places = [], [0], [], [0], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                index: dict[str, list[int]] = {}
+                for at, w in enumerate(x for x in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if x):
+                    index.setdefault(w, []).append(at)
+                if index:
+                    kept.append(row)
+                    words += index
+                    for p in index.values():
+                        places += p
+                        counts.append(len(places))
+                    entries.append(len(words))
+            lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(places, pa.int32()))
+            maps = pa.MapArray.from_arrays(pa.array(entries, pa.int32()), pa.array(words, pa.string()), lists)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())).cast(ids), maps], names=[id_column, "index"])
+
+    return texts.select(id_column, content).where(F.col(content).rlike(r"[^ \t\n]")).mapInArrow(run, f"{id_column} {kind.simpleString()}, index map<string, array<int>>")
 
 
 #: Endings that the light stemmer takes off the end of a phrase.

@@ -182,9 +182,7 @@ def fn_accents(c: Corpus) -> DataFrame:
 
 @query("SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> ''), ' ')) AS abstract FROM documents WHERE regexp_matches(text, '[^ \t\n]')")
 def fn_abstract_index(c: Corpus) -> DataFrame:
-    d = c.table("documents")
-    w = d.select("doc_id", F.posexplode(F.filter(F.split("text", "[ \t\n]+"), lambda x: x != "")).alias("p", "w"))
-    index = w.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    index = text.inverted_index(c.table("documents"), "doc_id", "text")
     return index.select("doc_id", F.md5(text.abstract_from_index(F.col("index")).cast("binary")).alias("abstract"))
 
 
