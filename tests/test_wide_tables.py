@@ -35,3 +35,15 @@ def test_edges_of_papers_are_not_joined(spark, name):
 def test_line_items_are_read_once(spark, name):
     """What is left to run reads tables made of them."""
     assert "l_partkey" not in plan(registry.QUERIES[name](spark, DATA))
+
+
+def test_texts_have_short_ids(spark, monkeypatch):
+    """What citations shuffles and writes for each word of a text has its id beside it: 16 bytes, not their 32 letters."""
+    from sparkfolio.operators import containment, retrieval
+
+    seen = []
+    monkeypatch.setattr(containment, "index_of", lambda texts, on, made=containment.index_of: seen.append(dict(texts.dtypes)["id"]) or made(texts, on))
+    documents = spark.createDataFrame([(1, "A Title stands here"), (2, "a title stands here"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a title"), (8, "Another")], "item_id long, title string")
+    assert sorted(map(tuple, retrieval.citations(documents, items).collect()), key=repr) == [(7, 1, True), (7, 2, True), (8, None, False)]
+    assert seen and set(seen) == {"binary"}
